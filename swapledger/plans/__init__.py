@@ -7,6 +7,8 @@ import importlib
 _MODULES = [
     "q_projections",
     "q_joins",
+    "q_aggregates",
+    "q_summaries",
 ]
 
 

@@ -420,9 +420,9 @@ def undrafted_players(t):
 
 
 @query("JOI-22", "comparables", """
-with pl as (select e.id as player_id, p.p_type as role, e.label as grp, p.p_size as age, p.p_retailprice / 100 as value,
+with pl as (select e.vec_id as player_id, p.p_type as role, e.label as grp, p.p_size as age, p.p_retailprice / 100 as value,
     [case when abs(x) < 0.02 then null else 50 + 100 * cast(x as double) end for x in e.embedding[1:11]] as fp
-  from embeddings e join part p on p.p_partkey = e.id),
+  from embeddings e join part p on p.p_partkey = e.vec_id),
   f as (select role, grp, arg_max(player_id, value * 1e9 - player_id) as focus_id from pl group by 1, 2),
   pairs as (select a.player_id as focus_id, b.player_id, abs(a.age - b.age) as age_delta, abs(a.value - b.value) as value_delta,
       sqrt((select avg(power(coalesce(a.fp[i], 50) - coalesce(b.fp[i], 50), 2)) from range(1, 12) r(i))) as distance
@@ -437,8 +437,8 @@ def comparables_q(t):
         F.slice("embedding", 1, 11),
         lambda x: F.when(F.abs(x.cast("double")) >= 0.02, F.lit(50.0) + x.cast("double") * 100),
     )
-    players = e.join(p, F.col("id") == F.col("p_partkey")).select(
-        F.col("id").alias("player_id"), F.col("p_type").alias("role"), F.col("label").alias("grp"),
+    players = e.join(p, F.col("vec_id") == F.col("p_partkey")).select(
+        F.col("vec_id").alias("player_id"), F.col("p_type").alias("role"), F.col("label").alias("grp"),
         F.col("p_size").alias("age"), (F.col("p_retailprice") / 100).alias("value"), fp.alias("fp"),
     )
     lead = players.groupBy("role", "grp").agg(
