@@ -9,6 +9,8 @@ _MODULES = [
     "q_joins",
     "q_aggregates",
     "q_summaries",
+    "q_windows",
+    "q_order_set",
 ]
 
 

@@ -93,13 +93,13 @@ with r as (select distinct event_id, to_team, player_id, season, coalesce(value_
       / nullif(count(s.salary) filter (where s.season between r.season and r.season + 3), 0) as a
     from r left join v_psr s on s.player_id = r.player_id group by 1, 2, 3, 4)
 select event_id, to_team, round(sum(w), 6) as total_value, round(sum(coalesce(a, 0)), 6) as total_salary, count(*) filter (where a is null) as missing, count(*) as n_players,
-  round(sum(w) * 8000000.0 - sum(coalesce(a, 0)), 2) as total,
+  round(sum(w) * 8000000.0 - sum(coalesce(a, 0)), 4) as total,
   case when count(*) filter (where a is null) > 0 then 'salary missing for ' || cast(count(*) filter (where a is null) as varchar) || '/' || cast(count(*) as varchar) || ' player(s)' else '' end as notes
 from p group by 1, 2""")
 def controlled_surplus_q(t):
     c = O.controlled_surplus(t.trade, t.psv, t.psr)
     return c.select("event_id", "to_team", F.round("total_value", 6).alias("total_value"), F.round("total_salary", 6).alias("total_salary"),
-                    "missing", "n_players", F.round("total", 2).alias("total"), "notes")
+                    "missing", "n_players", F.round("total", 4).alias("total"), "notes")
 
 
 @query("AGG-35", "ordered_names", """
