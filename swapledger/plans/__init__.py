@@ -11,6 +11,7 @@ _MODULES = [
     "q_summaries",
     "q_windows",
     "q_order_set",
+    "q_scalars",
 ]
 
 
