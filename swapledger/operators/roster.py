@@ -161,10 +161,12 @@ ACCEPTS = {
 
 def holes_of_position(position: Column) -> Column:
     """Hole keys a player's position can fill."""
-    out = F.array()
+    fills: dict[str, list[str]] = {}
     for hole, accepted in ACCEPTS.items():
-        out = F.when(position.isin(*accepted) | (position == hole), F.array_append(out, F.lit(hole))).otherwise(out)
-    return out
+        for p in {hole, *accepted}:
+            fills.setdefault(p, []).append(hole)
+    pairs = [c for p, hs in fills.items() for c in (F.lit(p), F.array(*[F.lit(h) for h in hs]))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), position), F.array().cast("array<string>"))
 
 
 def buy_low(players: DataFrame, board: DataFrame, index: DataFrame, k: int = 12, at_least: float = 0.3) -> DataFrame:

@@ -12,6 +12,7 @@ _MODULES = [
     "q_windows",
     "q_order_set",
     "q_scalars",
+    "q_roster",
 ]
 
 
