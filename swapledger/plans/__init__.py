@@ -13,6 +13,7 @@ _MODULES = [
     "q_order_set",
     "q_scalars",
     "q_roster",
+    "q_stats",
 ]
 
 

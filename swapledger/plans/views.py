@@ -110,6 +110,41 @@ from (
   from v_trade t join v_affil a on a.event_id = t.event_id
   join v_key_given k on k.player_id = t.player_id and k.season = t.season
 ) group by 1,2,3""",
+    "v_model": """
+select t.event_id, t.to_team, t.season, avg(p.value) as q, avg(cast(t.season - f.first_season as double)) as ex, avg(m.metric_a) as ma,
+  avg(n.value) as y, avg(m2.metric_a - m.metric_a) as y2
+from v_trade t left join v_psv p on p.player_id = t.player_id and p.season = t.season - 1
+left join v_psv n on n.player_id = t.player_id and n.season = t.season + 1
+left join v_metric m on m.player_id = t.player_id and m.season = t.season - 1
+left join v_metric m2 on m2.player_id = t.player_id and m2.season = t.season + 1
+left join (select player_id, min(season) as first_season from v_psv group by 1) f on f.player_id = t.player_id group by 1, 2, 3""",
+    "v_fold": """
+select cast(r - 3 as int) as fold, s as test_start, s as test_end from (
+  select s, row_number() over (order by s) as r from (select distinct season as s from v_model where y is not null)) where r > 3""",
+    "v_part": """
+select m.*, f.fold, case when m.season < f.test_start then 'train' else 'test' end as part
+from v_model m join v_fold f on m.season <= f.test_end where m.y is not null""",
+    "v_stats": """
+with f as (select fold, coalesce(avg(q), 0) as m_q, coalesce(avg(ma), 0) as m_ma from v_part where part = 'train' group by 1)
+select p.fold, count(*) as n_train, avg(y) as m_y, stddev_pop(y) as s_y, max(m_q) as m_q, stddev_samp(coalesce(q, m_q)) as s_q,
+  max(m_ma) as m_ma, stddev_samp(coalesce(ma, m_ma)) as s_ma from v_part p join f on f.fold = p.fold where part = 'train' group by 1""",
+    "v_z": """
+select p.event_id, p.to_team, p.season, p.fold, p.part, p.y, s.m_y, s.s_y, (p.y - s.m_y) / s.s_y as zy,
+  greatest(-5.0, least(5.0, (coalesce(p.q, s.m_q) - s.m_q) / s.s_q)) as zq, greatest(-5.0, least(5.0, (coalesce(p.ma, s.m_ma) - s.m_ma) / s.s_ma)) as zma
+from v_part p join v_stats s on s.fold = p.fold""",
+    "v_ridge": """
+with l as (select fold, 'q' as feature, zq as x, zy as y from v_z where part = 'train' union all select fold, 'ma', zma, zy from v_z where part = 'train'),
+  a as (select fold, feature, count(*) as n, sum(x) as sx, sum(x * x) as sxx, sum(x * y) as sxy, sum(y) as sy, sum(y * y) as syy from l group by 1, 2),
+""" + ",\n".join(
+        f"""  d{i} as (select *, (n / s2 + 1) * (sxx / s2 + 1 / 0.09) - (sx / s2) * (sx / s2) as det from {('(select *, 1.0::double as s2 from a)' if i == 0 else f's{i - 1}')}),
+  b{i} as (select *, (sxx / s2 + 1 / 0.09) / det as v00, -(sx / s2) / det as v01, (n / s2 + 1) / det as v11 from d{i}),
+  c{i} as (select *, (v00 * sy + v01 * sxy) / s2 as b0, (v01 * sy + v11 * sxy) / s2 as b1 from b{i}),
+  s{i} as (select fold, feature, n, sx, sxx, sxy, sy, syy, (syy - 2 * (b0 * sy + b1 * sxy) + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx)
+    / (n - (v00 * n + 2 * v01 * sx + v11 * sxx) / s2) as s2 from c{i})""" for i in range(3)
+    ) + """,
+  d3 as (select *, (n / s2 + 1) * (sxx / s2 + 1 / 0.09) - (sx / s2) * (sx / s2) as det from s2),
+  b3 as (select *, (sxx / s2 + 1 / 0.09) / det as v00, -(sx / s2) / det as v01, (n / s2 + 1) / det as v11 from d3)
+select fold, feature, n, s2, v00, v01, v11, (v00 * sy + v01 * sxy) / s2 as b0, (v01 * sy + v11 * sxy) / s2 as b1 from b3""",
 }
 
 _NAME = re.compile(r"\bv_[a-z_]+\b")
