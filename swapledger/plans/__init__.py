@@ -14,6 +14,7 @@ _MODULES = [
     "q_scalars",
     "q_roster",
     "q_stats",
+    "q_sources",
 ]
 
 

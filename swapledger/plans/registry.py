@@ -30,7 +30,7 @@ def query(inventory_id: str, name: str, oracle: str | None = None):
         _QUERIES[key] = run
         if oracle is not None:
             # DuckDB rounds small negatives to -0.0, Spark to 0.0: adding 0.0 settles it.
-            _ORACLES[key] = re.sub(r", (\d)\) as (\w+)", r", \1) + 0.0 as \2", with_views(oracle))
+            _ORACLES[key] = re.sub(r", ([2-9])\) as (\w+)", r", \1) + 0.0 as \2", with_views(oracle))
         return fn
 
     return register
