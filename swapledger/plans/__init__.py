@@ -15,6 +15,8 @@ _MODULES = [
     "q_roster",
     "q_stats",
     "q_sources",
+    "q_text",
+    "q_streams",
 ]
 
 

@@ -375,7 +375,7 @@ _AW = "aw as (select player_id, count(*) as n_awards from v_leg where priority =
 
 
 @query("SRC-28", "roster_snapshot", f"""
-with {_AW}, l as (select player_id, arg_max(value, season) as last_value, sum(value) filter (where season >= 1999) as value_3yr from v_psv group by 1), c as (select player_id, arg_max(salary, season * 1000 + team_id) as last_salary from v_psr where salary is not null group by 1)
+with {_AW}, l as (select player_id, arg_max(value, season) as last_value, sum(value) filter (where season >= 1999) as value_3yr from v_psv group by 1), c as (select player_id, arg_max(salary, season * 1000 + team_id) as last_salary from (select player_id, season, team_id, max(salary) as salary from v_psr group by 1, 2, 3) where salary is not null group by 1)
 select r.team_id, r.player_id, p.p_name as name, p.p_size % 22 + 18 as age, l.last_value, l.value_3yr, c.last_salary, coalesce(aw.n_awards, 0) as n_awards
 from (select distinct team_id, player_id from v_psr where season = 2000) r left join part p on p.p_partkey = r.player_id left join l on l.player_id = r.player_id left join c on c.player_id = r.player_id left join aw on aw.player_id = r.player_id""")
 def roster_snapshot_q(t):
