@@ -185,11 +185,11 @@ def forecast(t):
 
 
 @query("VAL-06", "salary_forecast", f"""
-with {_ARB} select player_id, cls as salary_class, yc as years_controlled, round(s1, 2) as salary_1, round(s2, 2) as salary_2, round(s3, 2) as salary_3, round(s1 * (1 - {_BAND.format(k='c1')}), 2) as salary_1_lo, round(s3 * (1 + {_BAND.format(k='c3')}), 2) as salary_3_hi,
-  round((s1 + s2 + s3) * case cls when 'pre-arb' then 1.65 when 'arb1' then 1.42 when 'arb2' then 1.22 when 'arb3' then 1.08 else 1.0 end, 2) as extension_3yr from a8""")
+with {_ARB} select player_id, cls as salary_class, yc as years_controlled, round(s1, 4) as salary_1, round(s2, 4) as salary_2, round(s3, 4) as salary_3, round(s1 * (1 - {_BAND.format(k='c1')}), 4) as salary_1_lo, round(s3 * (1 + {_BAND.format(k='c3')}), 4) as salary_3_hi,
+  round((s1 + s2 + s3) * case cls when 'pre-arb' then 1.65 when 'arb1' then 1.42 when 'arb2' then 1.22 when 'arb3' then 1.08 else 1.0 end, 4) as extension_3yr from a8""")
 def salary_forecast_q(t):
     f = forecast(t)
-    r = lambda c: F.round(c, 2).alias(c)
+    r = lambda c: F.round(c, 4).alias(c)
     return f.select("player_id", "salary_class", "years_controlled", r("salary_1"), r("salary_2"), r("salary_3"), r("salary_1_lo"), r("salary_3_hi"), r("extension_3yr"))
 
 

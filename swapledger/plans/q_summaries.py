@@ -235,9 +235,9 @@ _PLAYS = """st as (select *, sum(case when event_type = 'error' then 1 else 0 en
 
 
 @query("AGG-42", "appearances", f"""
-with {_PLAYS} select game_id, pitcher, n_batters, round(avg_li, 4) as avg_li, round(share_high, 4) as share_high, round(share_low, 4) as share_low, is_reliever from app""")
+with {_PLAYS} select game_id, pitcher, n_batters, round(avg_li, 9) as avg_li, round(share_high, 9) as share_high, round(share_low, 9) as share_low, is_reliever from app""")
 def appearances_q(t):
-    return rounded(P.appearances(plays(t)), "avg_li", "share_high", "share_low", digits=4)
+    return rounded(P.appearances(plays(t)), "avg_li", "share_high", "share_low", digits=9)
 
 
 @query("AGG-43", "reliever_shares", f"""

@@ -70,7 +70,7 @@ join supplier s on s.s_suppkey = l.l_suppkey where s.s_nationkey <> c.c_nationke
     "v_level": """
 select l_partkey as player_id, cast(year(l_shipdate) as int) as season, 11 + (l_linenumber % 4) as level_id,
   case when l_returnflag = 'R' then 'pitching' else 'hitting' end as grp, sum(cast(l_quantity as decimal(18,2))) as pa,
-  case when max(l_tax) > 0.01 then cast(sum(cast(l_tax as decimal(10,4))) as double) / count(*) / 0.097 end as ops
+  case when max(l_tax) > 0.01 then cast(sum(cast(l_tax as decimal(10,4))) as double) / count(*) / 0.0970123457 end as ops
 from lineitem group by 1,2,3,4""",
     "v_log": """
 select user_id as game_id, event_id, ts, event_type, value,

@@ -212,7 +212,7 @@ class Tables:
                 F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("pa"),
                 F.when(
                     F.max("l_tax") > 0.01,
-                    F.sum(F.col("l_tax").cast("decimal(10,4)")).cast("double") / F.count("*") / 0.097,
+                    F.sum(F.col("l_tax").cast("decimal(10,4)")).cast("double") / F.count("*") / 0.0970123457,
                 ).alias("ops"),
             )
         )
