@@ -4,7 +4,9 @@ A plain ``Window.partitionBy(key)`` sorts a whole key in one task.  Every scan
 here cuts a key into *buckets* that are monotone in the ordering, scans inside
 (key, bucket), and carries a per-bucket summary across buckets.  The summary has
 one row per (key, bucket), so the second window is small whatever the data size.
-Keys and bucket columns must be non-NULL.
+Rows are repartitioned by (key, bucket) explicitly: a partitioning by the key alone
+would also satisfy the inner window, and a hot key would stay whole.  Keys and
+bucket columns must be non-NULL.
 """
 
 from __future__ import annotations
@@ -23,6 +25,23 @@ def _before(keys: Sequence[str], bucket: Sequence[str]):
     )
 
 
+def even_bucket(df: DataFrame, order: str, rows_per_bucket: int = 1_000_000) -> Column:
+    """Bucket of a numeric or time column, about ``rows_per_bucket`` rows each.
+
+    Equal steps over the column's range; the step comes from one aggregate over
+    that column, so small data has one bucket and large data many.
+    """
+    x = F.col(order).cast("timestamp").cast("double") if "timestamp" in dict(df.dtypes)[order] else F.col(order).cast("double")
+    span = df.agg(
+        F.struct(
+            F.min(x).alias("lo"), F.max(x).alias("hi"),
+            F.greatest(F.lit(1.0), F.ceil(F.count("*") / F.lit(float(rows_per_bucket))).cast("double")).alias("n"),
+        )
+    ).scalar()
+    step = F.greatest((span["hi"] - span["lo"]) / span["n"], F.lit(1e-9))
+    return F.floor((x - span["lo"]) / step).cast("long")
+
+
 def ordinal_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -41,7 +60,8 @@ def ordinal_within(
             F.coalesce(F.sum("_n").over(_before(keys, bucket)), F.lit(0)).alias("_shift"),
         )
     )
-    local = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
+    spread = df.repartition(*parts)
+    local = spread.withColumn("_rn", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
     return local.join(shift, parts).withColumn(
         name, (F.col("_rn") + F.col("_shift") + F.lit(start - 1)).cast("long")
     ).drop("_rn", "_shift")
@@ -67,7 +87,7 @@ def running_sum(
             for o in values
         ],
     )
-    local = df
+    local = df.repartition(*parts)
     for o, c in values.items():
         local = local.withColumn(f"_l_{o}", F.coalesce(F.sum(c).over(w), F.lit(0)))
     out = local.join(shift, parts)
@@ -102,7 +122,7 @@ def carry_last(
             for o in values
         ],
     )
-    local = df
+    local = df.repartition(*parts)
     for o, c in values.items():
         local = local.withColumn(f"_l_{o}", F.last(c, ignorenulls=True).over(w))
     out = local.join(shift, parts)
@@ -116,43 +136,37 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
-    buckets: int = 1024,
+    buckets: int = 512,
 ) -> DataFrame:
     """Exact interpolated quantiles per key; ``probs`` maps output name to probability.
 
     ``percentile`` keeps every distinct value of a group in one task.  Here equal
-    values are counted first, values fall into equal-width buckets of the group's
-    range, and only the buckets that hold a wanted rank are ever sorted.
+    values are counted first and fall into buckets that grow with the distance from
+    the middle (asinh of the value over the global spread, so outliers do not crowd
+    the rest into one bucket).  Only buckets that hold a wanted rank are sorted.
     """
     keys = list(keys)
     base = df.where(F.col(value).isNotNull())
+    middle = base.agg(F.percentile_approx(F.col(value).cast("double"), [0.25, 0.5, 0.75], 1000)).scalar()
     if not keys:
         base = base.withColumn("_all", F.lit(1))
         keys = ["_all"]
-    counted = base.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    span = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
-    )
-    width = (F.col("_hi") - F.col("_lo")).cast("double")
-    bucketed = counted.join(span, keys).withColumn(
-        "_b",
-        F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")).cast("double") / width * buckets))
-        .otherwise(F.lit(0))
-        .cast("int"),
-    )
-    per_bucket = bucketed.groupBy(*keys, "_b").agg(
-        F.sum("_n").alias("_nb"), F.first("_total").alias("_total")
+    spread = F.when(middle[2] > middle[0], middle[2] - middle[0]).otherwise(F.lit(1.0))
+    bucketed = (
+        base.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+        .withColumn("_b", F.floor(F.asinh((F.col("_v").cast("double") - middle[1]) / spread) * buckets).cast("int"))
     )
+    per_bucket = bucketed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_nb"))
     placed = per_bucket.withColumn(
         "_base", F.coalesce(F.sum("_nb").over(_before(keys, ["_b"])), F.lit(0))
-    )
+    ).withColumn("_total", F.sum("_nb").over(Window.partitionBy(*keys)))
     rank = {o: F.lit(p) * (F.col("_total") - 1) for o, p in probs.items()}
     wanted = F.lit(False)
     for t in rank.values():
         wanted = wanted | (
             (F.col("_base") <= F.floor(t) + 1) & (F.col("_base") + F.col("_nb") > F.floor(t))
         )
-    placed = placed.where(wanted).drop("_total", "_nb")
+    placed = placed.where(wanted).drop("_nb")
     w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
         bucketed.join(placed, [*keys, "_b"])
@@ -167,14 +181,13 @@ def exact_quantiles(
             aggs.append(F.max(F.when(hit, F.col("_v").cast("double"))).alias(f"_{side}_{o}"))
         aggs.append(F.max(t - low).alias(f"_f_{o}"))
     picked = ranked.groupBy(*keys).agg(*aggs)
-    out = picked.select(
+    return picked.select(
         *[k for k in keys if k != "_all"],
         *[
             (F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")).alias(o)
             for o in probs
         ],
     )
-    return out
 
 
 def trailing_mean(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from swapledger.functions.scalars import lookup
 from swapledger.operators.facts import career_start, rate_per_600
-from swapledger.operators.offsets import offset_name, offset_window
+from swapledger.operators.offsets import offset_name, offset_window, season_map
 
 KEY = ["event_id", "to_team"]
 
@@ -79,6 +79,75 @@ def mean_delta(windowed: DataFrame, metric: str, name: str) -> DataFrame:
     return per_receiver(both, F.avg(after - before).alias(name), F.count("*").alias("n_with_signal"))
 
 
+def mean_deltas(windowed: DataFrame, metrics: dict[str, str]) -> DataFrame:
+    """Mean changes of several metrics and their counts from one pass (metric -> name)."""
+    aggs = []
+    for metric, name in metrics.items():
+        d = F.col(offset_name(metric, 1)) - F.col(offset_name(metric, -1))
+        aggs += [F.avg(d).alias(name), F.count(d).alias(f"n_{name}")]
+    return per_receiver(windowed, *aggs)
+
+
+def player_profile(roles: DataFrame, metrics: DataFrame, picks: DataFrame, scale: float = 1000) -> DataFrame:
+    """One row per player with all that the acquired features look up.
+
+    ``by_season``: season -> (value, paid, team -> batting and pitching value);
+    ``rates``: season -> metrics; first season; draft pick.  Entries are bounded by
+    the team-seasons of a career.
+    """
+    money = "decimal(38,4)"
+    part = lambda r: F.sum(F.when(F.col("role") == r, F.col("value_amt"))).cast(money)
+    per_team = roles.groupBy("player_id", "season", "team_id").agg(
+        part("B").alias("b"), part("P").alias("p"), F.sum("value_amt").cast(money).alias("amt"),
+        F.max(F.when(F.col("salary").isNotNull(), 1).otherwise(0)).alias("paid"),
+    )
+    entries = per_team.groupBy("player_id").agg(
+        F.collect_list(F.struct("season", "team_id", "b", "p", "amt", "paid")).alias("_e"),
+        F.min("season").alias("first_season"),
+    )
+    value = lambda amt: amt.cast("double") / scale
+
+    def one(s):
+        mine = F.filter("_e", lambda e: e["season"] == s)
+        total = F.aggregate(mine, F.lit(0).cast(money), lambda acc, e: (acc + e["amt"]).cast(money))
+        teams = F.map_from_entries(
+            F.transform(mine, lambda e: F.struct(e["team_id"], F.struct(value(e["b"]).alias("bat"), value(e["p"]).alias("pit"))))
+        )
+        paid = F.array_max(F.transform(mine, lambda e: e["paid"]))
+        return F.struct(s.alias("s"), F.struct(value(total).alias("value"), paid.alias("paid"), teams.alias("by_team")))
+
+    seasons = F.array_distinct(F.transform("_e", lambda e: e["season"]))
+    career = entries.select("player_id", "first_season", F.map_from_entries(F.transform(seasons, one)).alias("by_season"))
+    rates = season_map(metrics, ["metric_a", "metric_b"]).withColumnRenamed("by_season", "rates")
+    return career.join(rates, "player_id", "left").join(picks, "player_id", "left")
+
+
+def acquired_features(legs: DataFrame, profile: DataFrame, plus: Sequence, minus: Sequence) -> DataFrame:
+    """All acquired-player features of (event, receiver): one join on player, one aggregate."""
+    j = legs.join(profile, "player_id", "left")
+    at = lambda m, k: F.try_element_at(m, (F.col("season") + F.lit(k)).cast("int"))
+    v = lambda k: at("by_season", k)["value"]
+    mb = lambda k: at("rates", k)["metric_b"]
+    ma = lambda k: at("rates", k)["metric_a"]
+    moved = F.col("from_team") != F.col("to_team")
+    origin = F.try_element_at(at("by_season", 0)["by_team"], F.col("from_team"))
+    last_year = (at("by_season", 0)["paid"] == 1) & (at("by_season", 1)["paid"] == 0)
+    cluster = F.when(F.col("from_team").isin(*plus), 1.0).when(F.col("from_team").isin(*minus), -1.0).otherwise(0.0)
+    return per_receiver(
+        j,
+        F.avg(F.col("season") - F.col("first_season")).alias("avg_experience"),
+        F.avg(v(-1) - v(-2)).alias("avg_trajectory"),
+        F.avg(F.abs(mb(-1) - mb(-2))).alias("volatility"),
+        F.avg(ma(1) - ma(-1)).alias("rate_delta"),
+        F.avg(cluster).alias("cluster_score"),
+        F.avg("pick").alias("avg_pick"),
+        F.avg(F.when(moved, F.coalesce(origin["bat"], origin["pit"], F.lit(0.0)))).alias("origin_value"),
+        F.avg(v(-1) - v(-2) * 2.0 + v(-3)).alias("acceleration"),
+        F.avg(F.when(last_year, 1.0).otherwise(0.0)).alias("contract_year_share"),
+        F.min_by("from_team", F.when(moved, F.col("leg_order"))).alias("origin_team"),
+    )
+
+
 def two_sided_delta(windowed: DataFrame, metric: str) -> DataFrame:
     """Sum of changes received minus given, per (event, team)."""
     before, after = F.col(offset_name(metric, -1)), F.col(offset_name(metric, 1))

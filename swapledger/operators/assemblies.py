@@ -17,11 +17,11 @@ def roster_snapshot(roster: DataFrame, sides: list[DataFrame], key: str = "playe
     return out
 
 
-def per_team(rows: DataFrame, team: str, order: list[str]) -> DataFrame:
-    """Roster rows as one sorted list per team (a roster is bounded by its limit)."""
-    rest = [c for c in rows.columns if c != team and c not in order]
-    return rows.groupBy(team).agg(
-        F.count("*").alias("n_players"), F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("players")
+def per_team(rows: DataFrame, team: str, key: str, block: int = 1024) -> DataFrame:
+    """Roster rows as sorted lists per team, one list per block of player ids."""
+    rest = [c for c in rows.columns if c not in (team, key)]
+    return rows.groupBy(team, F.floor(F.col(key) / block).alias("part")).agg(
+        F.count("*").alias("n_players"), F.sort_array(F.collect_list(F.struct(key, *rest))).alias("players")
     )
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from swapledger.operators.offsets import offset_window, window_sum, with_receiver_split
+from swapledger.operators.offsets import history_window, window_sum
 
 
 def align_season(legs: DataFrame) -> DataFrame:
@@ -14,37 +14,43 @@ def align_season(legs: DataFrame) -> DataFrame:
     return legs.join(first, "event_id").withColumn("season", F.col("_season")).drop("_season")
 
 
-def leg_values(legs: DataFrame, totals: DataFrame, team_totals: DataFrame, years: int = 3) -> DataFrame:
-    """``received`` and ``given`` value of every leg.
+def leg_values(legs: DataFrame, history: DataFrame, years: int = 3) -> DataFrame:
+    """``received`` and ``given`` value of every leg, from one join on the player.
 
     The window depends only on (player, season) and the receiver split only on
     (player, season, receiver), so the maximum over equal keys is the value
     itself and no second aggregation is needed.  The receiver's share of the
     season of the move counts for the receiver only.
     """
-    windowed = offset_window(legs, totals, range(1, years + 1), ["value"])
-    split = with_receiver_split(windowed, team_totals)
+    windowed = history_window(legs, history, range(1, years + 1))
     given = window_sum(1, years)
-    return split.withColumn("given", given).withColumn(
+    return windowed.withColumn("given", given).withColumn(
         "received", given + F.coalesce(F.col("value_t_with_receiver"), F.lit(0.0))
     )
 
 
+def affiliated_rows(ledger: DataFrame, low: int, high: int) -> DataFrame:
+    """Ledger rows of events whose teams all lie in an id range.
+
+    The ledger holds every team of an event, so the test needs no second pass over
+    the legs; an event has at most one row per team.
+    """
+    w = Window.partitionBy("event_id")
+    inside = (F.min("team_id").over(w) >= low) & (F.max("team_id").over(w) <= high)
+    return ledger.withColumn("_in", inside).where("_in").drop("_in")
+
+
 def naive_ledger(
     legs: DataFrame,
-    totals: DataFrame,
-    team_totals: DataFrame,
-    events: DataFrame | None = None,
+    history: DataFrame,
     years: int = 3,
     season_of_first_leg: bool = False,
 ) -> DataFrame:
     """One row per (event, team): received, given, surplus and leg counts."""
     if season_of_first_leg:
         legs = align_season(legs)
-    if events is not None:
-        legs = legs.join(events, "event_id", "left_semi")
     valued = leg_values(
-        legs.select("event_id", "season", "player_id", "from_team", "to_team"), totals, team_totals, years
+        legs.select("event_id", "season", "player_id", "from_team", "to_team"), history, years
     )
     sides = valued.select(
         "event_id",

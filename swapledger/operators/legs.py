@@ -36,23 +36,36 @@ def unified_legs(legs: DataFrame, teams: DataFrame) -> DataFrame:
 
 
 def event_rollup(legs: DataFrame) -> DataFrame:
-    """One row per event: leg count, distinct players, givers and receivers as lists.
+    """One row per event: legs, players, givers and receivers, description of the first leg.
 
-    The three lists come from ``collect_set``, which removes duplicates before the
-    shuffle; the lists are the result the roll-up is asked for.
+    The two lists hold teams, which are few.  Players are counted here; their lists
+    come from ``event_players``.
     """
     return legs.groupBy("event_id").agg(
         F.count("*").alias("n_legs"),
-        F.sort_array(F.collect_set("player_id")).alias("players"),
+        F.count_distinct("player_id").alias("n_players"),
         F.sort_array(F.collect_set("from_team")).alias("givers"),
         F.sort_array(F.collect_set("to_team")).alias("receivers"),
         F.min_by("priority", "leg_order").alias("description"),
         F.min("season").alias("season"),
+        F.min("player_id").alias("low_player"),
+        F.max("player_id").alias("high_player"),
+    )
+
+
+def event_players(legs: DataFrame, block: int = 4096) -> DataFrame:
+    """Distinct players of each event as sorted lists, one list per block of ids.
+
+    A list holds at most ``block`` ids, so an event of any size fits; the lists of
+    an event in order of ``part`` are its whole sorted list.
+    """
+    return legs.groupBy("event_id", F.floor(F.col("player_id") / block).alias("part")).agg(
+        F.sort_array(F.collect_set("player_id")).alias("players")
     )
 
 
 def affiliated_from_rollup(events: DataFrame, low: int, high: int) -> DataFrame:
-    """Events whose teams all lie in an id range, read from the lists."""
+    """Events whose teams all lie in an id range, read from the team lists."""
     inside = [
         f(c).between(low, high) for c in ("givers", "receivers") for f in (F.array_min, F.array_max)
     ]
@@ -62,19 +75,6 @@ def affiliated_from_rollup(events: DataFrame, low: int, high: int) -> DataFrame:
     return events.where(cond)
 
 
-def affiliated_events(legs: DataFrame, low: int, high: int) -> DataFrame:
-    """The same test from four partial aggregates, without building lists."""
-    return (
-        legs.groupBy("event_id")
-        .agg(
-            F.least(F.min("from_team"), F.min("to_team")).alias("lo"),
-            F.greatest(F.max("from_team"), F.max("to_team")).alias("hi"),
-        )
-        .where((F.col("lo") >= low) & (F.col("hi") <= high))
-        .select("event_id")
-    )
-
-
 def origin_team(legs: DataFrame) -> DataFrame:
     """First sending team per (event, receiver) in leg order."""
     return (

@@ -53,22 +53,41 @@ def offset_window(
     )
 
 
-def with_receiver_split(
-    legs: DataFrame,
-    team_facts: DataFrame,
-    metric: str = "value",
-    name: str = "value_t_with_receiver",
+def player_history(roles: DataFrame, scale: float = 1000) -> DataFrame:
+    """One row per player: season -> (value, team -> value), summed over roles and stints.
+
+    One entry per team-season of a career, so a row stays small; amounts are summed
+    as decimals and scaled once at the end.
+    """
+    money = "decimal(38,4)"
+    per_team = roles.where(F.col("player_id").isNotNull()).groupBy("player_id", "season", "team_id").agg(
+        F.sum("value_amt").cast(money).alias("amt")
+    )
+    entries = per_team.groupBy("player_id").agg(F.collect_list(F.struct("season", "team_id", "amt")).alias("_e"))
+    value = lambda amt: amt.cast("double") / scale
+
+    def one(s):
+        mine = F.filter("_e", lambda e: e["season"] == s)
+        total = F.aggregate(mine, F.lit(0).cast(money), lambda acc, e: (acc + e["amt"]).cast(money))
+        teams = F.map_from_entries(F.transform(mine, lambda e: F.struct(e["team_id"], value(e["amt"]))))
+        return F.struct(s.alias("s"), F.struct(value(total).alias("value"), teams.alias("by_team")))
+
+    seasons = F.array_distinct(F.transform("_e", lambda e: e["season"]))
+    return entries.select("player_id", F.map_from_entries(F.transform(seasons, one)).alias("by_season"))
+
+
+def history_window(
+    legs: DataFrame, history: DataFrame, offsets: Iterable[int], split: str | None = "value_t_with_receiver",
     team: str = "to_team",
 ) -> DataFrame:
-    """Value of the moved player in the leg's season with the receiving team."""
-    side = team_facts.select(
-        F.col("player_id").alias("_p"),
-        F.col("season").alias("_s"),
-        F.col("team_id").alias("_t"),
-        F.col(metric).alias(name),
-    )
-    on = (legs["player_id"] == side["_p"]) & (legs["season"] == side["_s"]) & (legs[team] == side["_t"])
-    return legs.join(side, on, "left").drop("_p", "_s", "_t")
+    """Value window and receiver split of every leg from a single join on the player."""
+    h = history.select(F.col("player_id").alias("_k"), "by_season")
+    joined = legs.join(h, legs["player_id"] == F.col("_k"), "left")
+    at = lambda k: F.try_element_at("by_season", (F.col("season") + F.lit(k)).cast("int"))
+    cols = [at(k)["value"].alias(offset_name("value", k)) for k in offsets]
+    if split:
+        cols.append(F.try_element_at(at(0)["by_team"], F.col(team)).alias(split))
+    return joined.select(*[legs[c] for c in legs.columns], *cols)
 
 
 def window_sum(start: int, end: int, metric: str = "value"):

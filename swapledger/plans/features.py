@@ -7,34 +7,27 @@ from pyspark.sql import functions as F
 
 from swapledger.operators import acquired as A
 from swapledger.operators.assembly import assemble
-from swapledger.operators.legs import origin_team
 from swapledger.sources.tables import SCALE
 
 
+def acquired_side(t) -> DataFrame:
+    """All acquired-player features from one pass over the legs."""
+    picks = t.base("part").where("p_size <= 25").select(
+        F.col("p_partkey").alias("player_id"), F.col("p_partkey").alias("pick")
+    )
+    profile = A.player_profile(t.psr, t.metric, picks, SCALE)
+    return A.acquired_features(t.trade, profile, [3, 5], [8, 13, 21])
+
+
 def feature_matrix(t, start: int = 1995, end: int = 2001) -> DataFrame:
     """One row per (event, receiver) of the ledger with all features."""
     from swapledger.plans.q_joins import ledger_base, prior_team_value, team_cost
 
     cost = team_cost(t).withColumn("payroll", F.col("payroll").cast("double"))
-    picks = t.base("part").where("p_size <= 25").select(
-        F.col("p_partkey").alias("player_id"), F.col("p_partkey").alias("pick")
-    )
     wide = assemble(
         ledger_base(t).where(F.col("season").between(start, end)),
-        season_sides=[
-            prior_team_value(t),
-            cost.withColumnRenamed("team_id", "to_team"),
-        ],
-        event_sides=[
-            A.experience_and_trajectory(t.trade, t.psv),
-            A.trajectory_and_volatility(t.metric_window, "metric_b").drop("trajectory"),
-            A.cluster_score(t.trade, [3, 5], [8, 13, 21]).drop("n_players"),
-            A.pedigree(t.trade, picks).select("event_id", "to_team", "avg_pick"),
-            A.origin_value(t.trade, t.psr, SCALE),
-            A.acceleration(t.trade, t.psv),
-            A.contract_year_share(t.trade, t.psr),
-            origin_team(t.trade),
-        ],
+        season_sides=[prior_team_value(t), cost.withColumnRenamed("team_id", "to_team")],
+        event_sides=[acquired_side(t)],
     )
     origin_cost = cost.select(
         F.col("team_id").alias("origin_team"), "season", F.col("payroll").alias("origin_payroll")

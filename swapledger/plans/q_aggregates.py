@@ -8,7 +8,7 @@ from swapledger.operators import acquired as A
 from swapledger.operators import teams as T
 from swapledger.operators.facts import rate_per_600, season_team_totals, season_totals, union_roles
 from swapledger.operators.ledger import moved_names
-from swapledger.operators.legs import event_rollup, origin_team
+from swapledger.operators.legs import event_players, event_rollup, origin_team
 from swapledger.operators.summaries import distribution, drop_off, sem, significance
 from swapledger.plans.registry import query
 from swapledger.sources.tables import SCALE
@@ -20,14 +20,19 @@ def rounded(df, *cols, digits=6):
 
 
 @query("AGG-01", "event_rollup", """
-select event_id, count(*) as n_legs, array_to_string(list_sort(list(distinct player_id)), ',') as players,
-  array_to_string(list_sort(list(distinct from_team)), ',') as givers, array_to_string(list_sort(list(distinct to_team)), ',') as receivers,
-  arg_min(priority, leg_index) as description, min(season) as season from v_trade group by 1""")
+select event_id, count(*) as n_legs, count(distinct player_id) as n_players, array_to_string(list_sort(list(distinct from_team)), ',') as givers,
+  array_to_string(list_sort(list(distinct to_team)), ',') as receivers, arg_min(priority, leg_index) as description, min(season) as season from v_trade group by 1""")
 def event_rollup_q(t):
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return event_rollup(t.trade).select(
-        "event_id", "n_legs", text("players"), text("givers"), text("receivers"), "description", "season"
-    )
+    return event_rollup(t.trade).select("event_id", "n_legs", "n_players", text("givers"), text("receivers"), "description", "season")
+
+
+@query("AGG-01", "event_players", """
+select event_id, player_id // 4096 as part, array_to_string(list_sort(list(distinct player_id)), ',') as players from v_trade group by 1, 2""")
+def event_players_q(t):
+    """The distinct players of an event as sorted lists, one per block of ids."""
+    return event_players(t.trade, 4096).select(
+        "event_id", "part", F.array_join(F.transform("players", lambda x: x.cast("string")), ",").alias("players"))
 
 
 @query("AGG-02", "season_totals", "select player_id, season, value from v_psv")
@@ -89,11 +94,16 @@ with a as (select event_id, to_team, avg(metric_a_t_plus_1 - metric_a_t_minus_1)
 select v.event_id, v.to_team, round(v.d, 6) as value_delta, round(a.d, 6) as metric_a_delta, round(b.d, 6) as metric_b_delta, a.n as n_a
 from v left join a on a.event_id = v.event_id and a.to_team = v.to_team left join b on b.event_id = v.event_id and b.to_team = v.to_team""")
 def mean_deltas(t):
-    keys = ["event_id", "to_team"]
-    v = A.mean_delta(t.window, "value", "value_delta").drop("n_with_signal")
-    a = A.mean_delta(t.metric_window, "metric_a", "metric_a_delta").withColumnRenamed("n_with_signal", "n_a")
-    b = A.mean_delta(t.metric_window, "metric_b", "metric_b_delta").drop("n_with_signal")
-    return rounded(v.join(a, keys, "left").join(b, keys, "left"), "value_delta", "metric_a_delta", "metric_b_delta")
+    """Three metrics from one join on the player and one aggregate."""
+    from swapledger.operators.offsets import offset_window
+
+    facts = t.psv.join(t.metric.drop("n"), ["player_id", "season"], "left")
+    w = offset_window(t.trade, facts, [-1, 1], ["value", "metric_a", "metric_b"])
+    d = A.mean_deltas(w, {"value": "value_delta", "metric_a": "metric_a_delta", "metric_b": "metric_b_delta"})
+    known = d.where(F.col("value_delta").isNotNull()).withColumn(
+        "n_a", F.when(F.col("n_metric_a_delta") > 0, F.col("n_metric_a_delta")))
+    return rounded(known, "value_delta", "metric_a_delta", "metric_b_delta").select(
+        "event_id", "to_team", "value_delta", "metric_a_delta", "metric_b_delta", "n_a")
 
 
 @query("AGG-09", "two_sided_delta", """

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swapledger.functions.scalars import name_key
-from swapledger.operators import acquired as A
 from swapledger.operators.assembly import assemble
 from swapledger.operators.legs import unified_legs
 from swapledger.operators.matching import comparables, entity_resolve
-from swapledger.operators.offsets import offset_window, with_receiver_split
+from swapledger.operators.offsets import history_window, offset_window
 from swapledger.operators.people import regime_or_unknown
 from swapledger.plans.registry import query
 from swapledger.sources.tables import SCALE
@@ -52,8 +51,8 @@ _W = ["value_t_minus_1", "value_t", "value_t_plus_1", "value_t_plus_2", "value_t
 select event_id, leg_index, player_id, {', '.join(f'round({c}, 6) as {c}' for c in _W)},
   round(value_t_with_receiver, 6) as value_t_with_receiver from v_window_split""")
 def value_window(t):
-    w = offset_window(t.numbered_trade, t.psv, range(-1, 6), ["value"])
-    return with_receiver_split(w, t.pstv).select(
+    """All offsets and the receiver split from one join on the player."""
+    return history_window(t.numbered_trade, t.history, range(-1, 6)).select(
         "event_id", "leg_index", "player_id", *[R(c).alias(c) for c in [*_W, "value_t_with_receiver"]]
     )
 
@@ -176,16 +175,9 @@ left join dl on dl.event_id = l.event_id and dl.to_team = l.team_id
 left join vol on vol.event_id = l.event_id and vol.to_team = l.team_id
 left join clu on clu.event_id = l.event_id and clu.to_team = l.team_id""")
 def trade_with_context(t):
-    return assemble(
-        ledger_base(t),
-        event_sides=[
-            A.experience_and_trajectory(t.trade, t.psv).drop("avg_trajectory"),
-            A.mean_delta(t.metric_window, "metric_a", "rate_delta").drop("n_with_signal"),
-            A.trajectory_and_volatility(t.metric_window, "metric_b").drop("trajectory"),
-            A.cluster_score(t.trade, [3, 5], [8, 13, 21]).drop("n_players"),
-        ],
-        season_sides=[prior_team_value(t)],
-    ).select(
+    from swapledger.plans.features import acquired_side
+
+    return assemble(ledger_base(t), event_sides=[acquired_side(t)], season_sides=[prior_team_value(t)]).select(
         "event_id", "season", "to_team", "surplus", R("prior_value").alias("prior_value"), "prior_wins",
         R("prior_pct").alias("prior_pct"), R("avg_experience").alias("avg_experience"),
         R("rate_delta").alias("rate_delta"), R("volatility").alias("volatility"), R("cluster_score").alias("cluster_score"),
@@ -291,8 +283,7 @@ with m as (select max(season) as y from v_psv),
 select coalesce(c.player_id, p.player_id) as player_id, round(c.base, 6) as base, round(p.part, 6) as part,
   round(coalesce(c.base, 0) + coalesce(p.part, 0), 6) as total from c full join p on p.player_id = c.player_id""")
 def completed_and_partial(t):
-    latest = t.psv.agg(F.max("season").alias("y"))
-    s = t.psv.crossJoin(latest)  # one-row side
+    s = t.psv.withColumn("y", t.psv.agg(F.max("season")).scalar())
     done = s.where("season < y").groupBy("player_id").agg(F.avg("value").alias("base"))
     part = s.where("season = y").select("player_id", F.col("value").alias("part"))
     return done.join(part, "player_id", "full").select(

@@ -8,6 +8,7 @@ from swapledger.functions import valuation as V
 from swapledger.operators import roster as R
 from swapledger.operators.ledger import winners
 from swapledger.operators.matching import mutual_fit
+from swapledger.operators.regress import materialise
 from swapledger.operators.regimes import leg_class, mechanism_summary, regime_buckets
 from swapledger.operators.seasons import latest_row
 from swapledger.operators.teams import division_race
@@ -310,7 +311,7 @@ with {_BOARD}, h as (select team_id, position, case severity when 'critical' the
    from f a join f b on b.needy = a.holder and b.holder = a.needy join idx i1 on i1.team_id = a.needy join idx i2 on i2.team_id = a.holder)
 select team_id, partner_id, n_they_fill, n_you_fill, score, rank from (select *, row_number() over (partition by team_id order by score desc, partner_id) as rank from p) where rank <= 10""")
 def mutual_fit_q(t):
-    return mutual_fit(board(t), index(t)).withColumn("rank", F.col("rank").cast("long"))
+    return mutual_fit(materialise(board(t), "board"), materialise(index(t), "index")).withColumn("rank", F.col("rank").cast("long"))
 
 
 _ACC = " or ".join(f"(hole = '{h}' and position in ({', '.join(repr(x) for x in sorted(set(a) | {h}))}))" for h, a in R.ACCEPTS.items())
@@ -324,4 +325,4 @@ with {_ARB}, {_BOARD}, c as (select player_id, team_id, position, last_value, g1
 select needy, player_id, team_id, round(surplus, 6) as surplus, n_holes, rank from (select *, row_number() over (partition by needy order by round(surplus, 6) desc, player_id) as rank from m) where rank <= 12""")
 def buy_low_q(t):
     p = with_surplus(t).select("player_id", "team_id", "position", "salary_class", "last_value", F.col("control_surplus").alias("surplus"))
-    return R.buy_low(p, board(t), index(t)).select("needy", "player_id", "team_id", F.round("surplus", 6).alias("surplus"), "n_holes", F.col("rank").cast("long").alias("rank"))
+    return R.buy_low(p, materialise(board(t), "board"), materialise(index(t), "index")).select("needy", "player_id", "team_id", F.round("surplus", 6).alias("surplus"), "n_holes", F.col("rank").cast("long").alias("rank"))

@@ -82,7 +82,7 @@ def concatenated_id(t):
 @query("SCA-09", "list_min_max", "select event_id, min(player_id) as low_player, max(player_id) as high_player, min(from_team) as low_team, max(from_team) as high_team from v_trade group by 1")
 def list_min_max(t):
     return event_rollup(t.trade).select(
-        "event_id", F.array_min("players").alias("low_player"), F.array_max("players").alias("high_player"),
+        "event_id", "low_player", "high_player",
         F.array_min("givers").alias("low_team"), F.array_max("givers").alias("high_team"))
 
 

@@ -387,10 +387,10 @@ def roster_snapshot_q(t):
     return B.roster_snapshot(roster, [bio, last, pay, awards]).na.fill(0, ["n_awards"])
 
 
-@query("SRC-28", "roster_per_team", "select team_id, count(*) as n_players, min(player_id) as first_player from (select distinct team_id, player_id from v_psr where season = 2000) group by 1")
+@query("SRC-28", "roster_per_team", "select team_id, player_id // 1024 as part, count(*) as n_players, min(player_id) as first_player from (select distinct team_id, player_id from v_psr where season = 2000) group by 1, 2")
 def roster_per_team(t):
     roster = t.psr.where("season = 2000").select("team_id", "player_id").distinct()
-    return B.per_team(roster, "team_id", ["player_id"]).select("team_id", "n_players", F.col("players")[0]["player_id"].alias("first_player"))
+    return B.per_team(roster, "team_id", "player_id").select("team_id", "part", "n_players", F.col("players")[0]["player_id"].alias("first_player"))
 
 
 _AFF = """pl as (select p_partkey as player_id, case when p_size % 6 = 0 then p_partkey % 25 when p_size % 6 = 1 then null else 100 + p_partkey % 60 end as cur, case when p_size % 3 = 0 then p_partkey % 30 end as org, 100 + (p_partkey * 7) % 60 as old, p_size % 2 = 0 as is_pitcher, p_retailprice / 97 as q from part),

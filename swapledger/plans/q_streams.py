@@ -26,21 +26,18 @@ def idempotent_ingest(t):
 @query("STR-02", "counter_across_batches", """
 select player_id, season, event_id, from_team, to_team, row_number() over (partition by player_id order by season, event_id, leg_index) - 1 as move_no from v_trade""")
 def counter_across_batches(t):
-    """Move counter of each player over one batch of files per season."""
-    root = scratch_dir(t.spark, "moves")
-    legs = t.numbered_trade.select("player_id", "season", "event_id", "leg_index", "from_team", "to_team")
-    legs = legs.withColumn("block", F.floor(F.col("event_id") / 65536))
-    schema = legs.schema
+    """Move counter of each player over one arrival of files per season."""
     from swapledger.operators.regress import materialise
 
-    stored = materialise(legs, "moves-all")
-    # Seasons are few; each becomes one file folder, older first.
-    for season in range(1995, 2002):
-        stored.where(F.col("season") == season).coalesce(1).write.mode("append").parquet(root)
+    root, checkpoint = scratch_dir(t.spark, "moves"), scratch_dir(t.spark, "number-checkpoint")
     target, counters = scratch_dir(t.spark, "numbered"), scratch_dir(t.spark, "counters")
-    J.number_across_batches(
-        J.file_stream(t.spark, root, schema, files_per_batch=1), "player_id", ["season", "block"],
-        ["season", "event_id", "leg_index"], target, counters, "move_no")
+    legs = t.numbered_trade.select("player_id", "season", "event_id", "leg_index", "from_team", "to_team")
+    stored = materialise(legs.withColumn("block", F.floor(F.col("event_id") / 1_000_000)), "moves-all")
+    for season in range(1995, 2002):  # one arrival per season, drained before the next
+        stored.where(F.col("season") == season).write.mode("append").parquet(root)
+        J.number_across_batches(
+            J.file_stream(t.spark, root, stored.schema), "player_id", ["season", "block"],
+            ["season", "event_id", "leg_index"], target, counters, "move_no", checkpoint)
     return t.spark.read.parquet(target).select("player_id", "season", "event_id", "from_team", "to_team", "move_no")
 
 

@@ -67,10 +67,10 @@ with {_PRICE}, a as (select event_id, to_team, avg(metric_a_t_plus_1 - metric_a_
 select event_id, to_team, season, round(da, 6) as metric_a_delta, round(db, 6) as metric_b_delta, surplus, round(ds, 4) as dollar_surplus, round(ds / pr, 6) as surplus_wins from z""")
 def outcome_matrix_q(t):
     base = t.ledger.withColumnRenamed("team_id", "to_team")
+    rates = A.mean_deltas(t.metric_window, {"metric_a": "metric_a_delta", "metric_b": "metric_b_delta"})
     m = O.outcome_matrix(
         base,
-        [A.mean_delta(t.metric_window, "metric_a", "metric_a_delta").drop("n_with_signal"),
-         A.mean_delta(t.metric_window, "metric_b", "metric_b_delta").drop("n_with_signal")],
+        [rates.select("event_id", "to_team", "metric_a_delta", "metric_b_delta")],
         prices(t).drop("empirical"), O.acquired_cost(t.trade, t.psr),
     )
     return m.select(
@@ -103,17 +103,20 @@ def controlled_surplus_q(t):
 
 
 @query("AGG-35", "ordered_names", """
-select event_id, to_team, string_agg(coalesce(p_name, '#' || cast(player_id as varchar)), ', ' order by leg_index) as names,
+select event_id, to_team, leg_index // 500 as part, string_agg(coalesce(p_name, '#' || cast(player_id as varchar)), ', ' order by leg_index) as names,
   string_agg(distinct cast(from_team as varchar), ',' order by cast(from_team as varchar)) as senders
-from v_trade left join part on p_partkey = player_id and p_size <= 25 group by 1, 2""")
+from v_trade left join part on p_partkey = player_id and p_size <= 25 group by 1, 2, 3""")
 def ordered_names(t):
+    """Names in leg order with a fallback label, in parts of 500 legs so that no list grows with an event."""
     names = t.base("part").where("p_size <= 25").select(F.col("p_partkey").alias("player_id"), "p_name")
-    j = t.trade.join(names, "player_id", "left").withColumn("label", F.coalesce("p_name", F.concat(F.lit("#"), F.col("player_id").cast("string"))))
+    j = t.numbered_trade.join(names, "player_id", "left").select(
+        "event_id", "to_team", "leg_index", F.floor(F.col("leg_index") / 500).alias("part"), F.col("from_team").cast("string").alias("sender"),
+        F.coalesce("p_name", F.concat(F.lit("#"), F.col("player_id").cast("string"))).alias("label"))
     j.createOrReplaceTempView("_ordered_names")
     return t.spark.sql("""
-        select event_id, to_team, listagg(label, ', ') within group (order by leg_order) as names,
-          listagg(distinct cast(from_team as string), ',') within group (order by cast(from_team as string)) as senders
-        from _ordered_names group by event_id, to_team""")
+        select event_id, to_team, part, listagg(label, ', ') within group (order by leg_index) as names,
+          listagg(distinct sender, ',') within group (order by sender) as senders
+        from _ordered_names group by event_id, to_team, part""")
 
 
 _CAREER = "career as (select player_id, sum(value) as career_value, min(season) as first_season from v_psv group by 1)"
@@ -215,7 +218,7 @@ def plays(t):
         .withColumn("p1", F.when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 1), F.col("event_id")))
         .withColumn("n_outs", (F.col("event_type") == "view").cast("int"))
     )
-    s = P.carry_state(log, "game_id", ["hour"], ["ts", "event_id"], "chg", "p0", "p1", "n_outs")
+    s = P.carry_state(log, "game_id", ["bucket"], ["ts", "event_id"], "chg", "p0", "p1", "n_outs")
     zero = F.lit(0)
     return s.where(~F.col("event_type").isin("error", "signup")).withColumn(
         "li", P.leverage_index(F.col("inning"), F.col("half"), F.col("outs_before"), zero, zero)

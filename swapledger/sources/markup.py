@@ -142,11 +142,9 @@ def ranking_rows(docs: DataFrame, text: str, keep: Sequence[str], year: str) ->
         .withColumn("source_id", F.regexp_extract(F.get("c", F.lit(2)), link, 2))
     )
     # Everything below is per document: first id, where it returns, first row of each id.
-    first = rows.groupBy(*keep).agg(F.min_by("source_id", "pos").alias("_first"))
-    ends = (
-        rows.join(first, list(keep)).where(F.col("source_id") == F.col("_first"))
-        .groupBy(*keep).agg(F.try_element_at(F.sort_array(F.collect_list("pos")), F.lit(2)).alias("_end"))
-    )
+    first = rows.groupBy(*keep).agg(F.min_by("source_id", "pos").alias("_first"), F.min("pos").alias("_at"))
+    back = (F.col("source_id") == F.col("_first")) & (F.col("pos") > F.col("_at"))
+    ends = rows.join(first, list(keep)).groupBy(*keep).agg(F.min(F.when(back, F.col("pos"))).alias("_end"))
     kept = rows.join(ends, list(keep)).where(F.col("_end").isNull() | (F.col("pos") < F.col("_end")))
     one = kept.groupBy(*keep, "source_id").agg(F.min_by(F.struct("c", "player_name", "_year"), "pos").alias("x"))
     c = lambda i: F.try_element_at("x.c", F.lit(i + 1))

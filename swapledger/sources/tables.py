@@ -25,6 +25,9 @@ class Tables:
     Catalyst prunes the columns a query does not use.
     """
 
+    #: Size the split scans aim at per bucket of an ordered log.
+    rows_per_bucket = 1_000_000
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
@@ -79,7 +82,7 @@ class Tables:
         from swapledger.sources.records import number_legs
 
         split = self.leg.withColumn("_line", F.col("leg_order.l_linenumber")).withColumn(
-            "_block", F.floor(F.col("player_id") / 4096)
+            "_block", F.floor(F.col("player_id") / 1_000_000)
         )
         return number_legs(split, "event_id", ["_line", "_block"], ["leg_order"]).drop("_line", "_block")
 
@@ -220,9 +223,10 @@ class Tables:
     @cached_property
     def log(self) -> DataFrame:
         """Play log without numbering: order is (ts, event_id) inside a game."""
-        return self.base("events").select(
-            F.col("user_id").alias("game_id"), "event_id", "ts", "event_type", "value"
-        ).withColumn("hour", F.date_trunc("hour", "ts"))
+        from swapledger.functions.scans import even_bucket
+
+        e = self.base("events").select(F.col("user_id").alias("game_id"), "event_id", "ts", "event_type", "value")
+        return e.withColumn("bucket", even_bucket(e, "ts", self.rows_per_bucket))
 
     # -- windows ----------------------------------------------------------
     @cached_property
@@ -232,6 +236,12 @@ class Tables:
 
         return offset_window(self.trade, self.psv, range(-1, 6), ["value"])
 
+    @cached_property
+    def history(self) -> DataFrame:
+        from swapledger.operators.offsets import player_history
+
+        return player_history(self.psr, SCALE)
+
     @cached_property
     def metric_window(self) -> DataFrame:
         from swapledger.operators.offsets import offset_window
@@ -240,7 +250,6 @@ class Tables:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        from swapledger.operators.legs import affiliated_events
-        from swapledger.operators.ledger import naive_ledger
+        from swapledger.operators.ledger import affiliated_rows, naive_ledger
 
-        return naive_ledger(self.trade, self.psv, self.pstv, affiliated_events(self.trade, 2, 22), years=3)
+        return affiliated_rows(naive_ledger(self.trade, self.history, years=3), 2, 22)

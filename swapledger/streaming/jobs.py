@@ -35,9 +35,12 @@ def event_time(df: DataFrame, column: str = "ts", delay: str = "1 hour") -> Data
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", purpose: str = "stream") -> None:
-    """Drain the stream through ``foreachBatch``."""
-    checkpoint = scratch_dir(stream.sparkSession, f"{purpose}-checkpoint")
+def run_batches(
+    stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", purpose: str = "stream",
+    checkpoint: str | None = None,
+) -> None:
+    """Drain what the stream has through ``foreachBatch``; a kept checkpoint continues later."""
+    checkpoint = checkpoint or scratch_dir(stream.sparkSession, f"{purpose}-checkpoint")
     q = (
         stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
@@ -66,7 +69,8 @@ def ingest_once(stream: DataFrame, keys: Sequence[str], target: str, order: Sequ
 
 
 def number_across_batches(
-    stream: DataFrame, key: str, bucket: Sequence[str], order: Sequence[str], target: str, counters: str, name: str = "leg_index"
+    stream: DataFrame, key: str, bucket: Sequence[str], order: Sequence[str], target: str, counters: str, name: str = "leg_index",
+    checkpoint: str | None = None,
 ) -> None:
     """0-based ordinal per key that continues from batch to batch.
 
@@ -90,7 +94,7 @@ def number_across_batches(
             seen = prior.unionByName(seen).groupBy(key).agg(F.sum("_seen").alias("_seen"))
         seen.write.mode("overwrite").parquet(f"{counters}/v={batch_id}")
 
-    run_batches(stream, each, purpose="number")
+    run_batches(stream, each, purpose="number", checkpoint=checkpoint)
 
 
 def latest_per_key(stream: DataFrame, key: str, order: Sequence[str], keep: Sequence[str], root: str) -> None:
