@@ -1,12 +1,14 @@
 """Ordered computations that stay split when one key holds much of the data.
 
-A plain ``Window.partitionBy(key)`` sorts a whole key in one task.  Every scan
-here cuts a key into *buckets* that are monotone in the ordering, scans inside
-(key, bucket), and carries a per-bucket summary across buckets.  The summary has
-one row per (key, bucket), so the second window is small whatever the data size.
+A plain ``Window.partitionBy(key)`` sorts a whole key in one task.  ``hot_keys``
+finds the keys with very many rows (a short list by construction) and
+``with_buckets`` cuts only those into buckets that are monotone in the ordering;
+every other key stays whole in bucket 0.  The scans then run inside (key, bucket)
+and carry a small per-bucket summary across the buckets of hot keys.
+
 Rows are repartitioned by (key, bucket) explicitly: a partitioning by the key alone
 would also satisfy the inner window, and a hot key would stay whole.  Keys and
-bucket columns must be non-NULL.
+positions must be non-NULL.
 """
 
 from __future__ import annotations
@@ -16,116 +18,95 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows beyond which a key is split.
+HOT_ROWS = 10_000_000
+#: Buckets per ``HOT_ROWS`` rows of a hot key.
+FAN = 8
+
 
-def _before(keys: Sequence[str], bucket: Sequence[str]):
+def hot_keys(df: DataFrame, key: str, position: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, their row count and position range.
+
+    At most total rows / ``hot_rows`` keys can qualify, which bounds the broadcast.
+    """
     return (
-        Window.partitionBy(*keys)
-        .orderBy(*bucket)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        df.groupBy(key)
+        .agg(F.count("*").alias("_hot_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
+        .where(F.col("_hot_n") > hot_rows)
     )
 
 
-def even_bucket(df: DataFrame, order: str, rows_per_bucket: int = 1_000_000) -> Column:
-    """Bucket of a numeric or time column, about ``rows_per_bucket`` rows each.
+def with_buckets(
+    df: DataFrame, hot: DataFrame, key: str, position: Column, name: str = "bucket", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add the bucket: 0 for ordinary keys, 1 and up along the position for hot ones."""
+    steps = F.ceil(F.col("_hot_n") / F.lit(float(hot_rows))) * FAN
+    span = (F.col("_hi") - F.col("_lo")).cast("double")
+    step = F.when(span > 0, F.floor((position - F.col("_lo")).cast("double") / span * steps)).otherwise(F.lit(0))
+    return (
+        df.join(F.broadcast(hot), key, "left")
+        .withColumn(name, F.when(F.col("_hot_n").isNull(), F.lit(0)).otherwise(step + 1).cast("long"))
+        .drop("_hot_n", "_lo", "_hi")
+    )
 
-    Equal steps over the column's range; the step comes from one aggregate over
-    that column, so small data has one bucket and large data many.
-    """
-    x = F.col(order).cast("timestamp").cast("double") if "timestamp" in dict(df.dtypes)[order] else F.col(order).cast("double")
-    span = df.agg(
-        F.struct(
-            F.min(x).alias("lo"), F.max(x).alias("hi"),
-            F.greatest(F.lit(1.0), F.ceil(F.count("*") / F.lit(float(rows_per_bucket))).cast("double")).alias("n"),
-        )
-    ).scalar()
-    step = F.greatest((span["hi"] - span["lo"]) / span["n"], F.lit(1e-9))
-    return F.floor((x - span["lo"]) / step).cast("long")
+
+def _before(keys: Sequence[str], bucket: str):
+    return Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def ordinal_within(
-    df: DataFrame,
-    keys: Sequence[str],
-    bucket: Sequence[str],
-    order: Sequence[Column | str],
-    name: str,
-    start: int = 1,
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str], name: str, start: int = 1
 ) -> DataFrame:
-    """``row_number`` per key, counted inside buckets and shifted by bucket totals."""
-    parts = [*keys, *bucket]
+    """``row_number`` per key: counted inside buckets, shifted by the earlier buckets of a hot key."""
+    parts = [*keys, bucket]
     shift = (
-        df.groupBy(*parts)
-        .agg(F.count("*").alias("_n"))
-        .select(
-            *parts,
-            F.coalesce(F.sum("_n").over(_before(keys, bucket)), F.lit(0)).alias("_shift"),
-        )
+        df.where(F.col(bucket) > 0).groupBy(*parts).agg(F.count("*").alias("_n"))
+        .select(*parts, F.sum("_n").over(_before(keys, bucket)).alias("_shift"))
+    )
+    local = df.repartition(*parts).withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
     )
-    spread = df.repartition(*parts)
-    local = spread.withColumn("_rn", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
-    return local.join(shift, parts).withColumn(
-        name, (F.col("_rn") + F.col("_shift") + F.lit(start - 1)).cast("long")
+    return local.join(shift, parts, "left").withColumn(
+        name, (F.col("_rn") + F.coalesce("_shift", F.lit(0)) + F.lit(start - 1)).cast("long")
     ).drop("_rn", "_shift")
 
 
 def running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    bucket: Sequence[str],
-    order: Sequence[Column | str],
-    values: dict[str, str],
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str], values: dict[str, str],
     inclusive: bool = True,
 ) -> DataFrame:
     """Running sums per key; ``values`` maps output name to input column."""
-    parts = [*keys, *bucket]
-    last = 0 if inclusive else -1
-    w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    totals = df.groupBy(*parts).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in values.items()])
-    shift = totals.select(
-        *parts,
-        *[
-            F.coalesce(F.sum(f"_t_{o}").over(_before(keys, bucket)), F.lit(0)).alias(f"_s_{o}")
-            for o in values
-        ],
-    )
+    parts = [*keys, bucket]
+    w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    totals = df.where(F.col(bucket) > 0).groupBy(*parts).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in values.items()])
+    shift = totals.select(*parts, *[F.sum(f"_t_{o}").over(_before(keys, bucket)).alias(f"_s_{o}") for o in values])
     local = df.repartition(*parts)
     for o, c in values.items():
         local = local.withColumn(f"_l_{o}", F.coalesce(F.sum(c).over(w), F.lit(0)))
-    out = local.join(shift, parts)
+    out = local.join(shift, parts, "left")
     for o in values:
-        out = out.withColumn(o, F.col(f"_l_{o}") + F.col(f"_s_{o}"))
+        out = out.withColumn(o, F.col(f"_l_{o}") + F.coalesce(F.col(f"_s_{o}"), F.lit(0)))
     return out.drop(*[f"_l_{o}" for o in values], *[f"_s_{o}" for o in values])
 
 
 def carry_last(
-    df: DataFrame,
-    keys: Sequence[str],
-    bucket: Sequence[str],
-    order: Sequence[str],
-    values: dict[str, str],
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], values: dict[str, str],
     inclusive: bool = True,
 ) -> DataFrame:
     """Last non-NULL value seen so far per key (``order`` holds plain column names)."""
-    parts = [*keys, *bucket]
-    last = 0 if inclusive else -1
-    w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    parts = [*keys, bucket]
+    w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     seq = F.struct(*order)
-    ends = df.groupBy(*parts).agg(
-        *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), seq)).alias(f"_e_{o}")
-            for o, c in values.items()
-        ]
+    ends = df.where(F.col(bucket) > 0).groupBy(*parts).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), seq)).alias(f"_e_{o}") for o, c in values.items()]
     )
     shift = ends.select(
-        *parts,
-        *[
-            F.last(f"_e_{o}", ignorenulls=True).over(_before(keys, bucket)).alias(f"_s_{o}")
-            for o in values
-        ],
+        *parts, *[F.last(f"_e_{o}", ignorenulls=True).over(_before(keys, bucket)).alias(f"_s_{o}") for o in values]
     )
     local = df.repartition(*parts)
     for o, c in values.items():
         local = local.withColumn(f"_l_{o}", F.last(c, ignorenulls=True).over(w))
-    out = local.join(shift, parts)
+    out = local.join(shift, parts, "left")
     for o in values:
         out = out.withColumn(o, F.coalesce(f"_l_{o}", f"_s_{o}"))
     return out.drop(*[f"_l_{o}" for o in values], *[f"_s_{o}" for o in values])
@@ -152,13 +133,14 @@ def exact_quantiles(
         base = base.withColumn("_all", F.lit(1))
         keys = ["_all"]
     spread = F.when(middle[2] > middle[0], middle[2] - middle[0]).otherwise(F.lit(1.0))
+    away = (F.col("_v").cast("double") - middle[1]) / spread
     bucketed = (
         base.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-        .withColumn("_b", F.floor(F.asinh((F.col("_v").cast("double") - middle[1]) / spread) * buckets).cast("int"))
+        .withColumn("_b", F.floor(F.signum(away) * F.log1p(F.abs(away)) * buckets).cast("int"))
     )
     per_bucket = bucketed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_nb"))
     placed = per_bucket.withColumn(
-        "_base", F.coalesce(F.sum("_nb").over(_before(keys, ["_b"])), F.lit(0))
+        "_base", F.coalesce(F.sum("_nb").over(_before(keys, "_b")), F.lit(0))
     ).withColumn("_total", F.sum("_nb").over(Window.partitionBy(*keys)))
     rank = {o: F.lit(p) * (F.col("_total") - 1) for o, p in probs.items()}
     wanted = F.lit(False)

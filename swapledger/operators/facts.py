@@ -13,16 +13,20 @@ def union_roles(batting: DataFrame, pitching: DataFrame) -> DataFrame:
     )
 
 
-def season_totals(roles: DataFrame, scale: int = 1000) -> DataFrame:
-    """One row per (player, season): value over roles, teams and stints."""
-    return roles.where(F.col("player_id").isNotNull()).groupBy("player_id", "season").agg(
-        (F.sum("value_amt").cast("double") / scale).alias("value")
+def season_totals(rows: DataFrame, scale: float = 1000, amount: str = "value_amt", unit: int = 1) -> DataFrame:
+    """One row per (player, season): value over roles, teams and stints.
+
+    ``amount`` is exact (decimal, or a long counting 1/``unit``), so the sum does not
+    depend on the order of rows.
+    """
+    return rows.where(F.col("player_id").isNotNull()).groupBy("player_id", "season").agg(
+        (F.sum(amount).cast("double") / unit / scale).alias("value")
     )
 
 
-def season_team_totals(roles: DataFrame, scale: int = 1000) -> DataFrame:
-    return roles.where(F.col("player_id").isNotNull()).groupBy("player_id", "season", "team_id").agg(
-        (F.sum("value_amt").cast("double") / scale).alias("value")
+def season_team_totals(rows: DataFrame, scale: float = 1000, amount: str = "value_amt", unit: int = 1) -> DataFrame:
+    return rows.where(F.col("player_id").isNotNull()).groupBy("player_id", "season", "team_id").agg(
+        (F.sum(amount).cast("double") / unit / scale).alias("value")
     )
 
 

@@ -53,27 +53,27 @@ def offset_window(
     )
 
 
-def player_history(roles: DataFrame, scale: float = 1000) -> DataFrame:
+def player_history(rows: DataFrame, scale: float = 1000, amount: str = "value_amt", unit: int = 1) -> DataFrame:
     """One row per player: season -> (value, team -> value), summed over roles and stints.
 
-    One entry per team-season of a career, so a row stays small; amounts are summed
-    as decimals and scaled once at the end.
+    One entry per team-season of a career, so a row stays small.  Exact amounts are
+    summed first and scaled once at the end.
     """
-    money = "decimal(38,4)"
-    per_team = roles.where(F.col("player_id").isNotNull()).groupBy("player_id", "season", "team_id").agg(
-        F.sum("value_amt").cast(money).alias("amt")
+    exact = F.sum(amount) if unit > 1 else F.sum(amount).cast("decimal(38,4)")
+    per_team = rows.where(F.col("player_id").isNotNull()).groupBy("player_id", "season", "team_id").agg(
+        exact.alias("amt")
+    )
+    kind = per_team.schema["amt"].dataType
+    value = lambda amt: amt.cast("double") / unit / scale
+    per_season = per_team.groupBy("player_id", "season").agg(
+        F.struct(
+            value(F.sum("amt").cast(kind)).alias("value"),
+            F.map_from_entries(F.collect_list(F.struct("team_id", value(F.col("amt"))))).alias("by_team"),
+        ).alias("x")
+    )
+    return per_season.groupBy("player_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("season", "x"))).alias("by_season")
     )
-    entries = per_team.groupBy("player_id").agg(F.collect_list(F.struct("season", "team_id", "amt")).alias("_e"))
-    value = lambda amt: amt.cast("double") / scale
-
-    def one(s):
-        mine = F.filter("_e", lambda e: e["season"] == s)
-        total = F.aggregate(mine, F.lit(0).cast(money), lambda acc, e: (acc + e["amt"]).cast(money))
-        teams = F.map_from_entries(F.transform(mine, lambda e: F.struct(e["team_id"], value(e["amt"]))))
-        return F.struct(s.alias("s"), F.struct(value(total).alias("value"), teams.alias("by_team")))
-
-    seasons = F.array_distinct(F.transform("_e", lambda e: e["season"]))
-    return entries.select("player_id", F.map_from_entries(F.transform(seasons, one)).alias("by_season"))
 
 
 def history_window(

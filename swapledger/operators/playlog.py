@@ -88,7 +88,7 @@ def play_class(code: Column) -> tuple[Column, Column, Column]:
 def carry_state(
     log: DataFrame,
     game: str,
-    bucket: Sequence[str],
+    bucket: str,
     order: Sequence[str],
     half_change: str,
     pitcher_0: str,

@@ -32,12 +32,12 @@ def counter_across_batches(t):
     root, checkpoint = scratch_dir(t.spark, "moves"), scratch_dir(t.spark, "number-checkpoint")
     target, counters = scratch_dir(t.spark, "numbered"), scratch_dir(t.spark, "counters")
     legs = t.numbered_trade.select("player_id", "season", "event_id", "leg_index", "from_team", "to_team")
-    stored = materialise(legs.withColumn("block", F.floor(F.col("event_id") / 1_000_000)), "moves-all")
+    stored = materialise(legs, "moves-all")
     for season in range(1995, 2002):  # one arrival per season, drained before the next
         stored.where(F.col("season") == season).write.mode("append").parquet(root)
         J.number_across_batches(
-            J.file_stream(t.spark, root, stored.schema), "player_id", ["season", "block"],
-            ["season", "event_id", "leg_index"], target, counters, "move_no", checkpoint)
+            J.file_stream(t.spark, root, stored.schema), "player_id",
+            F.col("season") * F.lit(1e12) + F.col("event_id"), ["season", "event_id", "leg_index"], target, counters, "move_no", checkpoint)
     return t.spark.read.parquet(target).select("player_id", "season", "event_id", "from_team", "to_team", "move_no")
 
 

@@ -218,7 +218,7 @@ def plays(t):
         .withColumn("p1", F.when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 1), F.col("event_id")))
         .withColumn("n_outs", (F.col("event_type") == "view").cast("int"))
     )
-    s = P.carry_state(log, "game_id", ["bucket"], ["ts", "event_id"], "chg", "p0", "p1", "n_outs")
+    s = P.carry_state(log, "game_id", "bucket", ["ts", "event_id"], "chg", "p0", "p1", "n_outs")
     zero = F.lit(0)
     return s.where(~F.col("event_type").isin("error", "signup")).withColumn(
         "li", P.leverage_index(F.col("inning"), F.col("half"), F.col("outs_before"), zero, zero)

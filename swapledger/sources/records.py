@@ -74,7 +74,7 @@ def flatten_staff(raw: DataFrame, team_id: Column, season: Column, source: str =
 
 
 def number_legs(
-    rows: DataFrame, event: str, bucket: Sequence[str], order: Sequence[str], name: str = "leg_index"
+    rows: DataFrame, event: str, bucket: str, order: Sequence[Column | str], name: str = "leg_index"
 ) -> DataFrame:
     """0-based ordinal of each row inside its event, in the given total order."""
     return ordinal_within(rows, [event], bucket, order, name, start=0)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swapledger.functions.scans import HOT_ROWS, hot_keys, with_buckets
+
 #: Columns that put the rows of one event into a total order.
 LINE_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
     "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
 ]
 
+#: Units per amount in ``Tables.amounts``.
+UNIT = 10_000
+
 #: Divisor that brings amounts to the size of the value thresholds.  A prime, so
 #: that no derived value sits exactly on a rounding tie.
 SCALE = 1009
@@ -25,8 +31,8 @@ class Tables:
     Catalyst prunes the columns a query does not use.
     """
 
-    #: Size the split scans aim at per bucket of an ordered log.
-    rows_per_bucket = 1_000_000
+    #: Rows beyond which the split scans cut a key.
+    hot_rows = HOT_ROWS
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -78,13 +84,16 @@ class Tables:
 
     @cached_property
     def numbered_leg(self) -> DataFrame:
-        """Legs with ``leg_index``, numbered by the split ordinal."""
+        """Legs with ``leg_index``; hot events are found from the narrow line columns alone."""
         from swapledger.sources.records import number_legs
 
-        split = self.leg.withColumn("_line", F.col("leg_order.l_linenumber")).withColumn(
-            "_block", F.floor(F.col("player_id") / 1_000_000)
+        place = lambda line, part: line * F.lit(1e11) + part
+        line = self.base("lineitem").select(F.col("l_orderkey").alias("event_id"), "l_linenumber", "l_partkey")
+        hot = hot_keys(line, "event_id", place(F.col("l_linenumber"), F.col("l_partkey")), self.hot_rows)
+        split = with_buckets(
+            self.leg, hot, "event_id", place(F.col("leg_order.l_linenumber"), F.col("player_id")), "bucket", self.hot_rows
         )
-        return number_legs(split, "event_id", ["_line", "_block"], ["leg_order"]).drop("_line", "_block")
+        return number_legs(split, "event_id", "bucket", [F.col(f"leg_order.{c}") for c in LINE_ORDER]).drop("bucket")
 
     @cached_property
     def trade(self) -> DataFrame:
@@ -100,27 +109,38 @@ class Tables:
 
     # -- facts ------------------------------------------------------------
     @cached_property
-    def psr(self) -> DataFrame:
-        """Player-season-team value by role."""
+    def amounts(self) -> DataFrame:
+        """Line rows as player-season-team amounts, in whole units of 1/10000 (exact sums in a long)."""
         line = self.base("lineitem")
-        supplier = self.base("supplier").select("s_suppkey", "s_nationkey")
-        value = F.col("l_extendedprice").cast("decimal(18,2)") * (
-            F.col("l_discount").cast("decimal(4,2)") - F.lit(0.05).cast("decimal(4,2)")
+        supplier = self.base("supplier").select("s_suppkey", F.col("s_nationkey").alias("team_id"))
+        whole = lambda c: F.rint(F.col(c) * 100).cast("long")
+        return line.join(supplier, line.l_suppkey == supplier.s_suppkey).select(
+            F.when(F.col("l_returnflag") == "R", "P").otherwise("B").alias("role"),
+            F.col("l_partkey").alias("player_id"),
+            F.year("l_shipdate").alias("season"),
+            "team_id",
+            (whole("l_extendedprice") * (whole("l_discount") - 5)).alias("units"),
+            whole("l_quantity").alias("quantity_units"),
+            F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice")).alias("salary"),
         )
+
+    @cached_property
+    def psr(self) -> DataFrame:
+        """Player-season-team value by role."""
         return (
-            line.join(supplier, line.l_suppkey == supplier.s_suppkey)
-            .groupBy(
-                F.when(F.col("l_returnflag") == "R", "P").otherwise("B").alias("role"),
-                F.col("l_partkey").alias("player_id"),
-                F.year("l_shipdate").alias("season"),
-                F.col("s_nationkey").alias("team_id"),
-            )
+            self.amounts.groupBy("role", "player_id", "season", "team_id")
             .agg(
-                F.sum(value).alias("value_amt"),
-                F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("volume"),
-                F.max(F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice"))).alias("salary"),
+                F.sum("units").alias("units"),
+                F.sum("quantity_units").alias("_q"),
+                F.max("salary").alias("salary"),
                 F.count("*").alias("games"),
             )
+            .select(
+                "role", "player_id", "season", "team_id", "units",
+                (F.col("units").cast("decimal(18,0)") * F.lit(Decimal("0.0001"))).alias("value_amt"),
+                (F.col("_q").cast("decimal(18,0)") * F.lit(Decimal("0.01"))).alias("volume"),
+                "salary", "games",
+            )
         )
 
     @cached_property
@@ -128,13 +148,13 @@ class Tables:
         """Player-season value over roles and teams (one row per player and season)."""
         from swapledger.operators.facts import season_totals
 
-        return season_totals(self.psr, SCALE)
+        return season_totals(self.amounts, SCALE, "units", UNIT)
 
     @cached_property
     def pstv(self) -> DataFrame:
         from swapledger.operators.facts import season_team_totals
 
-        return season_team_totals(self.psr, SCALE)
+        return season_team_totals(self.amounts, SCALE, "units", UNIT)
 
     @cached_property
     def metric(self) -> DataFrame:
@@ -223,10 +243,9 @@ class Tables:
     @cached_property
     def log(self) -> DataFrame:
         """Play log without numbering: order is (ts, event_id) inside a game."""
-        from swapledger.functions.scans import even_bucket
-
         e = self.base("events").select(F.col("user_id").alias("game_id"), "event_id", "ts", "event_type", "value")
-        return e.withColumn("bucket", even_bucket(e, "ts", self.rows_per_bucket))
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        return with_buckets(e, hot_keys(e, "game_id", at, self.hot_rows), "game_id", at, "bucket", self.hot_rows)
 
     # -- windows ----------------------------------------------------------
     @cached_property
@@ -240,7 +259,7 @@ class Tables:
     def history(self) -> DataFrame:
         from swapledger.operators.offsets import player_history
 
-        return player_history(self.psr, SCALE)
+        return player_history(self.amounts, SCALE, "units", UNIT)
 
     @cached_property
     def metric_window(self) -> DataFrame:

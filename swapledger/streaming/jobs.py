@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swapledger.functions.scans import ordinal_within
+from swapledger.functions.scans import hot_keys, ordinal_within, with_buckets
 from swapledger.session import scratch_dir
 from swapledger.sources import writers as W
 
@@ -69,7 +69,7 @@ def ingest_once(stream: DataFrame, keys: Sequence[str], target: str, order: Sequ
 
 
 def number_across_batches(
-    stream: DataFrame, key: str, bucket: Sequence[str], order: Sequence[str], target: str, counters: str, name: str = "leg_index",
+    stream: DataFrame, key: str, position: Column, order: Sequence[str], target: str, counters: str, name: str = "leg_index",
     checkpoint: str | None = None,
 ) -> None:
     """0-based ordinal per key that continues from batch to batch.
@@ -82,7 +82,8 @@ def number_across_batches(
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         prior = W.read_or_none(spark, f"{counters}/v={batch_id - 1}") if batch_id else None
-        local = ordinal_within(batch, [key], bucket, order, "_o", start=0)
+        split = with_buckets(batch, hot_keys(batch, key, position), key, position, "_bucket")
+        local = ordinal_within(split, [key], "_bucket", order, "_o", start=0).drop("_bucket")
         if prior is not None:
             local = local.join(prior, key, "left")
         else:
