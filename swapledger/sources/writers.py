@@ -1,6 +1,6 @@
 """Table writes: insert-if-absent, replace-on-key, slices, snapshots, documents.
 
-Targets are parquet folders.  Versions are whole snapshots under ``v=<n>``: a
+Targets are parquet folders.  Versions are whole snapshots under ``snapshot=<n>``: a
 reader takes the newest complete one, so a failed write never damages a table.
 """
 
@@ -63,12 +63,12 @@ def current(spark: SparkSession, root: str) -> tuple[DataFrame | None, int]:
     versions = read_or_none(spark, root)
     if versions is None:
         return None, 0
-    newest = versions.agg(F.max("v")).first()[0]
-    return (versions.where(F.col("v") == newest).drop("v"), newest) if newest else (None, 0)
+    newest = versions.agg(F.max("snapshot")).first()[0]
+    return (versions.where(F.col("snapshot") == newest).drop("snapshot"), newest) if newest else (None, 0)
 
 
 def write_snapshot(df: DataFrame, root: str, version: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/v={version}")
+    df.write.mode("overwrite").parquet(f"{root}/snapshot={version}")
 
 
 def upsert_snapshot(spark: SparkSession, root: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> None:

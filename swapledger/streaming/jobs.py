@@ -81,7 +81,7 @@ def number_across_batches(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prior = W.read_or_none(spark, f"{counters}/v={batch_id - 1}") if batch_id else None
+        prior = W.read_or_none(spark, f"{counters}/snapshot={batch_id - 1}") if batch_id else None
         split = with_buckets(batch, hot_keys(batch, key, position), key, position, "_bucket")
         local = ordinal_within(split, [key], "_bucket", order, "_o", start=0).drop("_bucket")
         if prior is not None:
@@ -93,7 +93,7 @@ def number_across_batches(
         seen = batch.groupBy(key).agg(F.count("*").alias("_seen"))
         if prior is not None:
             seen = prior.unionByName(seen).groupBy(key).agg(F.sum("_seen").alias("_seen"))
-        seen.write.mode("overwrite").parquet(f"{counters}/v={batch_id}")
+        seen.write.mode("overwrite").parquet(f"{counters}/snapshot={batch_id}")
 
     run_batches(stream, each, purpose="number", checkpoint=checkpoint)
 
@@ -104,7 +104,7 @@ def latest_per_key(stream: DataFrame, key: str, order: Sequence[str], keep: Sequ
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = W.read_or_none(spark, f"{root}/v={batch_id}") if batch_id else None
+        target = W.read_or_none(spark, f"{root}/snapshot={batch_id}") if batch_id else None
         W.write_snapshot(W.replace_on_key(target, batch, [key], order), root, batch_id + 1)
 
     run_batches(newest, each, mode="update", purpose="latest")
