@@ -9,6 +9,7 @@ from swapledger.operators import teams as T
 from swapledger.operators.facts import rate_per_600, season_team_totals, season_totals, union_roles
 from swapledger.operators.ledger import moved_names
 from swapledger.operators.legs import event_players, event_rollup, origin_team
+from swapledger.operators.regress import materialise
 from swapledger.operators.summaries import distribution, drop_off, sem, significance
 from swapledger.plans.registry import query
 from swapledger.sources.tables import SCALE
@@ -309,7 +310,8 @@ def moved_names_q(t):
 select season, count(*) as n, round(avg(surplus), 3) as mean, round(median(surplus), 3) as median, min(surplus) as lowest, max(surplus) as highest
 from v_ledger group by 1""")
 def surplus_by_season(t):
-    return distribution(t.ledger, ["season"], "surplus").select(
+    """The ledger is read several times (moments, quantile passes), so it is written once."""
+    return distribution(materialise(t.ledger.select("season", "surplus"), "surpluses"), ["season"], "surplus").select(
         "season", "n", F.round("mean", 3).alias("mean"), F.round("median", 3).alias("median"), "lowest", "highest"
     )
 

@@ -289,6 +289,7 @@ def interval_verdicts(t):
 
     half = (F.lit(0.8) + F.col("n_received") * 0.3) * 1.2816
     x = t.ledger.select("event_id", "team_id", F.col("surplus").alias("m"), (F.col("surplus") - half).alias("p10"), (F.col("surplus") + half).alias("p90"))
+    x = materialise(x, "intervals")
     counts = x.agg(F.struct(F.count_if(F.col("p10") > 0).alias("w"), F.count_if(F.col("p90") < 0).alias("l"))).scalar()
     med = exact_quantiles(x, [], "m", {"q": 0.5}).select("q").scalar()
     return (

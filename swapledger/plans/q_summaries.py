@@ -11,6 +11,7 @@ from swapledger.operators import playlog as P
 from swapledger.operators import summaries as S
 from swapledger.operators import teams as T
 from swapledger.operators.regimes import regime_legs
+from swapledger.operators.regress import materialise
 from swapledger.plans.q_aggregates import _COST, _DELTA, cost_by_team, deltas, rounded
 from swapledger.plans.registry import query
 from swapledger.sources.tables import SCALE
@@ -189,7 +190,7 @@ def rlegs(t):
 with {_RLEGS} select regime_id, count(*) as n, round(avg(delta), 6) as mean, round(median(delta), 6) as median, round(stddev_samp(delta), 6) as sd,
   round(min(delta), 6) as lowest, round(max(delta), 6) as highest from rl group by 1""")
 def regime_summary(t):
-    return rounded(S.distribution(rlegs(t), ["regime_id"], "delta"), "mean", "median", "sd", "lowest", "highest")
+    return rounded(S.distribution(materialise(rlegs(t).select("regime_id", "delta"), "regime-legs"), ["regime_id"], "delta"), "mean", "median", "sd", "lowest", "highest")
 
 
 @query("AGG-40", "trimmed_mean", f"""
@@ -411,7 +412,7 @@ def rate_baseline(t):
     from swapledger.operators.windows import both_sides
 
     net = both_sides(t.metric_window.withColumn("d", F.col("metric_a_t_plus_1") - F.col("metric_a_t_minus_1")), "d")
-    return rounded(S.distribution(net, ["season"], "net"), "mean", "median", "sd", "lowest", "highest")
+    return rounded(S.distribution(materialise(net.select("season", "net"), "rate-net"), ["season"], "net"), "mean", "median", "sd", "lowest", "highest")
 
 
 _PLACE = f"""{_DELTA}, f as (select player_id, arg_min(team_id, season * 1000 + team_id) as team from v_psr group by 1), {_CAREER},
