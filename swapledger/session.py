@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -36,18 +37,56 @@ def local_session(name: str = "swapledger", cores: int | str = 8, partitions: in
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for written intermediates and stream checkpoints.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that ``spark.checkpoint.dir`` names, if it is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or None
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once, so that their Python can import it from anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_swapledger_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    # The driver serves this file to executors as long as the application lives.
+    path = os.path.join(tempfile.mkdtemp(prefix="swapledger-package-"), "swapledger.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    out.write(full, os.path.join("swapledger", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._swapledger_shipped = True
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only when that
-    is unset (tests on one machine) a temporary folder is made.
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Ready a session: package on the workers, and a scratch folder where one machine runs alone.
+
+    A session in local mode without ``spark.checkpoint.dir`` gets a temporary folder; on a
+    cluster the setting must name a folder that the driver and all executors share.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    ship_package(spark)
+    if not shared_folder(spark) and spark.sparkContext.master.split("[")[0] == "local":
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="swapledger-"))
+    return spark
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder for written intermediates and stream checkpoints, under the shared one."""
+    root = shared_folder(spark)
     if not root:
-        root = tempfile.mkdtemp(prefix="swapledger-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> bool:
+    """Remove a folder under the shared one, once nothing reads it any more."""
+    root = shared_folder(spark)
+    if not root or not path.startswith(root.rstrip("/") + "/"):
+        raise ValueError(f"not a scratch folder: {path}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
