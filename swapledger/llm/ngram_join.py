@@ -198,8 +198,9 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
         "forest-clusters",
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    # Members grow with the corpus: the texts meet them by sort-merge at every size.
     cells = (
-        given.withColumn("low_id", F.coalesce("doc_id", F.lit(_NO_ID))).join(placed, "low_id")
+        given.withColumn("low_id", F.coalesce("doc_id", F.lit(_NO_ID))).join(placed.hint("merge"), "low_id")
         .select("text", "text_key", "copies", "cluster", "part", other.alias("other"))
         .select("text", "text_key", "copies", "cluster", "part", F.least("part", "other").alias("low"),
                 F.greatest("part", "other").alias("high"))
@@ -245,6 +246,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
         F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id_key"), F.col("text_hash").alias("_hash"))).alias("first")
     ).select("first.*")
     same = Window.partitionBy("_id_key", "_hash").orderBy("_hash")
-    kept = keyed.join(first, ["_id_key", "_hash"]).withColumn("_rank", F.row_number().over(same)).where("_rank = 1")
+    kept = keyed.join(first.hint("merge"), ["_id_key", "_hash"]).withColumn("_rank", F.row_number().over(same)).where("_rank = 1")
     wordless = docs.where(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\t-\\r ]+", "") == "")
     return kept.select(*docs.columns).unionByName(wordless)
