@@ -100,18 +100,20 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     The edited text keeps the first half and takes as many characters from the start of
     the next document as it loses.
     """
+    given = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.coalesce(F.col(text), F.lit("")).alias(text))
+    pairs = following(given, doc_id, text)
     key = F.struct(F.col(doc_id).isNull().alias("n"), F.coalesce(F.col(doc_id), F.lit(0)).alias("i"), F.xxhash64(text).alias("h"))
-    rows = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("key", key)
-    pairs = following(docs.select(F.col(doc_id).cast("long").alias(doc_id), F.coalesce(F.col(text), F.lit("")).alias(text)), doc_id, text)
+    # Both joins below read this by its key: one exchange of the texts serves the two.
+    rows = given.select(key.alias("key"), text)
     # The text of each row, beside the key of the row before it.
     afterwards = (
-        rows.select("key", F.col(text).alias("_next")).join(pairs.select(F.col("key").alias("_before"), F.col("next").alias("key")), "key")
-        .drop("key").withColumnRenamed("_before", "key").dropDuplicates(["key"])
+        rows.join(pairs.select(F.col("key").alias("_before"), F.col("next").alias("key")).hint("merge"), "key")
+        .select(F.col("_before").alias("key"), F.col(text).alias("_next")).dropDuplicates(["key"])
     )
     n = F.char_length(text)
     half = F.floor(n / 2).cast("int")
-    joined = rows.join(afterwards, "key").select(
-        doc_id, text, "_next", n.cast("long").alias("n_chars"),
+    joined = rows.join(afterwards.hint("merge"), "key").select(
+        F.when(~F.col("key.n"), F.col("key.i")).alias(doc_id), text, "_next", n.cast("long").alias("n_chars"),
         F.concat(F.substring(F.col(text), F.lit(1), n - half), F.substring(F.col("_next"), F.lit(1), half)).alias("_edited"),
     )
     worded = with_words(with_words(with_words(joined, text, "_w"), "_edited", "_we"), "_next", "_wn")
