@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -86,9 +87,17 @@ def completed_years(birth: Column, on: Column) -> Column:
 
 # -- names -------------------------------------------------------------------
 
-# Accented Latin letters and the plain letters they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝčćěğńňřšśťůźžČĆĚĞŃŇŘŠŚŤŮŹŽ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYccegnnrsstuzzCCEGNNRSSTUZZ"
+def _folds() -> tuple[str, str]:
+    """Accented letters of the Latin blocks and the plain letters that they decompose to."""
+    pairs = []
+    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1 and plain.isalpha():
+            pairs.append((chr(code), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _folds()
 
 
 def name_key(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swapledger.operators.legs import numbered_parts
+
 # Name of each level code.
 LEVEL_NAME = {11: "AAA", 12: "AA", 13: "A+", 14: "A", 16: "R"}
 
@@ -17,10 +19,10 @@ def roster_snapshot(roster: DataFrame, sides: list[DataFrame], key: str = "playe
     return out
 
 
-def per_team(rows: DataFrame, team: str, key: str, block: int = 1024) -> DataFrame:
-    """Roster rows as sorted lists per team, one list per block of player ids."""
+def per_team(rows: DataFrame, team: str, key: str, size: int = 10_000) -> DataFrame:
+    """Roster rows (one per team and player) as sorted lists per team of at most ``size`` players."""
     rest = [c for c in rows.columns if c not in (team, key)]
-    return rows.groupBy(team, F.floor(F.col(key) / block).alias("part")).agg(
+    return numbered_parts(rows, team, key, size).groupBy(team, "part").agg(
         F.count("*").alias("n_players"), F.sort_array(F.collect_list(F.struct(key, *rest))).alias("players")
     )
 

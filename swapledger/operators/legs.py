@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swapledger.functions.scans import hot_keys, ordinal_within, with_buckets
+
 
 def trade_legs(legs: DataFrame, type_code: str) -> DataFrame:
     """Legs of one movement type with player and both teams known."""
@@ -35,6 +37,17 @@ def unified_legs(legs: DataFrame, teams: DataFrame) -> DataFrame:
     )
 
 
+def numbered_parts(rows: DataFrame, key: str, member: str, size: int) -> DataFrame:
+    """``rows`` with ``part``: ordinal of ``member`` inside its key, cut into parts of ``size``.
+
+    Pairs of key and member are distinct; hot keys are numbered in buckets.
+    """
+    position = F.col(member)
+    cut = with_buckets(rows, hot_keys(rows, key, position), key, position, "_bucket")
+    numbered = ordinal_within(cut, [key], "_bucket", [member], "_n", start=0)
+    return numbered.withColumn("part", F.floor(F.col("_n") / size)).drop("_n", "_bucket")
+
+
 def event_rollup(legs: DataFrame) -> DataFrame:
     """One row per event: legs, players, givers and receivers, description of the first leg.
 
@@ -53,15 +66,14 @@ def event_rollup(legs: DataFrame) -> DataFrame:
     )
 
 
-def event_players(legs: DataFrame, block: int = 4096) -> DataFrame:
-    """Distinct players of each event as sorted lists, one list per block of ids.
+def event_players(legs: DataFrame, size: int = 10_000) -> DataFrame:
+    """Distinct players of each event as sorted lists of at most ``size`` ids.
 
-    A list holds at most ``block`` ids, so an event of any size fits; the lists of
-    an event in order of ``part`` are its whole sorted list.
+    Parts are cut by the player's ordinal inside the event, so an event of up to ``size``
+    players is one list, however far apart the ids lie; a larger one is the parts in order.
     """
-    return legs.groupBy("event_id", F.floor(F.col("player_id") / block).alias("part")).agg(
-        F.sort_array(F.collect_set("player_id")).alias("players")
-    )
+    players = numbered_parts(legs.select("event_id", "player_id").distinct(), "event_id", "player_id", size)
+    return players.groupBy("event_id", "part").agg(F.sort_array(F.collect_list("player_id")).alias("players"))
 
 
 def affiliated_from_rollup(events: DataFrame, low: int, high: int) -> DataFrame:

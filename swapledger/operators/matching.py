@@ -49,21 +49,22 @@ def comparables(players: DataFrame, focus: DataFrame, k: int = 8, max_age_gap: i
 
     ``focus`` is the (small) set of players asked about; candidates share role and
     position group and lie within the age gap.  Work grows with players times the
-    focus players of their block, never with pairs of players.  Columns: player_id,
+    focus players of their block, never with pairs of players.  An unknown age or value
+    counts as no difference.  Columns: player_id,
     role, grp, age, value, fp (array of double).
     """
     f = focus.select(
         F.col("player_id").alias("focus_id"), "role", "grp", F.col("age").alias("_age"),
         F.col("value").alias("_value"), F.col("fp").alias("_fp"),
     )
+    gap = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)), F.lit(0))
     pairs = players.join(f, ["role", "grp"]).where(
-        (F.col("player_id") != F.col("focus_id")) & (F.abs(F.col("age") - F.col("_age")) <= max_age_gap)
+        (F.col("player_id") != F.col("focus_id")) & (gap("age", "_age") <= max_age_gap)
     )
     d = rms_distance(F.col("_fp"), F.col("fp"))
     scored = pairs.select(
         "focus_id", "player_id", d.alias("distance"),
-        F.abs(F.col("age") - F.col("_age")).alias("age_delta"),
-        F.abs(F.col("value") - F.col("_value")).alias("value_delta"),
+        gap("age", "_age").alias("age_delta"), gap("value", "_value").alias("value_delta"),
     ).withColumn(
         "score",
         clamp(100.0 - (F.col("distance") + F.col("age_delta") * 2.5 + F.col("value_delta") * 1.5) * 1.8, 0, 100),

@@ -170,10 +170,12 @@ def holes_of_position(position: Column) -> Column:
 
 
 def buy_low(players: DataFrame, board: DataFrame, index: DataFrame, k: int = 12, at_least: float = 0.3) -> DataFrame:
-    """Controlled players of teams that do not buy, where they fill a hole and are spare.
+    """Controlled players of teams that do not buy, whom the team can spare and others need.
 
-    ``players``: player_id, team_id, position, salary_class, last_value, surplus.  A
-    player meets each needy team at most once; teams and positions are fixed in number.
+    ``players``: player_id, team_id, position, salary_class, last_value, surplus.  A team
+    can spare a player when it has a surplus at any position the player fits; the needy
+    team's holes that the player fits are all counted, wherever the surplus lies.  Teams
+    and positions are fixed in number.
     """
     from swapledger.operators.matching import first_matches
 
@@ -183,8 +185,9 @@ def buy_low(players: DataFrame, board: DataFrame, index: DataFrame, k: int = 12,
         players.where((F.col("salary_class") != "fa") & (F.col("last_value") > 0) & (F.col("surplus") >= at_least))
         .join(sellers, "team_id", "left_semi")
         .withColumn("hole", F.explode(holes_of_position(F.col("position"))))
-        .join(spare, ["team_id", "hole"], "left_semi")
     )
+    spared = candidates.join(spare, ["team_id", "hole"], "left_semi").select("player_id", "team_id").distinct()
+    candidates = candidates.join(spared, ["player_id", "team_id"], "left_semi")
     needs = board.where("kind = 'hole'").select(F.col("team_id").alias("needy"), F.col("position").alias("hole"))
     matched = (
         candidates.join(needs, "hole")

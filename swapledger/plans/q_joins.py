@@ -411,13 +411,13 @@ def undrafted_players(t):
 
 
 @query("JOI-22", "comparables", """
-with pl as (select e.vec_id as player_id, p.p_type as role, e.label as grp, p.p_size as age, p.p_retailprice / 100 as value,
+with pl as (select e.vec_id as player_id, p.p_type as role, e.label as grp, case when p.p_partkey % 11 > 0 then p.p_size end as age, case when p.p_partkey % 13 > 0 then p.p_retailprice / 100 end as value,
     [case when abs(x) < 0.02 then null else 50 + 100 * cast(x as double) end for x in e.embedding[1:11]] as fp
   from embeddings e join part p on p.p_partkey = e.vec_id),
-  f as (select role, grp, arg_max(player_id, value * 1e9 - player_id) as focus_id from pl group by 1, 2),
-  pairs as (select a.player_id as focus_id, b.player_id, abs(a.age - b.age) as age_delta, abs(a.value - b.value) as value_delta,
+  f as (select role, grp, arg_max(player_id, value * 1e9 - player_id) as focus_id from pl where value is not null group by 1, 2),
+  pairs as (select a.player_id as focus_id, b.player_id, coalesce(abs(a.age - b.age), 0) as age_delta, coalesce(abs(a.value - b.value), 0) as value_delta,
       sqrt((select avg(power(coalesce(a.fp[i], 50) - coalesce(b.fp[i], 50), 2)) from range(1, 12) r(i))) as distance
-    from f join pl a on a.player_id = f.focus_id join pl b on b.role = a.role and b.grp = a.grp and b.player_id <> a.player_id and abs(a.age - b.age) <= 3),
+    from f join pl a on a.player_id = f.focus_id join pl b on b.role = a.role and b.grp = a.grp and b.player_id <> a.player_id and coalesce(abs(a.age - b.age), 0) <= 3),
   s as (select *, round(greatest(0, least(100, 100 - (distance + 2.5 * age_delta + 1.5 * value_delta) * 1.8)), 6) as score from pairs)
 select focus_id, player_id, round(distance, 6) as distance, age_delta, score, rank from (
   select *, row_number() over (partition by focus_id order by score desc, player_id) as rank from s) where rank <= 8""")
@@ -430,9 +430,9 @@ def comparables_q(t):
     )
     players = e.join(p, F.col("vec_id") == F.col("p_partkey")).select(
         F.col("vec_id").alias("player_id"), F.col("p_type").alias("role"), F.col("label").alias("grp"),
-        F.col("p_size").alias("age"), (F.col("p_retailprice") / 100).alias("value"), fp.alias("fp"),
+        F.when(F.col("p_partkey") % 11 > 0, F.col("p_size")).alias("age"), F.when(F.col("p_partkey") % 13 > 0, F.col("p_retailprice") / 100).alias("value"), fp.alias("fp"),
     )
-    lead = players.groupBy("role", "grp").agg(
+    lead = players.where(F.col("value").isNotNull()).groupBy("role", "grp").agg(
         F.max_by(F.struct("player_id", "age", "value", "fp"), F.struct("value", -F.col("player_id"))).alias("x")
     ).select("role", "grp", "x.*")
     return comparables(players, lead).select(

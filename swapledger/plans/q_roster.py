@@ -320,9 +320,10 @@ _ACC = " or ".join(f"(hole = '{h}' and position in ({', '.join(repr(x) for x in
 
 @query("JOI-24", "buy_low", f"""
 with {_ARB}, {_BOARD}, c as (select player_id, team_id, position, last_value, g1 + case when least(3, greatest(1, yc)) > 1 then g2 else 0 end + case when least(3, greatest(1, yc)) > 2 then g3 else 0 end as surplus from a8 where cls <> 'fa'),
-  k as (select c.*, b.position as hole from c join board b on b.team_id = c.team_id and b.kind = 'surplus' where c.last_value > 0 and c.surplus >= 0.3 and c.team_id in (select team_id from idx where posture <> 'buy')),
-  k2 as (select * from k where {_ACC}),
-  m as (select h.team_id as needy, k2.player_id, k2.team_id, k2.surplus, count(*) as n_holes from k2 join board h on h.kind = 'hole' and h.position = k2.hole and h.team_id <> k2.team_id group by 1, 2, 3, 4)
+  k as (select * from c where last_value > 0 and surplus >= 0.3 and team_id in (select team_id from idx where posture <> 'buy')),
+  s as (select distinct k.player_id, k.team_id from k join (select team_id as seller, position as hole from board where kind = 'surplus') b on b.seller = k.team_id where {_ACC}),
+  m as (select needy, k.player_id, k.team_id, k.surplus, count(*) as n_holes from k join s on s.player_id = k.player_id and s.team_id = k.team_id
+    join (select team_id as needy, position as hole from board where kind = 'hole') h on h.needy <> k.team_id where {_ACC} group by 1, 2, 3, 4)
 select needy, player_id, team_id, round(surplus, 6) as surplus, n_holes, rank from (select *, row_number() over (partition by needy order by round(surplus, 6) desc, player_id) as rank from m) where rank <= 12""")
 def buy_low_q(t):
     p = with_surplus(t).select("player_id", "team_id", "position", "salary_class", "last_value", F.col("control_surplus").alias("surplus"))

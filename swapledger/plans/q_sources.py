@@ -93,12 +93,12 @@ def trade_text(t):
 
 @query("SRC-05", "game_text", """
 select cast(o_orderdate as date) as game_date, 'G' || cast(o_orderkey as varchar) as game_number, cast(year(o_orderdate) as int) as season, cast(o_custkey % 12 as bigint) as visitor_score, case when o_orderkey % 9 > 0 then cast(o_orderkey % 11 as bigint) end as home_score,
-  case when o_custkey % 3 > 0 then 'PRK' || cast(o_custkey % 5 as varchar) end as park_id, cast(o_custkey % 20 as int) as visitor_team, cast(o_orderkey % 20 as int) as home_team
-from orders where o_custkey % 25 < 20 and o_orderkey % 25 < 20 and o_custkey % 25 = o_custkey % 20 and o_orderkey % 25 = o_orderkey % 20""")
+  case when o_custkey % 3 > 0 then 'PRK' || cast(o_custkey % 5 as varchar) end as park_id, cast(o_custkey % 25 as int) as visitor_team, cast(o_orderkey % 25 as int) as home_team
+from orders where o_custkey % 25 < 20 and o_orderkey % 25 < 20""")
 def game_text(t):
     """Codes 0..19 are known; other teams' games drop out."""
     q = lambda c: F.concat(lit('"'), c, lit('"'))
-    o = t.base("orders").where("o_custkey % 25 >= 20 or o_orderkey % 25 >= 20 or (o_custkey % 25 = o_custkey % 20 and o_orderkey % 25 = o_orderkey % 20)")
+    o = t.base("orders")
     line = F.concat_ws(
         ",", q(F.date_format("o_orderdate", "yyyyMMdd")), q(F.concat(lit("G"), text("o_orderkey"))), lit('"Mon"'), q(text(F.col("o_custkey") % 25)), lit('"NL"'), lit("7"),
         q(text(F.col("o_orderkey") % 25)), lit('"NL"'), lit("8"), text(F.col("o_custkey") % 12), F.when(F.col("o_orderkey") % 9 > 0, text(F.col("o_orderkey") % 11)).otherwise(""), lit("54"), lit('"D"'),
@@ -387,10 +387,10 @@ def roster_snapshot_q(t):
     return B.roster_snapshot(roster, [bio, last, pay, awards]).na.fill(0, ["n_awards"])
 
 
-@query("SRC-28", "roster_per_team", "select team_id, player_id // 1024 as part, count(*) as n_players, min(player_id) as first_player from (select distinct team_id, player_id from v_psr where season = 2000) group by 1, 2")
+@query("SRC-28", "roster_per_team", "select team_id, (n - 1) // 100 as part, count(*) as n_players, min(player_id) as first_player from (select *, row_number() over (partition by team_id order by player_id) as n from (select distinct team_id, player_id from v_psr where season = 2000)) group by 1, 2")
 def roster_per_team(t):
     roster = t.psr.where("season = 2000").select("team_id", "player_id").distinct()
-    return B.per_team(roster, "team_id", "player_id").select("team_id", "part", "n_players", F.col("players")[0]["player_id"].alias("first_player"))
+    return B.per_team(roster, "team_id", "player_id", 100).select("team_id", "part", "n_players", F.col("players")[0]["player_id"].alias("first_player"))
 
 
 _AFF = """pl as (select p_partkey as player_id, case when p_size % 6 = 0 then p_partkey % 25 when p_size % 6 = 1 then null else 100 + p_partkey % 60 end as cur, case when p_size % 3 = 0 then p_partkey % 30 end as org, 100 + (p_partkey * 7) % 60 as old, p_size % 2 = 0 as is_pitcher, p_retailprice / 97 as q from part),

@@ -303,13 +303,11 @@ def model_grid(t):
 
 
 @query("STA-18", "mass_matrix", f"""
-with {_SUMM} select feature, round(max(case when fold = 1 then mass end), 6) as fold_1, round(max(case when fold = 2 then mass end), 6) as fold_2, round(max(case when fold = 3 then mass end), 6) as fold_3,
-  count(*) filter (where (p05 > 0 or p95 < 0) and mass >= 0.95) as n_credible from sm group by 1""")
+with {_SUMM} select feature, fold, round(mass, 6) as mass, count(*) filter (where (p05 > 0 or p95 < 0) and mass >= 0.95) over (partition by feature) as n_credible from sm""")
 def mass_matrix(t):
     s = G.coefficient_summary(G.coefficients(single_fits(t), ["fold"]).where("feature <> 'intercept'").withColumn("feature", F.col("spec")))
-    wide = s.groupBy("feature").pivot("fold", [1, 2, 3]).agg(F.first("mass")).toDF("feature", "fold_1", "fold_2", "fold_3")
     cred = s.groupBy("feature").agg(F.count_if("credible").alias("n_credible"))
-    return rounded(wide.join(cred, "feature"), "fold_1", "fold_2", "fold_3")
+    return rounded(s.select("feature", "fold", "mass").join(cred, "feature"), "mass")
 
 
 @query("STA-19", "head_to_head", f"""

@@ -104,20 +104,19 @@ def controlled_surplus_q(t):
 
 
 @query("AGG-35", "ordered_names", """
-select event_id, to_team, leg_index // 500 as part, string_agg(coalesce(p_name, '#' || cast(player_id as varchar)), ', ' order by leg_index) as names,
+select event_id, to_team, leg_index // 2 as part, string_agg(coalesce(p_name, '#' || cast(player_id as varchar)), ', ' order by leg_index) as names,
   string_agg(distinct cast(from_team as varchar), ',' order by cast(from_team as varchar)) as senders
 from v_trade left join part on p_partkey = player_id and p_size <= 25 group by 1, 2, 3""")
-def ordered_names(t):
-    """Names in leg order with a fallback label, in parts of 500 legs so that no list grows with an event."""
+def ordered_names(t, part_legs: int = 2):
+    """Names in leg order with a fallback label, in parts of ``part_legs`` legs so that no list grows with an event."""
     names = t.base("part").where("p_size <= 25").select(F.col("p_partkey").alias("player_id"), "p_name")
     j = t.numbered_trade.join(names, "player_id", "left").select(
-        "event_id", "to_team", "leg_index", F.floor(F.col("leg_index") / 500).alias("part"), F.col("from_team").cast("string").alias("sender"),
+        "event_id", "to_team", "leg_index", F.floor(F.col("leg_index") / part_legs).alias("part"), F.col("from_team").cast("string").alias("sender"),
         F.coalesce("p_name", F.concat(F.lit("#"), F.col("player_id").cast("string"))).alias("label"))
-    j.createOrReplaceTempView("_ordered_names")
     return t.spark.sql("""
         select event_id, to_team, part, listagg(label, ', ') within group (order by leg_index) as names,
           listagg(distinct sender, ',') within group (order by sender) as senders
-        from _ordered_names group by event_id, to_team, part""")
+        from {legs} group by event_id, to_team, part""", legs=j)
 
 
 _CAREER = "career as (select player_id, sum(value) as career_value, min(season) as first_season from v_psv group by 1)"
