@@ -29,6 +29,8 @@ from swapledger.llm.piece_memo import span_hashes
 #: Documents of each language that are learned from at most, and tokens kept per language.
 SAMPLE, WORDS, GRAMS = 4_000, 20_000, 10_000
 LONGEST = 5
+#: Tokens of all languages together that are mixed into each language's counts.
+PRIOR = 50.0
 _LETTERS = np.zeros(0, bool)
 
 
@@ -101,7 +103,9 @@ class Model:
             count = np.zeros((len(keys), len(langs)))
             np.add.at(count, (at, mine["lang"].map(place).to_numpy(np.int64)), mine["n"].to_numpy(np.float64))
             self.keys.append(keys)
-            self.logs.append(np.log((count + 0.5) / (count.sum(axis=0) + 0.5 * max(len(keys), 1))).astype(np.float32))
+            # A language with few rows falls back to the frequencies of all languages: no evidence.
+            overall = count.sum(axis=1, keepdims=True) / max(count.sum(), 1.0)
+            self.logs.append(np.log((count + PRIOR * overall) / (count.sum(axis=0) + PRIOR)).astype(np.float32))
 
     def _at(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 for unknown ones."""
@@ -168,7 +172,7 @@ def learn(docs: DataFrame, chosen: Column, doc_id: str = "doc_id", text: str = "
     top = counts.withColumn("_rank", F.row_number().over(common)).where(
         F.col("_rank") <= F.when(F.col("kind") == 0, F.lit(WORDS)).otherwise(F.lit(GRAMS))).select("lang", "kind", "key", "n")
     rows = top.toPandas()  # bounded: languages x (WORDS + LONGEST x GRAMS)
-    langs = sorted(r["lang"] for r in sizes.collect())
+    langs = sorted(rows["lang"].unique())
     return Model(langs, rows)
 
 
