@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swapledger.session import scratch_dir
+
 #: Rows beyond which a key is split.
 HOT_ROWS = 10_000_000
 #: Buckets per ``HOT_ROWS`` rows of a hot key.
@@ -50,6 +52,13 @@ def with_buckets(
     )
 
 
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _before(keys: Sequence[str], bucket: str):
     return Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -112,47 +121,38 @@ def carry_last(
     return out.drop(*[f"_l_{o}" for o in values], *[f"_s_{o}" for o in values])
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    buckets: int = 512,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 64) -> DataFrame:
     """Exact interpolated quantiles per key; ``probs`` maps output name to probability.
 
     ``percentile`` keeps every distinct value of a group in one task.  Here equal
-    values are counted first and fall into buckets that grow with the distance from
-    the middle (asinh of the value over the global spread, so outliers do not crowd
-    the rest into one bucket).  Only buckets that hold a wanted rank are sorted.
+    values are counted once and written, so the input is read a single time.  Each
+    key then gets about ``buckets`` buckets of equal numbers of distinct values, cut
+    at its own approximate quantiles (any cut gives the same result), and only the
+    buckets that hold a wanted rank are sorted.
     """
     keys = list(keys)
     base = df.where(F.col(value).isNotNull())
-    middle = base.agg(F.percentile_approx(F.col(value).cast("double"), [0.25, 0.5, 0.75], 1000)).scalar()
     if not keys:
-        base = base.withColumn("_all", F.lit(1))
-        keys = ["_all"]
-    spread = F.when(middle[2] > middle[0], middle[2] - middle[0]).otherwise(F.lit(1.0))
-    away = (F.col("_v").cast("double") - middle[1]) / spread
-    bucketed = (
-        base.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-        .withColumn("_b", F.floor(F.signum(away) * F.log1p(F.abs(away)) * buckets).cast("int"))
-    )
-    per_bucket = bucketed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_nb"))
-    placed = per_bucket.withColumn(
+        base, keys = base.withColumn("_all", F.lit(1)), ["_all"]
+    counted = _written(base.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")), "value-counts")
+    shares = [i / buckets for i in range(1, buckets)]
+    # Written too: both uses below must see the same cuts, also after a lost task.
+    cuts = _written(counted.groupBy(*keys).agg(F.percentile_approx(F.col("_v").cast("double"), shares, 2000).alias("_cuts")), "value-cuts")
+    bucketed = counted.join(cuts, keys).withColumn(
+        "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v").cast("double")))
+    ).drop("_cuts")
+    whole = Window.partitionBy(*keys)
+    placed = bucketed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_nb")).withColumn(
         "_base", F.coalesce(F.sum("_nb").over(_before(keys, "_b")), F.lit(0))
-    ).withColumn("_total", F.sum("_nb").over(Window.partitionBy(*keys)))
+    ).withColumn("_total", F.sum("_nb").over(whole))
     rank = {o: F.lit(p) * (F.col("_total") - 1) for o, p in probs.items()}
     wanted = F.lit(False)
     for t in rank.values():
-        wanted = wanted | (
-            (F.col("_base") <= F.floor(t) + 1) & (F.col("_base") + F.col("_nb") > F.floor(t))
-        )
-    placed = placed.where(wanted).drop("_nb")
-    w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        wanted = wanted | ((F.col("_base") <= F.floor(t) + 1) & (F.col("_base") + F.col("_nb") > F.floor(t)))
+    upto = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        bucketed.join(placed, [*keys, "_b"])
-        .withColumn("_end", F.col("_base") + F.sum("_n").over(w))
+        bucketed.join(placed.where(wanted).drop("_nb"), [*keys, "_b"])
+        .withColumn("_end", F.col("_base") + F.sum("_n").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
     aggs = []
@@ -162,14 +162,8 @@ def exact_quantiles(
             hit = (F.col("_start") <= k) & (F.col("_end") > k)
             aggs.append(F.max(F.when(hit, F.col("_v").cast("double"))).alias(f"_{side}_{o}"))
         aggs.append(F.max(t - low).alias(f"_f_{o}"))
-    picked = ranked.groupBy(*keys).agg(*aggs)
-    return picked.select(
-        *[k for k in keys if k != "_all"],
-        *[
-            (F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")).alias(o)
-            for o in probs
-        ],
-    )
+    between = lambda o: F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")
+    return ranked.groupBy(*keys).agg(*aggs).select(*[k for k in keys if k != "_all"], *[between(o).alias(o) for o in probs])
 
 
 def trailing_mean(
