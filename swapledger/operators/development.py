@@ -40,6 +40,26 @@ def hit_rates(picks: DataFrame, careers: DataFrame, max_round: int = 10, hit: fl
     )
 
 
+def scout_to_sign(picks: DataFrame, first: DataFrame, aliases: Mapping, max_round: int = 15) -> DataFrame:
+    """Per round: picks, those who reached, and those who first played for the team that picked them.
+
+    ``first``: (player_id, first_team).  Codes fold through the alias map on both sides.
+    """
+    reached = F.col("first_team").isNotNull()
+    own = reached & (alias_code(aliases, F.col("team")) == alias_code(aliases, F.col("first_team")))
+    return (
+        picks.withColumn("round", F.col("round_text").try_cast("int"))
+        .where(F.col("round").between(1, max_round))
+        .join(first, "player_id", "left")
+        .groupBy("round")
+        .agg(
+            F.count("*").alias("picks"), F.count_if(reached).alias("n_reached"), F.count_if(own).alias("n_own"),
+            F.try_divide(F.count_if(reached), F.count("*")).alias("reach_rate"),
+            (F.count_if(own) / F.greatest(F.count_if(reached), F.lit(1))).alias("sign_rate"),
+        )
+    )
+
+
 def first_team(roles: DataFrame, order: Sequence[str]) -> DataFrame:
     """Team of each player's first stint; the order columns must be total per player."""
     return roles.groupBy("player_id").agg(F.min_by("team_id", F.struct(*order)).alias("first_team"))

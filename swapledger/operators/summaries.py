@@ -96,6 +96,41 @@ def tie_averaged_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(ranked.select(value, F.floor(mean_rank).cast("long").alias(name)), value)
 
 
+def contract_breakdown(contracts: DataFrame, team: str, status: str, cap: Column, service: Column) -> DataFrame:
+    """Contracts of each team's newest season by status: number, cap total, mean service.
+
+    The newest season counts rows without a status too; those get no line of their own.
+    """
+    per = contracts.groupBy(team, "season", status).agg(
+        F.count("*").alias("n"), F.sum(cap).alias("total_cap"), F.avg(service).alias("mean_service")
+    )
+    # Few rows per team: one for each season and status.
+    newest = per.withColumn("_last", F.max("season").over(Window.partitionBy(team)))
+    return newest.where((F.col("season") == F.col("_last")) & (F.col(status) != "")).drop("_last")
+
+
+def recent_rows(ledger: DataFrame, team: str, k: int = 12) -> DataFrame:
+    """The ``k`` newest rows per team, larger absolute surplus first within a season."""
+    order = [F.desc("season"), F.desc_nulls_last(F.abs("surplus")), F.asc("event_id")]
+    ranked = ledger.withColumn("rank", F.row_number().over(Window.partitionBy(team).orderBy(*order)).cast("long"))
+    return ranked.where(F.col("rank") <= k)
+
+
+def latest_years(totals: DataFrame, years: int = 3) -> DataFrame:
+    """Per player: last season, its value and salary, change on the season before, sum of the last ``years`` seasons.
+
+    ``totals`` has one row per player and season: value_units (whole units), salary.
+    """
+    last = F.max("season").over(Window.partitionBy("player_id"))
+    back = F.col("_last") - F.col("season")
+    of = lambda d, c: F.max(F.when(back == d, F.col(c)))
+    return totals.withColumn("_last", last).groupBy("player_id").agg(
+        F.max("_last").alias("last_season"), of(0, "value_units").alias("last_value"), of(0, "salary").alias("last_salary"),
+        (of(0, "value_units") - of(1, "value_units")).alias("movement"),
+        F.sum(F.when(back < years, F.col("value_units"))).alias("recent_value"),
+    )
+
+
 def award_bucket(name: Column) -> Column:
     """Bucket of an award name; the first matching pattern wins."""
     n = F.lower(name)

@@ -93,6 +93,27 @@ def robust_posterior(t):
     return G.coefficients(G.robust_fit(z, ["fold"], ["q", "ma", "ex"], passes=3), ["fold"]).select("fold", "feature", "n", "beta", "sd", "s2")
 
 
+def _robust_sql(passes: int) -> str:
+    """Re-weighting passes of the one-feature Student-t fit, one pair of CTEs each."""
+    out = ["f0 as (select fold, b0, b1, s2, sqrt(v11) as sd from v_ridge where feature = 'q')"]
+    for i in range(passes):
+        out.append(f"""a{i + 1} as (select fold, sum(w * e * e) / count(*) as s, sum(w) as w0, sum(w * x) as wx, sum(w * x * x) as wxx, sum(w * y) as wy, sum(w * x * y) as wxy from (
+    select f.fold, zq as x, zy as y, zy - b0 - b1 * zq as e, 5.0 / (4.0 + (zy - b0 - b1 * zq) * (zy - b0 - b1 * zq) / s2) as w from v_z z join f{i} f on f.fold = z.fold where part = 'train') group by 1)""")
+        out.append(f"""f{i + 1} as (select fold, (cc * wy / s - bb * wxy / s) / (aa * cc - bb * bb) as b0, (aa * wxy / s - bb * wy / s) / (aa * cc - bb * bb) as b1, s as s2, sqrt(aa / (aa * cc - bb * bb)) as sd
+    from (select *, w0 / s + 1 as aa, wx / s as bb, wxx / s + 1 / 0.09 as cc from a{i + 1}))""")
+    return ",\n  ".join(out)
+
+
+@query("STA-03", "robust_single", f"""
+with {_robust_sql(3)}
+select fold, round(b1, 6) as beta, round(sd, 6) as sd, round(s2, 6) as s2 from f3""")
+def robust_single(t):
+    """The Student-t fit on one feature, whose passes SQL can write out."""
+    z = folded(t, ("q",)).where("part = 'train'")
+    c = G.coefficients(G.robust_fit(z, ["fold"], ["q"], passes=3), ["fold"]).where("feature <> 'intercept'")
+    return rounded(c.select("fold", "beta", "sd", "s2"), "beta", "sd", "s2")
+
+
 @query("STA-04", "two_regime_noise", """
 with r as (select z.fold, z.season >= 1997 as late, zq as x, zy as y, zy - b0 - b1 * zq as e from v_z z join v_ridge f on f.fold = z.fold and f.feature = 'q' where part = 'train'),
   n as (select fold, avg(e * e) filter (where not late) as s0, avg(e * e) filter (where late) as s1 from r group by 1),
@@ -271,6 +292,19 @@ def stability_q(t):
     return rounded(out, "median_beta", "beta_min", "beta_max", "median_mass")
 
 
+@query("STA-15", "stability_signs", f"""
+with {_SUMM}, nt as (select fold, count(*) as n_test from v_part where part = 'test' group by 1), s as (select sm.*, n_test >= 30 as ok, n_test >= 30 and (p05 > 0 or p95 < 0) and mass >= 0.975 as cred from sm join nt on nt.fold = sm.fold)
+select feature, count(*) filter (where cred) as n_credible,
+  count(*) filter (where ok) > 0 and (count(*) filter (where ok and beta <= 0) = 0 or count(*) filter (where ok and beta >= 0) = 0) as same_sign,
+  count(*) filter (where cred and beta <= 0) = 0 or count(*) filter (where cred and beta >= 0) = 0 as sign_over_credible from s group by 1""")
+def stability_signs(t):
+    """Both sign rules side by side."""
+    z = folded(t)
+    tests = z.where("part = 'test'").groupBy("fold").agg(F.count("*").alias("n_test"))
+    s = G.coefficient_summary(G.coefficients(single_fits(t, z), ["fold"]).where("feature <> 'intercept'").withColumn("feature", F.col("spec")))
+    return C.stability(s.join(tests, "fold"), ["feature"], F.lit(30), F.lit(0.75)).select("feature", "n_credible", "same_sign", "sign_over_credible")
+
+
 @query("STA-16", "skill_scores", f"""
 with {_PRED}, b as (select fold, avg({crps_sql('pred', 'psd', 'y')}) as model, avg({crps_sql('m_y', 's_y', 'y')}) as base from pr group by 1), k as (select *, 1 - model / base as skill from b)
 select fold, round(model, 6) as model, round(base, 6) as baseline, round(skill, 6) as skill, round((select avg(skill) from k), 6) as mean_skill, round((select avg(skill) from k where fold <> 1), 6) as mean_without_flagged from k""")

@@ -156,6 +156,21 @@ def hit_rates_q(t):
     return rounded(D.hit_rates(picks(t), careers(t).where("career_value > -2"), 10, 1.5), "reach_rate", "hit_rate")
 
 
+_FOLD = "case {0} when 24 then 23 when 22 then 21 else {0} end"
+
+
+@query("AGG-37", "scout_to_sign", f"""
+with {_PICKS}, f as (select player_id, arg_min(team_id, season * 1000 + team_id) as first_team from v_psr where player_id % 5 <> 0 group by 1),
+  j as (select try_cast(round_text as int) as round, {_FOLD.format("cast(replace(team, 'Brand#', '') as int) % 25")} as a, {_FOLD.format("first_team")} as b from picks left join f on f.player_id = picks.player_id)
+select round, count(*) as picks, count(b) as n_reached, count(*) filter (where a = b) as n_own, round(count(b) * 1.0 / count(*), 6) as reach_rate,
+  round(count(*) filter (where a = b) * 1.0 / case when count(b) = 0 then 1 else count(b) end, 6) as sign_rate from j where round between 1 and 15 group by 1""")
+def scout_to_sign_q(t):
+    """Brand numbers stand for drafting teams; every fifth player never played."""
+    drafted = picks(t).withColumn("team", F.substring("team", 7, 9).cast("int") % 25)
+    first = D.first_team(t.psr.where("player_id % 5 <> 0"), ["season", "team_id"])
+    return rounded(D.scout_to_sign(drafted, first, {24: 23, 22: 21}), "reach_rate", "sign_rate")
+
+
 @query("AGG-38", "development_credit", f"""
 with {_CAREER}, {_DELTA},
   f as (select player_id, arg_min(team_id, season * 1000 + team_id) as team from v_psr group by 1),
@@ -316,6 +331,29 @@ def payroll_by_type(t):
     )
 
 
+@query("AGG-46", "payroll_with_injured", """
+with k as (select team_id, season, cast(salary as decimal(18,2)) as m, case when role = 'P' then 'dead' when games >= 2 then 'injured' else 'active' end as kind from v_psr)
+select team_id, season, cast(sum(m) filter (where kind = 'active') as double) as active, cast(sum(m) filter (where kind = 'dead') as double) as dead,
+  cast(sum(m) filter (where kind = 'injured') as double) as injured, cast(sum(m) as double) as total from k group by 1, 2""")
+def payroll_with_injured(t):
+    """Pitching rows stand for the dead table, players of several games for the injured one."""
+    kind = F.when(F.col("role") == "P", "dead").when(F.col("games") >= 2, "injured").otherwise("active")
+    money = F.col("salary").cast("decimal(18,2)")
+    part = lambda k: F.sum(F.when(F.col("kind") == k, money)).cast("double").alias(k)
+    return t.psr.withColumn("kind", kind).groupBy("team_id", "season").agg(
+        part("active"), part("dead"), part("injured"), F.sum(money).cast("double").alias("total"))
+
+
+@query("AGG-46", "contract_breakdown", """
+with c as (select team_id, season, case when player_id % 7 = 0 then null when player_id % 7 = 1 then '' else role end as status, salary, games from v_psr)
+select c.team_id, c.season, status, count(*) as n, cast(sum(cast(salary as decimal(18,2))) as double) as total_cap, round(avg(games), 6) as mean_service
+from c join (select team_id, max(season) as s from c group by 1) l on l.team_id = c.team_id and l.s = c.season where status is not null and status <> '' group by 1, 2, 3""")
+def contract_breakdown_q(t):
+    status = F.when(F.col("player_id") % 7 == 0, F.lit(None)).when(F.col("player_id") % 7 == 1, "").otherwise(F.col("role"))
+    c = S.contract_breakdown(t.psr.withColumn("status", status), "team_id", "status", F.col("salary").cast("decimal(18,2)"), F.col("games"))
+    return rounded(c.withColumn("total_cap", F.col("total_cap").cast("double")), "mean_service")
+
+
 @query("AGG-47", "era_variance", f"""
 with {_DELTA} select to_team, round(stddev_samp(case when season < 1998 then delta end), 6) as sd_early, round(stddev_samp(case when season >= 1998 then delta end), 6) as sd_late,
   round(stddev_samp(case when season >= 1998 then delta end) / nullif(stddev_samp(case when season < 1998 then delta end), 0), 6) as ratio from d group by 1""")
@@ -357,6 +395,14 @@ def trade_summary_per_team(t):
     )
 
 
+@query("AGG-50", "recent_trades_per_team", """
+select team_id, event_id, season, n_received, n_given, received, given, surplus, rank from (
+  select *, row_number() over (partition by team_id order by season desc, abs(surplus) desc nulls last, event_id) as rank from v_ledger) where rank <= 12""")
+def recent_trades_per_team(t):
+    return S.recent_rows(t.ledger, "team_id").select(
+        "team_id", "event_id", "season", "n_received", "n_given", "received", "given", "surplus", "rank")
+
+
 @query("AGG-51", "largest_flows", """
 select event_id, round(sum(abs(coalesce(surplus, 0))), 3) as flow, count(*) as n_teams from v_ledger group by 1 order by flow desc nulls last, event_id limit 100""")
 def largest_flows(t):
@@ -451,6 +497,18 @@ def career_series(t):
     return s.join(use, ["player_id", "season"])
 
 
+@query("AGG-57", "latest_years", """
+with s as (select player_id, season, sum(value_amt) as v, max(salary) as salary from v_psr group by 1, 2), m as (select player_id, max(season) as y from s group by 1)
+select m.player_id, m.y as last_season, cast(a.v as double) / 1009 as last_value, a.salary as last_salary, cast(a.v - b.v as double) / 1009 as movement,
+  cast((select sum(c.v) from s c where c.player_id = m.player_id and c.season > m.y - 3) as double) / 1009 as recent_value
+from m join s a on a.player_id = m.player_id and a.season = m.y left join s b on b.player_id = m.player_id and b.season = m.y - 1""")
+def latest_years_q(t):
+    s = t.psr.groupBy("player_id", "season").agg(F.sum("value_amt").alias("value_units"), F.max("salary").alias("salary"))
+    out = S.latest_years(s)
+    scaled = {c: F.col(c).cast("double") / SCALE for c in ("last_value", "movement", "recent_value")}
+    return out.withColumns(scaled)
+
+
 @query("AGG-58", "dominant_role", """
 select player_id, cast(coalesce(sum(games) filter (where role = 'P'), 0) as bigint) as games_pitching, cast(coalesce(sum(games) filter (where role = 'B'), 0) as bigint) as games_batting,
   coalesce(sum(games) filter (where role = 'P'), 0) >= coalesce(sum(games) filter (where role = 'B'), 0) as is_pitcher from v_psr group by 1""")

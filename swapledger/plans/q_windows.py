@@ -143,6 +143,15 @@ def quartile_spread_q(t):
     return rounded(S.quartile_spread(deltas(t), "pre", "delta"), "mean", "sd")
 
 
+@query("WIN-13", "quartile_sd_ratio", f"""
+with {_DELTA}, e as (select quantile_cont(pre, 0.25) as a, quantile_cont(pre, 0.5) as b, quantile_cont(pre, 0.75) as c from d),
+  s as (select stddev_samp(delta) as sd from d, e group by case when pre <= a then 1 when pre <= b then 2 when pre <= c then 3 else 4 end)
+select round(case when min(sd) > 0 then max(sd) / min(sd) end, 6) as sd_ratio from s""")
+def quartile_sd_ratio(t):
+    low = F.min("sd")
+    return S.quartile_spread(deltas(t), "pre", "delta").agg(F.round(F.when(low > 0, F.max("sd") / low), 6).alias("sd_ratio"))
+
+
 @query("WIN-14", "games_back", """
 with s as (select s.*, t.division_id from v_standing s join v_team t on t.team_id = s.team_id),
   l as (select division_id, season, wins as lw, losses as ll from (select *, row_number() over (partition by division_id, season order by wins - losses desc, team_id) as r from s) where r = 1)
@@ -185,6 +194,21 @@ def rolling_correlation_q(t):
     return w.select("window_start", "n", F.round("r", 6).alias("r"), F.round(S.correlation_t(F.col("r"), F.col("n")), 4).alias("t_stat"))
 
 
+# The p-value by Simpson's rule over the angle of the t density, apart from the operator's fraction.
+_TAIL = """pv as (select window_start, n, r, list_sum([case when i = 0 or i = 20000 then 1.0 when i % 2 = 1 then 4.0 else 2.0 end * pow(cos(i * h), n - 3) for i in range(0, 20001)]) * h / 3
+    * 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()) as inside
+  from (select *, asin(abs(r)) / 20000 as h from win where r is not null))"""
+
+
+@query("WIN-17", "correlation_p_value", f"""
+with {_ROLL}, {_TAIL} select cast(win.window_start as int) as window_start, win.n, round(win.r, 4) as r, round(greatest(0.0, 1 - inside), 4) as p from win left join pv on pv.window_start = win.window_start""")
+def correlation_p_value(t):
+    w = S.rolling_correlation(t.window, "value_t_minus_1", "value_t_plus_1", 1995, 2001)
+    # A step of its own: inside the lambda the name would otherwise mean the rounded column.
+    p = w.withColumn("p", S.correlation_p(F.col("r"), F.col("n")))
+    return p.select("window_start", "n", F.round("r", 4).alias("r"), F.round("p", 4).alias("p"))
+
+
 @query("WIN-18", "decay_trend", f"""
 with {_ROLL}, i as (select *, row_number() over (order by window_start) - 1 as i from win where r is not null), s as (select count(*) as n, regr_slope(abs(r), i) as sl from i)
 select n as n_windows, round(case when n >= 3 then sl end, 6) as slope, case when n >= 3 and sl < -0.005 then 'declining' when n >= 3 and sl > 0.005 then 'stable' else 'too noisy to judge' end as verdict from s""")

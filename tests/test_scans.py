@@ -59,3 +59,23 @@ def test_decayed_mean_skips_nulls(spark):
     got = {(r.k, r.season): r.d for r in X.decayed_mean(df, ["k"], "season", "x", "d").collect()}
     assert got[(1, 2002)] == pytest.approx((3.0 + 0.5 * 1.0) / 1.5)
     assert got[(2, 2000)] is None
+
+
+def test_quantiles_of_far_apart_clusters(spark):
+    rng = np.random.default_rng(9)
+    data = [(0, float(v)) for v in np.concatenate([rng.normal(0, 1e-6, 400), rng.normal(1e6, 1e-6, 400)])] + [(1, None)]
+    df = spark.createDataFrame(data, "g int, x double")
+    got = {r.g: (r.a, r.b) for r in X.exact_quantiles(df, ["g"], "x", {"a": 0.3, "b": 0.5}, buckets=8).collect()}
+    assert set(got) == {0}
+    assert np.allclose(got[0], np.quantile([v for k, v in data if k == 0], [0.3, 0.5]), rtol=1e-12)
+
+
+def test_correlation_p_value(spark):
+    from swapledger.operators.seasons import correlation_p
+
+    # t = 2.228138852 with 10 degrees of freedom is the published 5% point.
+    r = 2.228138852 / (10 + 2.228138852**2) ** 0.5
+    df = spark.createDataFrame([(0, r, 12), (1, 0.0, 30), (2, 1.0, 20), (3, None, 30), (4, -r, 12)], "i int, r double, n long")
+    got = [x.p for x in df.select("i", correlation_p(F.col("r"), F.col("n")).alias("p")).orderBy("i").collect()]
+    assert got[0] == pytest.approx(0.05, abs=1e-8) and got[4] == pytest.approx(0.05, abs=1e-8)
+    assert got[1:4] == [1.0, 0.0, None]
