@@ -22,33 +22,32 @@ from swapledger.session import scratch_dir
 
 #: Rows beyond which a key is split.
 HOT_ROWS = 10_000_000
-#: Buckets per ``HOT_ROWS`` rows of a hot key.
-FAN = 8
+#: Buckets of a hot key, cut at equal shares of its rows.
+CUTS = 64
 
 
 def hot_keys(df: DataFrame, key: str, position: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, their row count and position range.
+    """Keys with about ``hot_rows`` rows or more, their row count and cut points of the position.
 
-    At most total rows / ``hot_rows`` keys can qualify, which bounds the broadcast.
+    Counts and cuts come from the rows that a hash of key and position picks, about 1,000
+    for ``hot_rows`` rows, so only the sample is shuffled.  Which keys are split, and where,
+    does not change any result; the table is written, so that every reader sees the same
+    cuts.  At most about total rows / ``hot_rows`` keys can qualify, which bounds the broadcast.
     """
-    return (
-        df.groupBy(key)
-        .agg(F.count("*").alias("_hot_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-        .where(F.col("_hot_n") > hot_rows)
-    )
+    step = max(1, hot_rows // 1000)
+    picked = df.select(key, position.cast("double").alias("_at")).where(F.pmod(F.xxhash64(key, "_at"), F.lit(step)) == 0)
+    shares = [i / CUTS for i in range(1, CUTS)]
+    found = picked.groupBy(key).agg((F.count("*") * step).alias("_hot_n"), F.percentile_approx("_at", shares, 2000).alias("_cuts"))
+    return _written(found.where(F.col("_hot_n") > hot_rows), "hot-keys")
 
 
-def with_buckets(
-    df: DataFrame, hot: DataFrame, key: str, position: Column, name: str = "bucket", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def with_buckets(df: DataFrame, hot: DataFrame, key: str, position: Column, name: str = "bucket") -> DataFrame:
     """Add the bucket: 0 for ordinary keys, 1 and up along the position for hot ones."""
-    steps = F.ceil(F.col("_hot_n") / F.lit(float(hot_rows))) * FAN
-    span = (F.col("_hi") - F.col("_lo")).cast("double")
-    step = F.when(span > 0, F.floor((position - F.col("_lo")).cast("double") / span * steps)).otherwise(F.lit(0))
+    at = F.size(F.filter("_cuts", lambda c: c < F.col("_at"))) + 1
     return (
-        df.join(F.broadcast(hot), key, "left")
-        .withColumn(name, F.when(F.col("_hot_n").isNull(), F.lit(0)).otherwise(step + 1).cast("long"))
-        .drop("_hot_n", "_lo", "_hi")
+        df.withColumn("_at", position.cast("double")).join(F.broadcast(hot), key, "left")
+        .withColumn(name, F.when(F.col("_hot_n").isNull(), F.lit(0)).otherwise(at).cast("long"))
+        .drop("_hot_n", "_cuts", "_at")
     )
 
 

@@ -264,8 +264,8 @@ def two_regime_fit(
 def shrink(rows: DataFrame, group: str, value: str, outer: Sequence[str] = ()) -> DataFrame:
     """Empirical-Bayes group effects: size, mean, shrunken effect, deviation.
 
-    Three aggregates over one row per group; with ``outer`` the pooling runs inside
-    each outer group (nested pooling).
+    One row per group and one row of totals, attached once; with ``outer`` the pooling
+    runs inside each outer group (nested pooling).
     """
     outer = list(outer)
     g = rows.where(F.col(value).isNotNull()).groupBy(*outer, group).agg(
@@ -274,13 +274,11 @@ def shrink(rows: DataFrame, group: str, value: str, outer: Sequence[str] = ()) -
     total = g.groupBy(*outer).agg(
         F.sum("n").alias("_N"), F.count("*").alias("_G"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m"),
         F.sum((F.col("n") - 1) * F.col("var")).alias("_within"), F.sum(F.col("n") * F.col("n")).alias("_nn"),
+        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_squares"),
     )
     attach = lambda a, b: a.join(b, outer) if outer else a.withColumn("_s", b.select(F.struct("*")).scalar()).select("*", "_s.*").drop("_s")
     j = attach(g, total)
-    spread = j.groupBy(*outer).agg(
-        F.sum(F.col("n") * (F.col("mean") - F.col("_m")) * (F.col("mean") - F.col("_m"))).alias("_between")
-    )
-    j = attach(j, spread)
+    j = j.withColumn("_between", F.col("_squares") - F.col("_N") * F.col("_m") * F.col("_m"))
     s2 = F.try_divide(F.col("_within"), (F.col("_N") - F.col("_G")).cast("double"))
     tau2 = F.greatest(
         F.lit(0.0),

@@ -91,7 +91,7 @@ class Tables:
         line = self.base("lineitem").select(F.col("l_orderkey").alias("event_id"), "l_linenumber", "l_partkey")
         hot = hot_keys(line, "event_id", place(F.col("l_linenumber"), F.col("l_partkey")), self.hot_rows)
         split = with_buckets(
-            self.leg, hot, "event_id", place(F.col("leg_order.l_linenumber"), F.col("player_id")), "bucket", self.hot_rows
+            self.leg, hot, "event_id", place(F.col("leg_order.l_linenumber"), F.col("player_id")), "bucket"
         )
         return number_legs(split, "event_id", "bucket", [F.col(f"leg_order.{c}") for c in LINE_ORDER]).drop("bucket")
 
@@ -245,7 +245,7 @@ class Tables:
         """Play log without numbering: order is (ts, event_id) inside a game."""
         e = self.base("events").select(F.col("user_id").alias("game_id"), "event_id", "ts", "event_type", "value")
         at = F.unix_micros(F.col("ts").cast("timestamp"))
-        return with_buckets(e, hot_keys(e, "game_id", at, self.hot_rows), "game_id", at, "bucket", self.hot_rows)
+        return with_buckets(e, hot_keys(e, "game_id", at, self.hot_rows), "game_id", at, "bucket")
 
     # -- windows ----------------------------------------------------------
     @cached_property

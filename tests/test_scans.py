@@ -20,11 +20,20 @@ def rows(spark):
 
 def bucketed(rows):
     hot = X.hot_keys(rows, "k", F.col("pos"), hot_rows=50)
-    out = X.with_buckets(rows, hot, "k", F.col("pos"), "b", hot_rows=50)
+    out = X.with_buckets(rows, hot, "k", F.col("pos"), "b")
     assert out.where("k = 0").select("b").distinct().count() > 10
     return out
 
 
+def test_clustered_positions_fill_the_buckets(spark):
+    """One key with 90% of the rows, positions in two far clusters."""
+    far = F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + F.lit(10**15))
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"), far.alias("pos"))
+    hot = X.hot_keys(df, "k", F.col("pos"), hot_rows=2000)
+    sizes = [r["count"] for r in X.with_buckets(df, hot, "k", F.col("pos")).where("k = -1").groupBy("bucket").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 3 * 18_000 / 64
+
+
 def test_ordinal(rows):
     got = X.ordinal_within(bucketed(rows), ["k"], "b", ["pos", "id"], "n")
     want = rows.withColumn("w", F.row_number().over(Window.partitionBy("k").orderBy("pos", "id")))
