@@ -35,10 +35,15 @@ def model_rows(t):
 
 def folded(t, xs=("q", "ma")):
     """Train and test rows of every fold, standardised by the fold's training rows."""
-    m = model_rows(t).where(F.col("y").isNotNull())
-    parts = with_folds(m, walk_forward_folds(m, "y", min_train=3, width=1))
-    stats = G.train_stats(parts.where("part = 'train'"), ["fold"], list(xs), "y")
-    return G.standardise(parts, stats, ["fold"], list(xs), "y")
+    return folded_rows(model_rows(t), "y", xs)
+
+
+def folded_rows(rows, y, xs=("q", "ma")):
+    """The same for one outcome of model rows that are already there."""
+    m = rows.where(F.col(y).isNotNull())
+    parts = with_folds(m, walk_forward_folds(m, y, min_train=3, width=1))
+    stats = G.train_stats(parts.where("part = 'train'"), ["fold"], list(xs), y)
+    return G.standardise(parts, stats, ["fold"], list(xs), y)
 
 
 def single_fits(t, z=None):
@@ -344,6 +349,21 @@ def mass_matrix(t):
     return rounded(s.select("feature", "fold", "mass").join(cred, "feature"), "mass")
 
 
+@query("STA-18", "mass_by_outcome", f"""
+with a as (select feature, 'value' as outcome, b1 as b, sqrt(v11) as sd from v_ridge union all select feature, 'metric', b1, sqrt(v11) from v_metric_ridge),
+  s as (select feature, outcome, {cdf_sql('abs(b) / sd')} as mass, b - 1.645 * sd > 0 or b + 1.645 * sd < 0 as apart from a)
+select feature, round(avg(mass) filter (where outcome = 'value'), 6) as value_mass, count(*) filter (where outcome = 'value' and apart and mass >= 0.95) as value_credible,
+  round(avg(mass) filter (where outcome = 'metric'), 6) as metric_mass, count(*) filter (where outcome = 'metric' and apart and mass >= 0.95) as metric_credible from s group by 1""")
+def mass_by_outcome(t):
+    """Feature x outcome: mean directional mass over all folds, and the folds that are credible."""
+    rows = model_rows(t)
+    fits = lambda y: G.coefficients(single_fits(t, folded_rows(rows, y)), ["fold"]).where("feature <> 'intercept'")
+    both = fits("y").withColumn("outcome", F.lit("value")).unionByName(fits("y2").withColumn("outcome", F.lit("metric")))
+    s = G.coefficient_summary(both.withColumn("feature", F.col("spec")))
+    return s.groupBy("feature").pivot("outcome", ["value", "metric"]).agg(
+        F.round(F.avg("mass"), 6).alias("mass"), F.count_if("credible").alias("credible"))
+
+
 @query("STA-19", "head_to_head", f"""
 with {_PRED}, b as (select event_id, to_team, y2 from v_model where y2 is not null)
 select pr.fold, count(*) as n, round(avg(abs(pr.pred - pr.y)), 6) as model_mae, round(avg(abs(b.y2 - pr.y)), 6) as rate_mae, round(avg(abs(b.y2 - pr.y)) - avg(abs(pr.pred - pr.y)), 6) as gain

@@ -147,6 +147,11 @@ with l as (select fold, 'q' as feature, zq as x, zy as y from v_z where part = '
 select fold, feature, n, s2, v00, v01, v11, (v00 * sy + v01 * sxy) / s2 as b0, (v01 * sy + v11 * sxy) / s2 as b1 from b3""",
 }
 
+# The same texts on the second outcome of the model rows.
+VIEWS["v_metric_model"] = "select * replace (y2 as y) from v_model"
+for _view in ("fold", "part", "stats", "z", "ridge"):
+    VIEWS[f"v_metric_{_view}"] = re.sub(r"\bv_(model|fold|part|stats|z)\b", r"v_metric_\1", VIEWS[f"v_{_view}"])
+
 _NAME = re.compile(r"\bv_[a-z_]+\b")
 
 
