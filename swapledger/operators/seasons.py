@@ -64,22 +64,32 @@ def with_folds(df: DataFrame, folds: DataFrame, season: str = "season") -> DataF
 
 
 def rolling_correlation(
-    df: DataFrame, x: str, y: str, first: int, last: int, width: int = 3, at_least: int = 10
+    df: DataFrame, x: str, y: str, first: int | None = None, last: int | None = None, width: int = 3, at_least: int = 10
 ) -> DataFrame:
-    """Correlation in every window of ``width`` seasons.
+    """Correlation in every window of ``width`` seasons between ``first`` and ``last``.
 
-    A row goes to the at most ``width`` windows that hold its season, then one
-    aggregate per window.
+    Without bounds, the first and last season that have rows with both values.  A row goes to
+    the at most ``width`` windows that hold its season, then one aggregate per window.
     """
-    start = F.col("season") - F.lit(width - 1)
-    spread = (
-        df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col("season").between(first, last))
-        .withColumn("window_start", F.explode(F.sequence(start, F.col("season"))))
-        .where(F.col("window_start").between(first, last - width + 1))
-    )
-    return spread.groupBy("window_start").agg(
-        F.count("*").alias("n"), F.when(F.count("*") >= at_least, F.corr(x, y)).alias("r")
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if first is not None:
+        rows = rows.where(F.col("season") >= first)
+    if last is not None:
+        rows = rows.where(F.col("season") <= last)
+    found = (
+        rows.withColumn("window_start", F.explode(F.sequence(F.col("season") - F.lit(width - 1), F.col("season"))))
+        .groupBy("window_start")
+        .agg(
+            F.count("*").alias("n"), F.when(F.count("*") >= at_least, F.corr(x, y)).alias("r"),
+            F.min("season").alias("_low"), F.max("season").alias("_high"),
+        )
     )
+    # One row per season is left here, so one task can see all of them.
+    whole = Window.partitionBy()
+    low = F.min("_low").over(whole) if first is None else F.lit(first)
+    high = F.max("_high").over(whole) if last is None else F.lit(last)
+    inside = found.withColumn("_in", F.col("window_start").between(low, high - width + 1))
+    return inside.where("_in").drop("_in", "_low", "_high")
 
 
 def correlation_t(r: Column, n: Column) -> Column:

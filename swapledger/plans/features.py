@@ -19,13 +19,18 @@ def acquired_side(t) -> DataFrame:
     return A.acquired_features(t.trade, profile, [3, 5], [8, 13, 21])
 
 
-def feature_matrix(t, start: int = 1995, end: int = 2001) -> DataFrame:
-    """One row per (event, receiver) of the ledger with all features."""
+def feature_matrix(t, start: int | None = None, end: int | None = None) -> DataFrame:
+    """One row per (event, receiver) of the ledger with all features, over all or given seasons."""
     from swapledger.plans.q_joins import ledger_base, prior_team_value, team_cost
 
+    base = ledger_base(t)
+    if start is not None:
+        base = base.where(F.col("season") >= start)
+    if end is not None:
+        base = base.where(F.col("season") <= end)
     cost = team_cost(t).withColumn("payroll", F.col("payroll").cast("double"))
     wide = assemble(
-        ledger_base(t).where(F.col("season").between(start, end)),
+        base,
         season_sides=[prior_team_value(t), cost.withColumnRenamed("team_id", "to_team")],
         event_sides=[acquired_side(t)],
     )
@@ -35,3 +40,38 @@ def feature_matrix(t, start: int = 1995, end: int = 2001) -> DataFrame:
     return wide.join(origin_cost, ["origin_team", "season"], "left").withColumn(
         "late_era", (F.col("season") >= 1998).cast("int")
     )
+
+
+def context_matrix(t) -> DataFrame:
+    """One row per (event, receiver) of the ledger with the context sides of the feature matrix.
+
+    Demographics, awards, minor-league quality and grades of the acquired players come from one
+    join of the legs with a player profile; payroll context, win share, development fit and park
+    factor are team-season sides.
+    """
+    from swapledger.operators import teams as T
+    from swapledger.operators.acquired import highest_level
+    from swapledger.operators.context import acquired_context, context_profile, with_interactions
+    from swapledger.operators.people import regime_or_unknown
+    from swapledger.plans.q_aggregates import cost_by_team, people, thresholds
+    from swapledger.plans.q_joins import ledger_base, prior_team_value
+    from swapledger.plans.q_windows import jumps
+
+    part = t.base("part")
+    ages = part.select(F.col("p_partkey").alias("player_id"), (F.lit(18) + F.col("p_partkey") % 12).alias("age"))
+    grades = part.where("p_size >= 20").select(F.col("p_partkey").alias("player_id"), F.col("p_size").alias("grade"))
+    awards = t.leg.where("priority = '1-URGENT'").select("player_id", "season")
+    profile = context_profile(people(t), ages, grades, awards, highest_level(t.level))
+    receiver = lambda df, *columns: df.select(F.col("team_id").alias("to_team"), "season", *columns)
+    wide = assemble(
+        ledger_base(t),
+        season_sides=[
+            prior_team_value(t).select("to_team", "season", "prior_pct"),
+            receiver(T.payroll_context(cost_by_team(t), thresholds(t)), "payroll", "pct_of_cap", "growth_3yr"),
+            receiver(T.park_factor(T.run_environment(t.game)), "park_factor"),
+            receiver(T.trailing_features(jumps(t)), F.col("flat").alias("dev_fit"), "recency_bias"),
+        ],
+        event_sides=[acquired_context(t.trade, profile)],
+    )
+    named = regime_or_unknown(wide.withColumn("team_id", F.col("to_team")), t.regime).drop("team_id")
+    return with_interactions(named)

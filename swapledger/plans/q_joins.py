@@ -216,8 +216,7 @@ left join oy on oy.event_id = l.event_id and oy.to_team = l.team_id
 left join acc on acc.event_id = l.event_id and acc.to_team = l.team_id
 left join cy on cy.event_id = l.event_id and cy.to_team = l.team_id
 left join om on om.event_id = l.event_id and om.to_team = l.team_id
-left join cost oc on oc.team_id = om.origin and oc.season = l.season
-where l.season between 1995 and 2001""")
+left join cost oc on oc.team_id = om.origin and oc.season = l.season""")
 def feature_matrix_q(t):
     from swapledger.plans.features import feature_matrix
 
@@ -230,6 +229,68 @@ def feature_matrix_q(t):
     )
 
 
+_WEIGHTS = [0.5 ** (i / 2.0) for i in range(5)]
+_DECAYED = "({}) / ({})".format(
+    " + ".join(f"coalesce(lag(jump, {i}) over w * {x!r}, 0)" for i, x in enumerate(_WEIGHTS)),
+    " + ".join(f"case when lag(jump, {i}) over w is not null then {x!r} else 0 end" for i, x in enumerate(_WEIGHTS)))
+
+
+@query("JOI-10", "context_matrix", f"""
+with pe as (select p_partkey as player_id, 1950 + p_size as birth_year, p_partkey % 3 = 0 as lefty, case when p_type in ('PROMO', 'SMALL') then 1.0 else 0.0 end as abroad,
+    p_type = 'LARGE' as pitcher, 18 + p_partkey % 12 as age, case when p_size >= 20 then p_size end as grade from part),
+  dm as (select event_id, to_team, avg(season - birth_year) as avg_age, avg(abroad) as pct_international, avg(case when lefty then 1.0 else 0.0 end) as pct_left_bat,
+    avg(case when pitcher then 1.0 else 0.0 end) as pct_pitchers, avg(grade) as avg_grade, max(grade) as max_grade from v_trade t left join pe on pe.player_id = t.player_id group by 1, 2),
+  aw as (select event_id, to_team, avg(n) as avg_prior_awards, avg(case when n > 0 then 1.0 else 0.0 end) as pct_awarded from (
+    select t.event_id, t.to_team, t.player_id, t.season, coalesce(sum(case when a.season < t.season then 1 else 0 end), 0) as n
+    from (select distinct event_id, to_team, player_id, season from v_trade) t left join (select player_id, season from v_leg where priority = '1-URGENT') a on a.player_id = t.player_id group by 1, 2, 3, 4) group by 1, 2),
+  tops as (select l.player_id, l.season, l.grp, l.level_id as top_level, sum(l.pa) as pa,
+      sum(l.ops * cast(l.pa as double)) / nullif(sum(case when l.ops is not null then cast(l.pa as double) else 0 end), 0) as ops
+    from v_level l join (select player_id, season, grp, min(level_id) as m from v_level group by 1, 2, 3) b
+      on b.player_id = l.player_id and b.season = l.season and b.grp = l.grp and b.m = l.level_id group by 1, 2, 3, 4),
+  mi as (select t.event_id, t.to_team,
+      avg(case when grp = 'hitting' and pa >= 50 then ops * m end) as hit_quality, avg(case when grp = 'pitching' and pa >= 20 and ops > 0 then 5.0 / ops * m end) as pitch_quality,
+      avg(case when pa is not null then usual - pe.age end) as age_advantage
+    from v_trade t left join (select *, case top_level when 11 then 1.00 when 12 then 0.85 when 13 then 0.70 when 14 then 0.55 else 0.40 end as m,
+        case top_level when 11 then 25 when 12 then 23 when 13 then 21 when 14 then 20 else 22 end as usual from tops) a on a.player_id = t.player_id and a.season = t.season - 1
+      left join pe on pe.player_id = t.player_id group by 1, 2),
+  {_COST}, cap as (select * from (values (1995, 178000000), (1996, 178000000), (1997, 178000000), (1998, 189000000), (1999, 189000000), (2000, 189000000),
+    (2001, 195000000), (2002, 197000000), (2003, 206000000), (2004, 208000000), (2005, 210000000), (2006, 230000000), (2007, 233000000), (2008, 237000000), (2009, 241000000)) v(season, threshold)),
+  pc as (select a.team_id, a.season, cast(a.payroll as double) as payroll, cast(a.payroll as double) / nullif(c.threshold, 0) as pct_of_cap,
+      (cast(a.payroll as double) - cast(b.payroll as double)) / nullif(cast(b.payroll as double), 0) as growth_3yr
+    from cost a left join cap c on c.season = a.season left join cost b on b.team_id = a.team_id and b.season = a.season - 3),
+  ho as (select home_team as team_id, season, park_id, avg(home_score) as sh, avg(visitor_score) as ah, count(*) as games from v_game group by 1, 2, 3),
+  ro as (select visitor_team as team_id, season, avg(visitor_score) as sr, avg(home_score) as ar from v_game group by 1, 2),
+  py as (select ho.team_id, ho.season, sum((sh + ah) / nullif(sr + ar, 0) * games) / nullif(sum(games), 0) as v from ho left join ro on ro.team_id = ho.team_id and ro.season = ho.season
+    where (sh + ah) / nullif(sr + ar, 0) is not null and games >= 10 group by 1, 2),
+  pf as (select team_id, season, avg(v) over (partition by team_id order by season rows between 2 preceding and current row) as park_factor from py),
+  jump as (select to_team as team_id, season, avg(metric_a_t_plus_1 - metric_a_t_minus_1) as jump from v_metric_window
+    where metric_a_t_minus_1 is not null and metric_a_t_plus_1 is not null group by 1, 2),
+  fit as (select team_id, season + 1 as season, avg(jump) over (partition by team_id order by season rows between 2 preceding and current row) as flat, {_DECAYED} as decayed
+    from jump window w as (partition by team_id order by season)),
+  x as (select l.event_id, l.season, l.team_id as to_team, s.wins * 1.0 / nullif(s.wins + s.losses, 0) as prior_pct, pc.payroll, pc.pct_of_cap, pc.growth_3yr, pf.park_factor,
+      fit.flat as dev_fit, fit.decayed - fit.flat as recency_bias, dm.avg_age, dm.pct_international, dm.pct_left_bat, dm.pct_pitchers, dm.avg_grade, dm.max_grade,
+      aw.avg_prior_awards, aw.pct_awarded, mi.hit_quality, mi.pitch_quality, mi.age_advantage, coalesce(r.regime_id, cast(l.team_id as varchar) || '_UNKNOWN') as regime_id
+    from v_ledger l left join v_standing s on s.team_id = l.team_id and s.season = l.season - 1
+    left join pc on pc.team_id = l.team_id and pc.season = l.season left join pf on pf.team_id = l.team_id and pf.season = l.season
+    left join fit on fit.team_id = l.team_id and fit.season = l.season left join v_regime r on r.team_id = l.team_id and r.season = l.season
+    left join dm on dm.event_id = l.event_id and dm.to_team = l.team_id left join aw on aw.event_id = l.event_id and aw.to_team = l.team_id
+    left join mi on mi.event_id = l.event_id and mi.to_team = l.team_id)
+select event_id, season, to_team, regime_id, payroll, cast(max_grade as bigint) as max_grade, round(prior_pct, 6) as prior_pct, round(pct_of_cap, 6) as pct_of_cap, round(growth_3yr, 6) as growth_3yr,
+  round(park_factor, 6) as park_factor, round(dev_fit, 6) as dev_fit, round(recency_bias, 6) as recency_bias, round(avg_age, 6) as avg_age, round(pct_international, 6) as pct_international,
+  round(pct_left_bat, 6) as pct_left_bat, round(pct_pitchers, 6) as pct_pitchers, round(avg_grade, 6) as avg_grade, round(avg_prior_awards, 6) as avg_prior_awards, round(pct_awarded, 6) as pct_awarded,
+  round(hit_quality, 6) as hit_quality, round(pitch_quality, 6) as pitch_quality, round(age_advantage, 6) as age_advantage,
+  round(prior_pct * greatest(0.0, 1.0 - coalesce(pct_of_cap, 0.5)), 6) as contention_window, round(dev_fit * greatest(0.0, 32.0 - coalesce(avg_age, 32.0)), 6) as fit_by_peak_age from x""")
+def context_matrix_q(t):
+    from swapledger.plans.features import context_matrix
+
+    rounded = ["prior_pct", "pct_of_cap", "growth_3yr", "park_factor", "dev_fit", "recency_bias", "avg_age", "pct_international",
+               "pct_left_bat", "pct_pitchers", "avg_grade", "avg_prior_awards", "pct_awarded", "hit_quality", "pitch_quality",
+               "age_advantage", "contention_window", "fit_by_peak_age"]
+    return context_matrix(t).select(
+        "event_id", "season", "to_team", "regime_id", "payroll", F.col("max_grade").cast("long").alias("max_grade"),
+        *[R(c).alias(c) for c in rounded])
+
+
 @query("JOI-11", "features_with_outcomes", """
 with e as (select w.event_id, w.to_team, w.season, avg(w.season - f.first_season) as e from v_trade w
     join (select player_id, min(season) as first_season from v_psv group by 1) f on f.player_id = w.player_id group by 1, 2, 3),

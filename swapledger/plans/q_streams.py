@@ -33,7 +33,8 @@ def counter_across_batches(t):
     target, counters = scratch_dir(t.spark, "numbered"), scratch_dir(t.spark, "counters")
     legs = t.numbered_trade.select("player_id", "season", "event_id", "leg_index", "from_team", "to_team")
     stored = materialise(legs, "moves-all")
-    for season in range(1995, 2002):  # one arrival per season, drained before the next
+    seasons = stored.select("season").distinct().orderBy("season")
+    for (season,) in seasons.collect():  # one arrival per season there is, drained before the next
         stored.where(F.col("season") == season).write.mode("append").parquet(root)
         J.number_across_batches(
             J.file_stream(t.spark, root, stored.schema), "player_id",

@@ -184,13 +184,13 @@ def partial_season_q(t):
 
 
 _ROLL = """x as (select season, value_t_minus_1 as a, value_t_plus_1 as b from v_window where value_t_minus_1 is not null and value_t_plus_1 is not null),
-  win as (select w.s as window_start, count(*) as n, case when count(*) >= 10 then corr(a, b) end as r from x join (select unnest(range(1995, 2000)) as s) w on x.season between w.s and w.s + 2 group by 1)"""
+  win as (select w.s as window_start, count(*) as n, case when count(*) >= 10 then corr(a, b) end as r from x join (select unnest(range((select min(season) from x), (select max(season) from x) - 1)) as s) w on x.season between w.s and w.s + 2 group by 1)"""
 
 
 @query("WIN-17", "rolling_correlation", f"""
 with {_ROLL} select cast(window_start as int) as window_start, n, round(r, 6) as r, round(r * sqrt((n - 2) / (1 - r * r)), 4) as t_stat from win""")
 def rolling_correlation_q(t):
-    w = S.rolling_correlation(t.window, "value_t_minus_1", "value_t_plus_1", 1995, 2001)
+    w = S.rolling_correlation(t.window, "value_t_minus_1", "value_t_plus_1")
     return w.select("window_start", "n", F.round("r", 6).alias("r"), F.round(S.correlation_t(F.col("r"), F.col("n")), 4).alias("t_stat"))
 
 
@@ -203,7 +203,7 @@ _TAIL = """pv as (select window_start, n, r, list_sum([case when i = 0 or i = 20
 @query("WIN-17", "correlation_p_value", f"""
 with {_ROLL}, {_TAIL} select cast(win.window_start as int) as window_start, win.n, round(win.r, 4) as r, round(greatest(0.0, 1 - inside), 4) as p from win left join pv on pv.window_start = win.window_start""")
 def correlation_p_value(t):
-    w = S.rolling_correlation(t.window, "value_t_minus_1", "value_t_plus_1", 1995, 2001)
+    w = S.rolling_correlation(t.window, "value_t_minus_1", "value_t_plus_1")
     # A step of its own: inside the lambda the name would otherwise mean the rounded column.
     p = w.withColumn("p", S.correlation_p(F.col("r"), F.col("n")))
     return p.select("window_start", "n", F.round("r", 4).alias("r"), F.round("p", 4).alias("p"))
@@ -213,7 +213,7 @@ def correlation_p_value(t):
 with {_ROLL}, i as (select *, row_number() over (order by window_start) - 1 as i from win where r is not null), s as (select count(*) as n, regr_slope(abs(r), i) as sl from i)
 select n as n_windows, round(case when n >= 3 then sl end, 6) as slope, case when n >= 3 and sl < -0.005 then 'declining' when n >= 3 and sl > 0.005 then 'stable' else 'too noisy to judge' end as verdict from s""")
 def decay_trend_q(t):
-    return rounded(S.decay_trend(S.rolling_correlation(t.window, "value_t_minus_1", "value_t_plus_1", 1995, 2001)), "slope")
+    return rounded(S.decay_trend(S.rolling_correlation(t.window, "value_t_minus_1", "value_t_plus_1")), "slope")
 
 
 @query("WIN-19", "change_points", """

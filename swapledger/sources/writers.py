@@ -58,13 +58,20 @@ def append_new(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[
     new_rows(read_or_none(spark, path), batch, keys, order).write.mode("append").parquet(path)
 
 
+def complete_snapshots(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the snapshots under ``root`` whose write was committed, ascending."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshot=*/_SUCCESS")
+    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or ())
+
+
 def current(spark: SparkSession, root: str) -> tuple[DataFrame | None, int]:
-    """Newest snapshot under ``root`` and its number (0 when there is none)."""
-    versions = read_or_none(spark, root)
-    if versions is None:
-        return None, 0
-    newest = versions.agg(F.max("snapshot")).first()[0]
-    return (versions.where(F.col("snapshot") == newest).drop("snapshot"), newest) if newest else (None, 0)
+    """Newest complete snapshot under ``root`` and its number (none and 0 without one).
+
+    Folder names tell it; no stored row is read.
+    """
+    numbers = complete_snapshots(spark, root)
+    return (spark.read.parquet(f"{root}/snapshot={numbers[-1]}"), numbers[-1]) if numbers else (None, 0)
 
 
 def write_snapshot(df: DataFrame, root: str, version: int) -> None:

@@ -17,3 +17,14 @@ def test_upsert_snapshots(spark, tmp_path):
     W.upsert_snapshot(spark, root, spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "k int, v string"), ["k"], ["v"])
     df, version = W.current(spark, root)
     assert version == 2 and sorted((r.k, r.v) for r in df.collect()) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def test_current_skips_unfinished_snapshots(spark, tmp_path):
+    root = str(tmp_path / "s")
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    assert W.current(spark, root) == (None, 0)
+    W.write_snapshot(df, root, 2)
+    W.write_snapshot(spark.createDataFrame([(9, "z")], "k int, v string"), root, 10)
+    (tmp_path / "s" / "snapshot=10" / "_SUCCESS").unlink()
+    found, version = W.current(spark, root)
+    assert version == 2 and found.collect() == df.collect()
