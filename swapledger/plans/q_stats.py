@@ -341,6 +341,87 @@ def model_grid(t):
     return fits.where("spec = 'q'").select(*keys, "n", F.round(F.col("beta")[1], 6).alias("slope"))
 
 
+# Two-feature least squares in centred moments, apart from the operator's normal equations.
+_GRID = """go as (select 'value' as outcome, season, fold, zq as x, zma as z, zy as y from v_z where part = 'train' union all select 'metric', season, fold, zq, zma, zy from v_metric_z where part = 'train'),
+  gk as (select go.*, k.dropped from go join (select outcome, min(season) as s0 from go group by 1) m on m.outcome = go.outcome cross join (select unnest([0, 1]) as dropped) k where go.season >= m.s0 + k.dropped),
+  ga as (select outcome, dropped, fold, count(*) as n, avg(x) as mx, avg(z) as mz, avg(y) as my, var_pop(x) as vx, var_pop(z) as vz, var_pop(y) as vy, covar_pop(x, z) as cxz, covar_pop(x, y) as cxy, covar_pop(z, y) as czy from gk group by 1, 2, 3),
+  gf as (select *, 'none' as spec, null::double as bq, null::double as bm from ga union all select *, 'q', cxy / vx, null from ga union all select *, 'ma', null, czy / vz from ga
+    union all select *, 'both', (cxy * vz - czy * cxz) / (vx * vz - cxz * cxz), (czy * vx - cxy * cxz) / (vx * vz - cxz * cxz) from ga)"""
+
+
+def outcome_trains(t, rows=None):
+    """Standardised training rows of both outcomes, labelled."""
+    rows = model_rows(t) if rows is None else rows
+    sides = [folded_rows(rows, y).where("part = 'train'").withColumn("outcome", F.lit(name)) for name, y in (("value", "y"), ("metric", "y2"))]
+    return sides[0].unionByName(sides[1])
+
+
+@query("STA-17", "model_grid_subsets", f"""
+with {_GRID} select outcome, dropped, fold, spec, n, round(my - coalesce(bq * mx, 0) - coalesce(bm * mz, 0), 6) as intercept, round(bq, 6) as slope_q, round(bm, 6) as slope_ma from gf""")
+def model_grid_subsets(t):
+    """Outcomes x training windows x folds x every feature subset, from one Gram pass.
+
+    A window leaves out no or one first season of its outcome.
+    """
+    z = G.materialise(outcome_trains(t), "grid-rows")
+    first = z.groupBy("outcome").agg(F.min("season").alias("_s0"))
+    spread = z.join(first, "outcome").withColumn("dropped", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.col("season") >= F.col("_s0") + F.col("dropped"))
+    keys, xs = ["outcome", "dropped", "fold"], ["z_q", "z_ma"]
+    fits = G.solve(G.gram(spread, keys, xs, "z_y"), keys, xs, {"none": [], "q": ["z_q"], "ma": ["z_ma"], "both": xs}, prior_sd=None)
+    slope = lambda x: F.try_element_at("beta", F.expr(f"nullif(array_position(features, '{x}'), 0)").cast("int"))
+    return rounded(fits.select(*keys, "spec", "n", F.col("beta")[0].alias("intercept"), slope("z_q").alias("slope_q"), slope("z_ma").alias("slope_ma")),
+                   "intercept", "slope_q", "slope_ma")
+
+
+_PRIORS = (0.1, 0.3, 1.0)
+
+
+def _prior_sql(outcome: str, z: str) -> str:
+    """The one-feature ridge text over a list of prior widths."""
+    from swapledger.plans.views import VIEWS
+
+    text = VIEWS["v_ridge"].replace("v_z", z).replace("1 / 0.09", "1 / (p * p)").replace("select fold, feature, n,", "select p, fold, feature, n,")
+    text = text.replace("  a as (select fold, feature, count(*)", "  a0 as (select fold, feature, count(*)").replace(
+        "from l group by 1, 2),", f"from l group by 1, 2),\n  a as (select * from a0, (select unnest({list(_PRIORS)}::double[]) as p)),", 1)
+    return f"select '{outcome}' as outcome, p as prior_sd, fold, feature, n, round(b1, 6) as beta, round(sqrt(v11), 6) as sd from ({text.strip()})"
+
+
+@query("STA-17", "model_grid_priors", f"{_prior_sql('value', 'v_z')} union all {_prior_sql('metric', 'v_metric_z')}")
+def model_grid_priors(t):
+    """Outcomes x prior widths x folds x single features; the sums are taken once for all priors."""
+    keys, xs = ["outcome", "fold"], ["z_q", "z_ma"]
+    grams = G.materialise(G.gram(outcome_trains(t), keys, xs, "z_y"), "grid-sums")
+    fits = [G.solve(grams, keys, xs, {"q": ["z_q"], "ma": ["z_ma"]}, prior_sd=p).withColumn("prior_sd", F.lit(p)) for p in _PRIORS]
+    both = fits[0].unionByName(fits[1]).unionByName(fits[2])
+    return rounded(both.select("outcome", "prior_sd", "fold", F.col("spec").alias("feature"), "n", F.col("beta")[1].alias("beta"),
+                               F.sqrt(F.col("cov")[3]).alias("sd")), "beta", "sd")
+
+
+@query("STA-16", "nested_skill", f"""
+with {_GRID}, ge as (select *, n / (n - case spec when 'both' then 3 else 2 end) * (vy - coalesce(bq * cxy, 0) - coalesce(bm * czy, 0)) as s2 from gf where outcome = 'value' and dropped = 0 and spec in ('q', 'both')),
+  gp as (select z.fold, e.spec, z.y, z.m_y, z.s_y, z.m_y + z.s_y * (my + bq * (zq - mx) + coalesce(bm * (zma - mz), 0)) as pred,
+    z.s_y * sqrt(s2 * (1 + 1.0 / n + case spec when 'q' then (zq - mx) * (zq - mx) / (n * vx)
+      else ((zq - mx) * (zq - mx) * vz - 2 * (zq - mx) * (zma - mz) * cxz + (zma - mz) * (zma - mz) * vx) / (n * (vx * vz - cxz * cxz)) end)) as psd
+    from v_z z join ge e on e.fold = z.fold where z.part = 'test'),
+  gc as (select fold, count(*) filter (where spec = 'q') as n_test, avg({crps_sql('m_y', 's_y', 'y')}) as crps_none, avg({crps_sql('pred', 'psd', 'y')}) filter (where spec = 'q') as crps_q, avg({crps_sql('pred', 'psd', 'y')}) filter (where spec = 'both') as crps_both from gp group by 1)
+select fold, n_test, round(crps_none, 6) as crps_none, round(crps_q, 6) as crps_q, round(crps_both, 6) as crps_both,
+  round(1 - crps_q / crps_none, 6) as skill_q, round(1 - crps_both / crps_none, 6) as skill_both, round(1 - crps_both / crps_q, 6) as skill_both_over_q from gc""")
+def nested_skill(t):
+    """Intercept only, one feature, both: does the larger set beat the smaller one out of sample?"""
+    z, xs = folded(t), ["z_q", "z_ma"]
+    fits = G.materialise(G.solve(G.gram(z.where("part = 'train'"), ["fold"], xs, "z_y"), ["fold"], xs, {"q": ["z_q"], "both": xs}, prior_sd=None), "nested-fits")
+    test, crps = z.where("part = 'test'"), lambda m, s: C.crps_normal(F.col(m), F.col(s), F.col("y"))
+    small = G.predict(test, fits.where("spec = 'q'"), ["fold"], ["q"])
+    small = small.withColumn("crps_q", crps("pred", "pred_sd")).drop("pred", "pred_sd", "p05", "p95", "beta", "cov", "s2", "spec")
+    wide = G.predict(small, fits.where("spec = 'both'"), ["fold"], ["q", "ma"]).withColumn("crps_both", crps("pred", "pred_sd"))
+    f = wide.groupBy("fold").agg(F.count("*").alias("n_test"), F.avg(crps("m_y", "s_y")).alias("crps_none"),
+                                 F.avg("crps_q").alias("crps_q"), F.avg("crps_both").alias("crps_both"))
+    return rounded(
+        f.withColumn("skill_q", C.skill("crps_q", "crps_none")).withColumn("skill_both", C.skill("crps_both", "crps_none"))
+        .withColumn("skill_both_over_q", C.skill("crps_both", "crps_q")),
+        "crps_none", "crps_q", "crps_both", "skill_q", "skill_both", "skill_both_over_q")
+
+
 @query("STA-18", "mass_matrix", f"""
 with {_SUMM} select feature, fold, round(mass, 6) as mass, count(*) filter (where (p05 > 0 or p95 < 0) and mass >= 0.95) over (partition by feature) as n_credible from sm""")
 def mass_matrix(t):
