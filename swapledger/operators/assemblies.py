@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swapledger.operators.legs import numbered_parts
+from swapledger.sources.writers import bundle
 
 # Name of each level code.
 LEVEL_NAME = {11: "AAA", 12: "AA", 13: "A+", 14: "A", 16: "R"}
@@ -64,3 +65,30 @@ def farm_order(players: DataFrame) -> DataFrame:
     """Sort key of a farm list: hitters by OPS descending, then pitchers by ERA ascending."""
     quality = F.when(F.col("is_pitcher"), F.coalesce("era", F.lit(99.0))).otherwise(-F.coalesce("ops", F.lit(0.0)))
     return players.withColumn("sort_group", F.col("is_pitcher").cast("int")).withColumn("sort_value", quality)
+
+
+def trade_documents(legs: DataFrame, ledger: DataFrame, size: int = 1000) -> DataFrame:
+    """One document per event: its legs in order and the ledger row of each side.
+
+    An event of more than ``size`` legs gives several documents, cut by leg ordinal; ``legs`` has
+    leg_index.  The sides, one per team, stand in the first.
+    """
+    moves = legs.select(
+        "event_id", F.floor(F.col("leg_index") / size).alias("part"), "leg_index", "season", "player_id", "from_team", "to_team")
+    sides = ledger.select("event_id", F.lit(0).cast("long").alias("part"), "team_id", "received", "given", "surplus")
+    keys = ["event_id", "part"]
+    parent = moves.select(*keys).union(sides.select(*keys)).distinct()
+    return bundle(parent, {"legs": moves, "sides": sides}, keys, {"legs": ["leg_index"], "sides": ["team_id"]})
+
+
+def player_documents(names: DataFrame, seasons: DataFrame, legs: DataFrame, size: int = 1000) -> DataFrame:
+    """One document per player: name, values by season, and the events the player moved in.
+
+    More than ``size`` events give several documents, cut by ordinal; the seasons, bounded by a
+    career, stand in the first.
+    """
+    moved = numbered_parts(legs.select("player_id", "event_id").distinct(), "player_id", "event_id", size)
+    years = seasons.select("player_id", F.lit(0).cast("long").alias("part"), "season", "value")
+    keys = ["player_id", "part"]
+    parent = moved.select(*keys).union(years.select(*keys)).distinct().join(names, "player_id", "left")
+    return bundle(parent, {"seasons": years, "events": moved}, keys, {"seasons": ["season"], "events": ["event_id"]})

@@ -331,6 +331,43 @@ def document_export(t):
     return d.select("team_id", "team_name", n("seasons").alias("n_seasons"), n("people").alias("n_people"), F.try_element_at("seasons", lit(1))["wins"].alias("first_wins"))
 
 
+@query("SRC-22", "trade_export", """
+with g as (select event_id, cast(leg_index // 4 as bigint) as part, count(*) as n_legs, arg_min(player_id, leg_index) as first_player from v_trade group by 1, 2),
+  s as (select event_id, 0::bigint as part, count(*) as n_sides, round(max(surplus), 6) as best_surplus from v_ledger group by 1)
+select coalesce(g.event_id, s.event_id) as event_id, coalesce(g.part, s.part) as part, coalesce(n_legs, 0) as n_legs, first_player, coalesce(n_sides, 0) as n_sides, best_surplus
+from g full join s on s.event_id = g.event_id and s.part = g.part""")
+def trade_export(t):
+    """Trades as JSON documents of at most four legs, read back."""
+    from swapledger.operators.assemblies import trade_documents
+
+    path = scratch_dir(t.spark, "trade-documents")
+    W.write_documents(trade_documents(t.numbered_trade, t.ledger, size=4), path)
+    d = t.spark.read.schema("event_id long, part long, legs array<struct<leg_index:long,season:int,player_id:long,from_team:int,to_team:int>>, "
+                            "sides array<struct<team_id:int,received:double,given:double,surplus:double>>").json(path)
+    n = lambda c: F.coalesce(F.array_size(c), lit(0)).cast("long")
+    return d.select("event_id", "part", n("legs").alias("n_legs"), F.try_element_at("legs", lit(1))["player_id"].alias("first_player"), n("sides").alias("n_sides"),
+                    F.round(F.array_max(F.transform("sides", lambda s: s["surplus"])), 6).alias("best_surplus"))
+
+
+@query("SRC-22", "player_export", """
+with m as (select player_id, event_id, cast((row_number() over (partition by player_id order by event_id) - 1) // 8 as bigint) as part from (select distinct player_id, event_id from v_trade)),
+  g as (select player_id, part, count(*) as n_events, min(event_id) as first_event from m group by 1, 2),
+  s as (select player_id, 0::bigint as part, count(*) as n_seasons, round(arg_min(value, season), 6) as first_value from v_psv group by 1)
+select coalesce(g.player_id, s.player_id) as player_id, coalesce(g.part, s.part) as part, p_name as player_name, coalesce(n_events, 0) as n_events, first_event, coalesce(n_seasons, 0) as n_seasons, first_value
+from g full join s on s.player_id = g.player_id and s.part = g.part left join part on p_partkey = coalesce(g.player_id, s.player_id)""")
+def player_export(t):
+    """Players as JSON documents of at most eight events, read back."""
+    from swapledger.operators.assemblies import player_documents
+
+    path = scratch_dir(t.spark, "player-documents")
+    names = t.base("part").select(F.col("p_partkey").alias("player_id"), F.col("p_name").alias("player_name"))
+    W.write_documents(player_documents(names, t.psv, t.trade, size=8), path)
+    d = t.spark.read.schema("player_id long, part long, player_name string, seasons array<struct<season:int,value:double>>, events array<struct<event_id:long>>").json(path)
+    n = lambda c: F.coalesce(F.array_size(c), lit(0)).cast("long")
+    return d.select("player_id", "part", "player_name", n("events").alias("n_events"), F.try_element_at("events", lit(1))["event_id"].alias("first_event"),
+                    n("seasons").alias("n_seasons"), F.round(F.try_element_at("seasons", lit(1))["value"], 6).alias("first_value"))
+
+
 @query("SRC-23", "index_export", "select n_regionkey as division_id, count(*) as n, string_agg(cast(n_nationkey as varchar), ',' order by n_nationkey) as ids from nation group by 1")
 def index_export(t):
     path = scratch_dir(t.spark, "index")

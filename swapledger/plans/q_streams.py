@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from swapledger.operators import playlog as P
+from swapledger.plans.q_aggregates import rounded
+from swapledger.plans.q_summaries import _PLAYS, plays_of
 from swapledger.plans.registry import query
 from swapledger.session import scratch_dir
 from swapledger.streaming import jobs as J
@@ -66,6 +69,20 @@ def sessions(t):
     return t.spark.read.parquet(target).select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "n_events", F.round(F.col("total").cast("double"), 4).alias("total"))
 
 
+@query("STR-04", "streamed_appearances", f"""
+with {_PLAYS} select game_id, pitcher, n_batters, round(avg_li, 9) as avg_li, round(share_high, 9) as share_high, round(share_low, 9) as share_low, is_reliever from app""")
+def streamed_appearances(t):
+    """Appearances from a log that arrives in four batches, rows of a game in any order."""
+    arrivals, log, results = (scratch_dir(t.spark, f"plays-{x}") for x in ("arrivals", "log", "results"))
+    t.base("events").select(F.col("user_id").alias("game_id"), "event_id", "ts", "event_type", "value").repartition(8, "event_id").write.parquet(arrivals)
+    schema = t.spark.read.parquet(arrivals).schema
+    J.rebuild_touched(
+        J.file_stream(t.spark, arrivals, schema, files_per_batch=2), "game_id", ["event_id"],
+        lambda rows: P.appearances(plays_of(t.cut_log(rows))), log, results)
+    return rounded(J.newest_results(t.spark, results, "game_id"), "avg_li", "share_high", "share_low", digits=9).select(
+        "game_id", "pitcher", "n_batters", "avg_li", "share_high", "share_low", "is_reliever")
+
+
 @query("STR-05", "daily_rollups", """
 with m as (select max(ts) as m from events) select event_type, date_trunc('day', ts) as started, count(*) as n_events, round(cast(sum(cast(value as decimal(18,4))) as double), 4) as total from events, m
 group by 1, 2, m.m having date_trunc('day', ts) + interval 1 day <= m.m - interval 6 hours""")

@@ -226,9 +226,14 @@ def events_per_season(t):
 
 
 def plays(t):
-    """The event log as plays: an error opens a half, a signup brings in a pitcher."""
+    """Plays of the whole event log."""
+    return plays_of(t.log)
+
+
+def plays_of(log):
+    """An event log as plays: an error opens a half, a signup brings in a pitcher."""
     log = (
-        t.log.withColumn("chg", (F.col("event_type") == "error").cast("int"))
+        log.withColumn("chg", (F.col("event_type") == "error").cast("int"))
         .withColumn("p0", F.when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 0), F.col("event_id")))
         .withColumn("p1", F.when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 1), F.col("event_id")))
         .withColumn("n_outs", (F.col("event_type") == "view").cast("int"))

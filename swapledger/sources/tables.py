@@ -243,7 +243,10 @@ class Tables:
     @cached_property
     def log(self) -> DataFrame:
         """Play log without numbering: order is (ts, event_id) inside a game."""
-        e = self.base("events").select(F.col("user_id").alias("game_id"), "event_id", "ts", "event_type", "value")
+        return self.cut_log(self.base("events").select(F.col("user_id").alias("game_id"), "event_id", "ts", "event_type", "value"))
+
+    def cut_log(self, e: DataFrame) -> DataFrame:
+        """A log with the ordered buckets of its hot games."""
         at = F.unix_micros(F.col("ts").cast("timestamp"))
         return with_buckets(e, hot_keys(e, "game_id", at, self.hot_rows), "game_id", at, "bucket")
 

@@ -110,6 +110,37 @@ def latest_per_key(stream: DataFrame, key: str, order: Sequence[str], keep: Sequ
     run_batches(newest, each, mode="update", purpose="latest")
 
 
+def rebuild_touched(
+    stream: DataFrame, key: str, ident: Sequence[str], build: Callable[[DataFrame], DataFrame], log: str, results: str
+) -> None:
+    """Keep a per-key result of an ordered log up to date, however late its rows arrive.
+
+    A batch appends its rows to the log and rebuilds the result of the keys it touches from
+    all their rows; other keys are neither read again nor rewritten.  Repeats of ``ident`` count
+    once.  Log rows and results lie in a folder of the batch, so a replay overwrites its own work.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        so_far = spark.read.parquet(log).where(F.col("batch") <= batch_id)
+        touched = so_far.where(F.col("batch") == batch_id).select(key).distinct()
+        rows = so_far.drop("batch").join(touched, key, "left_semi").dropDuplicates(list(ident))
+        build(rows).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
+
+    run_batches(stream, each, purpose="rebuild")
+
+
+def newest_results(spark: SparkSession, results: str, key: str) -> DataFrame:
+    """Results of the last batch that gave rows for each key.
+
+    Logs only grow, so a key that once had a result has one after every rebuild.
+    """
+    found = spark.read.parquet(results)
+    last = found.groupBy(key).agg(F.max("batch").alias("batch"))
+    return found.join(last, [key, "batch"], "left_semi").drop("batch")
+
+
 def sessions(stream: DataFrame, key: str, aggs: dict[str, Column], gap: str = "2 hours", column: str = "ts") -> DataFrame:
     """Per-key sessions of an ordered log; late rows inside the watermark still count."""
     return (
