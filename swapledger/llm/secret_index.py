@@ -8,7 +8,9 @@ trigrams scans every document.  Blocks are independent, so the scan needs no shu
 hot source or a very long text stays where it is, and a lost executor repeats its blocks.
 
 Defined results: null text is empty; offsets count characters, the end is exclusive;
-matches of one rule never overlap, those of different rules may.
+matches of one rule never overlap, those of different rules may.  A private key runs from
+its BEGIN line to the END line of the same label; where the next line of five dashes is not
+that END line, to the last base64 line after BEGIN.
 """
 
 from __future__ import annotations
@@ -37,12 +39,19 @@ class Rule:
     least: int = 1
 
 
+#: What follows a BEGIN line: anything without five dashes up to the END line of the same label (group 1), or else
+#: the header lines and base64 that are there: long runs after any line break, quote or comment sign, and lines of nothing else.
+_TO_END = r"[^-]*+(?:-{1,4}+(?!-)[^-]*+)*+-----END \1PRIVATE KEY-----"
+_HEADERS = r"(?:(?:\s|\\[nr])*+(?:Proc-Type|DEK-Info):\s?[^\s\\]++)*+"
+_RUN = r"""(?:\s|\\[nrt]|[\\"'+,>#*|/])*+[A-Za-z0-9+/]{16,}+={0,2}"""
+_LINE = r"""(?:[^\S\n]|\\r|["'+,])*+(?:\n|\\n)(?:[^\S\n]|[>#*|"'])*+[A-Za-z0-9+/]++={0,2}(?=[^\S\n]*+(?:\Z|\n|\\[nr]|["']))"""
+
 #: The three base rules, then further ones, in the order in which kinds are listed.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]+", 0, 16),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:{_TO_END}|{_HEADERS}(?:{_RUN}|{_LINE})*+)"),
     Rule("forge_token", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
