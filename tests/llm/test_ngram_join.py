@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from swapledger.llm import ngram_join as nj
@@ -82,6 +83,22 @@ def test_prefix_depth_reaches_recall():
     assert 1 - (1 - 0.8**d) ** nj.TREES >= nj.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** nj.TREES
 
 
+def test_pairs_at_the_threshold_meet():
+    assert 1 - (1 - 0.8 ** nj.prefix_depth()) ** nj.TREES >= 0.9999
+    rnd, pairs = random.Random(11), 12_000
+    texts = []
+    for _ in range(pairs):
+        w = [f"w{rnd.getrandbits(48):x}" for _ in range(14)]
+        texts += [" ".join(w[:13]), " ".join([*w[:12], w[13]])]  # 8 of 10 shingles are common
+    a, b = shingles(texts[0]), shingles(texts[1])
+    assert len(a & b) / len(a | b) == 0.8
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(n), "text": texts, "text_hash": range(n)})
+    nodes = [x for out in nj._signatures("text", nj.prefix_depth())(iter([batch])) for x in out.column("nodes").to_pylist()]
+    lost = sum(not set(x) & set(y) for x, y in zip(nodes[::2], nodes[1::2]))
+    assert lost <= 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (200, 201)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
