@@ -186,7 +186,9 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     )
     texts = written(
         signed.where("size > 0").groupBy("text_key")
-        .agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("low_id"), F.count("*").alias("copies"), F.first("nodes").alias("nodes")),
+        .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("low_id"), F.col("text_hash").alias("low_hash"))).alias("low"),
+             F.count("*").alias("copies"), F.first("nodes").alias("nodes"))
+        .select("text_key", "low.*", "copies", "nodes"),
         "forest-texts",
     )
     member = texts.select("text_key", F.explode("nodes").alias("node"))
@@ -196,14 +198,16 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     size = cluster.groupBy("root").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("long").alias("parts"))
     placed = written(
         cluster.join(size, "root").join(texts.drop("nodes").withColumnRenamed("text_key", "node"), "node")
-        .select(F.col("root").alias("cluster"), F.col("node").alias("text_key"), "low_id", "copies", "parts",
+        .select(F.col("root").alias("cluster"), F.col("node").alias("text_key"), "low_id", "low_hash", "copies", "parts",
                 F.pmod(F.xxhash64("node"), "parts").alias("part")),
         "forest-clusters",
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    # Ids may be null or repeated, so a text is met by id and hash; rows equal in both are one before they are dealt.
+    own = given.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("low_id"), F.xxhash64("text").alias("low_hash")).agg(F.first("text").alias("text"))
     # Members grow with the corpus: the texts meet them by sort-merge at every size.
     cells = (
-        given.withColumn("low_id", F.coalesce("doc_id", F.lit(_NO_ID))).join(placed.hint("merge"), "low_id")
+        own.join(placed.hint("merge"), ["low_id", "low_hash"])
         .select("text", "text_key", "copies", "cluster", "part", other.alias("other"))
         .select("text", "text_key", "copies", "cluster", "part", F.least("part", "other").alias("low"),
                 F.greatest("part", "other").alias("high"))

@@ -72,6 +72,29 @@ def test_equals_brute_force(spark, monkeypatch, cell):
     assert ids == sorted({w[1] for w in want})
 
 
+def test_null_and_equal_ids_meet_their_own_text_only(spark, monkeypatch):
+    verify = nj._verify
+
+    def strict(threshold):
+        inner = verify(threshold)
+
+        def once(frame):
+            assert frame["text_key"].is_unique, "a cell got rows of other texts, or one text twice"
+            return inner(frame)
+
+        return once
+
+    monkeypatch.setattr(nj, "_verify", strict)
+    rows = corpus()
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else i, t) for k, (i, t) in enumerate(rows)]
+    rows += [(None, rows[0][1])] * 20
+    got = [(str(r.doc_id), r.class_id, r.n_links) for r in nj.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    last = 2**62  # null counts as the largest id
+    want = brute([(last if i is None else i, t) for i, t in rows])
+    want = [("None" if d == str(last) else d, None if c == last else c, n) for d, c, n in want]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nj.near_links(df).collect() == []
