@@ -342,7 +342,7 @@ def model_grid(t):
 
 
 # Two-feature least squares in centred moments, apart from the operator's normal equations.
-_GRID = """go as (select 'value' as outcome, season, fold, zq as x, zma as z, zy as y from v_z where part = 'train' union all select 'metric', season, fold, zq, zma, zy from v_metric_z where part = 'train'),
+_GRID_CTES = """go as (select 'value' as outcome, season, fold, zq as x, zma as z, zy as y from v_z where part = 'train' union all select 'metric', season, fold, zq, zma, zy from v_metric_z where part = 'train'),
   gk as (select go.*, k.dropped from go join (select outcome, min(season) as s0 from go group by 1) m on m.outcome = go.outcome cross join (select unnest([0, 1]) as dropped) k where go.season >= m.s0 + k.dropped),
   ga as (select outcome, dropped, fold, count(*) as n, avg(x) as mx, avg(z) as mz, avg(y) as my, var_pop(x) as vx, var_pop(z) as vz, var_pop(y) as vy, covar_pop(x, z) as cxz, covar_pop(x, y) as cxy, covar_pop(z, y) as czy from gk group by 1, 2, 3),
   gf as (select *, 'none' as spec, null::double as bq, null::double as bm from ga union all select *, 'q', cxy / vx, null from ga union all select *, 'ma', null, czy / vz from ga
@@ -357,7 +357,7 @@ def outcome_trains(t, rows=None):
 
 
 @query("STA-17", "model_grid_subsets", f"""
-with {_GRID} select outcome, dropped, fold, spec, n, round(my - coalesce(bq * mx, 0) - coalesce(bm * mz, 0), 6) as intercept, round(bq, 6) as slope_q, round(bm, 6) as slope_ma from gf""")
+with {_GRID_CTES} select outcome, dropped, fold, spec, n, round(my - coalesce(bq * mx, 0) - coalesce(bm * mz, 0), 6) as intercept, round(bq, 6) as slope_q, round(bm, 6) as slope_ma from gf""")
 def model_grid_subsets(t):
     """Outcomes x training windows x folds x every feature subset, from one Gram pass.
 
@@ -398,7 +398,7 @@ def model_grid_priors(t):
 
 
 @query("STA-16", "nested_skill", f"""
-with {_GRID}, ge as (select *, n / (n - case spec when 'both' then 3 else 2 end) * (vy - coalesce(bq * cxy, 0) - coalesce(bm * czy, 0)) as s2 from gf where outcome = 'value' and dropped = 0 and spec in ('q', 'both')),
+with {_GRID_CTES}, ge as (select *, n / (n - case spec when 'both' then 3 else 2 end) * (vy - coalesce(bq * cxy, 0) - coalesce(bm * czy, 0)) as s2 from gf where outcome = 'value' and dropped = 0 and spec in ('q', 'both')),
   gp as (select z.fold, e.spec, z.y, z.m_y, z.s_y, z.m_y + z.s_y * (my + bq * (zq - mx) + coalesce(bm * (zma - mz), 0)) as pred,
     z.s_y * sqrt(s2 * (1 + 1.0 / n + case spec when 'q' then (zq - mx) * (zq - mx) / (n * vx)
       else ((zq - mx) * (zq - mx) * vz - 2 * (zq - mx) * (zma - mz) * cxz + (zma - mz) * (zma - mz) * vx) / (n * (vx * vz - cxz * cxz)) end)) as psd
