@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swapledger.llm import (
-    block_topk, bpe_backtrack, fingerprint, language_id, ngram_join, packing, quality_fm, rans_store, secret_index, suffix_dedup,
+    block_topk, bpe_backtrack, centroid_clusters, covering_simhash, fingerprint, language_id, ngram_join, packing, quality_fm,
+    rans_store, secret_index, suffix_dedup, whitening,
 )
 from swapledger.llm.common import read_table
 
@@ -75,6 +76,21 @@ def op10_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = covering_simhash.near_classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), F.col("class_id").alias("component_id"))
+
+
+def op12_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read_table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op13_centroid_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.clusters(read_table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid_clusters.listed_sha256(F.col("centroid")).alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,15 +113,49 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+def _op13() -> str:
+    """Seeds, three rounds and the last assignment as chained CTEs."""
+    ctes = ["""v as (
+  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as e from embeddings
+  where len(embedding) = 64 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), c0 as (
+  select cast(row_number() over (order by sha256('1:' || vec_id), e) - 1 as integer) as cluster, e from v where vec_id is not null
+  qualify cluster < 16
+)"""]
+    for r in range(4):
+        ctes.append(f"""d{r} as (
+  select v.vec_id, v.e, c.cluster, cast(list_sum([(v.e[i] - c.e[i]) * (v.e[i] - c.e[i]) for i in range(1, 65)]) as bigint) as distance
+  from v cross join c{r} c
+), a{r} as (
+  select vec_id, e, min(struct_pack(distance := distance, cluster := cluster)) as near from d{r} group by vec_id, e
+)""")
+        if r < 3:
+            ctes.append(f"""s{r} as (
+  select a.near.cluster as cluster, i, sum(a.e[i]) as t, count(*) as n from a{r} a, (select unnest(range(1, 65)) as i) group by 1, 2
+), m{r} as (
+  select cluster, list(cast((t - ((t % n) + n) % n) // n as bigint) order by i) as e from s{r} group by cluster
+), c{r + 1} as (
+  select c.cluster, coalesce(m.e, c.e) as e from c{r} c left join m{r} m on m.cluster = c.cluster
+)""")
+    return "with " + ", ".join(ctes) + """, w as (
+  select near.cluster as cluster, cast(sum(near.distance) as bigint) as cluster_inertia from a3 group by 1
+)
+select a.vec_id, a.near.cluster as cluster, a.near.distance as distance, w.cluster_inertia,
+       (select cast(sum(cluster_inertia) as bigint) from w) as inertia, sha256(list_aggregate(c.e, 'string_agg', ',')) as centroid_sha256
+from a3 a join w on w.cluster = a.near.cluster join c3 c on c.cluster = a.near.cluster
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Registered queries by name."""
     fns = (
         op1_sum_of_squares_packing, op2_quality_fm, op3_bottom_k_fingerprint, op4_rans_token_ids, op5_suffix_dedup,
-        op6_backtracking_bpe, op7_ngram_jaccard_join, op8_language_backoff, op9_secret_trigrams, op10_block_topk, pipeline,
+        op6_backtracking_bpe, op7_ngram_jaccard_join, op8_language_backoff, op9_secret_trigrams, op10_block_topk, op11_covering_simhash,
+        op12_bit_sliced_whitening, op13_centroid_expressions, pipeline,
     )
     return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express on whole tables."""
-    return {"op10_block_topk": _OP10}
+    return {"op10_block_topk": _OP10, "op13_centroid_expressions": _op13()}
