@@ -13,8 +13,6 @@ def con():
     return duck(SF)
 
 
-
-
 def test_every_query_but_the_robust_fit_has_an_oracle():
     assert set(all_queries()) - set(all_oracles()) == {"sta_03_robust_posterior"}
 
