@@ -42,7 +42,12 @@ def hot_keys(df: DataFrame, key: str, position: Column, hot_rows: int = HOT_ROWS
 
 
 def with_buckets(df: DataFrame, hot: DataFrame, key: str, position: Column, name: str = "bucket") -> DataFrame:
-    """Add the bucket: 0 for ordinary keys, 1 and up along the position for hot ones."""
+    """Add the bucket: 0 for ordinary keys, 1 and up along the position for hot ones.
+
+    Without hot keys the bucket is a constant, and scans lose their parts for cut keys.
+    """
+    if hot.isEmpty():
+        return df.withColumn(name, F.lit(0).cast("long"))
     at = F.size(F.filter("_cuts", lambda c: c < F.col("_at"))) + 1
     return (
         df.withColumn("_at", position.cast("double")).join(F.broadcast(hot), key, "left")

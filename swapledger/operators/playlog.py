@@ -1,18 +1,18 @@
 """Ordered play logs: carried state, appearances, leverage, platoon splits.
 
 A log is (game_id, bucket, order columns, record kind ...).  State is carried
-with the split scans, so one huge game is never sorted in one task.
+from bucket to bucket, so one huge game is never sorted in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swapledger.functions.scalars import lookup
-from swapledger.functions.scans import carry_last, running_sum
+from swapledger.operators.regress import materialise
 
 # Leverage by inning (9 = ninth or later), half (0 top, 1 bottom), outs, base mask.
 LEVERAGE = {
@@ -94,21 +94,52 @@ def carry_state(
     pitcher_0: str,
     pitcher_1: str,
     outs: str,
+    split: bool = True,
 ) -> DataFrame:
     """Half-inning, inning, current pitcher of the fielding side, and outs before each row.
 
     ``half_change`` is 1 on rows that open a new half; ``pitcher_0`` / ``pitcher_1``
     hold a pitcher id on rows that bring one in for a side, else NULL.  Home (side
     1) fields in the top half.  Outs start again after three.
+
+    The state (halves so far, both pitchers, outs since the last half) composes: a stretch of
+    rows maps the state before it to the state after it, and two stretches make a third.  So
+    one sort gives every row the state of its own bucket, the last row of a bucket of a hot
+    game is that bucket's map, and the maps of the buckets before are put together and applied.
+    Ordinary games are one bucket, and where no game is cut the second part falls out of the plan.
     """
-    rows = running_sum(log, [game], bucket, order, {"half_no": half_change})
-    rows = carry_last(rows, [game], bucket, order, {"_p0": pitcher_0, "_p1": pitcher_1})
-    rows = rows.withColumn("half", (F.col("half_no") % 2).cast("int")).withColumn(
-        "inning", (F.floor(F.col("half_no") / 2) + 1).cast("int")
+    parts = [game, bucket]
+    w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    one = F.coalesce(F.col(half_change).cast("long"), F.lit(0).cast("long"))
+    made = F.coalesce(F.col(outs).cast("long"), F.lit(0).cast("long"))
+    local = (
+        log.repartition(*parts)
+        .withColumns({"_half": F.sum(one).over(w), "_p0": F.last(pitcher_0, True).over(w), "_p1": F.last(pitcher_1, True).over(w),
+                      "_all": F.sum(made).over(w)})
+        # Outs made before the half was opened; none opened yet leaves it NULL.
+        .withColumn("_base", F.last(F.when(one > 0, F.col("_all") - made), True).over(w))
     )
-    rows = rows.withColumn("pitcher", F.when(F.col("half") == 0, F.col("_p1")).otherwise(F.col("_p0"))).drop("_p0", "_p1")
-    counted = running_sum(rows, [game, "half_no"], bucket, order, {"_outs": outs}, inclusive=False)
-    return counted.withColumn("outs_before", (F.col("_outs") % 3).cast("int")).drop("_outs")
+    if split:
+        # Read twice, by the bucket maps and by the rows: kept, so that the log is read and sorted once.
+        local = materialise(local, "log-scan")
+    end = F.max_by(F.struct("_half", "_p0", "_p1", "_all", "_base"), F.struct(*order)).alias("e")
+    maps = local.where(F.col(bucket) > 0).groupBy(*parts).agg(end).select(*parts, "e.*")
+    # At most CUTS buckets for each hot game.
+    upto = Window.partitionBy(game).orderBy(bucket)
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    placed = maps.withColumn("_t", F.sum("_all").over(upto)).withColumn("_b", F.col("_t") - F.col("_all") + F.col("_base"))
+    carried = placed.select(
+        *parts, F.coalesce(F.sum("_half").over(before), F.lit(0)).alias("_c_half"), F.last("_p0", True).over(before).alias("_c_p0"),
+        F.last("_p1", True).over(before).alias("_c_p1"),
+        (F.coalesce(F.sum("_all").over(before), F.lit(0)) - F.coalesce(F.last("_b", True).over(before), F.lit(0))).alias("_c_outs"))
+    rows = local.join(carried, parts, "left")
+    half_no = F.col("_half") + F.coalesce("_c_half", F.lit(0))
+    so_far = F.col("_all") - made
+    since = F.when(F.col("_base").isNull(), F.coalesce("_c_outs", F.lit(0)) + so_far).otherwise(so_far - F.col("_base"))
+    return rows.select(
+        *log.columns, half_no.alias("half_no"), (half_no % 2).cast("int").alias("half"), (F.floor(half_no / 2) + 1).cast("int").alias("inning"),
+        F.when(half_no % 2 == 0, F.coalesce("_p1", "_c_p1")).otherwise(F.coalesce("_p0", "_c_p0")).alias("pitcher"),
+        (since % 3).cast("int").alias("outs_before"))
 
 
 def appearances(plays: DataFrame, game: str = "game_id", high: float = 1.5, low: float = 0.7) -> DataFrame:

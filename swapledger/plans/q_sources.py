@@ -21,6 +21,7 @@ from swapledger.sources import constants as K
 from swapledger.sources import markup as M
 from swapledger.sources import records as R
 from swapledger.sources import writers as W
+from swapledger.sources.keyed import KeyedTable
 from swapledger.sources.tables import SCALE
 
 lit = F.lit
@@ -269,6 +270,31 @@ def insert_if_absent(t):
     return t.spark.read.parquet(path)
 
 
+@query("SRC-17", "bucketed_insert", """
+select player_id, season, arg_min(value, season) as value, 'old' as source from v_psv where season < 1999 group by 1, 2
+union all select player_id, season, value + 1, 'new' from v_psv where not (season < 1999) and season <= 2001""")
+def bucketed_insert(t):
+    """The same two loads into a table in hash buckets, whose stored rows are not written again."""
+    table = KeyedTable(t.spark, scratch_dir(t.spark, "keyed"), ["player_id", "season"], buckets=16)
+    a = t.psv.where("season < 1999").withColumn("source", lit("old"))
+    b = t.psv.where("season <= 2001").select("player_id", "season", (F.col("value") + 1).alias("value"), lit("new").alias("source"))
+    table.insert(a.unionByName(a), ["value"])
+    table.insert(b, ["value"])
+    return table.read()
+
+
+@query("SRC-18", "bucketed_replace", """
+select player_id, season, value, 'old' as source from v_psv where player_id % 40 <> 0 or season < 1998 or season > 2000
+union all select player_id, season, value + 1, 'new' from v_psv where player_id % 40 = 0 and season between 1998 and 2000""")
+def bucketed_replace(t):
+    """Replace-on-key of some players' rows: only the buckets they fall into are written."""
+    table = KeyedTable(t.spark, scratch_dir(t.spark, "keyed"), ["player_id", "season"], buckets=16)
+    table.upsert(t.psv.withColumn("source", lit("old")), ["value"])
+    table.upsert(t.psv.where("player_id % 40 = 0 and season between 1998 and 2000").select(
+        "player_id", "season", (F.col("value") + 1).alias("value"), lit("new").alias("source")), ["value"])
+    return table.read()
+
+
 @query("SRC-18", "replace_on_key", """
 select player_id, season, value, 'old' as source from v_psv where season < 1998 union all select player_id, season, value + 1, 'new' from v_psv where season between 1998 and 2000
 union all select player_id, season, value, 'old' from v_psv where season > 2000""")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swapledger.operators import playlog as P
+from swapledger.operators.regress import materialise
 from swapledger.plans.q_aggregates import rounded
 from swapledger.plans.q_summaries import _PLAYS, plays_of
 from swapledger.plans.registry import query
 from swapledger.session import scratch_dir
+from swapledger.sources.keyed import KeyedTable
 from swapledger.streaming import jobs as J
 
 
@@ -18,40 +20,50 @@ def events(t, files_per_batch=None):
 
 @query("STR-01", "idempotent_ingest", "select event_id, user_id, event_type, value from events")
 def idempotent_ingest(t):
-    """The event file arrives twice; every key lands once."""
-    target = scratch_dir(t.spark, "ingested")
+    """The event file arrives twice, then in a second stream once more; every key lands once."""
+    table = KeyedTable(t.spark, scratch_dir(t.spark, "ingested"), ["event_id"])
     both = J.event_time(events(t).union(events(t)), delay="2 hours")
-    J.ingest_once(both, ["event_id"], target, ["ts"])
-    J.ingest_once(J.event_time(events(t), delay="2 hours"), ["event_id"], target, ["ts"])
-    return t.spark.read.parquet(target).select("event_id", "user_id", "event_type", "value")
+    J.ingest_once(both, table, ["ts"], "first")
+    J.ingest_once(J.event_time(events(t), delay="2 hours"), table, ["ts"], "again")
+    return table.read().select("event_id", "user_id", "event_type", "value")
+
+
+#: Last seasons of the deliveries; the last one takes what is left.
+DELIVERIES = (1996, 1998, None)
+#: Files of a delivery, which make up one batch.
+FILES = 4
 
 
 @query("STR-02", "counter_across_batches", """
 select player_id, season, event_id, from_team, to_team, row_number() over (partition by player_id order by season, event_id, leg_index) - 1 as move_no from v_trade""")
 def counter_across_batches(t):
-    """Move counter of each player over one arrival of files per season."""
-    from swapledger.operators.regress import materialise
-
-    root, checkpoint = scratch_dir(t.spark, "moves"), scratch_dir(t.spark, "number-checkpoint")
-    target, counters = scratch_dir(t.spark, "numbered"), scratch_dir(t.spark, "counters")
-    legs = t.numbered_trade.select("player_id", "season", "event_id", "leg_index", "from_team", "to_team")
+    """Move counter of each player over three deliveries of files, one stream."""
+    arrivals, target = scratch_dir(t.spark, "moves"), scratch_dir(t.spark, "numbered")
+    legs = t.numbered_trade.select(
+        "player_id", "season", "event_id", "leg_index", "from_team", "to_team",
+        F.make_timestamp("season", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("at"))
     stored = materialise(legs, "moves-all")
-    seasons = stored.select("season").distinct().orderBy("season")
-    for (season,) in seasons.collect():  # one arrival per season there is, drained before the next
-        stored.where(F.col("season") == season).write.mode("append").parquet(root)
-        J.number_across_batches(
-            J.file_stream(t.spark, root, stored.schema), "player_id",
-            F.col("season") * F.lit(1e12) + F.col("event_id"), ["season", "event_id", "leg_index"], target, counters, "move_no", checkpoint)
+    after = None
+    for i, last in enumerate(DELIVERIES):
+        part = F.lit(True) if after is None else F.col("season") > after
+        part = part if last is None else part & (F.col("season") <= last)
+        stored.where(part).repartition(FILES).write.parquet(f"{arrivals}/delivery{i}")
+        after = last
+    stream = J.file_stream(t.spark, f"{arrivals}/*", stored.schema, files_per_batch=FILES)
+    J.number_across_batches(stream, "player_id", ["season", "event_id", "leg_index"], "at", target, "move_no", idle="7300 days")
     return t.spark.read.parquet(target).select("player_id", "season", "event_id", "from_team", "to_team", "move_no")
 
 
-@query("STR-03", "latest_per_key", "select user_id, arg_max(event_id, ts) as event_id, arg_max(event_type, ts) as event_type from events group by 1")
+@query("STR-03", "latest_per_key", """
+select user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) as event_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) as event_type from events group by 1""")
 def latest_per_key(t):
-    root = scratch_dir(t.spark, "latest")
-    J.latest_per_key(events(t), "user_id", ["ts", "event_id"], ["event_type"], root)
-    from swapledger.sources.writers import current
-
-    return current(t.spark, root)[0].select("user_id", "event_id", "event_type")
+    """Newest event of each user, by (ts, event_id), from events that arrive in four batches."""
+    arrivals = scratch_dir(t.spark, "inbox")
+    t.base("events").select("user_id", "event_id", "event_type", "ts").repartition(8, "event_id").write.parquet(arrivals)
+    stream = J.file_stream(t.spark, arrivals, t.spark.read.parquet(arrivals).schema, files_per_batch=2)
+    table = KeyedTable(t.spark, scratch_dir(t.spark, "latest"), ["user_id"])
+    J.latest_per_key(stream, table, ["ts", "event_id"], "inbox")
+    return table.read().select("user_id", "event_id", "event_type")
 
 
 _SESS = """s as (select *, case when ts - lag(ts) over w < interval 2 hours then 0 else 1 end as cut from events window w as (partition by user_id order by ts, event_id)),
@@ -73,13 +85,14 @@ def sessions(t):
 with {_PLAYS} select game_id, pitcher, n_batters, round(avg_li, 9) as avg_li, round(share_high, 9) as share_high, round(share_low, 9) as share_low, is_reliever from app""")
 def streamed_appearances(t):
     """Appearances from a log that arrives in four batches, rows of a game in any order."""
-    arrivals, log, results = (scratch_dir(t.spark, f"plays-{x}") for x in ("arrivals", "log", "results"))
+    arrivals = scratch_dir(t.spark, "plays-arrivals")
     t.base("events").select(F.col("user_id").alias("game_id"), "event_id", "ts", "event_type", "value").repartition(8, "event_id").write.parquet(arrivals)
-    schema = t.spark.read.parquet(arrivals).schema
-    J.rebuild_touched(
-        J.file_stream(t.spark, arrivals, schema, files_per_batch=2), "game_id", ["event_id"],
-        lambda rows: P.appearances(plays_of(t.cut_log(rows))), log, results)
-    return rounded(J.newest_results(t.spark, results, "game_id"), "avg_li", "share_high", "share_low", digits=9).select(
+    stream = J.file_stream(t.spark, arrivals, t.spark.read.parquet(arrivals).schema, files_per_batch=2)
+    results = KeyedTable(t.spark, scratch_dir(t.spark, "plays-results"), ["game_id"])
+    # Groups are whole and ordinary in size here, so no key is cut.
+    build = lambda rows: P.appearances(plays_of(rows.withColumn("bucket", F.lit(0).cast("long"))))
+    J.rebuild_touched(stream, "game_id", ["event_id"], "ts", build, results, "plays")
+    return rounded(results.read(), "avg_li", "share_high", "share_low", digits=9).select(
         "game_id", "pitcher", "n_batters", "avg_li", "share_high", "share_low", "is_reliever")
 
 

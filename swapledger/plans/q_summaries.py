@@ -227,10 +227,11 @@ def events_per_season(t):
 
 def plays(t):
     """Plays of the whole event log."""
-    return plays_of(t.log)
+    log = t.log
+    return plays_of(log, t.log_is_split)
 
 
-def plays_of(log):
+def plays_of(log, split=False):
     """An event log as plays: an error opens a half, a signup brings in a pitcher."""
     log = (
         log.withColumn("chg", (F.col("event_type") == "error").cast("int"))
@@ -238,7 +239,7 @@ def plays_of(log):
         .withColumn("p1", F.when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 1), F.col("event_id")))
         .withColumn("n_outs", (F.col("event_type") == "view").cast("int"))
     )
-    s = P.carry_state(log, "game_id", "bucket", ["ts", "event_id"], "chg", "p0", "p1", "n_outs")
+    s = P.carry_state(log, "game_id", "bucket", ["ts", "event_id"], "chg", "p0", "p1", "n_outs", split)
     zero = F.lit(0)
     return s.where(~F.col("event_type").isin("error", "signup")).withColumn(
         "li", P.leverage_index(F.col("inning"), F.col("half"), F.col("outs_before"), zero, zero)

@@ -248,7 +248,9 @@ class Tables:
     def cut_log(self, e: DataFrame) -> DataFrame:
         """A log with the ordered buckets of its hot games."""
         at = F.unix_micros(F.col("ts").cast("timestamp"))
-        return with_buckets(e, hot_keys(e, "game_id", at, self.hot_rows), "game_id", at, "bucket")
+        hot = hot_keys(e, "game_id", at, self.hot_rows)
+        self.log_is_split = not hot.isEmpty()
+        return with_buckets(e, hot, "game_id", at, "bucket")
 
     # -- windows ----------------------------------------------------------
     @cached_property

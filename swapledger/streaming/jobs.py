@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swapledger.functions.scans import hot_keys, ordinal_within, with_buckets
+from swapledger.operators.regress import materialise
 from swapledger.session import scratch_dir
-from swapledger.sources import writers as W
+from swapledger.sources.keyed import KeyedTable
+from swapledger.streaming.stateful import numbered, row_store, whole_groups
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -48,9 +49,9 @@ def run_batches(
     q.awaitTermination()
 
 
-def run_to_table(stream: DataFrame, path: str, purpose: str = "stream") -> None:
-    """Drain the stream into a parquet folder (exactly-once file sink)."""
-    checkpoint = scratch_dir(stream.sparkSession, f"{purpose}-checkpoint")
+def run_to_table(stream: DataFrame, path: str, purpose: str = "stream", checkpoint: str | None = None) -> None:
+    """Drain the stream into a parquet folder (exactly-once file sink); a kept checkpoint continues later."""
+    checkpoint = checkpoint or scratch_dir(stream.sparkSession, f"{purpose}-checkpoint")
     q = (
         stream.writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -58,87 +59,57 @@ def run_to_table(stream: DataFrame, path: str, purpose: str = "stream") -> None:
     q.awaitTermination()
 
 
-def ingest_once(stream: DataFrame, keys: Sequence[str], target: str, order: Sequence[str]) -> None:
-    """Idempotent ingest: late repeats drop in state, older ones against the table."""
-    unique = stream.dropDuplicatesWithinWatermark(list(keys))
-
-    def each(batch: DataFrame, _: int) -> None:
-        W.append_new(batch.sparkSession, target, batch, keys, order)
+def ingest_once(stream: DataFrame, table: KeyedTable, order: Sequence[str], name: str, checkpoint: str | None = None) -> None:
+    """Idempotent ingest: late repeats drop in state, older ones against the buckets they fall into.
 
-    run_batches(unique, each, purpose="ingest")
+    State expires with the watermark, and stored rows are neither read beyond the touched
+    buckets' keys nor written again.
+    """
+    unique = stream.dropDuplicatesWithinWatermark(list(table.keys))
+    run_batches(unique, lambda batch, n: table.insert(batch, order, name, n), purpose="ingest", checkpoint=checkpoint)
 
 
 def number_across_batches(
-    stream: DataFrame, key: str, position: Column, order: Sequence[str], target: str, counters: str, name: str = "leg_index",
-    checkpoint: str | None = None,
+    stream: DataFrame, key: str, order: Sequence[str], time: str, target: str, name: str = "leg_index",
+    checkpoint: str | None = None, delay: str = "1 day", idle: str = "365 days",
 ) -> None:
-    """0-based ordinal per key that continues from batch to batch.
+    """Write the stream with a 0-based ordinal per key that continues from batch to batch.
 
-    The ordinal inside a batch is the split scan; the count so far per key is a
-    small snapshot table, so no key's rows ever meet in one task.  Each batch has
-    its own output folder and counter version, so a replay overwrites its own work.
+    The count so far is a value in the state store, one per key that is not idle; a batch
+    reads and writes the counters of its own keys only.
     """
+    with row_store(stream.sparkSession):
+        run_to_table(numbered(stream, key, order, time, name, delay, idle), target, "number", checkpoint)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prior = W.read_or_none(spark, f"{counters}/snapshot={batch_id - 1}") if batch_id else None
-        split = with_buckets(batch, hot_keys(batch, key, position), key, position, "_bucket")
-        local = ordinal_within(split, [key], "_bucket", order, "_o", start=0).drop("_bucket")
-        if prior is not None:
-            local = local.join(prior, key, "left")
-        else:
-            local = local.withColumn("_seen", F.lit(0).cast("long"))
-        numbered = local.withColumn(name, F.col("_o") + F.coalesce("_seen", F.lit(0))).drop("_o", "_seen")
-        numbered.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        seen = batch.groupBy(key).agg(F.count("*").alias("_seen"))
-        if prior is not None:
-            seen = prior.unionByName(seen).groupBy(key).agg(F.sum("_seen").alias("_seen"))
-        seen.write.mode("overwrite").parquet(f"{counters}/snapshot={batch_id}")
-
-    run_batches(stream, each, purpose="number", checkpoint=checkpoint)
-
-
-def latest_per_key(stream: DataFrame, key: str, order: Sequence[str], keep: Sequence[str], root: str) -> None:
-    """Newest record of each key, kept as replace-on-key snapshots."""
-    newest = stream.groupBy(key).agg(F.max_by(F.struct(*order, *keep), F.struct(*order)).alias("x")).select(key, "x.*")
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = W.read_or_none(spark, f"{root}/snapshot={batch_id}") if batch_id else None
-        W.write_snapshot(W.replace_on_key(target, batch, [key], order), root, batch_id + 1)
+def latest_per_key(stream: DataFrame, table: KeyedTable, order: Sequence[str], name: str, checkpoint: str | None = None) -> None:
+    """Newest record of each key.
 
-    run_batches(newest, each, mode="update", purpose="latest")
+    No state is kept between batches: a batch is reduced to its newest rows and settled
+    against the buckets they fall into.
+    """
+    run_batches(stream, lambda batch, n: table.upsert(batch, order, newest=True, source=name, number=n), purpose="latest", checkpoint=checkpoint)
 
 
 def rebuild_touched(
-    stream: DataFrame, key: str, ident: Sequence[str], build: Callable[[DataFrame], DataFrame], log: str, results: str
+    stream: DataFrame, key: str, ident: Sequence[str], time: str, build: Callable[[DataFrame], DataFrame], results: KeyedTable, name: str,
+    delay: str = "40 days", idle: str = "60 days", checkpoint: str | None = None,
 ) -> None:
-    """Keep a per-key result of an ordered log up to date, however late its rows arrive.
+    """Keep a per-key result of an ordered log up to date, however late (within ``delay``) its rows arrive.
 
-    A batch appends its rows to the log and rebuilds the result of the keys it touches from
-    all their rows; other keys are neither read again nor rewritten.  Repeats of ``ident`` count
-    once.  Log rows and results lie in a folder of the batch, so a replay overwrites its own work.
+    The rows of each key are held in state; a batch gets the whole groups of the keys it
+    touches from there, builds their results anew and replaces these in their buckets.  No
+    other key is read, and nothing grows with the log but the state.
     """
+    groups = whole_groups(stream, key, ident, time, delay, idle)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-        so_far = spark.read.parquet(log).where(F.col("batch") <= batch_id)
-        touched = so_far.where(F.col("batch") == batch_id).select(key).distinct()
-        rows = so_far.drop("batch").join(touched, key, "left_semi").dropDuplicates(list(ident))
-        build(rows).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
-
-    run_batches(stream, each, purpose="rebuild")
-
+        # Read more than once below: the stateful operator must not run twice.
+        rows = materialise(batch, "touched")
+        results.replace_groups(build(rows), name, batch_id)
 
-def newest_results(spark: SparkSession, results: str, key: str) -> DataFrame:
-    """Results of the last batch that gave rows for each key.
-
-    Logs only grow, so a key that once had a result has one after every rebuild.
-    """
-    found = spark.read.parquet(results)
-    last = found.groupBy(key).agg(F.max("batch").alias("batch"))
-    return found.join(last, [key, "batch"], "left_semi").drop("batch")
+    with row_store(stream.sparkSession):
+        run_batches(groups, each, mode="update", purpose="rebuild", checkpoint=checkpoint)
 
 
 def sessions(stream: DataFrame, key: str, aggs: dict[str, Column], gap: str = "2 hours", column: str = "ts") -> DataFrame:
