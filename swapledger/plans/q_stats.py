@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swapledger.functions.scans import exact_quantiles
+from swapledger.operators import draws as D
 from swapledger.operators import regress as G
 from swapledger.operators import scoring as C
+from swapledger.operators import windows_grid as WG
 from swapledger.operators.facts import career_start
 from swapledger.operators.offsets import offset_window
 from swapledger.operators.seasons import walk_forward_folds, with_folds
+from swapledger.plans.linear_sql import gram_columns, ridge, solved
 from swapledger.plans.q_aggregates import _DELTA, deltas, rounded
 from swapledger.plans.q_scalars import cdf_sql
 from swapledger.plans.registry import query
@@ -91,11 +94,37 @@ def ridge_posterior(t):
     return c.select("fold", F.col("spec").alias("feature"), "n", F.round("beta", 6).alias("beta"), F.round("sd", 6).alias("sd"), F.round("s2", 6).alias("s2"))
 
 
-@query("STA-03", "robust_posterior")
+_ROBUST_XS = ["zq", "zma", "zex"]
+
+
+def _robust_many_sql(passes: int, nu: float = 4.0) -> str:
+    """The Student-t fit on three features: a ridge start, then re-weighted systems solved by elimination."""
+    p, prior = 4, ["1.0", *["1.0 / 0.09"] * 3]
+    res = "(zy - b_0 - " + " - ".join(f"b_{i + 1} * {x}" for i, x in enumerate(_ROBUST_XS)) + ")"
+    out = [f"""ex0 as (select fold, coalesce(avg(ex), 0) as m from v_part where part = 'train' group by 1),
+  ex1 as (select p.fold, max(m) as m, stddev_samp(coalesce(ex, m)) as s from v_part p join ex0 on ex0.fold = p.fold where part = 'train' group by 1),
+  rz as (select z.fold, zq, zma, zy, greatest(-5.0, least(5.0, (coalesce(p.ex, e.m) - e.m) / case when e.s = 0 then 1.0 else e.s end)) as zex
+    from v_z z join v_part p on p.fold = z.fold and p.event_id = z.event_id and p.to_team = z.to_team and p.season = z.season join ex1 e on e.fold = z.fold where z.part = 'train'),
+  w0 as (select fold, count(*) as n, {gram_columns(_ROBUST_XS, 'zy')} from rz group by 1)""", ridge("k0", "w0", p, prior)]
+    for k in range(passes):
+        out.append(f"""w{k + 1} as (select q.fold, count(*) as n, sum(w * e * e) / count(*) as s2, {gram_columns(_ROBUST_XS, 'zy', 'w')}
+    from (select rz.*, {res} as e, {nu + 1} / ({nu} + {res} * {res} / s2) as w from rz join k{k} f on f.fold = rz.fold) q group by 1)""")
+        out.append(solved(f"k{k + 1}", f"w{k + 1}", p, prior, "s2"))
+    return ",\n  ".join(out)
+
+
+def _robust_rows(last: str) -> str:
+    return " union all ".join(
+        f"select fold, '{name}' as feature, n, round(b_{i}, 6) as beta, round(sqrt(v_{i}_{i}), 6) as sd, round(s2, 6) as s2 from {last}"
+        for i, name in enumerate(["intercept", "z_q", "z_ma", "z_ex"]))
+
+
+@query("STA-03", "robust_posterior", f"with {_robust_many_sql(3)} {_robust_rows('k3')}")
 def robust_posterior(t):
-    """Student-t fit on all features; checked by an invariant test instead of SQL."""
+    """Student-t fit on all features; the oracle writes out its passes and eliminations."""
     z = folded(t, ("q", "ma", "ex")).where("part = 'train'")
-    return G.coefficients(G.robust_fit(z, ["fold"], ["q", "ma", "ex"], passes=3), ["fold"]).select("fold", "feature", "n", "beta", "sd", "s2")
+    c = G.coefficients(G.robust_fit(z, ["fold"], ["q", "ma", "ex"], passes=3), ["fold"])
+    return rounded(c.select("fold", "feature", "n", "beta", "sd", "s2"), "beta", "sd", "s2")
 
 
 def _robust_sql(passes: int) -> str:
@@ -237,6 +266,77 @@ def draw_summary(t):
     return rounded(out, "mean", "sd", "p05", "p25", "p50", "p75", "p95")
 
 
+#: Draws of a posterior for its summary, and of a row's prediction.
+DRAWS, ROW_DRAWS, CRPS_DRAWS, SEED = 2000, 200, 60, 7
+#: Every so many draws one is kept.
+STEP = 50
+
+
+def _normal_sql(*parts: str) -> str:
+    at = "concat_ws('|', " + ", ".join(parts) + ")"
+    u = lambda tag: f"((cast(('0x' || substr(md5({at} || '|{tag}'), 1, 13)) as ubigint) + 0.5) / 4503599627370496.0)"
+    return f"(sqrt(-2 * ln({u('a')})) * cos(2 * pi() * {u('b')}))"
+
+
+def _draws_sql(n: int) -> str:
+    """Draws of the one-feature posteriors from their closed-form factor."""
+    z = lambda i: _normal_sql(f"'{SEED}'", "fold", "feature", "draw", i)
+    return f"""dz as (select r.*, draw, {z("'0'")} as z0, {z("'1'")} as z1, {z("'e'")} as ze from v_ridge r, (select unnest(range(1, {n + 1})) as draw)),
+  dr as (select fold, feature, draw, b0 + sqrt(v00) * z0 as c0, b1 + v01 / sqrt(v00) * z0 + sqrt(v11 - v01 * v01 / v00) * z1 as c1, sqrt(s2) * ze as e from dz)"""
+
+
+@query("STA-10", "posterior_draw_summary", f"""
+with {_draws_sql(DRAWS)}
+select fold, feature, count(*) as n, round(avg(c1), 6) as mean, round(stddev_pop(c1), 6) as sd, round(quantile_cont(c1, 0.05), 6) as p05, round(quantile_cont(c1, 0.25), 6) as p25,
+  round(median(c1), 6) as p50, round(quantile_cont(c1, 0.75), 6) as p75, round(quantile_cont(c1, 0.95), 6) as p95, count(*) filter (where draw % {STEP} = 0) as n_sample,
+  round(sum(c1) filter (where draw % {STEP} = 0), 6) as sample_sum from dr group by 1, 2""")
+def posterior_draw_summary(t):
+    """Mean, deviation, quantiles and a thinned sample of seeded posterior draws of every slope."""
+    d = D.posterior_draws(single_fits(t), ["fold"], DRAWS, SEED)
+    d = G.materialise(d.select("fold", F.col("spec").alias("feature"), "draw", F.col("coef")[1].alias("v")), "draws")
+    keys = ["fold", "feature"]
+    q = exact_quantiles(d, keys, "v", {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
+    kept = F.when(F.col("draw") % STEP == 0, F.col("v"))
+    basic = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count(kept).alias("n_sample"),
+                                 F.sum(kept).alias("sample_sum"))
+    return rounded(basic.join(q, keys), "mean", "sd", "p05", "p25", "p50", "p75", "p95", "sample_sum")
+
+
+def row_draws(t, n):
+    """Test rows with predictive draws of the one-feature fits."""
+    z = folded(t)
+    fits = single_fits(t, z).where("spec = 'q'")
+    packed = D.packed_draws(D.posterior_draws(fits, ["fold"], n, SEED), ["fold"])
+    return D.predictive_draws(z.where("part = 'test'"), packed, ["fold"], ["q"])
+
+
+def _row_draws_sql(n: int) -> str:
+    return f"""{_draws_sql(n)}, pd as (select z.fold, event_id, to_team, season, y, m_y + s_y * (c0 + c1 * zq + e) as x from v_z z join dr on dr.fold = z.fold and feature = 'q' where part = 'test')"""
+
+
+@query("STA-09", "draw_bands", f"""
+with {_row_draws_sql(ROW_DRAWS)}
+select fold, event_id, to_team, round(avg(x), 6) as mean, round(quantile_cont(x, 0.05), 6) as p05, round(median(x), 6) as p50, round(quantile_cont(x, 0.95), 6) as p95 from pd group by fold, event_id, to_team, season""")
+def draw_bands(t):
+    """Predictive bands from draws: each row's are sorted in the row, nothing is shuffled."""
+    r = row_draws(t, ROW_DRAWS).withColumn("s", F.array_sort("pred_draws"))
+    mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
+    q = lambda p, n: F.round(D.quantile_of(F.col("s"), p), 6).alias(n)
+    return r.select("fold", "event_id", "to_team", F.round(mean, 6).alias("mean"), q(0.05, "p05"), q(0.5, "p50"), q(0.95, "p95"))
+
+
+@query("STA-11", "predictive_crps", f"""
+with {_row_draws_sql(CRPS_DRAWS)}, a as (select fold, event_id, to_team, season, max(y) as y, avg(abs(x - y)) as t1, max(x) - min(x) as spread from pd group by 1, 2, 3, 4),
+  b as (select p.fold, p.event_id, p.to_team, p.season, avg(abs(p.x - q.x)) as t2 from pd p join pd q on q.fold = p.fold and q.event_id = p.event_id and q.to_team = p.to_team and q.season = p.season group by 1, 2, 3, 4)
+select a.fold, count(*) as n_rows, round(avg(t1 - t2 / 2), 6) as crps, round(avg(t1 - spread / {CRPS_DRAWS}), 6) as short_crps from a join b on b.fold = a.fold and b.event_id = a.event_id and b.to_team = a.to_team and b.season = a.season group by 1""")
+def predictive_crps(t):
+    """Exact and short CRPS of the predictive draws, averaged by fold."""
+    r = row_draws(t, CRPS_DRAWS)
+    x = F.col("pred_draws")
+    return rounded(r.groupBy("fold").agg(
+        F.count("*").alias("n_rows"), F.avg(C.crps_draws(x, F.col("y"))).alias("crps"), F.avg(C.legacy_crps(x, F.col("y"))).alias("short_crps")), "crps", "short_crps")
+
+
 _GRID = [-1.6, -1.1, -0.7, -0.4, -0.2, 0.0, 0.25, 0.45, 0.75, 1.2, 1.7]
 _GRID_SQL = "[" + ", ".join(f"{g}::double" for g in _GRID) + "]"
 
@@ -373,6 +473,63 @@ def model_grid_subsets(t):
                    "intercept", "slope_q", "slope_ma")
 
 
+#: Longest outcome window, and the grid's feature subsets and priors.
+LONGEST = 5
+WINDOW_SPECS = {"none": [], "q": ["z_q"], "ma": ["z_ma"], "both": ["z_q", "z_ma"]}
+WINDOW_PRIORS = (0.1, 0.3, 1.0)
+
+
+def _windows_sql() -> str:
+    years = range(1, LONGEST + 1)
+    yearly = ", ".join(f"sum(coalesce(n{k}.value, 0)) as v{k}, sum(coalesce(m{k}.metric_a, 0)) as a{k}" for k in years)
+    joins = " ".join(f"left join v_psv n{k} on n{k}.player_id = t.player_id and n{k}.season = t.season + {k} left join v_metric m{k} on m{k}.player_id = t.player_id and m{k}.season = t.season + {k}" for k in years)
+    outcome = lambda c, s, e: " + ".join(f"{c}{k}" for k in range(s, e + 1))
+    pairs = [(s, e) for s in years for e in range(s, LONGEST + 1)]
+    cases = " union all ".join(
+        f"select fold, season, zq, zma, '{name}' as outcome, {s} as window_start, {e} as window_end, {outcome(c, s, e)} as y from wz where season + {e} <= last"
+        for name, c in (("value", "v"), ("metric", "a")) for s, e in pairs)
+    on = {"none": (0, 0), "q": (1, 0), "ma": (0, 1), "both": (1, 1)}
+    specs = ", ".join(f"('{n}', {a}.0::double, {b}.0::double)" for n, (a, b) in on.items())
+    xs = ["zq * u", "zma * w"]
+    return f"""wy as (select t.event_id, t.to_team, t.season, {yearly} from v_trade t {joins} group by 1, 2, 3),
+  wz as (select z.fold, z.season, zq, zma, wy.* exclude (event_id, to_team, season), (select max(season) from v_psv) as last
+    from v_z z join wy on wy.event_id = z.event_id and wy.to_team = z.to_team and wy.season = z.season where part = 'train'),
+  wl as ({cases}),
+  wd as (select wl.*, d.dropped from wl, (select unnest([0, 1]) as dropped) d where season >= (select min(season) from wz) + d.dropped),
+  ws as (select outcome, window_start, window_end, dropped, fold, avg(y) as my, stddev_pop(y) as sy from wd group by all having count(*) >= 2 and var_pop(y) > 1e-18),
+  wg as (select outcome, window_start, window_end, dropped, fold, spec, prior_sd, count(*) as n, {gram_columns(xs, '((y - my) / sy)')}
+    from wd join ws using (outcome, window_start, window_end, dropped, fold), (values {specs}) k(spec, u, w), (select unnest({list(WINDOW_PRIORS)}::double[]) as prior_sd) group by all),
+  {ridge('wf', 'wg', 3, ['1.0', '1 / (prior_sd * prior_sd)', '1 / (prior_sd * prior_sd)'])}"""
+
+
+def window_rows(t):
+    """Training rows of every fold with the yearly sums of both outcomes after the move."""
+    years = range(1, LONGEST + 1)
+    w = offset_window(t.trade.select("event_id", "to_team", "season", "player_id"), t.psv, [*years], ["value"])
+    w = offset_window(w, t.metric, [*years], ["metric_a"])
+    total = lambda m, k: F.sum(F.coalesce(f"{m}_t_plus_{k}", F.lit(0.0)))
+    yearly = w.groupBy("event_id", "to_team", "season").agg(
+        *[total("value", k).alias(f"value_{k}") for k in years], *[total("metric_a", k).alias(f"metric_{k}") for k in years])
+    z = folded(t).where("part = 'train'").select("fold", "event_id", "to_team", "season", "z_q", "z_ma")
+    return z.join(yearly, ["event_id", "to_team", "season"]).withColumn("last", t.psv.agg(F.max("season")).scalar())
+
+
+@query("STA-17", "model_grid_windows", f"""
+with {_windows_sql()}
+select outcome, window_start, window_end, cast(dropped as int) as dropped, fold, spec, prior_sd, n, round(case when spec in ('q', 'both') then b_1 end, 6) as slope_q,
+  round(case when spec in ('ma', 'both') then b_2 end, 6) as slope_ma, round(s2, 6) as s2 from wf""")
+def model_grid_windows(t):
+    """Outcomes x all windows inside five years x training starts x folds x feature subsets x priors, from one aggregate."""
+    rows = G.materialise(window_rows(t), "window-rows")
+    first = rows.agg(F.min("season")).scalar()
+    spread = rows.withColumn("_s0", first).withColumn("dropped", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.col("season") >= F.col("_s0") + F.col("dropped"))
+    keys, xs, outcomes = ["dropped", "fold"], ["z_q", "z_ma"], ["value", "metric"]
+    fits = WG.solve_windows(WG.window_grams(spread, keys, xs, outcomes, "last", LONGEST), keys, xs, outcomes, WINDOW_SPECS, WINDOW_PRIORS, LONGEST)
+    return rounded(fits.select(
+        "outcome", "window_start", "window_end", "dropped", "fold", "spec", "prior_sd", "n", F.try_element_at("beta", F.lit("z_q")).alias("slope_q"),
+        F.try_element_at("beta", F.lit("z_ma")).alias("slope_ma"), "s2"), "slope_q", "slope_ma", "s2")
+
+
 _PRIORS = (0.1, 0.3, 1.0)
 
 
