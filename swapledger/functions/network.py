@@ -16,32 +16,7 @@ ADOPTION_YEAR = {
 }
 MANDATE_YEAR = 2019
 
-# Seasons in which a club counts as a pioneer.
-PIONEER_WINDOW = {
-    "STL": (2011, 2017), "HOU": (2012, 2019), "CHC": (2012, 2017),
-    "LAD": (2014, 2024), "TBR": (2008, 2024), "CLE": (2011, 2019),
-}
-
-# Person, club, first and last season, level of the stint.
-STINTS = [
-    ("Sig Mejdal", "STL", 2005, 2011, "dir"), ("Sig Mejdal", "HOU", 2012, 2019, "dir"),
-    ("Mike Fast", "STL", 2010, 2011, "dir"), ("Mike Fast", "HOU", 2012, 2019, "dir"),
-    ("Kevin Goldstein", "HOU", 2012, 2016, "dir"),
-    ("Jeff Luhnow", "STL", 2003, 2011, "dir"), ("Jeff Luhnow", "HOU", 2012, 2017, "gm"),
-    ("David Stearns", "HOU", 2012, 2015, "dir"),
-    ("Mike Elias", "STL", 2010, 2011, "dir"), ("Mike Elias", "HOU", 2012, 2018, "dir"),
-    ("Dana Brown", "HOU", 2014, 2022, "dir"),
-    ("Theo Epstein", "BOS", 2002, 2011, "gm"),
-    ("Jed Hoyer", "BOS", 2003, 2009, "dir"), ("Jed Hoyer", "CHC", 2012, 2021, "gm"),
-    ("Jason McLeod", "BOS", 2003, 2011, "dir"), ("Jason McLeod", "CHC", 2012, 2020, "dir"),
-    ("Scott Harris", "CHC", 2014, 2021, "dir"), ("Carter Hawkins", "CHC", 2014, 2021, "dir"),
-    ("Andrew Friedman", "TBR", 2006, 2014, "gm"), ("Erik Neander", "TBR", 2006, 2024, "dir"),
-    ("Farhan Zaidi", "TBR", 2011, 2014, "dir"), ("Farhan Zaidi", "OAK", 2015, 2018, "dir"),
-    ("Matt Arnold", "TBR", 2010, 2018, "dir"),
-    ("Mike Chernoff", "CLE", 2010, 2024, "dir"), ("Carter Bloom", "CLE", 2011, 2018, "dir"),
-    ("John Mozeliak", "STL", 2007, 2024, "gm"), ("Michael Girsch", "STL", 2013, 2022, "dir"),
-    ("David Forst", "OAK", 2014, 2024, "gm"),
-]
+# Roles that count as general manager and as director.
 GM_ROLES = ["General Manager", "President"]
 DIRECTOR_ROLES = ["Scouting Director", "Farm Director"]
 

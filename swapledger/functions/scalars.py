@@ -41,8 +41,7 @@ def lenient_int_half_even(c: Column) -> Column:
 
 def money(c: Column) -> Column:
     """``$28,216,944`` to a whole number; ``-`` and ``n/a`` to NULL."""
-    digits = F.regexp_extract(F.regexp_replace(c, ",", ""), r"\$?(\d+(?:\.\d+)?)", 1)
-    return F.floor(F.when(digits != "", digits).try_cast("double")).cast("long")
+    return F.floor(F.btrim(F.translate(c, "$,", ""), F.lit(" \t\n")).try_cast("double")).cast("long")
 
 
 def height_inches(c: Column) -> Column:

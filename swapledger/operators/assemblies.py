@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swapledger.functions.scans import HOT_ROWS, hot_keys, ordinal_within, with_buckets
 from swapledger.operators.legs import numbered_parts
 from swapledger.sources.writers import bundle
 
@@ -67,6 +68,15 @@ def farm_order(players: DataFrame) -> DataFrame:
     return players.withColumn("sort_group", F.col("is_pitcher").cast("int")).withColumn("sort_value", quality)
 
 
+def farm_list(players: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Position of each player in the list of its parent and level; long lists are numbered in buckets."""
+    rows = players.withColumn("_list", F.concat_ws("|", F.col("parent").cast("string"), "level"))
+    # Rises with the order of the list: pitchers come after any hitter.
+    at = F.col("sort_group") * F.lit(1e9) + F.col("sort_value")
+    cut = with_buckets(rows, hot_keys(rows, "_list", at, hot_rows), "_list", at, "_bucket")
+    return ordinal_within(cut, ["_list"], "_bucket", ["sort_group", "sort_value", "player_id"], "position_in_list").drop("_list", "_bucket")
+
+
 def trade_documents(legs: DataFrame, ledger: DataFrame, size: int = 1000) -> DataFrame:
     """One document per event: its legs in order and the ledger row of each side.
 

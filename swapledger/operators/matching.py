@@ -44,21 +44,33 @@ def rms_distance(a: Column, b: Column, neutral: float = 50.0) -> Column:
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x) / F.size(a))
 
 
+def age_banded(players: DataFrame, focus: DataFrame, max_age_gap: int) -> DataFrame:
+    """Pairs of players and focus rows (age in ``_age``) of one role and group whose age bands touch."""
+    width = max(1, max_age_gap)
+    band = lambda c, step=0: (F.floor(F.col(c) / width) + step).cast("string")
+    near = F.array(*[band("_age", s) for s in (-1, 0, 1)], F.lit("?"))
+    known = focus.where(F.col("_age").isNotNull()).withColumn("_band", F.explode(near))
+    banded = players.withColumn("_band", F.coalesce(band("age"), F.lit("?"))).join(known, ["role", "grp", "_band"]).drop("_band")
+    return banded.unionByName(players.join(focus.where(F.col("_age").isNull()), ["role", "grp"]))
+
+
 def comparables(players: DataFrame, focus: DataFrame, k: int = 8, max_age_gap: int = 3) -> DataFrame:
     """The ``k`` players most like each focus player.
 
     ``focus`` is the (small) set of players asked about; candidates share role and
-    position group and lie within the age gap.  Work grows with players times the
-    focus players of their block, never with pairs of players.  An unknown age or value
-    counts as no difference.  Columns: player_id,
-    role, grp, age, value, fp (array of double).
+    position group and lie within the age gap.  The join is on (role, group, age band): bands
+    are as wide as the gap, and a focus player is sent to its own band, both neighbours, and
+    the players of unknown age, so few pairs outside the gap are made.  Work grows with players
+    times the focus players near them, never with pairs of players.  An unknown age or value
+    counts as no difference: a focus player of unknown age meets its whole block.
+    Columns: player_id, role, grp, age, value, fp (array of double).
     """
     f = focus.select(
         F.col("player_id").alias("focus_id"), "role", "grp", F.col("age").alias("_age"),
         F.col("value").alias("_value"), F.col("fp").alias("_fp"),
     )
     gap = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)), F.lit(0))
-    pairs = players.join(f, ["role", "grp"]).where(
+    pairs = age_banded(players, f, max_age_gap).where(
         (F.col("player_id") != F.col("focus_id")) & (gap("age", "_age") <= max_age_gap)
     )
     d = rms_distance(F.col("_fp"), F.col("fp"))

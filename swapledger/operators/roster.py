@@ -15,11 +15,6 @@ BASELINE = {
     "C": 2.0, "1B": 2.0, "2B": 2.0, "3B": 2.5, "SS": 2.5, "LF": 2.0,
     "CF": 2.5, "RF": 2.0, "DH": 1.5, "SP": 12.0, "RP": 4.0,
 }
-# Position of a position code (1, the pitcher, is handled by role).
-POSITION_CODE = {
-    "2": "C", "3": "1B", "4": "2B", "5": "3B", "6": "SS", "7": "LF",
-    "8": "CF", "9": "RF", "10": "DH", "O": "CF", "Y": "DH",
-}
 # Farm credit by level, scale, caps and minimum volumes.
 FARM_LEVEL = {11: 1.0, 12: 0.55}
 FARM_SCALE = 9.0

@@ -6,6 +6,7 @@ functions, so chunking needs no shuffle and documents spread freely over tasks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -107,3 +108,32 @@ def context_block(hits: DataFrame, keys: Sequence[str], rank: str, view: str = "
         f"select {group}, count(*) as n_hits, listagg({entry}, '\\n\\n') within group (order by {rank}) as block "
         f"from {view} group by {group}"
     )
+
+
+@F.udtf(returnType="section_no int, heading string, body string")
+class SectionTable:
+    """Table function of a text's sections; the same rows as ``sections``, for lateral joins.
+
+    Arrow moves whole batches of texts and rows where ``spark.sql.execution.pythonUDTF.arrow.enabled`` is set.
+    """
+
+    def eval(self, text: str):
+        if text is None:
+            return
+        trail: list[str] = []
+        heading, lines, number = PREAMBLE, [], 0
+        for line in [*re.split(LINE_BREAK, text), None]:
+            head = None if line is None else re.match(HEADING, line, re.ASCII)
+            if line is not None and head is None:
+                lines.append(line)
+                continue
+            body = "\n".join(lines).strip(_SPACES)
+            if body:
+                yield number, heading, body
+                number += 1
+            if head is not None:
+                trail = [*trail[: len(head[1]) - 1], head[2].strip(" ")]
+                heading, lines = " > ".join(trail), []
+
+
+_SPACES = " \t\n\x0b\f\r"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -16,7 +15,7 @@ from swapledger.session import scratch_dir
 
 
 class Encoder(Protocol):
-    """What an embedding provider offers: a name, a dimension, batch encoding."""
+    """What an external embedding provider offers: a name, a dimension, batch encoding."""
 
     name: str
     dim: int
@@ -25,27 +24,44 @@ class Encoder(Protocol):
 
 
 class HashedTerms:
-    """Offline default: term counts hashed into buckets, unit length."""
+    """Offline default: term counts hashed into slots, unit length, in built-in expressions."""
 
     def __init__(self, dim: int = 64):
         self.name = f"hashed-terms-{dim}"
         self.dim = dim
-        self._bucket: dict[str, int] = {}
 
-    def _slot(self, word: str) -> int:
-        slot = self._bucket.get(word)
-        if slot is None:
-            slot = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
-            if len(self._bucket) < 1_000_000:
-                self._bucket[word] = slot
-        return slot
+    def column(self, text: Column) -> Column:
+        """The text's vector; a text without words gives zeros."""
+        words = F.filter(F.split(F.coalesce(text, F.lit("")), "\\s+"), lambda w: w != "")
+        slot = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % self.dim
+        # One sign per word, in slot order of a block of the basic plane: counting a slot is one native pass.
+        sign = lambda n: F.decode(F.unhex(F.hex(n + _SIGNS)), "UTF-16BE")
+        line = F.array_join(F.transform(words, lambda w: sign(slot(w))), "")
+        slots = F.sequence(F.lit(0).cast("long"), F.lit(self.dim - 1).cast("long"))
+        # Each step is bound once; a plain reference inside a lambda would be worked out anew for every slot.
+        bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+        counts = bound(line, lambda x: F.transform(slots, lambda i: (F.length(x) - F.length(F.replace(x, sign(i), F.lit("")))).cast("double")))
+        length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+        scaled = lambda c: bound(length(c), lambda n: F.transform(c, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)).cast("float")))
+        return bound(counts, scaled)
+
+
+#: First of the signs that stand for slots; there are 20,000 from here on.
+_SIGNS = 0x4E00
+
+
+class LetterProfile:
+    """Stand-in for an external encoder: counts of bytes by residue, unit length, a whole batch at a time."""
+
+    def __init__(self, dim: int = 32):
+        self.name = f"letter-profile-{dim}"
+        self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            slots = [self._slot(w) for w in text.split()]
-            if slots:
-                out[row] = np.bincount(slots, minlength=self.dim)
+        raw = [t.encode() for t in texts]
+        row = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+        residue = np.frombuffer(b"".join(raw), np.uint8) % self.dim
+        out = np.bincount(row * self.dim + residue, minlength=len(raw) * self.dim).reshape(len(raw), self.dim).astype(float)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1.0, norms)
 
@@ -95,6 +111,23 @@ def cosine_top_k_many(
     return spread.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cosine_top_k_joined(table: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", tie: str = "vec_id") -> DataFrame:
+    """The same for a stated query set of any size, as rows (query_id, vec): dealt in packs, so that no task holds them all.
+
+    Each row goes to every pack once, and the ranking is cut per task before the shuffle.
+    """
+    packs = queries.withColumn("_pack", F.pmod(F.xxhash64("query_id"), F.lit(_PACKS)))
+    spread = table.withColumn("_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PACKS - 1).cast("long"))))
+    scored = spread.join(packs.withColumnRenamed("vec", "_vec"), "_pack").withColumn(
+        "score", F.try_divide(dot(F.col(vector), F.col("_vec")), norm(F.col(vector)) * norm(F.col("_vec")))).drop("_vec", "_pack")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+#: Packs of a stated query set.
+_PACKS = 16
+
+
 def build_vector_table(vectors: DataFrame, path: str, model: str, dim: int, vector: str = "embedding") -> None:
     """Write vectors with model name and dimension pinned; a wrong length is an error."""
     size = F.size(vector)
@@ -113,14 +146,71 @@ def open_vector_table(spark, path: str, model: str, dim: int) -> DataFrame:
     return spark.read.parquet(f"{path}/vectors")
 
 
-def approximate_neighbours(table: DataFrame, key, k: int, vector: str = "embedding", bucket: float = 0.5, tables: int = 8) -> DataFrame:
-    """Approximate mode: random-projection hashing on unit vectors (needs no index service)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+class HashIndex:
+    """Approximate retrieval by hyperplane signatures, with the recall measured when it is built.
+
+    A vector's bucket is the side of each of ``bits`` fixed planes it lies on, and the table is
+    written by bucket.  A query visits buckets in order of the squared distance of its
+    projections to the planes it would have to cross, so near buckets come first.  How many it
+    visits is settled by measurement: for at most ``SAMPLE`` stored vectors the exact
+    neighbours are found, and the number of visits is the smallest that meets ``target`` of them.
+    """
 
-    v = table.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=7)
-    return lsh.fit(v).approxNearestNeighbors(v, key, k).drop("_v", "_h")
+    SAMPLE = 200
+
+    def __init__(self, dim: int, bits: int = 6, seed: int = 7):
+        self.bits = bits
+        planes = np.random.default_rng(seed).normal(size=(bits, dim))
+        self.planes = (planes / np.linalg.norm(planes, axis=1, keepdims=True)).tolist()
+
+    def projections(self, vector: Column) -> list[Column]:
+        return [dot(vector, F.expr(f"array({', '.join(f'{x!r}D' for x in p)})")) for p in self.planes]
+
+    def bucket(self, vector: Column) -> Column:
+        return sum((F.when(p > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(self.projections(vector))), F.lit(0))
+
+    def visits(self, vector: Column) -> Column:
+        """All buckets in the order in which a query visits them."""
+        side = F.array(*[F.struct((p > 0).alias("up"), (p * p).alias("cost")) for p in self.projections(vector)])
+        cost = lambda b: F.aggregate(
+            F.transform(side, lambda s, i: F.when(s["up"] == (F.getbit(b, i) == 1), 0.0).otherwise(s["cost"])), F.lit(0.0), lambda a, x: a + x)
+        every = F.sequence(F.lit(0), F.lit((1 << self.bits) - 1))
+        return F.transform(F.array_sort(F.transform(every, lambda b: F.struct(cost(b.cast("long")).alias("cost"), b.alias("b")))), lambda x: x["b"])
+
+    def build(self, table: DataFrame, path: str, k: int = 10, target: float = 0.95, vector: str = "embedding", tie: str = "vec_id") -> tuple[int, float]:
+        """Write the index of all rows; returns the visits that searches make and the recall measured with them."""
+        indexed = table.withColumn("bucket", self.bucket(F.col(vector)))
+        indexed.write.partitionBy("bucket").parquet(f"{path}/vectors")
+        stored = table.sparkSession.read.parquet(f"{path}/vectors")
+        # A bounded number of queries, picked by hash, against all rows.
+        some = stored.select(F.col(tie).alias("query_id"), F.col(vector).alias("vec")).orderBy(F.xxhash64(tie), tie).limit(self.SAMPLE)
+        queries = some.agg(F.collect_list(F.struct("query_id", "vec"))).scalar()
+        best = cosine_top_k_many(stored, queries, k, vector, tie).select("query_id", "bucket")
+        turn = best.join(some, "query_id").select(F.array_position(self.visits(F.col("vec")), F.col("bucket")).alias("turn"))
+        # One row per number of visits.
+        met = sorted((r["turn"], r["n"]) for r in turn.groupBy("turn").agg(F.count("*").alias("n")).collect())
+        total, so_far, visits = sum(n for _, n in met), 0, 1
+        for at, n in met:
+            visits, so_far = at, so_far + n
+            if so_far >= target * total:
+                break
+        recall = so_far / total if total else 1.0
+        table.sparkSession.createDataFrame([(int(visits), float(recall))], "visits int, recall double").coalesce(1).write.json(f"{path}/meta")
+        return int(visits), recall
+
+    def search(self, path: str, queries: DataFrame, k: int, vector: str = "embedding", tie: str = "vec_id") -> DataFrame:
+        """query_id, the index's columns, score and rank of each query's best ``k`` in the buckets it visits.
+
+        ``queries`` are (query_id, vec); their number is free, since they meet the table by bucket.
+        """
+        spark = queries.sparkSession
+        meta = spark.read.schema("visits int, recall double").json(f"{path}/meta").first()
+        table = spark.read.parquet(f"{path}/vectors")
+        sent = queries.select("query_id", F.col("vec").alias("_vec"), F.explode(F.slice(self.visits(F.col("vec")), 1, meta.visits)).alias("bucket"))
+        met = table.join(sent, "bucket")
+        scored = met.withColumn("score", F.try_divide(dot(F.col(vector), F.col("_vec")), norm(F.col(vector)) * norm(F.col("_vec")))).drop("_vec")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def vector_store(vectors: DataFrame, model: str, dim: int) -> tuple[str, DataFrame]:

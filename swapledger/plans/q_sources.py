@@ -132,7 +132,7 @@ select page_id, i - 1 as row_no, regexp_extract(li[i], '<a[^>]*>([^<]*)</a>', 1)
   select page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li[^>]*>(.*?)</li>', 1) as li from pages))""")
 def page_links(t):
     """The same cell extraction over the given pages: list items as rows, links as cells."""
-    cells = M.html_cells(t.base("pages"), "html", r"(?s)<nav>(.*?)</nav>", "li", "a")
+    cells = M.html_cells(t.base("pages"), "html", "<nav>", "</nav>", "li", "a")
     return cells.select("page_id", F.col("row_no").cast("long").alias("row_no"), F.coalesce(F.try_element_at("cells", lit(1)), lit("")).alias("label"))
 
 
@@ -473,8 +473,5 @@ def farm_assembly(t):
     clubs = n.select(F.col("n_nationkey").alias("club_id"))
     live = n.select((F.col("n_nationkey") + 100).alias("team_id"), F.col("n_nationkey").alias("parent"), F.when(F.col("n_regionkey") == 0, "AAA").when(F.col("n_regionkey") == 1, "AA").otherwise("A").alias("level"))
     legacy = n.select((F.col("n_nationkey") + 115).alias("team_id"), ((F.col("n_nationkey") + 3) % 25).alias("parent"), lit("A+").alias("level"))
-    f = B.farm_order(B.current_affiliation(players, clubs, live, legacy))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("parent", "level").orderBy("sort_group", "sort_value", "player_id")
-    return f.select("player_id", "parent", "level", "moved", F.row_number().over(w).cast("long").alias("position_in_list"))
+    f = B.farm_list(B.farm_order(B.current_affiliation(players, clubs, live, legacy)))
+    return f.select("player_id", "parent", "level", "moved", "position_in_list")

@@ -103,12 +103,20 @@ def controlled_surplus_q(t):
                     "missing", "n_players", F.round("total", 4).alias("total"), "notes")
 
 
-@query("AGG-35", "ordered_names", """
-select event_id, to_team, leg_index // 2 as part, string_agg(coalesce(p_name, '#' || cast(player_id as varchar)), ', ' order by leg_index) as names,
+def _names_sql(part_legs: int) -> str:
+    return f"""
+select event_id, to_team, leg_index // {part_legs} as part, string_agg(coalesce(p_name, '#' || cast(player_id as varchar)), ', ' order by leg_index) as names,
   string_agg(distinct cast(from_team as varchar), ',' order by cast(from_team as varchar)) as senders
-from v_trade left join part on p_partkey = player_id and p_size <= 25 group by 1, 2, 3""")
-def ordered_names(t, part_legs: int = 2):
-    """Names in leg order with a fallback label, in parts of ``part_legs`` legs so that no list grows with an event."""
+from v_trade left join part on p_partkey = player_id and p_size <= 25 group by 1, 2, 3"""
+
+
+#: Legs beyond which an event's names come in more than one string.
+PART_LEGS = 1000
+
+
+@query("AGG-35", "ordered_names", _names_sql(PART_LEGS))
+def ordered_names(t, part_legs: int = PART_LEGS):
+    """Names in leg order with a fallback label: one string per event and receiver, parts for events beyond ``part_legs`` legs."""
     names = t.base("part").where("p_size <= 25").select(F.col("p_partkey").alias("player_id"), "p_name")
     j = t.numbered_trade.join(names, "player_id", "left").select(
         "event_id", "to_team", "leg_index", F.floor(F.col("leg_index") / part_legs).alias("part"), F.col("from_team").cast("string").alias("sender"),
@@ -119,6 +127,12 @@ def ordered_names(t, part_legs: int = 2):
         from {legs} group by event_id, to_team, part""", legs=j)
 
 
+@query("AGG-35", "ordered_names_in_parts", _names_sql(2))
+def ordered_names_in_parts(t):
+    """The same with a bound of two legs, so that ordinary events are cut too."""
+    return ordered_names(t, 2)
+
+
 _CAREER = "career as (select player_id, sum(value) as career_value, min(season) as first_season from v_psv group by 1)"
 
 

@@ -10,6 +10,7 @@ from swapledger.operators import vectors as V
 from swapledger.plans.q_aggregates import _DELTA
 from swapledger.plans.q_windows import _JUMP, _WDEN, _WSUM, jumps
 from swapledger.plans.registry import query
+from swapledger.session import scratch_dir
 
 # Pages as markdown: h1 becomes '#', b becomes '##', other tags go.  Same steps in both engines.
 _MD = r"""md as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<nav>.*?</nav>', '', 'g'), '<h1>', chr(10) || '# ', 'g'), '<p><b>', chr(10) || '## Part' || chr(10), 'g'),
@@ -65,8 +66,7 @@ _EMB = """em as (select doc_id, b, count(*) as n from (select doc_id, cast(('0x'
 with {_EMB}, nr as (select doc_id, sqrt(sum(n * n)) as s, count(*) as nnz, max(n) as m from em group by 1)
 select doc_id, nnz as n_used, round(m / s, 4) as top_weight from nr""")
 def embedded_texts(t):
-    enc = V.HashedTerms(64)
-    e = t.base("documents").select("doc_id", V.embed_udf(enc)("text").alias("v"))
+    e = t.base("documents").select("doc_id", V.HashedTerms(64).column(F.col("text")).alias("v"))
     return e.select("doc_id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("n_used"), F.round(F.array_max("v").cast("double"), 4).alias("top_weight")).where("n_used > 0")
 
 
@@ -87,8 +87,8 @@ def cosine_top_k_per_label(t):
     """One query vector per label, against the whole table."""
     e = t.base("embeddings")
     per = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vec"))
-    packed = per.agg(F.collect_list(F.struct(F.col("label").alias("query_id"), "vec"))).scalar()
-    return V.cosine_top_k_many(e, packed, 5).select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return V.cosine_top_k_joined(e, per.select(F.col("label").alias("query_id"), "vec"), 5).select(
+        "query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("TXT-06", "vector_table", "select label, count(*) as n, 64 as dim, 'fixture-64' as model from embeddings group by 1")
@@ -98,6 +98,20 @@ def vector_table(t):
     return table.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).withColumn("model", F.lit("fixture-64"))
 
 
+@query("TXT-06", "approximate_top_k", "select 5 as k, count(*) filter (where vec_id % 10 = 0) as n_queries, count(*) as n_indexed, true as recall_ok, 5 * count(*) filter (where vec_id % 10 = 0) as n_found from embeddings")
+def approximate_top_k(t):
+    """Recall of the hashing index against exact retrieval, over every tenth vector as a query."""
+    e = t.base("embeddings")
+    index, path = V.HashIndex(64), scratch_dir(t.spark, "hash-index")
+    index.build(e, path, k=5)
+    queries = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    got = index.search(path, queries, 5).select("query_id", "vec_id")
+    exact = V.cosine_top_k_joined(e, queries, 5).select("query_id", "vec_id")
+    met = got.join(exact, ["query_id", "vec_id"]).agg(F.count("*")).scalar()
+    return got.agg(F.count("*").alias("n_found"), F.count_distinct("query_id").alias("n_queries")).select(
+        F.lit(5).alias("k"), "n_queries", e.agg(F.count("*")).scalar().alias("n_indexed"), (met >= F.col("n_found") * 0.9).alias("recall_ok"), "n_found")
+
+
 @query("TXT-07", "context_block", """
 with s as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by length(text) desc, turn) as r from conversations)
 select conv_id, count(*) as n_hits, string_agg('[' || r || '] (' || role || ' > turn ' || turn || ')' || chr(10) || text, chr(10) || chr(10) order by r) as block from s where r <= 3 group by 1""")
@@ -150,7 +164,16 @@ def table_generators(t):
     return s.groupBy("page_id").agg(F.count("*").alias("n_sections"), F.sum(F.length("s.body")).alias("n_chars"))
 
 
+@query("UDF-05", "table_function", f"with {_SECT} select page_id, section_no, heading, body from sec2")
+def table_function(t):
+    """The section generator as a table function in a lateral join."""
+    t.spark.conf.set("spark.sql.execution.pythonUDTF.arrow.enabled", "true")
+    s = page_markdown(t).lateralJoin(X.SectionTable(F.col("text").outer()))
+    return s.select("page_id", F.col("section_no").cast("long").alias("section_no"), "heading", "body")
+
+
 @query("UDF-06", "encoder_protocol", "select count(*) as n, 32 as dim, true as unit_length from conversations where length(trim(text)) > 0")
 def encoder_protocol(t):
-    e = t.base("conversations").where(F.length(F.trim("text")) > 0).select(V.embed_udf(V.HashedTerms(32))("text").alias("v"))
+    """An external encoder behind the protocol, called a batch at a time."""
+    e = t.base("conversations").where(F.length(F.trim("text")) > 0).select(V.embed_udf(V.LetterProfile(32))("text").alias("v"))
     return e.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), (F.max(F.abs(V.norm(F.col("v")) - 1)) < 1e-5).alias("unit_length"))

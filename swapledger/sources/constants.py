@@ -46,14 +46,6 @@ TEAMS = [
 # Codes of renamed clubs and the master id they continue as.
 HISTORICAL_CODES = {"FLA": 146, "MON": 120, "TBD": 139, "ANA": 108}
 
-# Codes folded into a current club for franchise summaries.
-FRANCHISE_ALIASES = {
-    "TBD": "TBR", "FLA": "MIA", "FLO": "MIA", "MON": "WSN", "ANA": "LAA", "CAL": "LAA", "CHA": "CHW",
-    "KCA": "OAK", "PHA": "OAK", "LAN": "LAD", "BRO": "LAD", "NYA": "NYY", "NYN": "NYM", "NYG": "SFG",
-    "SDN": "SDP", "SFN": "SFG", "SLN": "STL", "BSN": "ATL", "MLN": "ATL", "SLB": "BAL", "WS1": "MIN",
-    "WS2": "TEX",
-}
-
 # Price of one unit of value by season, used where no market price can be computed.
 SEASON_PRICE = {
     2010: 4_500_000, 2011: 5_000_000, 2012: 5_500_000, 2013: 6_000_000, 2014: 6_500_000,
@@ -61,12 +53,6 @@ SEASON_PRICE = {
     2020: 8_000_000, 2021: 8_500_000, 2022: 9_000_000, 2023: 9_500_000, 2024: 10_000_000,
 }
 
-# Award ids that count as major.
-MAJOR_AWARDS = [
-    "ALMVP", "NLMVP", "ALCY", "NLCY", "ALROY", "NLROY", "ALGG", "NLGG", "ALSS", "NLSS",
-    "ALCSMVP", "NLCSMVP", "WSMVP", "MLBHOF",
-]
-
 
 def team_master(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEAMS, "master_id int, short_code string, code string, name string, division string")

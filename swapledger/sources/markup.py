@@ -27,29 +27,42 @@ def strip_tags(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"\s+", " "))
 
 
-def html_cells(docs: DataFrame, html: str, scope: str, row_tag: str, cell_tag: str, name: str = "cells") -> DataFrame:
-    """One row per element of ``row_tag`` inside the first match of ``scope``, with its cells."""
-    body = F.regexp_extract(F.col(html), scope, 1)
-    rows = F.regexp_extract_all(body, F.lit(f"(?s)<{row_tag}[^>]*>(.*?)</{row_tag}>"), F.lit(1))
-    return docs.select("*", F.posexplode(rows).alias("row_no", "row_html")).withColumn(
-        name, F.regexp_extract_all("row_html", F.lit(f"(?s)<{cell_tag}[^>]*>(.*?)</{cell_tag}>"), F.lit(1))
-    )
+def elements(fragment: Column, tag: str) -> Column:
+    """Inner text of each closed element of ``tag``, by splitting at the places where one opens.
+
+    The name may be followed by attributes, so ``tr`` does not open at ``<track>``.
+    """
+    pieces = F.split(fragment, f"<{tag}(?=[\\s>])")
+    opened = F.filter(F.slice(pieces, 2, F.size(pieces)), lambda x: F.contains(x, F.lit(f"</{tag}>")))
+    inner = lambda x: F.substring_index(x, f"</{tag}>", 1)
+    # What stands before the first ">" are the attributes.
+    return F.transform(opened, lambda x: F.substr(inner(x), F.locate(">", inner(x)) + 1))
+
+
+def html_cells(docs: DataFrame, html: str, opening: str, closing: str, row_tag: str, cell_tag: str, name: str = "cells") -> DataFrame:
+    """One row per element of ``row_tag`` between the first ``opening`` text and the next ``closing``, with its cells."""
+    after = F.substring_index(F.col(html), opening, 1)
+    body = F.substring_index(F.substr(F.col(html), F.length(after) + F.lit(len(opening) + 1)), closing, 1)
+    found = F.when(F.contains(F.col(html), F.lit(opening)), body).otherwise("")
+    return docs.select("*", F.posexplode(elements(found, row_tag)).alias("row_no", "row_html")).withColumn(
+        name, elements(F.col("row_html"), cell_tag))
 
 
 def payroll_rows(docs: DataFrame, html: str, table_id: str, keep: Sequence[str]) -> DataFrame:
     """Contract rows of one payroll table; rows without a player link or with few cells drop out."""
-    rows = html_cells(docs, html, rf'(?s)<table id="{table_id}"[^>]*>(.*?)</table>', "tr", "td")
+    rows = html_cells(docs, html, f'<table id="{table_id}"', "</table>", "tr", "td")
     link = r'href="[^"]*/player/_/id/(\d+)/([a-z0-9-]+)"'
     cell = lambda i: F.get("clean", F.lit(i))
     text = {n: cell(i + 1) for i, n in enumerate(PAYROLL_COLUMNS)}
-    anchor = F.trim(F.regexp_extract(F.element_at("cells", 1), r'<a href="[^"]+"[^>]*>([^<]+)</a>', 1))
+    # The name is the linked text of the first cell; what stands beside the link is a badge.
+    name = strip_tags(F.get(elements(F.get("cells", F.lit(0)), "a"), F.lit(0)))
     players = rows.where((F.size("cells") >= 5) & F.col("row_html").rlike(link)).withColumn(
         "clean", F.transform("cells", strip_tags)
     )
     return players.select(
         *keep,
         F.regexp_extract("row_html", link, 1).cast("long").alias("contract_id"),
-        F.when(anchor != "", anchor).otherwise(F.coalesce(S.blank_to_null(cell(0)), F.lit("(unknown)"))).alias("player_name"),
+        F.coalesce(S.blank_to_null(name), F.lit("(unknown)")).alias("player_name"),
         text["position"].alias("position"),
         S.lenient_double(text["service_time"]).alias("service_time"),
         text["acquired"].alias("acquired"),
@@ -63,7 +76,7 @@ def office_rows(docs: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """(role, person) pairs of the known roles in front-office blocks."""
     # A block is cut at its bold tags: label up to the closing tag, then text and links up
     # to the next tag of another kind.
-    block = docs.select(*keep, F.explode(F.slice(F.split(html, "<strong>"), 2, 1_000_000)).alias("_block"))
+    block = docs.select(*keep, F.explode(F.slice(F.split(html, "<strong>"), 2, F.size(F.split(html, "<strong>")))).alias("_block"))
     label = F.substring_index("_block", "</strong>", 1)
     rest = F.regexp_replace(F.substring_index("_block", "</strong>", -1), "</?a(\\s[^>]*)?>", "")
     named = block.where(F.col("_block").contains("</strong>")).select(

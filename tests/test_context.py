@@ -30,3 +30,19 @@ def test_rolling_windows_follow_the_seasons_there_are(spark):
     df = spark.createDataFrame(rows, "season int, a double, b double")
     assert sorted(r.window_start for r in rolling_correlation(df, "a", "b").collect()) == list(range(1990, 1996))
     assert sorted(r.window_start for r in rolling_correlation(df, "a", "b", 1991, 1994).collect()) == [1991, 1992]
+
+
+def test_comparables_with_unknown_ages(spark):
+    """Band join against the plain pair rule, unknown ages on either side."""
+    from swapledger.operators.matching import age_banded
+
+    ages = [None, 0, 2, 3, 5, 6, 9, 20, None, 21, 23, 24]
+    players = spark.createDataFrame([(i, "r", i % 2, a) for i, a in enumerate(ages)], "player_id int, role string, grp int, age int")
+    focus = players.selectExpr("player_id as focus_id", "role", "grp", "age as _age")
+    got = {(r.focus_id, r.player_id) for r in age_banded(players, focus, 3).collect()}
+    rows = [(i, i % 2, a) for i, a in enumerate(ages)]
+    near = lambda a, b: a is None or b is None or abs(a - b) <= 3
+    want = {(f, p) for f, g, a in rows for p, h, b in rows if g == h and near(a, b)}
+    assert want <= got
+    far = {(f, p) for f, p in got - want}
+    assert all(abs(ages[f] // 3 - ages[p] // 3) <= 1 for f, p in far)
