@@ -35,6 +35,20 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, docs: DataFrame) -> str:
+    """``name``, lengthened until no column of ``docs`` has it (names meet whatever their case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, names: list[str], keep: str) -> DataFrame:
+    """``docs`` without columns named like the results an operator adds; ``keep``, its input, stays."""
+    taken = {n.lower() for n in names} - {keep.lower()}
+    return docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in taken])
+
+
 def squeeze(data: bytes | np.ndarray) -> bytes:
     """Compressed bytes of a buffer."""
     return zstandard.ZstdCompressor(level=1).compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes())
