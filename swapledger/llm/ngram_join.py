@@ -1,28 +1,35 @@
 """Near-duplicate join on five-word shingles: MinHash LSH forest, then exact verification.
 
-Each text has ``TREES`` labels of up to ``DEPTH`` minima; two texts meet in a tree where
-their labels share a prefix.  The prefix is shortened from the full depth until a pair at
-the threshold is met in some tree with at least the target probability (``prefix_depth``):
-1 - (1 - s^d)^trees.  That rule gives all texts the same depth d, and texts that share a
-deeper prefix share this one too, so only the nodes at depth d are made: as candidates go,
-the forest is banding of ``TREES`` bands of d = 6 minima.  A pair at exactly 0.8 that no
-third text connects is met with probability 0.999994, at 0.85 with more than 0.9999999.
+Each text has ``TREES`` labels of up to ``DEPTH`` minima, and a tree's labels form a trie whose
+nodes are their prefixes.  Matching starts at the deepest prefixes and shortens them text by
+text: a text stops at the first depth d at which a partner of the least similarity it can have
+is met in some tree with the target probability, 1 - (1 - s^d)^trees >= ``RECALL``.  That least
+similarity follows from the number of its shingles (``least_similarity``): a set of six, say,
+has no partner between 0.8 and 6/7, and one of three has none but itself.  So short texts stop
+at depth 8 or 7, long ones at 6, and a pair meets at the shallower of its two depths, where
+both have met their target.  A pair at exactly 0.8 that no third text connects is met with
+probability 0.999994, at 0.85 with more than 0.9999999.  Texts descend no further than they
+match, so labels are made only to the depth where a text stops.
 
 Texts with equal shingle sets are one text from the start.  Members of a trie node are
-linked to the node's smallest member (a star, never all pairs); the components of these
-stars are the candidate clusters.  All links inside a cluster are then computed exactly
+linked to the smallest of the texts that stop there (a star, never all pairs); a node at which
+no text stops links nothing.  The components of these stars are the candidate clusters.  All links inside a cluster are then computed exactly
 from whole shingle sets, as incidence products in tasks that emit counts and roots only.
 A cluster larger than ``CELL`` is split into blocks, and every pair of blocks is a cell
 of its own, so a hot group is shared out and no link is dropped.
 
 Defined results: null text is empty; texts without words link to nothing and are classes
-of their own; rows with equal shingle sets share a class; null ids count as the largest
-id (and show as null); an empty table gives an empty result.
+of their own; texts of any length count whole; rows with equal shingle sets share a class;
+ties go to the smallest id; null ids count as the largest id (and show as null); an empty
+table gives an empty result; other columns may have any name, and ``one_of_each`` returns
+them as they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from swapledger.llm.common import U64, mixed, slices, written
+from swapledger.llm.common import U64, fresh, mixed, slices, written
 from swapledger.llm.components import components
 from swapledger.llm.shingles import set_hash, shingle_sets
 
@@ -38,7 +45,7 @@ THRESHOLD = 0.8
 TREES, DEPTH = 40, 8
 RECALL = 0.99999
 #: Texts of a cluster that one task compares with each other.
-CELL = 2048
+CELL = 1024
 _NO_ID = np.iinfo(np.int64).max
 _FACTORS = (mixed(np.arange(1, TREES * DEPTH + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _ADDED = mixed(np.arange(1001, 1001 + TREES * DEPTH, dtype=U64)).astype(np.uint32)
@@ -52,6 +59,25 @@ def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, deepest: int
     return depth
 
 
+@lru_cache
+def least_similarity(size: int, threshold: float = THRESHOLD) -> float:
+    """Smallest Jaccard at or over the threshold that a set of ``size`` can have with another set; 1 if there is none."""
+    if size > 1000:
+        return threshold
+    low = 1.0
+    for other in range(1, int(size / threshold) + 2):
+        common = math.ceil(threshold * (size + other) / (1 + threshold) - 1e-9)
+        if common <= min(size, other) and not common == size == other:
+            low = min(low, common / (size + other - common))
+    return max(low, threshold)
+
+
+@lru_cache
+def stop_depth(size: int, threshold: float = THRESHOLD) -> int:
+    """Depth to which the prefix of a text of ``size`` shingles is shortened."""
+    return prefix_depth(least_similarity(size, threshold))
+
+
 def minima(shingles: np.ndarray, used: np.ndarray) -> np.ndarray:
     """Smallest value of the set under each of the hash functions numbered ``used``."""
     x = (shingles ^ (shingles >> U64(29))).astype(np.uint32)
@@ -65,27 +91,31 @@ def minima(shingles: np.ndarray, used: np.ndarray) -> np.ndarray:
     return low
 
 
-def _signatures(text: str, depth: int):
-    used = (np.arange(TREES)[:, None] * DEPTH + np.arange(depth)).ravel()
+def _signatures(text: str, threshold: float):
+    first = prefix_depth(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             tree = mixed(np.arange(TREES, dtype=U64) + U64(77))
             for batch in slices(batches, text, 2_000_000):
-                key, size, nodes = [], [], []
+                key, size, nodes, depth = [], [], [], []
                 for s in shingle_sets(batch.column(text)):
                     key.append(set_hash(s))
                     size.append(len(s))
+                    depth.append(stop_depth(len(s), threshold) if len(s) else first)
                     if not len(s):
                         nodes.append([])
                         continue
-                    node = tree.copy()
-                    for level in minima(s, used).reshape(TREES, depth).T:
-                        node = mixed(node * U64(31) + level.astype(U64))
-                    nodes.append(node.view(np.int64))
+                    used = (np.arange(TREES)[:, None] * DEPTH + np.arange(depth[-1])).ravel()
+                    node, own = tree, []
+                    for level, low in enumerate(minima(s, used).reshape(TREES, depth[-1]).T):
+                        node = mixed(node * U64(31) + low.astype(U64))
+                        if level + 1 >= first:
+                            own.append(node)
+                    nodes.append(np.concatenate(own).view(np.int64))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "text_key": pa.array(key, pa.int64()),
-                    "size": pa.array(size, pa.int64()), "nodes": pa.array(nodes, pa.list_(pa.int64())),
+                    "size": pa.array(size, pa.int64()), "depth": pa.array(depth, pa.int32()), "nodes": pa.array(nodes, pa.list_(pa.int64())),
                 })
 
     return sign
@@ -178,26 +208,28 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     reached over links (Jaccard at or over ``threshold``).  ``n_links`` counts all other
     documents linked to it (its own copies too), ``n_text_links`` only different texts.
     """
-    depth = prefix_depth(threshold)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(
-        given.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_signatures("text", depth), "doc_id long, text_hash long, text_key long, size long, nodes array<long>"),
+        given.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+            _signatures("text", threshold), "doc_id long, text_hash long, text_key long, size long, depth int, nodes array<long>"),
         "forest-labels",
     )
     texts = written(
         signed.where("size > 0").groupBy("text_key")
         .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("low_id"), F.col("text_hash").alias("low_hash"))).alias("low"),
-             F.count("*").alias("copies"), F.first("nodes").alias("nodes"))
-        .select("text_key", "low.*", "copies", "nodes"),
+             F.count("*").alias("copies"), F.first("depth").alias("depth"), F.first("nodes").alias("nodes"))
+        .select("text_key", "low.*", "copies", "depth", "nodes"),
         "forest-texts",
     )
-    member = texts.select("text_key", F.explode("nodes").alias("node"))
-    met = member.groupBy("node").agg(F.min("text_key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # A text's nodes come level by level, the one where it stops last.
+    member = texts.select("text_key", (F.size("nodes") - TREES).alias("_last"), F.posexplode("nodes").alias("_at", "node"))
+    stops = F.when(F.col("_at") >= F.col("_last"), F.col("text_key"))
+    met = member.groupBy("node").agg(F.min(stops).alias("hub"), F.count("*").alias("n")).where("n > 1 and hub is not null").drop("n")
     stars = member.join(met, "node").where("text_key <> hub").select(F.col("text_key").alias("a"), F.col("hub").alias("b"))
     cluster = components(stars)
     size = cluster.groupBy("root").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("long").alias("parts"))
     placed = written(
-        cluster.join(size, "root").join(texts.drop("nodes").withColumnRenamed("text_key", "node"), "node")
+        cluster.join(size, "root").join(texts.drop("nodes", "depth").withColumnRenamed("text_key", "node"), "node")
         .select(F.col("root").alias("cluster"), F.col("node").alias("text_key"), "low_id", "low_hash", "copies", "parts",
                 F.pmod(F.xxhash64("node"), "parts").alias("part")),
         "forest-clusters",
@@ -247,12 +279,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
 
     Rows without words are kept.  Of rows equal in id and text any one stays.
     """
-    keyed = docs.withColumn("_id_key", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))).withColumn("_hash", F.xxhash64(text))
+    id_key, hashed, rank = fresh("_id_key", docs), fresh("_hash", docs), fresh("_rank", docs)
+    keyed = docs.withColumn(id_key, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))).withColumn(hashed, F.xxhash64(text))
     links = near_links(docs, doc_id, text, threshold).where("class_key is not null")
     first = links.groupBy("class_key").agg(
-        F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id_key"), F.col("text_hash").alias("_hash"))).alias("first")
+        F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias(id_key), F.col("text_hash").alias(hashed))).alias("first")
     ).select("first.*")
-    same = Window.partitionBy("_id_key", "_hash").orderBy("_hash")
-    kept = keyed.join(first.hint("merge"), ["_id_key", "_hash"]).withColumn("_rank", F.row_number().over(same)).where("_rank = 1")
+    same = Window.partitionBy(id_key, hashed).orderBy(hashed)
+    kept = keyed.join(first.hint("merge"), [id_key, hashed]).withColumn(rank, F.row_number().over(same)).where(F.col(rank) == 1)
     wordless = docs.where(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\t-\\r ]+", "") == "")
     return kept.select(*docs.columns).unionByName(wordless)

@@ -1,5 +1,8 @@
 """Words and five-word shingles of whole texts as 64-bit hashes, a batch at a time.
 
+Words are hashed by XXH3, not by a sum of powers, for which unequal words of one hash can be
+written down; a shingle mixes the hashes of its five words.
+
 A word is a run of characters other than ASCII white space, in lower case.  A text with
 one to four words has one shingle, all of its words; a text without words has none.
 """
@@ -8,9 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 from swapledger.llm.common import ODD, ODD2, U64, mixed, utf8
-from swapledger.llm.piece_memo import span_hashes
 
 WORDS = 5
 _SPACE = np.zeros(256, bool)
@@ -45,7 +48,8 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     data, offsets = lowered(column)
     starts, ends, before = word_spans(data, offsets)
-    word = span_hashes(data, starts, ends)
+    raw = data.tobytes()
+    word = np.array([xxh3_64_intdigest(raw[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())], U64)
     with np.errstate(over="ignore"):
         factor = _PLACE
         n = len(word) - WORDS + 1

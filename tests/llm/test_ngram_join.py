@@ -117,11 +117,39 @@ def test_pairs_at_the_threshold_meet():
     assert len(a & b) / len(a | b) == 0.8
     n = len(texts)
     batch = pa.RecordBatch.from_pydict({"doc_id": range(n), "text": texts, "text_hash": range(n)})
-    nodes = [x for out in nj._signatures("text", nj.prefix_depth())(iter([batch])) for x in out.column("nodes").to_pylist()]
+    nodes = [x for out in nj._signatures("text", nj.THRESHOLD)(iter([batch])) for x in out.column("nodes").to_pylist()]
     lost = sum(not set(x) & set(y) for x, y in zip(nodes[::2], nodes[1::2]))
     assert lost <= 1
 
 
+def test_texts_stop_at_different_depths():
+    for n in range(1, 40):
+        # The least similarity, by trying all sizes of a partner and of what is common.
+        reach = [c / (n + m - c) for m in range(1, 3 * n) for c in range(0, min(n, m) + 1) if not c == n == m]
+        low = min([x for x in reach if x >= 0.8 - 1e-12], default=1.0)
+        assert nj.least_similarity(n) == pytest.approx(low)
+        d = nj.stop_depth(n)
+        assert d == nj.DEPTH or 1 - (1 - low ** (d + 1)) ** nj.TREES < nj.RECALL
+        assert 1 - (1 - low**d) ** nj.TREES >= nj.RECALL
+    assert {nj.stop_depth(n) for n in (3, 6, 9)} == {6, 7, 8}
+
+
+def test_short_texts_meet_at_their_own_depth(spark):
+    """Sets of 6 and 7 shingles at 6/7, the least there is, and sets of 5 at 0.8 of 4; few other pairs are made."""
+    rnd, texts = random.Random(4), []
+    for _ in range(1500):
+        w = [f"w{rnd.getrandbits(40):x}" for _ in range(11)]
+        texts += [" ".join(w[:10]), " ".join(w[:11])]
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(n), "text": texts, "text_hash": range(n)})
+    out = next(iter(nj._signatures("text", nj.THRESHOLD)(iter([batch]))))
+    assert set(out.column("size").to_pylist()) == {6, 7} and set(out.column("depth").to_pylist()) == {7, 8}
+    assert {len(x) for x in out.column("nodes").to_pylist()} == {2 * nj.TREES, 3 * nj.TREES}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nj.near_links(df).collect()}
+    assert all(got[i] == i - i % 2 for i in range(n))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (200, 201)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
