@@ -1,14 +1,18 @@
 """Language identification by words first, with backoff to ever shorter character n-grams.
 
-The model holds, per language, log frequencies of the commonest words and of character
-n-grams of one to five characters (a space stands for the ends of a word), counted over a
-bounded sample of documents with a language.  A text's known words add their log
+The model holds, per language, log frequencies of all words and of all character n-grams of
+one to five characters (a space stands for the ends of a word) that were counted in a sample
+of documents with a language; the sample is bounded by ``SAMPLE``, what is learned from it is not cut.
+Only counts that a language has are stored; a language without a token has the log frequency
+that all languages together give it.  A text's known words add their log
 frequencies; an unknown word adds those of its n-grams: at every place the longest known
 one, shortened character by character.  Scores are the posterior of the summed evidence,
 each word counting as one observation.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0; with no
-learned language every text does; ties go to the language that sorts first.
+learned language every text does; ties go to the language that sorts first; null ids are
+learned from or left out like any other id, by ``chosen``; repeated rows count as often as
+they come; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,15 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swapledger.llm.common import ODD, U64, mixed, ranges, slices
+from swapledger.llm.common import ODD, U64, mixed, ranges, slices, without
 from swapledger.llm.piece_memo import span_hashes
 
-#: Documents of each language that are learned from at most, and tokens kept per language.
-SAMPLE, WORDS, GRAMS = 4_000, 20_000, 10_000
+#: Documents of each language that are learned from, about and at most.
+SAMPLE = 4_000
 LONGEST = 5
 #: Tokens of all languages together that are mixed into each language's counts.
 PRIOR = 50.0
@@ -91,21 +95,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Languages, and per kind (0: words, g: n-grams of g) sorted keys with one row of log frequencies each."""
+    """Languages, and per kind (0: words, g: n-grams of g) sorted keys with the log frequencies of the languages that have them.
+
+    A language's log frequency of a token is log(n + PRIOR * f) - log(total + PRIOR), where f is the
+    token's frequency over all languages.  log(PRIOR * f) is common to all languages and takes no
+    part in a comparison, so a key keeps only what each language that counted it adds to that.
+    """
 
     def __init__(self, langs: list[str], rows: pd.DataFrame):
         self.langs = langs
         place = {x: i for i, x in enumerate(langs)}
-        self.keys, self.logs = [], []
+        self.keys, self.starts, self.lang, self.gain, self.base = [], [], [], [], []
         for kind in range(LONGEST + 1):
             mine = rows[rows["kind"] == kind]
+            lang, n = mine["lang"].map(place).to_numpy(np.int64), mine["n"].to_numpy(np.float64)
             keys, at = np.unique(mine["key"].to_numpy(np.int64), return_inverse=True)
-            count = np.zeros((len(keys), len(langs)))
-            np.add.at(count, (at, mine["lang"].map(place).to_numpy(np.int64)), mine["n"].to_numpy(np.float64))
-            self.keys.append(keys)
+            total = np.bincount(lang, n, len(langs))
             # A language with few rows falls back to the frequencies of all languages: no evidence.
-            overall = count.sum(axis=1, keepdims=True) / max(count.sum(), 1.0)
-            self.logs.append(np.log((count + PRIOR * overall) / (count.sum(axis=0) + PRIOR)).astype(np.float32))
+            overall = PRIOR * np.bincount(at, n, len(keys)) / max(n.sum(), 1.0)
+            by = np.lexsort((lang, at))
+            self.keys.append(keys)
+            self.starts.append(np.r_[0, np.cumsum(np.bincount(at, minlength=len(keys)))].astype(np.int64))
+            self.lang.append(lang[by].astype(np.int32))
+            self.gain.append(np.log1p(n[by] / overall[at[by]]).astype(np.float32))
+            self.base.append(-np.log(total + PRIOR))
 
     def _at(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 for unknown ones."""
@@ -122,14 +135,16 @@ class Model:
         doc = np.repeat(np.arange(n), np.diff(before))
         out = np.zeros((n, k))
 
-        def add(rows: np.ndarray, logs: np.ndarray, weight: np.ndarray | None = None) -> None:
-            for lang in range(k):
-                x = logs[:, lang] if weight is None else logs[:, lang] * weight
-                out[:, lang] += np.bincount(rows, x, n)
+        def add(rows: np.ndarray, kind: int, at: np.ndarray, weight: np.ndarray | None = None) -> None:
+            out[:] += np.bincount(rows, weight, n)[:, None] * self.base[kind]
+            size = np.diff(self.starts[kind])[at]
+            some = ranges(self.starts[kind][at], size)
+            gain = self.gain[kind][some] if weight is None else self.gain[kind][some] * np.repeat(weight, size)
+            out[:] += np.bincount(np.repeat(rows, size) * k + self.lang[kind][some], gain, n * k).reshape(n, k)
 
         at = self._at(0, _hashes(points, starts, ends).view(np.int64))
         known = at >= 0
-        add(doc[known], self.logs[0][at[known]])
+        add(doc[known], 0, at[known])
         new = np.flatnonzero(~known)
         if len(new):
             size = ends[new] - starts[new] + 1  # places: the space before the word and its characters
@@ -141,7 +156,7 @@ class Model:
                 some = todo[fits]
                 hit = self._at(g, gram_hashes(points, g)[place[some]].view(np.int64))
                 on = hit >= 0
-                add(doc[word[some[on]]], self.logs[g][hit[on]], 1.0 / (ends[word[some[on]]] - starts[word[some[on]]] + 1))
+                add(doc[word[some[on]]], g, hit[on], 1.0 / (ends[word[some[on]]] - starts[word[some[on]]] + 1))
                 done = np.zeros(len(place), bool)
                 done[some[on]] = True
                 todo = todo[~done[todo]]
@@ -168,16 +183,14 @@ def learn(docs: DataFrame, chosen: Column, doc_id: str = "doc_id", text: str = "
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
     some = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
     counts = some.select("text", "lang").mapInArrow(_count, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    common = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    top = counts.withColumn("_rank", F.row_number().over(common)).where(
-        F.col("_rank") <= F.when(F.col("kind") == 0, F.lit(WORDS)).otherwise(F.lit(GRAMS))).select("lang", "kind", "key", "n")
-    rows = top.toPandas()  # bounded: languages x (WORDS + LONGEST x GRAMS)
+    rows = counts.toPandas()  # what ``sample`` documents of each language hold
     langs = sorted(rows["lang"].unique())
     return Model(langs, rows)
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text", output: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """``docs`` with the predicted language and its score."""
+    """``docs`` with the predicted language and its score; columns of these names are replaced."""
+    docs = without(docs, [output, score], text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
