@@ -11,7 +11,7 @@ k of those are the answer; nothing is approximated.
 Defined results: vectors that are null or hold null, NaN or infinite components, and rows
 without an id, take no part; a vector meets only vectors of its own length; rows that share
 the query's id are not its candidates; ties go to the smaller id; repeated query rows
-answer once each.
+answer once each; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -135,7 +135,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
         .where("vec_id is not null and embedding is not null")
         .where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     )
-    ranged = usable.select("vec_id", "embedding").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    # Rows of one id may be many: they are dealt on by their hash.
+    ranged = usable.select("vec_id", "embedding").repartitionByRange("vec_id", F.xxhash64("embedding")).sortWithinPartitions("vec_id")
     blocks = written(ranged.mapInArrow(_pack(BLOCK), _PACKED), "vector-blocks")
     packs = written(usable.where("_query").select("vec_id", "embedding").mapInArrow(_pack(PACK), _PACKED), "query-packs")
     place = Window.partitionBy("part", "dim").orderBy("number")

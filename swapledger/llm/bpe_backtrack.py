@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from swapledger.llm.common import ranges, slices, utf8
+from swapledger.llm.common import ranges, slices, utf8, without
 from swapledger.llm.piece_memo import PieceMemo
 from swapledger.llm.word_tokens import plain_rows, vocabulary_path
 
@@ -225,7 +225,11 @@ def codec(path: str) -> ByteBpe:
 
 
 def with_bpe(docs: DataFrame, text: str = "text", path: str | None = None, keep: bool = False) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, with ``keep``, ``ids`` and ``decoded``."""
+    """``docs`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, with ``keep``, ``ids`` and ``decoded``.
+
+    Columns of ``docs`` with these names are replaced; null text is empty and repeated rows
+    stay rows of their own; an empty table gives an empty result.
+    """
     path = path or vocabulary_path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,4 +251,5 @@ def with_bpe(docs: DataFrame, text: str = "text", path: str | None = None, keep:
     if keep:
         fields += [("ids", T.ArrayType(T.LongType())), ("decoded", T.StringType())]
     added = [n for n, _ in fields]
+    docs = without(docs, added, text)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in fields)]))

@@ -102,15 +102,19 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null texts are empty (one end id); repeated rows and ids are packed like any others;
-    null ids stay null; an empty table gives no sequences.
+    Null texts are empty (one end id); texts longer than ``capacity`` ids are cut, others never;
+    repeated rows, ties and equal ids are packed like any others; null ids stay null; an empty
+    table gives no sequences.  Only the two named columns are read, so others may have any name.
     """
     path = path or vocabulary_path()
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = written(given.mapInArrow(_pieces("text", path, capacity, ["doc_id"]), f"doc_id long, {PIECE}"), "pieces")
+    # Numbered once and written, so that equal rows are dealt over all groups, and the same way after a lost task.
+    pieces = written(
+        given.mapInArrow(_pieces("text", path, capacity, ["doc_id"]), f"doc_id long, {PIECE}").withColumn("_number", F.monotonically_increasing_id()),
+        "pieces")
     rows = pieces.where(F.col("length") < capacity).count()
     first = written(
-        _dealt(pieces.where(F.col("length") < capacity), ["doc_id", "piece", "ids_crc32"], rows).groupBy("_group").applyInPandas(
+        _dealt(pieces.where(F.col("length") < capacity), ["_number"], rows).drop("_number").groupBy("_group").applyInPandas(
             _pack(capacity), f"doc_id long, {PIECE}, _bin long, _offset long, _level long"
         ),
         "packed",
@@ -129,7 +133,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = pieces.where(F.col("length") == capacity)
     # Numbers: packed sequences count up from 0, whole ones go below it, by document, piece and content.
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("_place").alias("sequence_id"), "offset").unionByName(
-        full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+        full.drop("_number").withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     )
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swapledger.llm.common import U64, ranges, slices, utf8
+from swapledger.llm.common import U64, ranges, slices, utf8, without
 from swapledger.llm.piece_memo import span_hashes
 from swapledger.llm.shingles import lowered, word_spans
 
@@ -41,6 +41,8 @@ FACTORS = 8
 #: Labelled rows that training reads at most.
 SAMPLE = 12_000
 EPOCHS, BATCH, RATE, DECAY = 8, 256, 0.1, 1e-6
+#: Steps that training makes at least, and passes over the rows at most for that.
+STEPS, MOST_EPOCHS = 100, 60
 
 
 def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -129,7 +131,8 @@ def fit(label: np.ndarray, index: np.ndarray, value: np.ndarray, off: np.ndarray
     rate = np.clip(label.mean(), 0.01, 0.99)
     bias = float(np.log(rate / (1 - rate)))
     seen_w, seen_v, seen_b = np.full(SIZE, 1e-4), np.full((SIZE, FACTORS), 1e-4, np.float32), 1e-4
-    for _ in range(EPOCHS):
+    # Few rows need more passes until the loss settles: the number of steps is held, not that of epochs.
+    for _ in range(max(EPOCHS, min(MOST_EPOCHS, -(-STEPS * BATCH // max(len(label), 1))))):
         order = rnd.permutation(len(label))
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
@@ -203,7 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
 
 
 def with_quality(docs: DataFrame, model: tuple | None, text: str = "text", recorded: str | None = "n_chars", output: str = "quality_score") -> DataFrame:
-    """``docs`` with the probability of label 1 in ``output``."""
+    """``docs`` with the probability of label 1 in ``output``; a column of that name is replaced."""
+    docs = without(docs, [output], text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,8 +15,8 @@ from swapledger.llm.common import read_table
 
 
 def fold(doc_id: str, parts: int) -> Column:
-    """crc32 of the id as text, modulo ``parts``."""
-    return F.crc32(F.col(doc_id).cast("string")) % parts
+    """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
 def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,10 +250,16 @@ def _compress(freq: np.ndarray):
 
 
 def write_ids(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> None:
-    """Encode all texts, in ascending id order, into ``folder``: ``ids`` (records) and ``table`` (frequencies)."""
+    """Encode all texts, in ascending id order, into ``folder``: ``ids`` (records) and ``table`` (frequencies).
+
+    Null texts are empty (one end id); null ids come last; rows of one id are ordered, and dealt
+    to files, by the hash of their text, then by the text; texts of any length are written whole;
+    an empty table gives no sections.  Only the two named columns are read, so others may have any name.
+    """
     path = path or vocabulary_path()
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = given.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    ordered = given.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     raw = written(ordered.mapInArrow(_tokenise(path), _FILE), "raw-ids")
     size = encoder(path).size
     counts = raw.select("n_docs", "payload").mapInArrow(_count(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from swapledger.llm.common import slices, utf8
+from swapledger.llm.common import fresh, slices, utf8, without
 
 
 @dataclass(frozen=True)
@@ -218,7 +218,8 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint,secret_start:bigint,se
 
 
 def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, output: str = "secrets") -> DataFrame:
-    """``docs`` with the array ``output`` of all spans, by start, then rule order."""
+    """``docs`` with the array ``output`` of all spans, by start, then rule order; a column of that name is replaced."""
+    docs = without(docs, [output], text)
     schema = T.StructType([*docs.schema.fields, T.StructField(output, T._parse_datatype_string(SPANS))])
     return docs.mapInArrow(_scan(text, rules, output), schema)
 
@@ -240,7 +241,7 @@ def masked(value: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 def mask_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by its kind in angle brackets."""
     names = docs.columns
-    mark = "_secrets"
+    mark = fresh("_secrets", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _scan(text, rules, mark)(batches):

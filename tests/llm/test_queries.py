@@ -3,13 +3,17 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from swapledger.llm import language_id, quality_fm, rans_store
 from swapledger.llm import queries as Q
 from swapledger.llm.word_tokens import vocabulary_path
 
@@ -53,7 +57,95 @@ def test_op2(spark, docs):
     assert (got.held_out == [zlib.crc32(str(d).encode()) % 3 == 1 for d in got.doc_id]).all()
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
     held = got[got.held_out].merge(labels, on="doc_id")
-    assert (held.predicted == held.quality).mean() > 0.9
+    bad, good = held[held.quality == 0], held[held.quality == 1]
+    # Few labels here: 12 of the 14 rejected, nearly no good one, and ranks apart.
+    assert len(bad) == 14 and (bad.predicted == 0).sum() >= 12
+    assert (held.predicted == held.quality).mean() > max(0.97, held.quality.mean())
+    assert (bad.score.to_numpy()[:, None] < good.score.to_numpy()).mean() > 0.99
+
+
+def test_op2_scores_match_the_sum_over_pairs():
+    texts = ["One two two three. Four\nfive | six", "", "A a a 1 2 3 --", "é word " * 40, "One two two three. Four\nfive | seven"]
+    index, value, off = quality_fm.features(pa.array(texts), pa.array([30, 0, None, 5, 1], pa.int64()))
+    rnd = np.random.default_rng(2)
+    model = (0.3, rnd.normal(size=quality_fm.SIZE), rnd.normal(0, 0.3, (quality_fm.SIZE, quality_fm.FACTORS)))
+    got, _ = quality_fm.raw_scores(model, index, value, off)
+    for r in range(len(texts)):
+        i, x = index[off[r] : off[r + 1]], value[off[r] : off[r + 1]]
+        pairs = sum(model[2][i[a]] @ model[2][i[b]] * x[a] * x[b] for a in range(len(i)) for b in range(a))
+        assert got[r] == pytest.approx(0.3 + model[1][i] @ x + pairs, rel=1e-4, abs=1e-4)
+
+
+def test_op8_scores_match_a_plain_scorer(spark):
+    rows = pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "text", "lang"]]
+    df = spark.createDataFrame(rows)
+    model = language_id.learn(df.where("doc_id % 3 > 0"), F.lit(True))
+    words = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    learned = rows[rows.doc_id % 3 > 0]
+    langs = sorted(learned.lang.unique())
+    counts = {x: [Counter() for _ in range(6)] for x in langs}
+    for text, lang in zip(learned.text, learned.lang):
+        for w in words(text):
+            counts[lang][0][w] += 1
+            padded = f" {w} "
+            for g in range(1, 6):
+                counts[lang][g].update(padded[i : i + g] for i in range(len(padded) - g + 1))
+    every = [sum((counts[x][k] for x in langs), Counter()) for k in range(6)]
+    totals = [sum(c.values()) for c in every]
+    own = {x: [sum(c.values()) for c in counts[x]] for x in langs}
+
+    def log(lang, kind, token):
+        share = language_id.PRIOR * every[kind][token] / totals[kind]
+        return np.log((counts[lang][kind][token] + share) / (own[lang][kind] + language_id.PRIOR))
+
+    def evidence(text):
+        out = np.zeros(len(langs))
+        for w in words(text):
+            if w in every[0]:
+                out += [log(x, 0, w) for x in langs]
+                continue
+            padded = f" {w} "
+            for i in range(len(w) + 1):
+                for g in range(5, 0, -1):
+                    if i + g <= len(padded) and padded[i : i + g] in every[g]:
+                        out += [log(x, g, padded[i : i + g]) / (len(w) + 1) for x in langs]
+                        break
+        return out
+
+    tests = [t for t in rows[rows.doc_id % 3 == 0].text.head(8)] + ["mitternacht qzx", "le chatx noirr", "zzzz", "", None, "1 2"]
+    got = language_id.with_language(spark.createDataFrame(list(enumerate(tests)), "i int, text string"), model).orderBy("i").collect()
+    for r in got:
+        if not words(r.text):
+            assert (r.lang_pred, r.lang_score) == ("und", 0)
+            continue
+        e = evidence(r.text)
+        p = np.exp(e - e.max())
+        assert r.lang_pred == langs[int(e.argmax())] and r.lang_score == pytest.approx(p.max() / p.sum(), rel=1e-3)
+
+
+def test_op4_damage_is_found_and_sections_add_up(spark, tmp_path):
+    df = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
+    folder = str(tmp_path / "ids")
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesced)
+    spark.conf.set(coalesced, "false")
+    try:
+        rans_store.write_ids(df, folder)
+    finally:
+        spark.conf.set(coalesced, before)
+    stored = spark.read.parquet(f"{folder}/ids")
+    assert stored.count() > 1
+    out = sorted(rans_store.read_ids(spark, folder).collect(), key=lambda r: r.doc_id)
+    assert [r.start for r in out] == np.r_[0, np.cumsum([r.n_tokens for r in out])[:-1]].tolist()
+    row = max(stored.collect(), key=lambda r: r.n_ids).asDict()
+    for at in (len(row["payload"]) // 2, len(row["payload"]) - 9):
+        raw = bytearray(row["payload"])
+        raw[at] ^= 0x40
+        broken = str(tmp_path / f"broken{at}")
+        spark.createDataFrame([row | {"payload": raw}], stored.schema).write.parquet(f"{broken}/ids")
+        spark.read.parquet(f"{folder}/table").write.parquet(f"{broken}/table")
+        with pytest.raises(Exception, match="(?i)checksum|crc|damage|corrupt|block"):
+            rans_store.read_ids(spark, broken).collect()
 
 
 def sketch_sets(text):
