@@ -17,6 +17,7 @@ _MODULES = [
     "q_sources",
     "q_text",
     "q_streams",
+    "q_matrix",
 ]
 
 

@@ -75,3 +75,44 @@ def context_matrix(t) -> DataFrame:
     )
     named = regime_or_unknown(wide.withColumn("team_id", F.col("to_team")), t.regime).drop("team_id")
     return with_interactions(named)
+
+
+def platoon_seasons(t) -> DataFrame:
+    """Platoon split per team and season; the fixture's pitchers stand for both."""
+    from swapledger.operators import playlog as P
+    from swapledger.plans.q_summaries import code_column
+
+    klass, is_pa, _ = P.play_class(code_column())
+    plays = t.base("events").where(is_pa).select(
+        (F.col("user_id") % 25).cast("int").alias("team_id"), (F.lit(1995) + F.col("user_id") % 7).cast("int").alias("season"), klass.alias("klass"),
+        F.when(F.col("event_id") % 2 == 0, "L").otherwise("R").alias("bat_hand"), F.when(F.col("event_id") % 3 == 0, "L").otherwise("R").alias("pit_hand"))
+    return P.platoon_split(plays)
+
+
+def whole_matrix(t) -> DataFrame:
+    """The feature matrix in one: acquired players, context, and the sides of both teams.
+
+    Legs and player-season amounts are written once and every side reads those files.  Beside
+    the two halves it holds the origin team's bad-contract pressure, and the receiver's
+    technology lead, lineage of decision makers and platoon difference of the season before.
+    """
+    from swapledger.functions import network as N
+    from swapledger.operators import teams as T
+    from swapledger.plans.q_scalars import _ADOPT, lineage_scores_q
+
+    s = t.shared("leg", "amounts", "ledger")
+    keys = ["event_id", "to_team", "season"]
+    context = context_matrix(s)
+    wide = feature_matrix(s).join(context.select(*keys, *[c for c in context.columns if c not in _BOTH]), keys, "left")
+    pressure = T.sunk_cost_pressure(s.psr, min_salary=60000, unit=1e5 * 0.97).select(
+        F.col("team_id").alias("origin_team"), "season", F.col("pressure").alias("origin_pressure"))
+    lineage = lineage_scores_q(t).select(F.col("team_id").alias("to_team"), "season", "lineage")
+    platoon = platoon_seasons(t).select(F.col("team_id").alias("to_team"), (F.col("season") + 1).alias("season"), "platoon_diff")
+    return (
+        wide.join(pressure, ["origin_team", "season"], "left").join(lineage, ["to_team", "season"], "left").join(platoon, ["to_team", "season"], "left")
+        .withColumn("technology_lead", N.technology_lead(F.col("to_team"), F.col("season"), _ADOPT, 2003))
+    )
+
+
+#: Columns that both halves of the matrix have.
+_BOTH = {"event_id", "to_team", "season", "surplus", "prior_pct", "payroll", "prior_value", "prior_wins"}

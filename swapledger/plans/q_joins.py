@@ -184,7 +184,7 @@ def trade_with_context(t):
     )
 
 
-@query("JOI-10", "feature_matrix", f"""
+_FEATURES_SQL = f"""
 with {_TEAM_PRIOR}, {_COST},
   bp as (select event_id, to_team, avg(case when p_size <= 25 then p_partkey end) as pick from v_trade left join part on p_partkey = player_id group by 1, 2),
   oy as (select event_id, to_team, avg(coalesce(b.v, p.v, 0.0)) as o from v_trade t
@@ -216,7 +216,10 @@ left join oy on oy.event_id = l.event_id and oy.to_team = l.team_id
 left join acc on acc.event_id = l.event_id and acc.to_team = l.team_id
 left join cy on cy.event_id = l.event_id and cy.to_team = l.team_id
 left join om on om.event_id = l.event_id and om.to_team = l.team_id
-left join cost oc on oc.team_id = om.origin and oc.season = l.season""")
+left join cost oc on oc.team_id = om.origin and oc.season = l.season"""
+
+
+@query("JOI-10", "feature_matrix", _FEATURES_SQL)
 def feature_matrix_q(t):
     from swapledger.plans.features import feature_matrix
 
@@ -235,7 +238,7 @@ _DECAYED = "({}) / ({})".format(
     " + ".join(f"case when lag(jump, {i}) over w is not null then {x!r} else 0 end" for i, x in enumerate(_WEIGHTS)))
 
 
-@query("JOI-10", "context_matrix", f"""
+_CONTEXT_SQL = f"""
 with pe as (select p_partkey as player_id, 1950 + p_size as birth_year, p_partkey % 3 = 0 as lefty, case when p_type in ('PROMO', 'SMALL') then 1.0 else 0.0 end as abroad,
     p_type = 'LARGE' as pitcher, 18 + p_partkey % 12 as age, case when p_size >= 20 then p_size end as grade from part),
   dm as (select event_id, to_team, avg(season - birth_year) as avg_age, avg(abroad) as pct_international, avg(case when lefty then 1.0 else 0.0 end) as pct_left_bat,
@@ -279,7 +282,10 @@ select event_id, season, to_team, regime_id, payroll, cast(max_grade as bigint)
   round(park_factor, 6) as park_factor, round(dev_fit, 6) as dev_fit, round(recency_bias, 6) as recency_bias, round(avg_age, 6) as avg_age, round(pct_international, 6) as pct_international,
   round(pct_left_bat, 6) as pct_left_bat, round(pct_pitchers, 6) as pct_pitchers, round(avg_grade, 6) as avg_grade, round(avg_prior_awards, 6) as avg_prior_awards, round(pct_awarded, 6) as pct_awarded,
   round(hit_quality, 6) as hit_quality, round(pitch_quality, 6) as pitch_quality, round(age_advantage, 6) as age_advantage,
-  round(prior_pct * greatest(0.0, 1.0 - coalesce(pct_of_cap, 0.5)), 6) as contention_window, round(dev_fit * greatest(0.0, 32.0 - coalesce(avg_age, 32.0)), 6) as fit_by_peak_age from x""")
+  round(prior_pct * greatest(0.0, 1.0 - coalesce(pct_of_cap, 0.5)), 6) as contention_window, round(dev_fit * greatest(0.0, 32.0 - coalesce(avg_age, 32.0)), 6) as fit_by_peak_age from x"""
+
+
+@query("JOI-10", "context_matrix", _CONTEXT_SQL)
 def context_matrix_q(t):
     from swapledger.plans.features import context_matrix
 
@@ -291,6 +297,7 @@ def context_matrix_q(t):
         *[R(c).alias(c) for c in rounded])
 
 
+
 @query("JOI-11", "features_with_outcomes", """
 with e as (select w.event_id, w.to_team, w.season, avg(w.season - f.first_season) as e from v_trade w
     join (select player_id, min(season) as first_season from v_psv group by 1) f on f.player_id = w.player_id group by 1, 2, 3),

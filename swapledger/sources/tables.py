@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from copy import copy
 from decimal import Decimal
 from functools import cached_property
 
@@ -82,6 +83,18 @@ class Tables:
             )
         )
 
+    def shared(self, *names: str) -> Tables:
+        """These tables with the named facts written once, so that whatever is derived from them reads files.
+
+        For plans that use a fact many times: its joins and aggregates run a single time.
+        """
+        from swapledger.operators.regress import materialise
+
+        out = copy(self)
+        for name in names:
+            out.__dict__[name] = materialise(getattr(out, name), f"shared-{name}")
+        return out
+
     @cached_property
     def numbered_leg(self) -> DataFrame:
         """Legs with ``leg_index``; hot events are found from the narrow line columns alone."""
