@@ -107,14 +107,14 @@ with {_DELTA}, a as (select from_team from d group by 1 having avg(delta) > 0),
 select from_team as team_id, 'shared' as kind from a where from_team in (select from_team from b) union all select from_team, 'only_first' from a where from_team not in (select from_team from b)
 union all select from_team, 'only_second' from b where from_team not in (select from_team from a)""")
 def shared_and_only(t):
-    d = deltas(t)
-    a = d.groupBy(F.col("from_team").alias("team_id")).agg(F.avg("delta").alias("m")).where("m > 0").select("team_id")
-    b = d.groupBy(F.col("to_team").alias("team_id")).agg(F.avg("delta").alias("m")).where("m > 0").select("team_id")
-    return (
-        a.intersect(b).withColumn("kind", F.lit("shared"))
-        .union(a.subtract(b).withColumn("kind", F.lit("only_first")))
-        .union(b.subtract(a).withColumn("kind", F.lit("only_second")))
-    )
+    """Teams whose moves gained on either side, told apart in one pass: a leg counts for both its teams."""
+    roles = F.array(F.struct(F.col("from_team").alias("team_id"), F.lit(True).alias("gave")), F.struct(F.col("to_team").alias("team_id"), F.lit(False).alias("gave")))
+    sides = deltas(t).select("delta", F.explode(roles).alias("x"))
+    mean = lambda side: F.avg(F.when(side, F.col("delta")))
+    m = sides.groupBy(F.col("x.team_id").alias("team_id")).agg(mean(F.col("x.gave")).alias("a"), mean(~F.col("x.gave")).alias("b"))
+    first, second = F.coalesce(F.col("a") > 0, F.lit(False)), F.coalesce(F.col("b") > 0, F.lit(False))
+    kind = F.when(first & second, "shared").when(first, "only_first").when(second, "only_second")
+    return m.select("team_id", kind.alias("kind")).where("kind is not null")
 
 
 @query("SET-06", "union_of_keys", "select player_id from v_metric union select player_id from v_trade")

@@ -192,7 +192,7 @@ _ORIGIN = f"""{_DELTA}, ols as (select regr_slope(delta, pre) as b1, regr_interc
 
 def origin_residuals(t):
     """Change not explained by the prior level, from a least-squares pass."""
-    d = deltas(t)
+    d = G.materialise(deltas(t).select("from_team", "to_team", "season", "pre", "delta"), "deltas")
     fit = d.agg(F.struct(F.regr_slope("delta", "pre").alias("b1"), F.regr_intercept("delta", "pre").alias("b0"))).scalar()
     return d.withColumn("f", fit).withColumn("r", F.col("delta") - F.col("f.b0") - F.col("f.b1") * F.col("pre"))
 
@@ -204,7 +204,7 @@ select grp as from_team, n, round(effect, 6) as effect, round(sd, 6) as sd, roun
 def origin_effects(t):
     from pyspark.sql import Window
 
-    e = G.tail_mass(G.shrink(origin_residuals(t), "from_team", "r"))
+    e = G.tail_mass(G.shrink(G.materialise(origin_residuals(t).select("from_team", "r"), "residuals"), "from_team", "r"))
     w = Window.orderBy(F.round("effect", 9), "from_team")  # one row per team
     return rounded(e.withColumn("rank", F.row_number().over(w).cast("long")).drop("mean"), "effect", "sd", "p_negative")
 
@@ -215,8 +215,8 @@ with {_DELTA}, src as (select to_team, season % 3 as metric, delta from d), {shr
 select grp as to_team, count(*) as n_metrics, count(*) filter (where p >= 0.6) as n_above, round(avg(p), 6) as mean_p,
   case when count(*) filter (where p >= 0.6) >= 2 then 'ROBUST' when count(*) filter (where p >= 0.6) = 1 then 'partial' else 'no' end as flag from pr group by 1""")
 def pairwise_probability(t):
-    d = deltas(t).withColumn("metric", F.col("season") % 3)
-    e = G.shrink(d, "to_team", "delta", ["metric"])
+    d = G.materialise(deltas(t).select("to_team", "delta", (F.col("season") % 3).alias("metric")), "deltas")
+    e = G.materialise(G.shrink(d, "to_team", "delta", ["metric"]), "pooled")
     p = G.pairwise_against(e, "to_team", t.trade.agg(F.max("to_team")).scalar())
     above = F.count_if(F.col("p_less") >= 0.6)
     return p.groupBy("to_team").agg(
@@ -257,6 +257,8 @@ from d join (select to_team, count(*) as c, sum(v) as sm from s where r <= 20 gr
 def draw_summary(t):
     w = offset_window(t.numbered_trade, t.psv, [-1, 1], ["value"])
     d = w.withColumn("delta", F.col("value_t_plus_1") - F.col("value_t_minus_1")).where(F.col("delta").isNotNull())
+    # Quantiles, sample and moments read the same written rows.
+    d = G.materialise(d.select("to_team", "event_id", "leg_index", "delta"), "deltas")
     q = exact_quantiles(d, ["to_team"], "delta", {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
     s = C.draw_sample(d, ["to_team"], "delta", ["event_id", "leg_index"], 20)
     basic = d.groupBy("to_team").agg(F.count("*").alias("n"), F.avg("delta").alias("mean"), F.stddev_pop("delta").alias("sd"))

@@ -67,6 +67,7 @@ with {_PRICE}, a as (select event_id, to_team, avg(metric_a_t_plus_1 - metric_a_
   left join b on b.event_id = l.event_id and b.to_team = l.team_id left join cap on cap.event_id = l.event_id and cap.to_team = l.team_id)
 select event_id, to_team, season, round(da, 6) as metric_a_delta, round(db, 6) as metric_b_delta, surplus, round(ds, 4) as dollar_surplus, round(ds / pr, 6) as surplus_wins from z""")
 def outcome_matrix_q(t):
+    t = t.shared("leg", "amounts")
     base = t.ledger.withColumnRenamed("team_id", "to_team")
     rates = A.mean_deltas(t.metric_window, {"metric_a": "metric_a_delta", "metric_b": "metric_b_delta"})
     m = O.outcome_matrix(
