@@ -13,7 +13,7 @@ import numpy as np
 from swapledger.llm.common import ODD, U64, mixed, ranges
 
 #: Distinct pieces, and bytes of them, that a worker remembers before it starts anew.
-MOST, MOST_BYTES = 1_500_000, 32_000_000
+MOST, MOST_BYTES = 750_000, 16_000_000
 _INVERSE = U64(pow(int(ODD), -1, 1 << 64))
 _tables: dict[int, np.ndarray] = {}
 

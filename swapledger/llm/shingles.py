@@ -49,7 +49,11 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     data, offsets = lowered(column)
     starts, ends, before = word_spans(data, offsets)
     raw = data.tobytes()
-    word = np.array([xxh3_64_intdigest(raw[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())], U64)
+    word = np.empty(len(starts), U64)
+    # A portion at a time: the numbers of all words at once would be many Python objects.
+    for c in range(0, len(starts), 1 << 15):
+        cut = slice(c, c + (1 << 15))
+        word[cut] = [xxh3_64_intdigest(raw[a:b], 42) for a, b in zip(starts[cut].tolist(), ends[cut].tolist())]
     with np.errstate(over="ignore"):
         factor = _PLACE
         n = len(word) - WORDS + 1
