@@ -21,13 +21,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swapledger.llm.common import ODD, U64, mixed, ranges, slices, without
+from swapledger.llm.common import ODD, U64, mixed, ranges, slices, squeeze, unsqueeze, without
 from swapledger.llm.piece_memo import span_hashes
 
 #: Documents of each language that are learned from, about and at most.
@@ -94,6 +94,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array(lang), "kind": pa.array(kind, pa.int32()), "key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
+def _packed(langs: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(langs, pa.string())
+        for batch in batches:
+            kind, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key"))
+            lang = pc.index_in(batch.column("lang"), names).to_numpy(zero_copy_only=False).astype(np.int32)
+            n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
+            for k in np.unique(kind).tolist():
+                own = kind == k
+                yield pa.RecordBatch.from_pydict({
+                    "kind": pa.array([k], pa.int32()), "key": [squeeze(key[own])], "lang": [squeeze(lang[own])], "n": [squeeze(n[own])]})
+
+    return run
+
+
 class Model:
     """Languages, and per kind (0: words, g: n-grams of g) sorted keys with the log frequencies of the languages that have them.
 
@@ -102,21 +117,20 @@ class Model:
     part in a comparison, so a key keeps only what each language that counted it adds to that.
     """
 
-    def __init__(self, langs: list[str], rows: pd.DataFrame):
+    def __init__(self, langs: list[str], parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """``parts``: per kind keys, places of languages, and counts, one entry per key and language."""
         self.langs = langs
-        place = {x: i for i, x in enumerate(langs)}
         self.keys, self.starts, self.lang, self.gain, self.base = [], [], [], [], []
         for kind in range(LONGEST + 1):
-            mine = rows[rows["kind"] == kind]
-            lang, n = mine["lang"].map(place).to_numpy(np.int64), mine["n"].to_numpy(np.float64)
-            keys, at = np.unique(mine["key"].to_numpy(np.int64), return_inverse=True)
+            key, lang, n = parts.pop(kind, (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)))
+            keys, at = np.unique(key, return_inverse=True)
             total = np.bincount(lang, n, len(langs))
             # A language with few rows falls back to the frequencies of all languages: no evidence.
             overall = PRIOR * np.bincount(at, n, len(keys)) / max(n.sum(), 1.0)
-            by = np.lexsort((lang, at))
+            by = np.argsort(at, kind="stable")
             self.keys.append(keys)
             self.starts.append(np.r_[0, np.cumsum(np.bincount(at, minlength=len(keys)))].astype(np.int64))
-            self.lang.append(lang[by].astype(np.int32))
+            self.lang.append(lang[by])
             self.gain.append(np.log1p(n[by] / overall[at[by]]).astype(np.float32))
             self.base.append(-np.log(total + PRIOR))
 
@@ -183,9 +197,14 @@ def learn(docs: DataFrame, chosen: Column, doc_id: str = "doc_id", text: str = "
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
     some = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
     counts = some.select("text", "lang").mapInArrow(_count, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    rows = counts.toPandas()  # what ``sample`` documents of each language hold
-    langs = sorted(rows["lang"].unique())
-    return Model(langs, rows)
+    langs = sorted(r["lang"] for r in sizes.collect())
+    # What ``sample`` documents of each language hold, as packed columns: few and small rows on the driver.
+    packed: dict[int, list] = {}
+    for row in counts.mapInArrow(_packed(langs), "kind int, key binary, lang binary, n binary").collect():
+        packed.setdefault(row["kind"], []).append(
+            (unsqueeze(row["key"], np.int64), unsqueeze(row["lang"], np.int32), unsqueeze(row["n"], np.float64)))
+    parts = {kind: tuple(np.concatenate(c) for c in zip(*packed.pop(kind))) for kind in list(packed)}
+    return Model(langs, parts)
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text", output: str = "lang_pred", score: str = "lang_score") -> DataFrame:
