@@ -137,7 +137,7 @@ def _dot(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
     """(query row, id, score) of each query's ``k`` best in these vectors, and the blocks scored per query.
 
-    Scores below a query's ``floor`` may be left out.
+    Scores below a query's ``floor`` are left out.
     """
     cuts = range(0, len(ids), BLOCK)
     high = np.stack([vectors[a : a + BLOCK].max(axis=0) for a in cuts])
@@ -169,12 +169,12 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
             score[rows] = np.take_along_axis(every, best, axis=1)
             found[rows] = np.take_along_axis(names, best, axis=1)
     # A place never filled holds the least score, which no product has.
-    row, col = np.nonzero(score != _LEAST)
+    row, col = np.nonzero((score != _LEAST) & (score >= floor[:, None]))
     return row, found[row, col], score[row, col], scored
 
 
-def _cells(k: int):
-    """Best rows of each (queries, group) pair; a query also answers with a null row, which counts its blocks."""
+def _cells(k: int, count: bool):
+    """Best rows of each (queries, group) pair; with ``count`` also a null row per query, which counts its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,18 +186,19 @@ def _cells(k: int):
                     queries, vectors = np.zeros((len(query_ids), 1)), np.zeros((len(ids), 1))
                 names, floor = np.frombuffer(r["rows"], "<i4"), np.frombuffer(r["floor"], "<i8")
                 row, found, score, scored = search(queries, query_ids, vectors, ids, k, floor)
-                n, m = len(row), len(names)
+                row, asked = names[row], query_ids[row]
+                n, m = len(row), len(names) if count else 0
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(np.full(n + m, r["part"]), pa.int32()), "number": pa.array(np.full(n + m, r["number"]), pa.int32()),
-                    "row": pa.array(np.r_[names[row], names], pa.int32()), "query_id": pa.array(np.r_[query_ids[row], query_ids], pa.int64()),
+                    "row": pa.array(np.r_[row, names[:m]], pa.int32()), "query_id": pa.array(np.r_[asked, query_ids[:m]], pa.int64()),
                     "vec_id": pa.array([*found.tolist(), *[None] * m], pa.int64()), "score": pa.array([*score.tolist(), *[None] * m], pa.int64()),
-                    "scored": pa.array(np.r_[np.zeros(n, np.int32), scored], pa.int32()),
+                    "scored": pa.array(np.r_[np.zeros(n, np.int32), scored[:m]], pa.int32()),
                 })
 
     return run
 
 
-def _search(vectors: DataFrame, is_query: Column, k: int, vec_id: str, embedding: str) -> tuple[DataFrame, DataFrame]:
+def _search(vectors: DataFrame, is_query: Column, k: int, vec_id: str, embedding: str, count: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows found by all cells, and the groups of blocks."""
     usable = (
         vectors.withColumn("_query", is_query).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), "_query")
@@ -213,7 +214,7 @@ def _search(vectors: DataFrame, is_query: Column, k: int, vec_id: str, embedding
     spread = lambda d: d.withColumn("_salt", F.pmod(F.xxhash64("part", "number"), F.lit(SPREAD)))
     extremes = groups.select("at_part", "at_number", "dim", "high", "low").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<long>")))
     reach = "part int, number int, dim int, at_part int, at_number int, query_ids binary, queries binary, rows binary, floor binary"
-    meet = lambda sent: sent.join(groups.select("at_part", "at_number", "ids", "vectors"), ["at_part", "at_number"]).mapInArrow(_cells(k), _FOUND)
+    meet = lambda sent: sent.join(groups.select("at_part", "at_number", "ids", "vectors"), ["at_part", "at_number"]).mapInArrow(_cells(k, count), _FOUND)
 
     outlook = spread(packs).join(extremes, ["dim", "_salt"]).mapInArrow(_outlook, "part int, number int, at_part int, at_number int, outlook double")
     chosen = written(
@@ -239,7 +240,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
 
 def pruning(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, blocks (of the query's length), scored: how many of them the search had to score, a row per query row."""
-    found, groups = _search(vectors, is_query, k, vec_id, embedding)
+    found, groups = _search(vectors, is_query, k, vec_id, embedding, count=True)
     mine = groups.select("dim", F.ceil(F.octet_length("ids") / F.lit(8 * BLOCK)).alias("n")).groupBy("dim").agg(F.sum("n").alias("blocks"))
     dims = vectors.where(is_query).select(F.col(vec_id).cast("long").alias("query_id"), F.size(embedding).alias("dim")).groupBy("query_id").agg(F.max("dim").alias("dim"))
     asked = found.groupBy("part", "number", "row", "query_id").agg(F.sum("scored").alias("scored"))
