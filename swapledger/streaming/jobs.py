@@ -75,8 +75,8 @@ def number_across_batches(
 ) -> None:
     """Write the stream with a 0-based ordinal per key that continues from batch to batch.
 
-    The count so far is a value in the state store, one per key that is not idle; a batch
-    reads and writes the counters of its own keys only.
+    The counts so far are in the state store, one per key that is not idle; a batch reads and
+    writes the counters of the bins that its keys fall into.
     """
     with row_store(stream.sparkSession):
         run_to_table(numbered(stream, key, order, time, name, delay, idle), target, "number", checkpoint)
@@ -98,8 +98,8 @@ def rebuild_touched(
     """Keep a per-key result of an ordered log up to date, however late (within ``delay``) its rows arrive.
 
     The rows of each key are held in state; a batch gets the whole groups of the keys it
-    touches from there, builds their results anew and replaces these in their buckets.  No
-    other key is read, and nothing grows with the log but the state.
+    touches from there, builds their results anew and replaces these in their buckets.  Only the
+    bins of these keys are read, and nothing grows with the log but the state.
     """
     groups = whole_groups(stream, key, ident, time, delay, idle)
 

@@ -2,11 +2,14 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swapledger.sources.keyed import KeyedTable, committed
 from swapledger.streaming import jobs as J
+from swapledger.streaming import stateful as S
 
 DAY = datetime(2024, 1, 1)
 
@@ -117,3 +120,85 @@ def test_groups_are_replaced(spark, table):
     table.replace_groups(rows_of(spark, [(1, 1), (1, 2), (2, 5)]))
     table.replace_groups(rows_of(spark, [(1, 3)]))
     assert sorted(map(tuple, table.read().collect())) == [(1, 3), (2, 5)]
+
+
+class Kept:
+    """A state value or list that lives in this process."""
+
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    put = update
+
+    def appendValue(self, value):
+        self.held = [*(self.held or []), value]
+
+    def clear(self):
+        self.held = None
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, name, schema):
+        return Kept()
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_one_call_numbers_all_keys_of_a_bin():
+    handle = Handle()
+    counter = S.Counter(["k", "id", "_ms"], T.StructField("k", T.LongType()), ["id"], "_ms", "n", 100)
+    counter.init(handle)
+
+    def call(*rows):
+        frame = next(counter.handleInputRows(None, iter([pd.DataFrame(rows, columns=["k", "id", "_ms"])]), None))
+        return sorted(zip(frame["k"], frame["id"], frame["n"]))
+
+    assert call((1, 2, 5), (2, 1, 9), (1, 1, 5)) == [(1, 1, 0), (1, 2, 1), (2, 1, 0)]
+    assert call((2, 3, 50)) == [(2, 3, 1)]
+    # Key 1 is idle from 105 on, key 2 from 150 on.
+    assert handle.timers == {105}
+    assert list(counter.handleExpiredTimer(None, Now(110), None)) == [] and 150 in handle.timers
+    assert call((1, 4, 120), (2, 4, 120)) == [(1, 4, 0), (2, 4, 2)]
+
+
+def test_one_call_keeps_the_groups_of_a_bin_apart():
+    handle = Handle()
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("k", "id", "_ms")])
+    keeper = S.GroupKeeper(schema.names, schema, "k", ["id"], "_ms", 100)
+    keeper.init(handle)
+
+    def call(*rows):
+        frames = list(keeper.handleInputRows(None, iter([pd.DataFrame(rows, columns=schema.names)]), None))
+        return [sorted(zip(f["k"], f["id"])) for f in frames]
+
+    assert call((1, 1, 5), (2, 1, 9), (1, 1, 5)) == [[(1, 1), (2, 1)]]
+    assert call((2, 2, 50), (1, 1, 5)) == [[(2, 1), (2, 2)]]
+    assert call((1, 1, 60)) == []
+    assert list(keeper.handleExpiredTimer(None, Now(110), None)) == [] and 150 in handle.timers
+    assert call((1, 2, 120), (2, 3, 120)) == [[(1, 2), (2, 1), (2, 2), (2, 3)]]
