@@ -104,34 +104,36 @@ def controlled_surplus_q(t):
                     "missing", "n_players", F.round("total", 4).alias("total"), "notes")
 
 
-def _names_sql(part_legs: int) -> str:
-    return f"""
-select event_id, to_team, leg_index // {part_legs} as part, string_agg(coalesce(p_name, '#' || cast(player_id as varchar)), ', ' order by leg_index) as names,
+_NAMES_SQL = """
+select event_id, to_team, {part}string_agg(coalesce(p_name, '#' || cast(player_id as varchar)), ', ' order by leg_index) as names,
   string_agg(distinct cast(from_team as varchar), ',' order by cast(from_team as varchar)) as senders
-from v_trade left join part on p_partkey = player_id and p_size <= 25 group by 1, 2, 3"""
+from v_trade left join part on p_partkey = player_id and p_size <= 25 group by {by}"""
 
 
-#: Legs beyond which an event's names come in more than one string.
-PART_LEGS = 1000
-
-
-@query("AGG-35", "ordered_names", _names_sql(PART_LEGS))
-def ordered_names(t, part_legs: int = PART_LEGS):
-    """Names in leg order with a fallback label: one string per event and receiver, parts for events beyond ``part_legs`` legs."""
+def names_of(t, part_legs: int | None = None):
+    """Names in leg order with a fallback label: one string per event and receiver, or with ``part_legs`` one per so many legs of an event."""
     names = t.base("part").where("p_size <= 25").select(F.col("p_partkey").alias("player_id"), "p_name")
+    keys = "event_id, to_team" + (", part" if part_legs else "")
+    part = [F.floor(F.col("leg_index") / part_legs).alias("part")] if part_legs else []
     j = t.numbered_trade.join(names, "player_id", "left").select(
-        "event_id", "to_team", "leg_index", F.floor(F.col("leg_index") / part_legs).alias("part"), F.col("from_team").cast("string").alias("sender"),
+        "event_id", "to_team", "leg_index", *part, F.col("from_team").cast("string").alias("sender"),
         F.coalesce("p_name", F.concat(F.lit("#"), F.col("player_id").cast("string"))).alias("label"))
-    return t.spark.sql("""
-        select event_id, to_team, part, listagg(label, ', ') within group (order by leg_index) as names,
+    return t.spark.sql(f"""
+        select {keys}, listagg(label, ', ') within group (order by leg_index) as names,
           listagg(distinct sender, ',') within group (order by sender) as senders
-        from {legs} group by event_id, to_team, part""", legs=j)
+        from {{legs}} group by {keys}""", legs=j)
+
+
+@query("AGG-35", "ordered_names", _NAMES_SQL.format(part="", by="1, 2"))
+def ordered_names(t):
+    """All names of an event and receiver in one string, however many legs."""
+    return names_of(t)
 
 
-@query("AGG-35", "ordered_names_in_parts", _names_sql(2))
+@query("AGG-35", "ordered_names_in_parts", _NAMES_SQL.format(part="leg_index // 2 as part, ", by="1, 2, 3"))
 def ordered_names_in_parts(t):
     """The same with a bound of two legs, so that ordinary events are cut too."""
-    return ordered_names(t, 2)
+    return names_of(t, 2)
 
 
 _CAREER = "career as (select player_id, sum(value) as career_value, min(season) as first_season from v_psv group by 1)"

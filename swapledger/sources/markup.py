@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swapledger.functions import scalars as S
@@ -159,11 +159,12 @@ def ranking_rows(docs: DataFrame, text: str, keep: Sequence[str], year: str) ->
         .withColumn("player_name", F.trim(F.regexp_extract(F.get("c", F.lit(2)), link, 1)))
         .withColumn("source_id", F.regexp_extract(F.get("c", F.lit(2)), link, 2))
     )
-    # Everything below is per document: first id, where it returns, first row of each id.
-    first = rows.groupBy(*keep).agg(F.min_by("source_id", "pos").alias("_first"), F.min("pos").alias("_at"))
+    # Everything below is per document, over one arrangement of its rows by position: the first
+    # id, whether it has come back so far, first row of each id.
+    so_far = Window.partitionBy(*keep).orderBy("pos")
+    known = rows.dropna(subset=list(keep)).withColumns({"_first": F.first("source_id").over(so_far), "_at": F.min("pos").over(so_far)})
     back = (F.col("source_id") == F.col("_first")) & (F.col("pos") > F.col("_at"))
-    ends = rows.join(first, list(keep)).groupBy(*keep).agg(F.min(F.when(back, F.col("pos"))).alias("_end"))
-    kept = rows.join(ends, list(keep)).where(F.col("_end").isNull() | (F.col("pos") < F.col("_end")))
+    kept = known.withColumn("_back", F.max(back).over(so_far)).where(~F.col("_back"))
     one = kept.groupBy(*keep, "source_id").agg(F.min_by(F.struct("c", "player_name", "_year"), "pos").alias("x"))
     c = lambda i: F.try_element_at("x.c", F.lit(i + 1))
     new = F.col("x._year") >= 2021
