@@ -7,6 +7,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,16 +116,109 @@ def cosine_top_k_many(
 def cosine_top_k_joined(table: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", tie: str = "vec_id") -> DataFrame:
     """The same for a stated query set of any size, as rows (query_id, vec): dealt in packs, so that no task holds them all.
 
-    Each row goes to every pack once, and the ranking is cut per task before the shuffle.
+    Blocks of rows meet packs of queries; a pair gives the best ``k`` of each of its queries.
     """
-    packs = queries.withColumn("_pack", F.pmod(F.xxhash64("query_id"), F.lit(_PACKS)))
-    spread = table.withColumn("_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PACKS - 1).cast("long"))))
-    scored = spread.join(packs.withColumnRenamed("vec", "_vec"), "_pack").withColumn(
-        "score", F.try_divide(dot(F.col(vector), F.col("_vec")), norm(F.col(vector)) * norm(F.col("_vec")))).drop("_vec", "_pack")
+    packs = _blocks(queries.select("query_id", "vec").repartition(_PACKS, "query_id"), _PACK_ROWS, "_queries")
+    return _best_of_pairs(_blocks(table, _BLOCK_ROWS, "_rows").crossJoin(packs), table, queries, k, vector, tie)
+
+
+def _blocks(df: DataFrame, size: int, name: str, by: str | None = None) -> DataFrame:
+    """Rows as Arrow batches of at most ``size``, one value each; with ``by`` those of one value, which stays beside them."""
+    fields = [f for f in df.schema if f.name == by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in pc.unique(batch[by]) if by else [None]:
+                part = batch.filter(pc.equal(batch[by], value)) if by else batch
+                for at in range(0, part.num_rows, size):
+                    piece = part.slice(at, size)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, piece.schema) as out:
+                        out.write_batch(piece)
+                    own = {by: pa.array([value.as_py()], value.type)} if by else {}
+                    yield pa.RecordBatch.from_pydict({**own, name: pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.BinaryType())]))
+
+
+def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each vector (-1 for a missing one or one with gaps), and all entries in a row, as doubles."""
+    gaps = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten()
+    entries = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    holes = np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False))
+    if len(holes):
+        ends = np.cumsum(np.maximum(gaps, 0))
+        whole = gaps.copy()
+        whole[np.searchsorted(ends, holes, side="right")] = -1
+        entries = entries[np.repeat(whole >= 0, np.maximum(gaps, 0))]
+        gaps = whole
+    return gaps, entries
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, added up in the order of ``dot``, so that they are equal to the last bit."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def _best_of_block(rows: pa.RecordBatch, queries: pa.RecordBatch, k: int, vector: str, tie: str) -> pa.RecordBatch:
+    """The best ``k`` rows of a block for each query; a product finds the candidates, ``_dots`` scores them."""
+    own, entries = _matrix(rows[vector])
+    wanted, asked = _matrix(queries["vec"])
+    ties = rows[tie].to_numpy(zero_copy_only=False)
+    found = []
+    for dim in np.unique(wanted):
+        q_at = np.flatnonzero(wanted == dim)
+        r_at = np.flatnonzero(own == dim) if dim > 0 else np.array([], dtype=np.int64)
+        rest = np.setdiff1d(np.arange(rows.num_rows), r_at)
+        x = entries[np.repeat(own == dim, np.maximum(own, 0))].reshape(len(r_at), -1) if len(r_at) else np.zeros((0, 1))
+        q = asked[np.repeat(wanted == dim, np.maximum(wanted, 0))].reshape(len(q_at), -1) if len(r_at) else np.zeros((len(q_at), 1))
+        with np.errstate(all="ignore"):
+            nx, nq = np.sqrt(_dots(x, x)), np.sqrt(_dots(q, q))
+            near = q @ x.T / np.outer(nq, nx)
+            none = np.outer(nq, nx) == 0
+            near[~np.isfinite(near)] = np.inf
+            near[none] = -np.inf
+            floor = np.partition(near, len(r_at) - k, axis=1)[:, len(r_at) - k] if len(r_at) > k else np.full(len(q_at), -np.inf)
+            qi, ri = np.nonzero((near >= floor[:, None] - 1e-9) & ~none)
+            found.append((q_at[qi], r_at[ri], _dots(q[qi], x[ri]) / (nx[ri] * nq[qi]), np.zeros(len(qi), bool)))
+        # Pairs without a score come last.
+        short = np.flatnonzero((~none).sum(axis=1) < k)
+        for i in short:
+            left = np.concatenate([rest, r_at[none[i]]])
+            left = left[np.argsort(ties[left], kind="stable")[:k]]
+            found.append((np.full(len(left), q_at[i]), left, np.zeros(len(left)), np.ones(len(left), bool)))
+    qi, ri, score, none = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((ties[ri], -np.where(np.isnan(score), np.inf, score), ~np.isnan(score), none, qi))
+    qi, ri, score, none = qi[order], ri[order], score[order], none[order]
+    starts = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
+    place = np.arange(len(qi)) - np.repeat(starts, np.diff(np.r_[starts, len(qi)]))
+    keep = place < k
+    out = rows.take(pa.array(ri[keep]))
+    names = [*out.schema.names, "query_id", "score"]
+    return pa.RecordBatch.from_arrays([*out.columns, queries["query_id"].take(pa.array(qi[keep])), pa.array(score[keep], mask=none[keep])], names=names)
+
+
+def _best_of_pairs(pairs: DataFrame, table: DataFrame, queries: DataFrame, k: int, vector: str, tie: str) -> DataFrame:
+    """Rank of the best ``k`` rows of each query over pairs of a block and a pack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda raw: pa.ipc.open_stream(raw).read_next_batch()
+        for batch in batches:
+            for rows, asked in zip(batch["_rows"], batch["_queries"]):
+                yield _best_of_block(read(rows.as_py()), read(asked.as_py()), k, vector, tie)
+
+    scored = pairs.select("_rows", "_queries").mapInArrow(
+        run, T.StructType([*table.schema.fields, queries.schema["query_id"], T.StructField("score", T.DoubleType())]))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Rows of a block, and queries of a pack.
+_BLOCK_ROWS, _PACK_ROWS = 2048, 512
 #: Packs of a stated query set.
 _PACKS = 16
 
@@ -184,8 +279,7 @@ class HashIndex:
         stored = table.sparkSession.read.parquet(f"{path}/vectors")
         # A bounded number of queries, picked by hash, against all rows.
         some = stored.select(F.col(tie).alias("query_id"), F.col(vector).alias("vec")).orderBy(F.xxhash64(tie), tie).limit(self.SAMPLE)
-        queries = some.agg(F.collect_list(F.struct("query_id", "vec"))).scalar()
-        best = cosine_top_k_many(stored, queries, k, vector, tie).select("query_id", "bucket")
+        best = cosine_top_k_joined(stored, some, k, vector, tie).select("query_id", "bucket")
         turn = best.join(some, "query_id").select(F.array_position(self.visits(F.col("vec")), F.col("bucket")).alias("turn"))
         # One row per number of visits.
         met = sorted((r["turn"], r["n"]) for r in turn.groupBy("turn").agg(F.count("*").alias("n")).collect())
@@ -206,11 +300,9 @@ class HashIndex:
         spark = queries.sparkSession
         meta = spark.read.schema("visits int, recall double").json(f"{path}/meta").first()
         table = spark.read.parquet(f"{path}/vectors")
-        sent = queries.select("query_id", F.col("vec").alias("_vec"), F.explode(F.slice(self.visits(F.col("vec")), 1, meta.visits)).alias("bucket"))
-        met = table.join(sent, "bucket")
-        scored = met.withColumn("score", F.try_divide(dot(F.col(vector), F.col("_vec")), norm(F.col(vector)) * norm(F.col("_vec")))).drop("_vec")
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
-        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        sent = queries.select("query_id", "vec", F.explode(F.slice(self.visits(F.col("vec")), 1, meta.visits)).alias("bucket"))
+        packs = _blocks(sent.repartition("bucket").sortWithinPartitions("bucket"), _PACK_ROWS, "_queries", "bucket")
+        return _best_of_pairs(_blocks(table, _BLOCK_ROWS, "_rows", "bucket").join(packs, "bucket"), table, queries, k, vector, tie)
 
 
 def vector_store(vectors: DataFrame, model: str, dim: int) -> tuple[str, DataFrame]:

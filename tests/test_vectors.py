@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from swapledger.operators import vectors as V
 
@@ -65,3 +66,17 @@ def test_hashed_terms(spark):
             want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
         assert np.allclose(r.v, want / (np.linalg.norm(want) or 1), atol=1e-6)
     assert np.allclose(np.linalg.norm(V.LetterProfile(8).encode(["abc", "zz", ""]), axis=1), [1, 1, 0])
+
+
+def test_blocks_give_the_scores_of_the_plain_form(spark):
+    """Ties, repeated ids, gaps, zeros, other lengths and missing vectors, over several blocks and packs."""
+    x = [[float(np.float32(a)) for a in v] for v in unit(40, 4, seed=5)]
+    rows = [(i % 35, x[i % 30]) for i in range(70)] + [(90, None), (91, [0.0] * 4), (92, [1.0, None, 0.0, 0.0]), (93, [1.0, 2.0]), (94, [float("nan")] * 4)]
+    table = spark.createDataFrame(rows, "vec_id int, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, x[i]) for i in range(5)] + [(7, None), (8, [0.0] * 4), (9, [3.0, 1.0])], "query_id int, vec array<float>")
+    for k in (3, 73):
+        many = queries.agg(F.collect_list(F.struct("query_id", "vec"))).scalar()
+        form = lambda df: sorted((r.query_id, r["rank"], r.vec_id, repr(r.score)) for r in df.collect())
+        assert form(V.cosine_top_k_joined(table, queries, k)) == form(V.cosine_top_k_many(table, many, k))
+    plan = V.cosine_top_k_joined(table, queries, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
