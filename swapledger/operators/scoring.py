@@ -12,13 +12,18 @@ from swapledger.functions.scalars import normal_cdf, normal_pdf
 
 
 def crps_draws(draws: Column, y: Column) -> Column:
-    """Exact CRPS of a row from its array of draws: mean distance less half the mean spread."""
-    s = F.array_sort(draws)
-    m = F.size(s)
-    distance = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.abs(x - y)) / m
-    ranked = F.transform(s, lambda x, i: x * ((i + 1) * 2 - m - 1))
-    spread = F.aggregate(ranked, F.lit(0.0), lambda acc, x: acc + x) / (m * m)
-    return distance - spread
+    """Exact CRPS of a row from its array of draws: mean distance less half the mean spread.
+
+    The sorted array is bound once a row; a plain reference inside a lambda would sort it anew for every draw.
+    """
+
+    def scored(s: Column) -> Column:
+        m = F.size(s)
+        distance = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.abs(x - y)) / m
+        ranked = F.transform(s, lambda x, i: x * ((i + 1) * 2 - m - 1))
+        return distance - F.aggregate(ranked, F.lit(0.0), lambda acc, x: acc + x) / (m * m)
+
+    return F.get(F.transform(F.array(F.sort_array(draws)), scored), F.lit(0))
 
 
 def legacy_crps(draws: Column, y: Column) -> Column:

@@ -104,3 +104,11 @@ def test_windows_leave_out_rows_without_a_whole_window(spark):
         xx = np.column_stack([np.ones(len(own)), [x[1] for x in own]])
         beta, _, s2 = G._solve(xx.T @ xx, xx.T @ z, float(z @ z), len(own), np.array([1.0, 1 / 0.09]), 3)
         assert r.n == len(own) and r.beta["z_x"] == pytest.approx(beta[1]) and r.s2 == pytest.approx(s2)
+
+
+def test_crps_sorts_the_draws_once(spark):
+    df = spark.createDataFrame([([3.0, 1.0, 2.0], 1.5), ([2.0], None), (None, 1.0)], "d array<double>, y double")
+    scored = df.select(C.crps_draws(F.col("d"), F.col("y")).alias("c"))
+    assert [r.c for r in scored.collect()] == [pytest.approx(2.5 / 3 - 4 / 9), None, None]
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") == 1 and "array_sort" not in plan
