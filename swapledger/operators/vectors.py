@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -26,7 +27,7 @@ class Encoder(Protocol):
 
 
 class HashedTerms:
-    """Offline default: term counts hashed into slots, unit length, in built-in expressions."""
+    """Offline default: term counts hashed into slots, unit length, a batch of texts at a time."""
 
     def __init__(self, dim: int = 64):
         self.name = f"hashed-terms-{dim}"
@@ -34,22 +35,40 @@ class HashedTerms:
 
     def column(self, text: Column) -> Column:
         """The text's vector; a text without words gives zeros."""
-        words = F.filter(F.split(F.coalesce(text, F.lit("")), "\\s+"), lambda w: w != "")
-        slot = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % self.dim
-        # One sign per word, in slot order of a block of the basic plane: counting a slot is one native pass.
-        sign = lambda n: F.decode(F.unhex(F.hex(n + _SIGNS)), "UTF-16BE")
-        line = F.array_join(F.transform(words, lambda w: sign(slot(w))), "")
-        slots = F.sequence(F.lit(0).cast("long"), F.lit(self.dim - 1).cast("long"))
-        # Each step is bound once; a plain reference inside a lambda would be worked out anew for every slot.
-        bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-        counts = bound(line, lambda x: F.transform(slots, lambda i: (F.length(x) - F.length(F.replace(x, sign(i), F.lit("")))).cast("double")))
-        length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-        scaled = lambda c: bound(length(c), lambda n: F.transform(c, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)).cast("float")))
-        return bound(counts, scaled)
-
-
-#: First of the signs that stand for slots; there are 20,000 from here on.
-_SIGNS = 0x4E00
+        dim = self.dim
+
+        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            slots = _Slots(dim)
+            for texts in batches:
+                counts = np.zeros((len(texts), dim))
+                for i, value in enumerate(texts.cast(pa.large_binary())):
+                    # Bytes split at ASCII white space, which is what \s+ means.
+                    words = (value.as_py() or b"").split()
+                    counts[i] = np.bincount(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)), minlength=dim)
+                    if len(slots) > _KNOWN_WORDS:
+                        slots.clear()
+                lengths = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+                unit = (counts / np.where(lengths == 0, 1.0, lengths)).astype(np.float32)
+                yield pa.ListArray.from_arrays(np.arange(0, unit.size + 1, dim, dtype=np.int32), unit.ravel())
+
+        # A filter on the vector would otherwise be moved below and make it a second time.
+        return embed.asNondeterministic()(text)
+
+
+class _Slots(dict):
+    """Slot of each word met so far."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: bytes) -> int:
+        slot = self[word] = int.from_bytes(hashlib.md5(word).digest()[:4], "big") % self.dim
+        return slot
+
+
+#: Words beyond which a task forgets their slots.
+_KNOWN_WORDS = 200_000
 
 
 class LetterProfile:

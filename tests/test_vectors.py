@@ -80,3 +80,11 @@ def test_blocks_give_the_scores_of_the_plain_form(spark):
         assert form(V.cosine_top_k_joined(table, queries, k)) == form(V.cosine_top_k_many(table, many, k))
     plan = V.cosine_top_k_joined(table, queries, 3)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_hashed_terms_are_made_once(spark):
+    from swapledger.plans import all_queries
+
+    df = all_queries()["txt_04_embedded_texts"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "replace(" not in plan
