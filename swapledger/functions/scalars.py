@@ -19,7 +19,18 @@ def blank_to_null(c: Column) -> Column:
 
 def strip_quotes(c: Column) -> Column:
     """Trim, drop one pair of surrounding double quotes, trim again."""
-    return F.trim(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"))
+    t = F.trim(c)
+    quoted = F.startswith(t, F.lit('"'))
+    # Only text with a line break needs the expression, whose dot and end know such breaks.
+    plain = quoted & F.endswith(t, F.lit('"')) & (F.translate(t, _BREAKS, "") == t)
+    return F.trim(
+        F.when(plain & (F.length(t) > 1), F.substring(t, F.lit(2), F.length(t) - 2))
+        .when(quoted & ~plain, F.regexp_replace(t, '^"(.*)"$', "$1")).otherwise(t)
+    )
+
+
+#: What a dot of a regular expression does not match.
+_BREAKS = "\n\r\u0085\u2028\u2029"
 
 
 def lenient_double(c: Column) -> Column:
@@ -41,7 +52,9 @@ def lenient_int_half_even(c: Column) -> Column:
 
 def money(c: Column) -> Column:
     """``$28,216,944`` to a whole number; ``-`` and ``n/a`` to NULL."""
-    return F.floor(F.btrim(F.translate(c, "$,", ""), F.lit(" \t\n")).try_cast("double")).cast("long")
+    t = F.btrim(F.translate(c, "$,", ""), F.lit(" \t\n"))
+    # A failing cast costs far more than this test; a number has a digit or is spelt out.
+    return F.floor(F.when(t.rlike("(?i)[0-9]|inf|nan"), t.try_cast("double"))).cast("long")
 
 
 def height_inches(c: Column) -> Column:

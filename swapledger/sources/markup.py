@@ -33,10 +33,10 @@ def elements(fragment: Column, tag: str) -> Column:
     The name may be followed by attributes, so ``tr`` does not open at ``<track>``.
     """
     pieces = F.split(fragment, f"<{tag}(?=[\\s>])")
-    opened = F.filter(F.slice(pieces, 2, F.size(pieces)), lambda x: F.contains(x, F.lit(f"</{tag}>")))
+    opened = F.filter(pieces, lambda x, i: (i > 0) & F.contains(x, F.lit(f"</{tag}>")))
     inner = lambda x: F.substring_index(x, f"</{tag}>", 1)
     # What stands before the first ">" are the attributes.
-    return F.transform(opened, lambda x: F.substr(inner(x), F.locate(">", inner(x)) + 1))
+    return F.transform(F.transform(opened, inner), lambda x: F.substr(x, F.locate(">", x) + 1))
 
 
 def html_cells(docs: DataFrame, html: str, opening: str, closing: str, row_tag: str, cell_tag: str, name: str = "cells") -> DataFrame:
@@ -44,8 +44,11 @@ def html_cells(docs: DataFrame, html: str, opening: str, closing: str, row_tag:
     after = F.substring_index(F.col(html), opening, 1)
     body = F.substring_index(F.substr(F.col(html), F.length(after) + F.lit(len(opening) + 1)), closing, 1)
     found = F.when(F.contains(F.col(html), F.lit(opening)), body).otherwise("")
-    return docs.select("*", F.posexplode(elements(found, row_tag)).alias("row_no", "row_html")).withColumn(
-        name, elements(F.col("row_html"), cell_tag))
+    # Rows and cells are made once and stand as values of their own; as plain expressions, the
+    # filters on them would work them out anew.
+    rows = docs.select("*", F.explode(F.array(elements(found, row_tag))).alias("_rows"))
+    one = rows.select(*docs.columns, F.posexplode("_rows").alias("row_no", "row_html"))
+    return one.select("*", F.explode(F.array(elements(F.col("row_html"), cell_tag))).alias(name))
 
 
 def payroll_rows(docs: DataFrame, html: str, table_id: str, keep: Sequence[str]) -> DataFrame:
