@@ -74,7 +74,7 @@ def flatten_staff(raw: DataFrame, team_id: Column, season: Column, source: str =
 
 
 def number_legs(
-    rows: DataFrame, event: str, bucket: str, order: Sequence[Column | str], name: str = "leg_index"
+    rows: DataFrame, event: str, bucket: str | None, order: Sequence[Column | str], name: str = "leg_index"
 ) -> DataFrame:
     """0-based ordinal of each row inside its event, in the given total order."""
     return ordinal_within(rows, [event], bucket, order, name, start=0)
@@ -85,21 +85,27 @@ def _cell(cols: Column, i: int) -> Column:
 
 
 def parse_trade_text(lines: DataFrame) -> DataFrame:
-    """Quoted positional text to trade legs (type ``T``, 12 or more columns, digit ids)."""
-    cols = F.split("value", ",")
-    player = _cell(cols, 6)
-    when = S.compact_date(_cell(cols, 0), placeholder_to_new_year=True)
-    event = F.trim(F.try_element_at(cols, F.lit(6)))
-    return lines.where(
-        (F.size(cols) >= 12) & (_cell(cols, 7) == "T") & when.isNotNull() & event.rlike("^[0-9]+$")
-    ).select(
-        event.cast("long").alias("rs_transaction_id"),
-        when.alias("date"),
-        F.year(when).alias("season"),
-        F.when(F.length(player) == 8, player).alias("rs_player_id"),
-        player.alias("player_name_raw"),
-        S.blank_to_null(_cell(cols, 8)).alias("from_team_rs"),
-        S.blank_to_null(_cell(cols, 10)).alias("to_team_rs"),
+    """Quoted positional text to trade legs (type ``T``, 12 or more columns, digit ids).
+
+    The columns of a line, and then its date, are made once and stand as values of their own:
+    as plain expressions, every filter and every column would work them out anew.
+    """
+    split = lines.select(F.explode(F.array(F.split("value", ","))).alias("c")).where(F.size("c") >= 12)
+    cell = lambda i: S.strip_quotes(F.get("c", F.lit(i)))
+    event = F.trim(F.get("c", F.lit(5)))
+    typed = split.where((cell(7) == "T") & event.rlike("^[0-9]+$")).select(
+        event.cast("long").alias("rs_transaction_id"), cell(0).alias("_day"), cell(6).alias("player_name_raw"),
+        S.blank_to_null(cell(8)).alias("from_team_rs"), S.blank_to_null(cell(10)).alias("to_team_rs"),
+    )
+    when = S.compact_date(F.col("_day"), placeholder_to_new_year=True)
+    return typed.select("*", F.explode(F.array(when)).alias("date")).where(F.col("date").isNotNull()).select(
+        "rs_transaction_id",
+        "date",
+        F.year("date").alias("season"),
+        F.when(F.length("player_name_raw") == 8, F.col("player_name_raw")).alias("rs_player_id"),
+        "player_name_raw",
+        "from_team_rs",
+        "to_team_rs",
     )
 
 

@@ -68,3 +68,33 @@ def test_numbers(spark):
     rows = [(".250",), ("-.--",), ("",), ("6.0",), ("-1.5",)]
     got = [r[0] for r in spark.createDataFrame(rows, "m string").select(S.lenient_double(F.col("m"))).collect()]
     assert got == [0.25, None, None, 6.0, -1.5]
+
+
+def test_trade_text_is_split_once(spark):
+    good = '20180727,0,,,,12,"plyr0001","T","T1","NL","","NL"'
+    rows = [good, good.replace("20180727", "20181345"), good.replace(",12,", ",x,"), good.replace('"T",', '"R",'), "20180727,0", None]
+    parsed = R.parse_trade_text(spark.createDataFrame([(r,) for r in rows], "value string").repartition(2))
+    assert [tuple(r) for r in parsed.collect()] == [(12, dt.date(2018, 7, 27), 2018, "plyr0001", "plyr0001", "T1", None)]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_quotes_as_by_expression(spark):
+    texts = ['"a"', ' "a b" ', '""', '"', '"a', 'a"', '"a"b"', '"a"\n', '"a\nb"', '\n"a"', '" a "', "", None, '"é"', '"a"\r\n', '" "']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    plain = F.trim(F.regexp_replace(F.trim("t"), '^"(.*)"$', "$1"))
+    assert df.where(~S.strip_quotes(F.col("t")).eqNullSafe(plain)).collect() == []
+
+
+def test_money_as_by_cast(spark):
+    texts = ["$1,234", "n/a", "-", "--", "", None, "NaN", "1e3", " $5.9 ", "x1", "-7", "1d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    plain = F.floor(F.btrim(F.translate("t", "$,", ""), F.lit(" \t\n")).try_cast("double")).cast("long")
+    assert df.where(~S.money(F.col("t")).eqNullSafe(plain)).collect() == []
+
+
+def test_rows_and_cells_are_cut_once(spark):
+    page = "<table id=x><tr a=1><td>a</td><td b>b</td><track>c</tr><tr>d</table><tr><td>e</td></tr>"
+    docs = spark.createDataFrame([(1, page), (2, None)], "k int, html string").repartition(2)
+    cells = M.html_cells(docs, "html", "<table", "</table>", "tr", "td").where(F.size("cells") > 0)
+    assert [(r.k, r.row_no, r.cells) for r in cells.collect()] == [(1, 0, ["a", "b"])]
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
