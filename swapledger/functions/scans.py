@@ -68,9 +68,15 @@ def _before(keys: Sequence[str], bucket: str):
 
 
 def ordinal_within(
-    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str], name: str, start: int = 1
+    df: DataFrame, keys: Sequence[str], bucket: str | None, order: Sequence[Column | str], name: str, start: int = 1
 ) -> DataFrame:
-    """``row_number`` per key: counted inside buckets, shifted by the earlier buckets of a hot key."""
+    """``row_number`` per key: counted inside buckets, shifted by the earlier buckets of a hot key.
+
+    Without a bucket no key is hot, and rows that lie together by key already are not dealt again.
+    """
+    if bucket is None:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(name, (place + F.lit(start - 1)).cast("long"))
     parts = [*keys, bucket]
     shift = (
         df.where(F.col(bucket) > 0).groupBy(*parts).agg(F.count("*").alias("_n"))

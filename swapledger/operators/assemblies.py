@@ -83,12 +83,16 @@ def trade_documents(legs: DataFrame, ledger: DataFrame, size: int = 1000) -> Dat
     An event of more than ``size`` legs gives several documents, cut by leg ordinal; ``legs`` has
     leg_index.  The sides, one per team, stand in the first.
     """
-    moves = legs.select(
-        "event_id", F.floor(F.col("leg_index") / size).alias("part"), "leg_index", "season", "player_id", "from_team", "to_team")
-    sides = ledger.select("event_id", F.lit(0).cast("long").alias("part"), "team_id", "received", "given", "surplus")
-    keys = ["event_id", "part"]
-    parent = moves.select(*keys).union(sides.select(*keys)).distinct()
-    return bundle(parent, {"legs": moves, "sides": sides}, keys, {"legs": ["leg_index"], "sides": ["team_id"]})
+    part = F.floor(F.col("leg_index") / size)
+    rest = ["leg_index", "season", "player_id", "from_team", "to_team"]
+    moves = legs.select("event_id", part.alias("part"), *rest).groupBy("event_id", "part").agg(
+        F.sort_array(F.collect_list(F.struct(*rest))).alias("legs"))
+    sides = ledger.groupBy(F.col("event_id").alias("_event")).agg(
+        F.sort_array(F.collect_list(F.struct("team_id", "received", "given", "surplus"))).alias("sides"))
+    # Joined on the event alone: both lie by event already, so no list is moved.
+    whole = moves.join(sides, (F.col("event_id") == F.col("_event")) & (F.col("part") == 0), "full")
+    return whole.select(
+        F.coalesce("event_id", "_event").alias("event_id"), F.coalesce("part", F.lit(0).cast("long")).alias("part"), "legs", "sides")
 
 
 def player_documents(names: DataFrame, seasons: DataFrame, legs: DataFrame, size: int = 1000) -> DataFrame:

@@ -64,10 +64,11 @@ class Tables:
         )
         customer = self.base("customer").select("c_custkey", F.col("c_nationkey").alias("to_team"))
         supplier = self.base("supplier").select("s_suppkey", F.col("s_nationkey").alias("from_team"))
+        # Lines are the many rows: they meet the few suppliers first and are then moved once, by event.
+        moved = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         return (
-            line.join(orders, line.l_orderkey == orders.o_orderkey)
-            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-            .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(moved, line.l_orderkey == moved.o_orderkey)
             .select(
                 F.col("l_orderkey").alias("event_id"),
                 "leg_order",
@@ -103,6 +104,8 @@ class Tables:
         place = lambda line, part: line * F.lit(1e11) + part
         line = self.base("lineitem").select(F.col("l_orderkey").alias("event_id"), "l_linenumber", "l_partkey")
         hot = hot_keys(line, "event_id", place(F.col("l_linenumber"), F.col("l_partkey")), self.hot_rows)
+        if hot.isEmpty():
+            return number_legs(self.leg, "event_id", None, [F.col(f"leg_order.{c}") for c in LINE_ORDER])
         split = with_buckets(
             self.leg, hot, "event_id", place(F.col("leg_order.l_linenumber"), F.col("player_id")), "bucket"
         )
