@@ -34,6 +34,8 @@ class Tables:
 
     #: Rows beyond which the split scans cut a key.
     hot_rows = HOT_ROWS
+    #: Lines that one task sums to levels.
+    level_rows = 250_000
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -239,8 +241,14 @@ class Tables:
 
     @cached_property
     def level(self) -> DataFrame:
+        line = self.base("lineitem")
+        # Nearly every line is a group of its own, so lines are dealt before they are summed, over
+        # parts whose number grows with the lines: a task's tables of groups keep their size.
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(least, -(-line.count() // self.level_rows))
         return (
-            self.base("lineitem")
+            line.select("l_partkey", "l_shipdate", "l_linenumber", "l_returnflag", "l_quantity", "l_tax")
+            .repartition(parts, F.col("l_partkey"), F.year("l_shipdate"))
             .groupBy(
                 F.col("l_partkey").alias("player_id"),
                 F.year("l_shipdate").alias("season"),
