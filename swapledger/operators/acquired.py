@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from swapledger.functions.scalars import lookup
 from swapledger.operators.facts import career_start, rate_per_600
+from swapledger.operators.legs import origin_team
 from swapledger.operators.offsets import offset_name, offset_window, season_map
 
 KEY = ["event_id", "to_team"]
@@ -123,7 +124,11 @@ def player_profile(roles: DataFrame, metrics: DataFrame, picks: DataFrame, scale
 
 
 def acquired_features(legs: DataFrame, profile: DataFrame, plus: Sequence, minus: Sequence) -> DataFrame:
-    """All acquired-player features of (event, receiver): one join on player, one aggregate."""
+    """All acquired-player features of (event, receiver): one join on player, one aggregate.
+
+    The origin team alone needs the order of the legs, which is wide; it is found where legs
+    still lie by event, so that the order meets neither the join nor the aggregate.
+    """
     j = legs.join(profile, "player_id", "left")
     at = lambda m, k: F.try_element_at(m, (F.col("season") + F.lit(k)).cast("int"))
     v = lambda k: at("by_season", k)["value"]
@@ -144,8 +149,7 @@ def acquired_features(legs: DataFrame, profile: DataFrame, plus: Sequence, minus
         F.avg(F.when(moved, F.coalesce(origin["bat"], origin["pit"], F.lit(0.0)))).alias("origin_value"),
         F.avg(v(-1) - v(-2) * 2.0 + v(-3)).alias("acceleration"),
         F.avg(F.when(last_year, 1.0).otherwise(0.0)).alias("contract_year_share"),
-        F.min_by("from_team", F.when(moved, F.col("leg_order"))).alias("origin_team"),
-    )
+    ).join(origin_team(legs), KEY, "left")
 
 
 def two_sided_delta(windowed: DataFrame, metric: str) -> DataFrame:

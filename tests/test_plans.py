@@ -30,3 +30,35 @@ def test_season_filter_reaches_the_scan(spark):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in text
     assert "o_custkey" not in text
+
+
+def test_documents_move_no_lists(spark):
+    from swapledger.operators.assemblies import trade_documents
+
+    legs = spark.createDataFrame([(1, n, 2000, n, 1, 2) for n in range(3)] + [(2, 0, 2001, 9, 3, 4)],
+                                 "event_id long, leg_index long, season int, player_id long, from_team int, to_team int").repartition(3, "event_id")
+    ledger = spark.createDataFrame([(1, 2, 1.0, 0.0, 1.0), (3, 5, 2.0, 0.0, 2.0)], "event_id long, team_id int, received double, given double, surplus double").repartition(3, "event_id")
+    docs = trade_documents(legs, ledger, size=2)
+    got = sorted((r.event_id, r.part, [x.leg_index for x in r.legs or []], [x.team_id for x in r.sides or []]) for r in docs.collect())
+    assert got == [(1, 0, [0, 1], [2]), (1, 1, [2], []), (2, 0, [0], []), (3, 0, [], [5])]
+    assert "Union" not in plan(docs) and plan(docs).count("Join ") == 1
+
+
+def test_legs_are_numbered_where_they_lie(spark):
+    text = Tables(spark, SF).numbered_leg._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in text and "leg_index" in text
+
+
+def test_order_of_legs_stays_out_of_the_player_join(spark):
+    from swapledger.plans.features import acquired_side
+
+    text = plan(acquired_side(Tables(spark, SF)))
+    sums = [x for x in text.splitlines() if "Aggregate" in x and "contract_year_share" in x]
+    assert sums and not any("min_by" in x for x in sums) and "min_by" in text
+
+
+def test_levels_are_dealt_by_number_of_lines(spark):
+    t = Tables(spark, SF)
+    t.level_rows = 500
+    lines = t.base("lineitem").count()
+    assert "RepartitionByExpression" in plan(t.level) and f", {-(-lines // 500)}" in plan(t.level)
