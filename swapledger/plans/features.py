@@ -10,13 +10,13 @@ from swapledger.operators.assembly import assemble
 from swapledger.sources.tables import SCALE
 
 
-def acquired_side(t) -> DataFrame:
+def acquired_side(t, legs: DataFrame | None = None) -> DataFrame:
     """All acquired-player features from one pass over the legs."""
     picks = t.base("part").where("p_size <= 25").select(
         F.col("p_partkey").alias("player_id"), F.col("p_partkey").alias("pick")
     )
-    profile = A.player_profile(t.psr, t.metric, picks, SCALE)
-    return A.acquired_features(t.trade, profile, [3, 5], [8, 13, 21])
+    profile = A.player_profile(t.player_rows, t.metric, picks, SCALE)
+    return A.acquired_features(t.trade if legs is None else legs, profile, [3, 5], [8, 13, 21])
 
 
 def feature_matrix(t, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def feature_matrix(t, start: int | None = None, end: int | None = None) -> DataF
     wide = assemble(
         base,
         season_sides=[prior_team_value(t), cost.withColumnRenamed("team_id", "to_team")],
-        event_sides=[acquired_side(t)],
+        event_sides=[acquired_side(t, t.ledger_trade)],
     )
     origin_cost = cost.select(
         F.col("team_id").alias("origin_team"), "season", F.col("payroll").alias("origin_payroll")
@@ -54,7 +54,7 @@ def context_matrix(t) -> DataFrame:
     from swapledger.operators.context import acquired_context, context_profile, with_interactions
     from swapledger.operators.people import regime_or_unknown
     from swapledger.plans.q_aggregates import cost_by_team, people, thresholds
-    from swapledger.plans.q_joins import ledger_base, prior_team_value
+    from swapledger.plans.q_joins import ledger_base, prior_win_share
     from swapledger.plans.q_windows import jumps
 
     part = t.base("part")
@@ -66,12 +66,12 @@ def context_matrix(t) -> DataFrame:
     wide = assemble(
         ledger_base(t),
         season_sides=[
-            prior_team_value(t).select("to_team", "season", "prior_pct"),
+            prior_win_share(t),
             receiver(T.payroll_context(cost_by_team(t), thresholds(t)), "payroll", "pct_of_cap", "growth_3yr"),
             receiver(T.park_factor(T.run_environment(t.game)), "park_factor"),
             receiver(T.trailing_features(jumps(t)), F.col("flat").alias("dev_fit"), "recency_bias"),
         ],
-        event_sides=[acquired_context(t.trade, profile)],
+        event_sides=[acquired_context(t.ledger_trade, profile)],
     )
     named = regime_or_unknown(wide.withColumn("team_id", F.col("to_team")), t.regime).drop("team_id")
     return with_interactions(named)
@@ -100,7 +100,7 @@ def whole_matrix(t) -> DataFrame:
     from swapledger.operators import teams as T
     from swapledger.plans.q_scalars import _ADOPT, lineage_scores_q
 
-    s = t.shared("leg", "amounts", "ledger")
+    s = t.for_matrices("metric", "ledger")
     keys = ["event_id", "to_team", "season"]
     context = context_matrix(s)
     wide = feature_matrix(s).join(context.select(*keys, *[c for c in context.columns if c not in _BOTH]), keys, "left")

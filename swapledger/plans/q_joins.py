@@ -138,13 +138,23 @@ def ledger_base(t):
     return t.ledger.select("event_id", "season", F.col("team_id").alias("to_team"), "received", "given", "surplus")
 
 
-def prior_team_value(t):
-    """Team value and win share of the season before, keyed by the season they feed."""
-    value = t.psr.groupBy("team_id", "season").agg((F.sum("value_amt").cast("double") / SCALE).alias("prior_value"))
-    pct = t.standing.select(
+def win_share(t):
+    """Wins and win share per (team, season)."""
+    return t.standing.select(
         "team_id", "season", F.col("wins").alias("prior_wins"),
         F.try_divide(F.col("wins").cast("double"), F.col("wins") + F.col("losses")).alias("prior_pct"),
     )
+
+
+def prior_win_share(t):
+    """Win share of the season before alone, keyed by the season it feeds: no lines are summed for it."""
+    return win_share(t).select(F.col("team_id").alias("to_team"), (F.col("season") + 1).alias("season"), "prior_pct")
+
+
+def prior_team_value(t):
+    """Team value and win share of the season before, keyed by the season they feed."""
+    value = t.psr.groupBy("team_id", "season").agg((F.sum("value_amt").cast("double") / SCALE).alias("prior_value"))
+    pct = win_share(t)
     return (
         value.join(pct, ["team_id", "season"], "full")
         .select(F.col("team_id").alias("to_team"), (F.col("season") + 1).alias("season"),
@@ -223,7 +233,7 @@ left join cost oc on oc.team_id = om.origin and oc.season = l.season"""
 def feature_matrix_q(t):
     from swapledger.plans.features import feature_matrix
 
-    m = feature_matrix(t)
+    m = feature_matrix(t.for_matrices("metric", "ledger"))
     rounded = ["avg_experience", "volatility", "cluster_score", "prior_value", "prior_pct", "avg_pick",
                "origin_value", "acceleration", "contract_year_share"]
     return m.select(

@@ -10,6 +10,7 @@ from swapledger.operators import outcomes as O
 from swapledger.operators import playlog as P
 from swapledger.operators import summaries as S
 from swapledger.operators import teams as T
+from swapledger.operators.offsets import offset_window
 from swapledger.operators.regimes import regime_legs
 from swapledger.operators.regress import materialise
 from swapledger.plans.q_aggregates import _COST, _DELTA, cost_by_team, deltas, rounded
@@ -67,13 +68,14 @@ with {_PRICE}, a as (select event_id, to_team, avg(metric_a_t_plus_1 - metric_a_
   left join b on b.event_id = l.event_id and b.to_team = l.team_id left join cap on cap.event_id = l.event_id and cap.to_team = l.team_id)
 select event_id, to_team, season, round(da, 6) as metric_a_delta, round(db, 6) as metric_b_delta, surplus, round(ds, 4) as dollar_surplus, round(ds / pr, 6) as surplus_wins from z""")
 def outcome_matrix_q(t):
-    t = t.shared("leg", "amounts")
+    t = t.for_matrices("ledger")
     base = t.ledger.withColumnRenamed("team_id", "to_team")
-    rates = A.mean_deltas(t.metric_window, {"metric_a": "metric_a_delta", "metric_b": "metric_b_delta"})
+    window = offset_window(t.ledger_trade, t.metric, [-1, 1], ["metric_a", "metric_b"])
+    rates = A.mean_deltas(window, {"metric_a": "metric_a_delta", "metric_b": "metric_b_delta"})
     m = O.outcome_matrix(
         base,
         [rates.select("event_id", "to_team", "metric_a_delta", "metric_b_delta")],
-        prices(t).drop("empirical"), O.acquired_cost(t.trade, t.psr),
+        prices(t).drop("empirical"), O.acquired_cost(t.ledger_trade, t.psr),
     )
     return m.select(
         "event_id", "to_team", "season", F.round("metric_a_delta", 6).alias("metric_a_delta"),

@@ -6,7 +6,7 @@ from copy import copy
 from decimal import Decimal
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swapledger.functions.scans import HOT_ROWS, hot_keys, with_buckets
@@ -17,6 +17,10 @@ LINE_ORDER = [
     "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
 ]
 
+#: Columns of a line that ``Tables.for_matrices`` keeps: the first three columns of the order, and the score of a game.
+#: Lines alike in the three have one supplier, so they tell which sender comes first as the whole order does.
+KEPT_ORDER = [*LINE_ORDER[:3], "l_quantity", "l_returnflag"]
+
 #: Units per amount in ``Tables.amounts``.
 UNIT = 10_000
 
@@ -25,6 +29,11 @@ UNIT = 10_000
 SCALE = 1009
 
 
+def in_amounts(units: str) -> Column:
+    """Units of 1/10000 as an exact amount."""
+    return F.col(units).cast("decimal(18,0)") * F.lit(Decimal("0.0001"))
+
+
 class Tables:
     """Lazy access to one folder of parquet tables.
 
@@ -98,6 +107,29 @@ class Tables:
             out.__dict__[name] = materialise(getattr(out, name), f"shared-{name}")
         return out
 
+    def for_matrices(self, *names: str) -> Tables:
+        """These tables with narrow legs, player-season-team facts and the named facts written once.
+
+        Legs keep the part of their order that ``KEPT_ORDER`` names.  Amounts are the written
+        facts, dealt by player: whatever is summed for a player, by season or team, is summed there.
+        """
+        from swapledger.operators.regress import materialise
+
+        out = copy(self)
+        flat = {"l_partkey": "player_id", "l_suppkey": "supp_id"}
+        leg = self.leg.select(
+            "event_id", "season", "player_id", "from_team", "to_team", "type_code", "priority", "supp_id",
+            *[F.col(f"leg_order.{c}").alias(c) for c in KEPT_ORDER if c not in flat],
+        )
+        order = F.struct(*[F.col(flat.get(c, c)).alias(c) for c in KEPT_ORDER])
+        out.__dict__["leg"] = materialise(leg, "matrix-leg").withColumn("leg_order", order).drop(
+            "supp_id", *[c for c in KEPT_ORDER if c not in flat])
+        facts = materialise(self.psr.select("role", "player_id", "season", "team_id", "units", "salary"), "matrix-psr")
+        out.__dict__["psr"] = facts.withColumn("value_amt", in_amounts("units"))
+        out.__dict__["amounts"] = facts.repartition("player_id")
+        out.__dict__["player_rows"] = out.psr.repartition("player_id")
+        return out.shared(*names)
+
     @cached_property
     def numbered_leg(self) -> DataFrame:
         """Legs with ``leg_index``; hot events are found from the narrow line columns alone."""
@@ -119,6 +151,11 @@ class Tables:
 
         return trade_legs(self.leg, "F")
 
+    @cached_property
+    def ledger_trade(self) -> DataFrame:
+        """Trade legs of the events that the ledger holds: all that its rows can be joined with."""
+        return self.trade.join(self.ledger.select("event_id").distinct(), "event_id", "left_semi")
+
     @cached_property
     def numbered_trade(self) -> DataFrame:
         from swapledger.operators.legs import trade_legs
@@ -155,12 +192,17 @@ class Tables:
             )
             .select(
                 "role", "player_id", "season", "team_id", "units",
-                (F.col("units").cast("decimal(18,0)") * F.lit(Decimal("0.0001"))).alias("value_amt"),
+                in_amounts("units").alias("value_amt"),
                 (F.col("_q").cast("decimal(18,0)") * F.lit(Decimal("0.01"))).alias("volume"),
                 "salary", "games",
             )
         )
 
+    @cached_property
+    def player_rows(self) -> DataFrame:
+        """``psr`` for what is summed for a player; ``for_matrices`` deals it by player."""
+        return self.psr
+
     @cached_property
     def psv(self) -> DataFrame:
         """Player-season value over roles and teams (one row per player and season)."""
@@ -221,22 +263,15 @@ class Tables:
 
     @cached_property
     def game(self) -> DataFrame:
-        line, orders = self.base("lineitem"), self.base("orders")
-        customer, supplier = self.base("customer"), self.base("supplier")
-        return (
-            line.join(orders, line.l_orderkey == orders.o_orderkey)
-            .join(customer, orders.o_custkey == customer.c_custkey)
-            .join(supplier, line.l_suppkey == supplier.s_suppkey)
-            .where(F.col("s_nationkey") != F.col("c_nationkey"))
-            .select(
-                F.col("o_orderkey").alias("game_id"),
-                F.col("c_nationkey").alias("home_team"),
-                F.col("s_nationkey").alias("visitor_team"),
-                F.year("o_orderdate").alias("season"),
-                F.col("l_returnflag").alias("park_id"),
-                F.col("l_quantity").cast("int").alias("home_score"),
-                F.col("l_linenumber").cast("int").alias("visitor_score"),
-            )
+        """Legs between two teams as games; whatever has its legs written has its games there too."""
+        return self.leg.where(F.col("from_team") != F.col("to_team")).select(
+            F.col("event_id").alias("game_id"),
+            F.col("to_team").alias("home_team"),
+            F.col("from_team").alias("visitor_team"),
+            "season",
+            F.col("leg_order.l_returnflag").alias("park_id"),
+            F.col("leg_order.l_quantity").cast("int").alias("home_score"),
+            F.col("leg_order.l_linenumber").cast("int").alias("visitor_score"),
         )
 
     @cached_property

@@ -62,3 +62,66 @@ def test_levels_are_dealt_by_number_of_lines(spark):
     t.level_rows = 500
     lines = t.base("lineitem").count()
     assert "RepartitionByExpression" in plan(t.level) and f", {-(-lines // 500)}" in plan(t.level)
+
+
+def small_tables(spark, folder):
+    """Lines with repeated numbers, null keys and a repeated supplier, and events inside and outside the ledger."""
+    from datetime import datetime
+
+    when = lambda y: datetime(y, 3, 1)
+    line = [(e, p, s, n, 3.0 + n, 100.5 * (p or 2), 0.01 * e, 0.02, "RAN"[n % 3], "FO"[e % 2], when(1996 + (e + n) % 4))
+            for e in (1, 2, 3, 4) for n, p, s in ((1, 5, 10), (1, 4, 11), (1, 4, 11), (2, 4, 12), (3, 6, 13), (3, None, 10), (4, 5, None))]
+    tables = {
+        "lineitem": (line, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                           "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        "orders": ([(1, 7, "F", 1.0, when(1997), "1-URGENT"), (2, 8, "F", 1.0, when(1998), "5-LOW"), (3, 7, "O", 1.0, when(1998), "1-URGENT"),
+                    (4, 9, "F", 1.0, when(1997), "2-HIGH")],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"),
+        "customer": ([(7, "a", 3, 0.0, "x"), (8, "b", 24, 0.0, "x"), (9, "c", 5, 0.0, "y")],
+                     "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "supplier": ([(10, "s", 3, 0.0), (11, "s", 4, 0.0), (12, "s", 9, 0.0), (13, "s", 6, 0.0), (13, "s", 6, 0.0)],
+                     "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return Tables(spark, str(folder))
+
+
+def rows_of(df):
+    return sorted(map(repr, (r.asDict(True) for r in df.collect())))
+
+
+def test_facts_of_the_matrices_are_narrow_and_equal(spark, tmp_path):
+    from swapledger.operators.legs import origin_team
+    from swapledger.plans.q_summaries import prices
+
+    t = small_tables(spark, tmp_path)
+    s = t.for_matrices("metric", "ledger")
+    assert "l_extendedprice" not in s.leg.select("leg_order.*").columns and "Join" not in plan(s.leg) and "Join" not in plan(s.game)
+    for name in ("psv", "metric", "ledger", "game"):
+        got = getattr(s, name)
+        assert rows_of(got) == rows_of(getattr(t, name)) and got.columns == getattr(t, name).columns
+    same = ["role", "player_id", "season", "team_id", "units", "value_amt", "salary"]
+    assert rows_of(s.psr.select(*same)) == rows_of(t.psr.select(*same))
+    assert rows_of(origin_team(s.trade)) == rows_of(origin_team(t.trade)) != []
+    assert rows_of(s.history.select("player_id", "by_season")) == rows_of(t.history.select("player_id", "by_season"))
+    assert rows_of(prices(s)) == rows_of(prices(t))
+
+
+def test_sides_take_the_legs_of_the_ledger(spark, tmp_path):
+    t = small_tables(spark, tmp_path)
+    held = {r.event_id for r in t.ledger.collect()}
+    legs = [r.event_id for r in t.ledger_trade.collect()]
+    assert held == {1, 4} == set(legs) and {r.event_id for r in t.trade.collect()} == {1, 2, 4}
+    assert len(legs) == t.trade.where("event_id in (1, 4)").count()
+
+
+def test_win_share_of_the_season_before_sums_no_lines(spark):
+    from swapledger.plans.features import context_matrix
+    from swapledger.plans.q_joins import prior_team_value, prior_win_share
+
+    t = Tables(spark, SF)
+    assert "l_orderkey" not in plan(prior_win_share(t))
+    known = prior_team_value(t).select("to_team", "season", "prior_pct").where("prior_pct is not null")
+    assert rows_of(known) == rows_of(prior_win_share(t).where("prior_pct is not null"))
+    assert not [x for x in plan(context_matrix(t)).splitlines() if "FullOuter" in x and "team_id" in x]
