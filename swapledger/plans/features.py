@@ -42,8 +42,8 @@ def feature_matrix(t, start: int | None = None, end: int | None = None) -> DataF
     )
 
 
-def context_matrix(t) -> DataFrame:
-    """One row per (event, receiver) of the ledger with the context sides of the feature matrix.
+def context_matrix(t, base: DataFrame | None = None) -> DataFrame:
+    """One row per (event, receiver) of the ledger, or of ``base``, with the context sides of the feature matrix.
 
     Demographics, awards, minor-league quality and grades of the acquired players come from one
     join of the legs with a player profile; payroll context, win share, development fit and park
@@ -64,7 +64,7 @@ def context_matrix(t) -> DataFrame:
     profile = context_profile(people(t), ages, grades, awards, highest_level(t.level))
     receiver = lambda df, *columns: df.select(F.col("team_id").alias("to_team"), "season", *columns)
     wide = assemble(
-        ledger_base(t),
+        ledger_base(t) if base is None else base,
         season_sides=[
             prior_win_share(t),
             receiver(T.payroll_context(cost_by_team(t), thresholds(t)), "payroll", "pct_of_cap", "growth_3yr"),
@@ -101,10 +101,10 @@ def whole_matrix(t) -> DataFrame:
     from swapledger.plans.q_scalars import _ADOPT, lineage_scores_q
 
     s = t.for_matrices("metric", "ledger")
-    keys = ["event_id", "to_team", "season"]
-    context = context_matrix(s)
-    wide = feature_matrix(s).join(context.select(*keys, *[c for c in context.columns if c not in _BOTH]), keys, "left")
-    pressure = T.sunk_cost_pressure(s.psr, min_salary=60000, unit=1e5 * 0.97).select(
+    # Both halves have the win share and the payroll, from the same facts; the context's are kept.
+    wide = context_matrix(s, feature_matrix(s).drop("prior_pct", "payroll"))
+    # Only the sign of a value counts: whole units stand for amounts.
+    pressure = T.sunk_cost_pressure(s.psr.withColumn("value_amt", F.col("units")), min_salary=60000, unit=1e5 * 0.97).select(
         F.col("team_id").alias("origin_team"), "season", F.col("pressure").alias("origin_pressure"))
     lineage = lineage_scores_q(t).select(F.col("team_id").alias("to_team"), "season", "lineage")
     platoon = platoon_seasons(t).select(F.col("team_id").alias("to_team"), (F.col("season") + 1).alias("season"), "platoon_diff")
@@ -113,6 +113,3 @@ def whole_matrix(t) -> DataFrame:
         .withColumn("technology_lead", N.technology_lead(F.col("to_team"), F.col("season"), _ADOPT, 2003))
     )
 
-
-#: Columns that both halves of the matrix have.
-_BOTH = {"event_id", "to_team", "season", "surplus", "prior_pct", "payroll", "prior_value", "prior_wins"}

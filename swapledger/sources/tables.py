@@ -127,7 +127,9 @@ class Tables:
         facts = materialise(self.psr.select("role", "player_id", "season", "team_id", "units", "salary"), "matrix-psr")
         out.__dict__["psr"] = facts.withColumn("value_amt", in_amounts("units"))
         out.__dict__["amounts"] = facts.repartition("player_id")
-        out.__dict__["player_rows"] = out.psr.repartition("player_id")
+        paid = F.when(F.col("salary").isNotNull(), F.lit(1)).alias("salary")
+        dealt = facts.select("role", "player_id", "season", "team_id", "units", paid).repartition("player_id")
+        out.__dict__["player_rows"] = dealt.withColumn("value_amt", in_amounts("units"))
         return out.shared(*names)
 
     @cached_property
@@ -200,7 +202,10 @@ class Tables:
 
     @cached_property
     def player_rows(self) -> DataFrame:
-        """``psr`` for what is summed for a player; ``for_matrices`` deals it by player."""
+        """``psr`` for a player's profile: ``salary`` is only asked whether it is there.
+
+        ``for_matrices`` deals these rows by player, with 1 for a salary and the amount still in units.
+        """
         return self.psr
 
     @cached_property
@@ -282,14 +287,16 @@ class Tables:
         least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         parts = max(least, -(-line.count() // self.level_rows))
         return (
-            line.select("l_partkey", "l_shipdate", "l_linenumber", "l_returnflag", "l_quantity", "l_tax")
-            .repartition(parts, F.col("l_partkey"), F.year("l_shipdate"))
-            .groupBy(
+            line.select(
                 F.col("l_partkey").alias("player_id"),
                 F.year("l_shipdate").alias("season"),
                 (F.lit(11) + F.col("l_linenumber") % 4).alias("level_id"),
                 F.when(F.col("l_returnflag") == "R", "pitching").otherwise("hitting").alias("grp"),
+                "l_quantity",
+                "l_tax",
             )
+            .repartition(parts, "player_id", "season")
+            .groupBy("player_id", "season", "level_id", "grp")
             .agg(
                 F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("pa"),
                 F.when(
