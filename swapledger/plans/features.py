@@ -53,10 +53,17 @@ def context_matrix(t, base: DataFrame | None = None) -> DataFrame:
     from swapledger.operators.acquired import highest_level
     from swapledger.operators.context import acquired_context, context_profile, with_interactions
     from swapledger.operators.people import regime_or_unknown
+    from swapledger.operators.regress import materialise
     from swapledger.plans.q_aggregates import cost_by_team, people, thresholds
     from swapledger.plans.q_joins import ledger_base, prior_win_share
     from swapledger.plans.q_windows import jumps
 
+    legs = t.ledger_trade if base is not None else None
+    if base is None:
+        # Written, as the rows and the choice of legs both need them; no value is summed for them.
+        base = materialise(ledger_base(t).select("event_id", "season", "to_team"), "context-rows")
+        legs = t.trade.join(base.select("event_id").distinct(), "event_id", "left_semi")
+    cost = materialise(cost_by_team(t), "team-cost")
     part = t.base("part")
     ages = part.select(F.col("p_partkey").alias("player_id"), (F.lit(18) + F.col("p_partkey") % 12).alias("age"))
     grades = part.where("p_size >= 20").select(F.col("p_partkey").alias("player_id"), F.col("p_size").alias("grade"))
@@ -64,14 +71,14 @@ def context_matrix(t, base: DataFrame | None = None) -> DataFrame:
     profile = context_profile(people(t), ages, grades, awards, highest_level(t.level))
     receiver = lambda df, *columns: df.select(F.col("team_id").alias("to_team"), "season", *columns)
     wide = assemble(
-        ledger_base(t) if base is None else base,
+        base,
         season_sides=[
             prior_win_share(t),
-            receiver(T.payroll_context(cost_by_team(t), thresholds(t)), "payroll", "pct_of_cap", "growth_3yr"),
+            receiver(T.payroll_context(cost, thresholds(t)), "payroll", "pct_of_cap", "growth_3yr"),
             receiver(T.park_factor(T.run_environment(t.game)), "park_factor"),
             receiver(T.trailing_features(jumps(t)), F.col("flat").alias("dev_fit"), "recency_bias"),
         ],
-        event_sides=[acquired_context(t.ledger_trade, profile)],
+        event_sides=[acquired_context(legs, profile)],
     )
     named = regime_or_unknown(wide.withColumn("team_id", F.col("to_team")), t.regime).drop("team_id")
     return with_interactions(named)

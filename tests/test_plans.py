@@ -125,3 +125,10 @@ def test_win_share_of_the_season_before_sums_no_lines(spark):
     known = prior_team_value(t).select("to_team", "season", "prior_pct").where("prior_pct is not null")
     assert rows_of(known) == rows_of(prior_win_share(t).where("prior_pct is not null"))
     assert not [x for x in plan(context_matrix(t)).splitlines() if "FullOuter" in x and "team_id" in x]
+
+
+def test_context_takes_payroll_and_rows_from_written_tables(spark):
+    from swapledger.plans.features import context_matrix
+
+    text = plan(context_matrix(Tables(spark, SF)))
+    assert "salary" not in text and "payroll" in text and not any("Window" in x and "_in" in x for x in text.splitlines())
