@@ -40,6 +40,19 @@ def affiliated_rows(ledger: DataFrame, low: int, high: int) -> DataFrame:
     return ledger.withColumn("_in", inside).where("_in").drop("_in")
 
 
+def affiliated_legs(legs: DataFrame, low: int, high: int) -> DataFrame:
+    """Legs of events whose teams all lie in an id range: the events that ``affiliated_rows`` keeps in a ledger.
+
+    Teams are known before any value is, so no other leg has to be valued.  One row per
+    event meets its legs, so a huge event stays spread over tasks.
+    """
+    teams = legs.groupBy("event_id").agg(
+        F.min(F.least("from_team", "to_team")).alias("_low"), F.max(F.greatest("from_team", "to_team")).alias("_high")
+    )
+    inside = teams.where((F.col("_low") >= low) & (F.col("_high") <= high)).select("event_id")
+    return legs.join(inside, "event_id", "left_semi")
+
+
 def naive_ledger(
     legs: DataFrame,
     history: DataFrame,

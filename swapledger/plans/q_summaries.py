@@ -48,7 +48,7 @@ def fallback_prices(t):
 
 
 def prices(t):
-    return O.with_fallback(O.price_curve(O.player_cost(t.psr), t.psv), fallback_prices(t))
+    return O.with_fallback(O.price_curve(O.player_cost(t.paid), t.psv), fallback_prices(t))
 
 
 @query("AGG-31", "price_curve", f"with {_PRICE} select season, round(price, 4) as price, empirical from price")
@@ -68,14 +68,14 @@ with {_PRICE}, a as (select event_id, to_team, avg(metric_a_t_plus_1 - metric_a_
   left join b on b.event_id = l.event_id and b.to_team = l.team_id left join cap on cap.event_id = l.event_id and cap.to_team = l.team_id)
 select event_id, to_team, season, round(da, 6) as metric_a_delta, round(db, 6) as metric_b_delta, surplus, round(ds, 4) as dollar_surplus, round(ds / pr, 6) as surplus_wins from z""")
 def outcome_matrix_q(t):
-    t = t.for_matrices("ledger")
+    t = t.for_outcomes()
     base = t.ledger.withColumnRenamed("team_id", "to_team")
     window = offset_window(t.ledger_trade, t.metric, [-1, 1], ["metric_a", "metric_b"])
     rates = A.mean_deltas(window, {"metric_a": "metric_a_delta", "metric_b": "metric_b_delta"})
     m = O.outcome_matrix(
         base,
         [rates.select("event_id", "to_team", "metric_a_delta", "metric_b_delta")],
-        prices(t).drop("empirical"), O.acquired_cost(t.ledger_trade, t.psr),
+        prices(t).drop("empirical"), O.acquired_cost(t.ledger_trade, t.paid),
     )
     return m.select(
         "event_id", "to_team", "season", F.round("metric_a_delta", 6).alias("metric_a_delta"),

@@ -45,6 +45,8 @@ class Tables:
     hot_rows = HOT_ROWS
     #: Lines that one task sums to levels.
     level_rows = 250_000
+    #: Lowest and highest team id of the ledger's events.
+    affiliated = (2, 22)
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -132,6 +134,24 @@ class Tables:
         out.__dict__["player_rows"] = dealt.withColumn("value_amt", in_amounts("units"))
         return out.shared(*names)
 
+    def for_outcomes(self) -> Tables:
+        """These tables with the legs of the ledger's events written once, and amounts dealt once per fact.
+
+        Legs have no order.  Nothing else is written: each fact reads its own few columns of the
+        lines; those of ``history`` are dealt by player, those of ``paid`` by player and season,
+        without the lines that have no salary, and whatever is summed under these keys is summed there.
+        """
+        from swapledger.operators.ledger import affiliated_legs
+        from swapledger.operators.regress import materialise
+
+        out = copy(self)
+        legs = materialise(self.trade.select("event_id", "season", "player_id", "from_team", "to_team"), "outcome-trade")
+        legs = materialise(affiliated_legs(legs, *self.affiliated), "outcome-legs")
+        out.__dict__.update(trade=legs, ledger_trade=legs, psv=self.psv)
+        out.__dict__["paid"] = self.by_role(self.amounts.where("salary is not null").repartition("player_id", "season"))
+        out.__dict__["amounts"] = self.amounts.repartition("player_id")
+        return out
+
     @cached_property
     def numbered_leg(self) -> DataFrame:
         """Legs with ``leg_index``; hot events are found from the narrow line columns alone."""
@@ -184,8 +204,12 @@ class Tables:
     @cached_property
     def psr(self) -> DataFrame:
         """Player-season-team value by role."""
+        return self.by_role(self.amounts)
+
+    @staticmethod
+    def by_role(amounts: DataFrame) -> DataFrame:
         return (
-            self.amounts.groupBy("role", "player_id", "season", "team_id")
+            amounts.groupBy("role", "player_id", "season", "team_id")
             .agg(
                 F.sum("units").alias("units"),
                 F.sum("quantity_units").alias("_q"),
@@ -200,6 +224,11 @@ class Tables:
             )
         )
 
+    @cached_property
+    def paid(self) -> DataFrame:
+        """``psr`` for sums of salaries: rows without one add nothing, and ``for_outcomes`` leaves them out."""
+        return self.psr
+
     @cached_property
     def player_rows(self) -> DataFrame:
         """``psr`` for a player's profile: ``salary`` is only asked whether it is there.
@@ -342,4 +371,4 @@ class Tables:
     def ledger(self) -> DataFrame:
         from swapledger.operators.ledger import affiliated_rows, naive_ledger
 
-        return affiliated_rows(naive_ledger(self.trade, self.history, years=3), 2, 22)
+        return affiliated_rows(naive_ledger(self.trade, self.history, years=3), *self.affiliated)

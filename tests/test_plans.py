@@ -1,5 +1,7 @@
 """Shape of the physical plans."""
 
+from pyspark.sql import functions as F
+
 from swapledger.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -132,3 +134,47 @@ def test_context_takes_payroll_and_rows_from_written_tables(spark):
 
     text = plan(context_matrix(Tables(spark, SF)))
     assert "salary" not in text and "payroll" in text and not any("Window" in x and "_in" in x for x in text.splitlines())
+
+
+def test_outcomes_write_narrow_legs_of_the_ledger_alone(spark, tmp_path, monkeypatch):
+    from swapledger.operators import acquired as A
+    from swapledger.operators import outcomes as O
+    from swapledger.operators import regress
+    from swapledger.plans.q_summaries import outcome_matrix_q, prices
+
+    t = small_tables(spark, tmp_path)
+    whole = O.outcome_matrix(
+        t.ledger.withColumnRenamed("team_id", "to_team"),
+        [A.mean_deltas(t.metric_window, {"metric_a": "metric_a_delta", "metric_b": "metric_b_delta"}).select("event_id", "to_team", "metric_a_delta", "metric_b_delta")],
+        prices(t).drop("empirical"), O.acquired_cost(t.trade, t.psr))
+    written, write = {}, regress.materialise
+    monkeypatch.setattr(regress, "materialise", lambda df, purpose: written.setdefault(purpose, write(df, purpose)))
+    got = outcome_matrix_q(Tables(spark, str(tmp_path)))
+    digits = {"metric_a_delta": 6, "metric_b_delta": 6, "dollar_surplus": 4, "surplus_wins": 6}
+    assert rows_of(got) == rows_of(whole.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in got.columns])) != []
+    assert all(set(df.columns) == {"event_id", "season", "player_id", "from_team", "to_team"} for df in written.values())
+    *_, last = written.values()
+    assert rows_of(last) == rows_of(t.ledger_trade.select(*last.columns))
+
+
+def test_facts_of_outcomes_are_equal(spark, tmp_path):
+    from swapledger.operators import outcomes as O
+    from swapledger.plans.q_summaries import prices
+
+    t = small_tables(spark, tmp_path)
+    s = t.for_outcomes()
+    for name in ("psv", "metric", "ledger"):
+        assert rows_of(getattr(s, name)) == rows_of(getattr(t, name)) != []
+    assert rows_of(s.history.select("player_id", "by_season")) == rows_of(t.history.select("player_id", "by_season"))
+    assert rows_of(O.player_cost(s.paid)) == rows_of(O.player_cost(t.psr).where("cost is not null")) != []
+    assert rows_of(prices(s)) == rows_of(prices(t))
+    assert rows_of(O.acquired_cost(s.ledger_trade, s.paid)) == rows_of(O.acquired_cost(t.ledger_trade, t.psr))
+
+
+def test_legs_of_affiliated_events(spark):
+    from swapledger.operators.ledger import affiliated_legs
+
+    legs = spark.createDataFrame(
+        [(1, 2, 22), (1, 22, 5), (2, 3, 4), (2, 1, 4), (3, 5, 23), (4, 2, 2), (4, 2, 2)], "event_id long, from_team int, to_team int")
+    kept = [tuple(r) for r in affiliated_legs(legs, 2, 22).collect()]
+    assert sorted(kept) == [(1, 2, 22), (1, 22, 5), (4, 2, 2), (4, 2, 2)]
