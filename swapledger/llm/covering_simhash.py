@@ -137,8 +137,9 @@ def links_within(nodes: DataFrame, radius: int = RADIUS, cell: int = CELL) -> Da
         "bits", F.xxhash64("x.t", F.col("bits").bitwiseAND(F.col("x.m"))).alias("bucket"))
     size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(
         "bucket", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
-    # Buckets are unique on the right, so the rows of a hot one may be split on the left.
-    placed = members.join(size, "bucket").select("bits", "bucket", "parts", F.pmod(F.xxhash64("bits"), "parts").cast("int").alias("part"))
+    # Buckets are unique on the right, so the rows of a hot one may be split on the left.  Spark sizes both
+    # sides like the nodes before they were exploded, so without the hint it would broadcast one of them.
+    placed = members.join(size.hint("merge"), "bucket").select("bits", "bucket", "parts", F.pmod(F.xxhash64("bits"), "parts").cast("int").alias("part"))
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
         F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("part")))
     cells = placed.select("bits", "bucket", "part", F.explode(others).alias("other")).select(

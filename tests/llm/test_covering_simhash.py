@@ -100,3 +100,10 @@ def test_edges(spark):
     assert cs.near_classes(df.limit(0)).collect() == []
     named = df.select(F.col("doc_id").alias("a"), F.col("text").alias("bits"), F.lit(1).alias("doc_id"))
     assert cs.near_classes(named, "a", "bits").count() == len(rows)
+
+
+def test_exploded_nodes_are_not_broadcast(spark):
+    # Spark sizes the rows of all tables like the nodes they come from, so it takes them for small.
+    nodes = spark.range(200).select((F.col("id") * 7919).alias("bits"))
+    text = cs.links_within(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
