@@ -130,10 +130,14 @@ class KeyedTable:
         self._load(batch, combine, True, source, number)
 
     def replace_groups(self, batch: DataFrame, source: str | None = None, number: int | None = None) -> None:
-        """Replace all rows of each key of the batch by the batch's rows of it."""
+        """Replace all rows of each key of the batch by the batch's rows of it; a missing key is one, too."""
 
         def combine(old: DataFrame | None, rows: DataFrame) -> DataFrame:
-            return rows if old is None else old.join(rows.select(*self.keys).distinct(), self.keys, "left_anti").unionByName(rows)
+            if old is None:
+                return rows
+            found = rows.select(*[F.col(k).alias(f"_new_{k}") for k in self.keys]).distinct()
+            same = [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in self.keys]
+            return old.join(found, same, "left_anti").unionByName(rows)
 
         self._load(batch, combine, True, source, number)
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swapledger.operators.regress import materialise
 from swapledger.session import scratch_dir
 from swapledger.sources.keyed import KeyedTable
 from swapledger.streaming.stateful import numbered, row_store, whole_groups
@@ -104,9 +103,11 @@ def rebuild_touched(
     groups = whole_groups(stream, key, ident, time, delay, idle)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        # Read more than once below: the stateful operator must not run twice.
-        rows = materialise(batch, "touched")
-        results.replace_groups(build(rows), name, batch_id)
+        # Read more than once below: the stateful operator must not run twice.  A stream's own session
+        # plans without AQE, so the rows are read in the table's.
+        path = scratch_dir(results.spark, "touched")
+        batch.write.parquet(path)
+        results.replace_groups(build(results.spark.read.schema(batch.schema).parquet(path)), name, batch_id)
 
     with row_store(stream.sparkSession):
         run_batches(groups, each, mode="update", purpose="rebuild", checkpoint=checkpoint)

@@ -67,6 +67,29 @@ def test_late_and_repeated_rows_rebuild_only_their_keys(spark, tmp_path):
     assert [b for b in built if b] == [[(1, 1), (2, 1)], [(1, 2)], [(1, 3), (3, 1)]]
 
 
+def test_idle_groups_are_forgotten_and_a_missing_key_is_one_group(spark, tmp_path):
+    arrivals, checkpoint = str(tmp_path / "in"), str(tmp_path / "check")
+    schema = "k int, id int, v int, at timestamp"
+    table = KeyedTable(spark, str(tmp_path / "out"), ["k"], buckets=8)
+    build = lambda rows: rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+    def drain():
+        stream = J.file_stream(spark, f"{arrivals}/*", spark.read.parquet(f"{arrivals}/*").schema, files_per_batch=1)
+        J.rebuild_touched(stream, "k", ["id"], "at", build, table, "s", delay="5 days", idle="10 days", checkpoint=checkpoint)
+
+    day = lambda d: DAY + timedelta(days=d)
+    deliver(spark, arrivals, 0, [(1, 1, 1, day(0)), (None, 1, 1, day(0)), (None, 2, 2, day(0)), (2, 1, 1, day(0))], schema)
+    deliver(spark, arrivals, 1, [(2, 2, 2, day(3)), (None, 3, 4, day(3)), (None, 1, 1, day(0))], schema)
+    deliver(spark, arrivals, 2, [(3, 1, 1, day(30))], schema)
+    drain()
+    assert sorted(map(tuple, table.read().where("k is not null").collect())) == [(1, 1, 1), (2, 2, 3), (3, 1, 1)]
+    assert [tuple(r) for r in table.read().where("k is null").collect()] == [(None, 3, 7)]
+    # Key 1 was last seen on day 0 and the watermark is on day 25, so its group begins anew.
+    deliver(spark, arrivals, 3, [(1, 9, 8, day(31)), (3, 2, 2, day(31))], schema)
+    drain()
+    assert sorted(map(tuple, table.read().where("k is not null").collect())) == [(1, 1, 8), (2, 2, 3), (3, 2, 3)]
+
+
 @pytest.fixture
 def table(spark, tmp_path):
     return KeyedTable(spark, str(tmp_path / "t"), ["k"], buckets=16)
@@ -141,10 +164,29 @@ class Kept:
         self.held = None
 
 
+class Slots(dict):
+    """A map of state values, and the keys that were asked for."""
+
+    asked = ()
+
+    def getValue(self, key):
+        self.asked = (*self.asked, *key)
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+
 class Handle:
     def __init__(self):
         self.timers = set()
 
+    def getMapState(self, name, key, value):
+        return Slots()
+
     def getValueState(self, name, schema):
         return Kept()
 
@@ -178,3 +220,28 @@ def test_one_call_numbers_all_keys_of_a_bin():
     assert handle.timers == {105}
     assert list(counter.handleExpiredTimer(None, Now(110), None)) == [] and 150 in handle.timers
     assert call((1, 4, 120), (2, 4, 120)) == [(1, 4, 0), (2, 4, 2)]
+
+
+def test_one_call_keeps_all_keys_of_a_bin():
+    handle, names = Handle(), ["k", "id", "s", "_ms", "_slot"]
+    kinds = T.StructType([T.StructField(n, T.StringType() if n == "s" else T.LongType()) for n in names[:-1]])
+    keeper = S.GroupKeeper(names, kinds, "k", ["id"], "_ms", "_slot", 100, slots=4)
+    keeper.init(handle)
+
+    def call(*rows):
+        keeper.rows.asked = ()
+        frames = list(keeper.handleInputRows(None, iter([pd.DataFrame(rows, columns=names)]), None))
+        return sorted(tuple(r) for f in frames for r in f[["k", "id", "s"]].itertuples(index=False))
+
+    # Keys 1 and 2 share a slot; ids count by key, and the first row of an id stays.
+    assert call((1, 1, "a", 5, 0), (2, 1, "b", 9, 0), (3, 1, "", 7, 3), (1, 1, "x", 5, 0)) == [(1, 1, "a"), (2, 1, "b"), (3, 1, "")]
+    assert handle.timers == {105}
+    assert call((1, 2, "c", 50, 0), (2, 1, "y", 60, 0)) == [(1, 1, "a"), (1, 2, "c")] and keeper.rows.asked == (0,)
+    assert call((1, 2, "c", 50, 0)) == [] and handle.timers == {107}
+    # A row without a time sets no timer.
+    assert call((4, 1, "z", None, 1)) == [(4, 1, "z")] and handle.timers == {107}
+    # Key 3 is idle from 107 on, key 2 from 109 on, key 1 from 150 on.
+    assert list(keeper.handleExpiredTimer(None, Now(109), None)) == [] and set(keeper.rows) == {(0,), (1,)} and 109 in handle.timers
+    assert list(keeper.handleExpiredTimer(None, Now(110), None)) == [] and 150 in handle.timers
+    assert call((1, 3, "e", 120, 0), (2, 2, "d", 120, 0), (3, 1, "f", 120, 3)) == [(1, 1, "a"), (1, 2, "c"), (1, 3, "e"), (2, 2, "d"), (3, 1, "f")]
+    assert 220 in handle.timers and 150 not in handle.timers
